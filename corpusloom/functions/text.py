@@ -133,7 +133,7 @@ def normalize_answer(col: str | Column, articles: bool = False) -> Column:
     """Lower case, no ASCII punctuation, single spaces; optionally without a / an / the."""
     out = F.regexp_replace(F.lower(_c(col)), r"[!-/:-@\[-`{-~]", "")
     if articles:
-        out = F.regexp_replace(out, r"\b(a|an|the)\b", " ")
+        out = F.regexp_replace(out, r"(?U)\b(a|an|the)\b", " ")
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 

@@ -104,12 +104,12 @@ def running_total(
     local = staged.withColumn(
         "_loc", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
     )
-    on = keys + names
-    cond = None
     left, right = local.alias("l"), offsets.alias("r")
-    for name in on:
-        test = F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-        cond = test if cond is None else cond & test
+    cond = F.lit(True)
+    for name in keys:
+        cond = cond & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    for name in names:
+        cond = cond & (F.col(f"l.{name}") == F.col(f"r.{name}"))
     picked = [F.col(f"l.`{c}`").alias(c) for c in df.columns]
     extra = [F.col("r._all").alias(total)] if total else []
     return left.join(right, cond, "inner").select(
@@ -122,10 +122,12 @@ def dense_ids(df: DataFrame, key: str, out: str = "nid", spread: str = "dense",
     return running_total(df, out, [key], spread=spread, slab=slab)
 
 
-def shuffled_ids(df: DataFrame, seed: int, key: str, out: str = "nid", keys: list[str] | None = None) -> DataFrame:
-    """Positions of a reproducible random order inside each group."""
+def shuffled_ids(
+    df: DataFrame, seed: int, key: str, out: str = "nid", keys: list[str] | None = None, total: str | None = None
+) -> DataFrame:
+    """Positions of a reproducible random order inside each group (and the group's size)."""
     keyed = df.withColumn("_hk", seeded_key(seed, key))
-    return running_total(keyed, out, ["_hk", key], keys=keys, spread="hash").drop("_hk")
+    return running_total(keyed, out, ["_hk", key], keys=keys, spread="hash", total=total).drop("_hk")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str | None = None) -> DataFrame:

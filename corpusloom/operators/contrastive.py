@@ -63,9 +63,8 @@ def pair_positive(pool: DataFrame, seed: int) -> DataFrame:
     Records stand in a reproducible random ring per group and each takes its successor, so the join
     key (group, position) is unique and balanced. A group of one record yields nothing.
     """
-    ring = shuffled_ids(pool.filter("fits").select(*GROUP, "id", "text"), seed, "id", "pos", keys=GROUP)
-    sizes = ring.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ring = ring.join(sizes, GROUP)
+    ring = shuffled_ids(pool.filter("fits").select(*GROUP, "id", "text"), seed, "id", "pos", keys=GROUP, total="n")
+    ring = ring.filter("n > 1")
     follower = ring.select(
         *GROUP, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("id").alias("pos_id"), F.col("text").alias("pos_context")
     )

@@ -262,3 +262,27 @@ def bin_demos(df: DataFrame, length: int, demos: str = "demos") -> DataFrame:
     bins = F.when(F.size(bins) > 1, F.slice(bins, F.lit(1), F.size(bins) - 1)).otherwise(bins)
     keep = [c for c in df.columns if c != demos]
     return folded.select(*keep, F.posexplode(bins).alias("bin", "tokens"))
+
+
+def drop_flagged_tokens(df: DataFrame, tokens: str = "tokens", flags: str = "is_html", start: str = "start") -> DataFrame:
+    """Delete flagged tokens; ``start`` (0-based) moves left by the deletions before it."""
+    before = F.size(F.filter(F.slice(F.col(flags), F.lit(1), F.col(start)), lambda x: x))
+    kept = F.transform(
+        F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col(flags).alias("f")), lambda z: ~z["f"]), lambda z: z["t"]
+    )
+    return df.withColumn(start, F.col(start) - before).withColumn(tokens, kept).drop(flags)
+
+
+def pick_single_answer(df: DataFrame) -> DataFrame:
+    """Yes/no before short before long answers; unusable rows are flagged.
+
+    Columns: yes_no (array of -1, 0, 1), short (array of start/end structs), long (one struct). A row
+    is unusable when its answer has no start (yes/no), several starts, or equal start and end.
+    """
+    yes, no = F.array_contains("yes_no", 1), F.array_contains("yes_no", 0)
+    has_short = F.size("short") > 0
+    category = F.when(yes, "yes").when(no, "no").when(has_short, "short").otherwise("long")
+    picked = F.when(yes | no, F.slice("short", 1, 0)).when(has_short, F.col("short")).otherwise(F.array("long"))
+    out = df.withColumn("category", category).withColumn("answer", picked)
+    same = F.transform("answer", lambda a: a["start"]) == F.transform("answer", lambda a: a["end"])
+    return out.withColumn("remove", (F.size("answer") > 1) | same)

@@ -219,23 +219,21 @@ def split_long_sentences(sents: DataFrame, limit: int, pieces: str = "pieces") -
     ``pieces`` holds the number of sub-word pieces of each word; words of zero pieces are dropped.
     Output is one row per kept word: (sentence columns, word position, part number).
     """
-    arr = F.col(pieces)
+    state = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, n: Column) -> Column:
         fresh = (acc["sum"] + n > limit) & (n > 0)
-        part = acc["part"] + fresh.cast("int")
         return F.struct(
             F.when(fresh, n).otherwise(acc["sum"] + n).alias("sum"),
-            part.alias("part"),
-            F.concat(acc["parts"], F.array(F.when(n > 0, part).otherwise(F.lit(-1)))).alias("parts"),
+            (acc["i"] + 1).alias("i"),
+            F.when(fresh, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    zero = F.struct(
-        F.lit(0).cast("int").alias("sum"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts")
-    )
     keep = [c for c in sents.columns if c != pieces]
-    folded = sents.withColumn("_parts", F.aggregate(F.transform(arr, lambda n: n.cast("int")), zero, step)["parts"])
-    return folded.select(*keep, F.posexplode("_parts").alias("word", "part")).filter(F.col("part") >= 0)
+    counts = sents.withColumn("_n", F.transform(pieces, lambda n: n.cast("int")))
+    folded = counts.withColumn("_starts", F.aggregate("_n", state, step)["starts"])
+    words = folded.select(*keep, "_starts", F.posexplode("_n").alias("word", "_k")).filter(F.col("_k") > 0)
+    return words.select(*keep, "word", F.size(F.filter("_starts", lambda s: s <= F.col("word"))).alias("part"))
 
 
 def bin_demos(df: DataFrame, length: int, demos: str = "demos") -> DataFrame:

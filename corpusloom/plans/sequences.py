@@ -1 +1,298 @@
-"""Queries."""
+"""Queries: token sequences (documents, conversations, orders)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import arrays as A
+from corpusloom.functions import text as T
+from corpusloom.ids import dense_ids
+from corpusloom.operators import segment as S
+from corpusloom.operators import sequences as Q
+from corpusloom.plans.registry import query, table, toks, wide
+
+
+def token_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.tokenize(wide(spark, sf, "documents", "doc_id", "text")).select("doc_id", "tokens", "n_tokens")
+
+
+def id_docs(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    """Documents as integer sequences: each token by its length (a stand-in vocabulary)."""
+    rows = wide(spark, sf, "documents", "doc_id", "text", *extra)
+    return rows.select("doc_id", *extra, F.transform(T.regex_tokens("text"), lambda t: F.length(t)).alias("tokens"))
+
+
+IDS = f"list_transform({toks('text')}, lambda t: length(t))"
+
+
+def joined(col: str):
+    return F.array_join(F.col(col).cast("array<string>"), ",")
+
+
+@query("i01_tokenize", f"select doc_id, md5(array_to_string(list_slice({toks('text')}, 1, 256), chr(31))) as digest, len(list_slice({toks('text')}, 1, 256))::bigint as n_tokens from documents")
+def tokenize(spark, sf):
+    rows = Q.tokenize(wide(spark, sf, "documents", "doc_id", "text"), max_len=256)
+    return rows.select("doc_id", F.md5(F.array_join("tokens", "\x1f")).alias("digest"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+VOCAB_SQL = f"""with t as (select doc_id, unnest({toks('text')}) as token from documents),
+ v as (select token, (row_number() over (order by n desc, token))::bigint as id from (select token, count(*) as n from t group by token having count(*) >= 20))"""
+
+
+@query(
+    "i02_encode",
+    VOCAB_SQL + """ select doc_id, count(*)::bigint as n, sum(coalesce(id, 0))::bigint as id_sum, count(id)::bigint as n_known from t left join v using (token) group by doc_id""",
+)
+def encode(spark, sf):
+    docs = token_docs(spark, sf).filter("n_tokens > 0")
+    counts = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    # ids by (count desc, token): the table of frequent words is small, so one sort task is enough
+    from pyspark.sql import Window
+
+    ranked = counts.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")))
+    out = Q.encode(docs, ranked.select("token", "id"), "doc_id", 0)
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    known = F.size(F.filter("ids", lambda x: x > 0)).cast("long")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("id_sum"), known.alias("n_known"))
+
+
+@query(
+    "i03_pack",
+    f"""with s as (select doc_id, list_append({IDS}, 0) as t from documents),
+    o as (select doc_id, t, sum(len(t)) over (order by doc_id) - len(t) as off from s),
+    x as (select off + generate_subscripts(t, 1) - 1 as pos, unnest(t) as v from o),
+    b as (select pos // 1024 as block, count(*) as n, string_agg(v::varchar, ',' order by pos) as tokens from x group by 1)
+    select block::bigint as block, md5(tokens) as digest from b where n = 1024""",
+)
+def pack(spark, sf):
+    blocks = Q.pack(id_docs(spark, sf), 1024, "doc_id", end_token=F.lit(0))
+    return blocks.select("block", F.md5(joined("tokens")).alias("digest"))
+
+
+@query(
+    "i04_chunk_long",
+    f"""with s as (select doc_id, list_concat([-1], list_concat({IDS}, [-2])) as t from documents),
+    g as (select doc_id, t, unnest(case when len(t) > 512 then generate_series(1, len(t), 510) else [1] end) as st from s),
+    p as (select doc_id, (st - 1) // 510 as ord, case when len(t) > 512 then list_slice(t, st, st + 509) else t end as b from g),
+    q as (select doc_id, ord, case when b[1] = -1 then b else list_concat([-1], b) end as b from p)
+    select doc_id, ord::bigint as ord, md5(array_to_string(case when b[len(b)] = -2 then b else list_concat(b, [-2]) end, ',')) as digest from q""",
+)
+def chunk_long(spark, sf):
+    rows = id_docs(spark, sf).select("doc_id", F.concat(F.array(F.lit(-1)), "tokens", F.array(F.lit(-2))).alias("tokens"))
+    out = S.chunk_long(rows, 512)
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), F.md5(joined("tokens")).alias("digest"))
+
+
+@query(
+    "i05_passages",
+    r"""with w as (select doc_id, string_split(text, ' ') as w from documents),
+    g as (select doc_id, w, unnest(generate_series(1, len(w), 100)) as st from w)
+    select doc_id, ((st - 1) // 100)::bigint as ord, md5(regexp_replace(array_to_string(list_slice(w, st, st + 99), ' '), '^\s+|\s+$', '', 'g')) as digest from g""",
+)
+def passages(spark, sf):
+    out = S.passages(wide(spark, sf, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), F.md5("text").alias("digest"))
+
+
+def _window_input(spark, sf):
+    rows = id_docs(spark, sf)
+    n = F.size("tokens")
+    rows = rows.filter(n > 4)
+    start = F.pmod(F.col("doc_id") * 37, F.size("tokens").cast("long") - 3).cast("int")
+    return rows.select("doc_id", F.array(F.lit(-7), F.lit(-8)).alias("question"), "tokens", start.alias("start"), (start + 2).alias("end"))
+
+
+@query(
+    "i06_windows",
+    f"""with s as (select doc_id, {IDS} as t from documents where len({toks('text')}) > 4),
+    a as (select doc_id, t, (doc_id * 37) % (len(t) - 3) as st, len(t) as n from s),
+    g as (select *, unnest(generate_series(0, n - 1, 192)) as b from a),
+    k as (select * from g where b = 0 or b - 192 + 254 < n)
+    select doc_id, (b // 192)::bigint as ord, md5('-7,-8,' || array_to_string(list_slice(t, b + 1, b + 254), ',')) as digest,
+      (case when st >= b and st + 2 <= b + 253 then st + 2 - b else -100 end)::bigint as "start",
+      (case when st >= b and st + 2 <= b + 253 then st + 4 - b else -100 end)::bigint as "end" from k""",
+)
+def windows(spark, sf):
+    out = S.windows(_window_input(spark, sf), 256, 64)
+    return out.select(
+        "doc_id", F.col("ord").cast("long").alias("ord"), F.md5(joined("input_ids")).alias("digest"),
+        F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+    )
+
+
+@query(
+    "i07_chunk_stride",
+    f"""with s as (select doc_id, {IDS} as t, len({toks('text')}) as n from documents where len({toks('text')}) > 0),
+    g as (select *, unnest(generate_series(0, n - 1, 64)) as s from s),
+    c as (select doc_id, s // 64 as ord, len(list_slice(t, s + 1, s + 96)) as m, case when s = 0 then 0 else 16 end as l, (s + 64 + 16 >= n) as is_last from g)
+    select doc_id, ord::bigint as ord, m::bigint as n, l::bigint as "left", (case when is_last then 0 else 16 end)::bigint as "right", is_last::int as is_last from c where m > l""",
+)
+def stride(spark, sf):
+    out = S.chunk_stride(id_docs(spark, sf), 96, 16, 16)
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ord", "n", "left", "right")], "is_last")
+
+
+@query(
+    "i08_assemble_demos",
+    f"""with s as (select conv_id as q, turn as rank, list_append(list_slice({IDS}, 1, 63), 0) as t from conversations),
+    c as (select q, rank, t, sum(len(t)) over (partition by q order by rank) as tot from s where q in (select q from s where rank = 0)),
+    k as (select * from c where rank = 0 or (tot < 256 and rank <= 4))
+    select q as query_id, count(*)::bigint - 1 as n_demos, md5(string_agg(array_to_string(t, ','), '|' order by rank)) as digest from k group by q""",
+)
+def assemble(spark, sf):
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.transform(T.regex_tokens("text"), lambda t: F.length(t)).alias("tokens")
+    )
+    out = Q.assemble_demos(rows, 256, 64, 4, F.lit(0))
+    parts = F.concat(F.array("test"), "demos")
+    text = F.array_join(F.transform(parts, lambda p: F.array_join(p.cast("array<string>"), ",")), "|")
+    return out.select("query_id", F.size("demos").cast("long").alias("n_demos"), F.md5(text).alias("digest"))
+
+
+def _demo_rows(spark, sf):
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.transform(T.regex_tokens("text"), lambda t: F.length(t)).alias("tokens")
+    )
+    return Q.assemble_demos(rows, 256, 64, 4, F.lit(0), seed=5)
+
+
+def _training(mode: str):
+    def run(spark, sf):
+        out = Q.training_rows(_demo_rows(spark, sf), 256, 0, mode)
+        names = ["input_ids", "labels", "loss_mask", "position_ids", "segment"]
+        return out.select("query_id", *[F.md5(joined(n)).alias(n) for n in names], F.size(F.filter("loss_mask", lambda x: x == 1)).cast("long").alias("n_loss"))
+
+    return run
+
+
+for _mode in ("all_target", "test_target", "zero_shot"):
+    query(f"i09_training_rows_{_mode}")(_training(_mode))
+
+
+@query(
+    "i10_option_rows",
+    f"""with s as (select doc_id, list_slice({IDS}, 1, 32) as p from documents where len({toks('text')}) > 0),
+    o as (select doc_id, p, [[1, 2, 3], [4, 5], [6]] as opts from s),
+    e as (select doc_id, p, unnest([0, 1, 2]) as option, unnest(opts) as o from o)
+    select doc_id, option::bigint as option, md5(array_to_string(list_slice(p, 1, len(p) - 1), ',')) as prefix_ids,
+      array_to_string(list_concat([p[len(p)]], list_slice(o, 1, len(o) - 1)), ',') as option_ids, array_to_string(o, ',') as labels,
+      array_to_string(generate_series(len(p) - 1, len(p) + len(o) - 2), ',') as position_ids from e""",
+)
+def options(spark, sf):
+    rows = id_docs(spark, sf).filter(F.size("tokens") > 0).select(
+        "doc_id", A.first_n("tokens", 32).alias("prefix"),
+        F.array(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(4), F.lit(5)), F.array(F.lit(6))).alias("options"),
+    )
+    out = Q.option_rows(rows, "doc_id")
+    return out.select("doc_id", F.col("option").cast("long").alias("option"), F.md5(joined("prefix_ids")).alias("prefix_ids"),
+                      joined("option_ids").alias("option_ids"), joined("labels").alias("labels"), joined("position_ids").alias("position_ids"))
+
+
+@query(
+    "i11_pad",
+    f"""with s as (select doc_id, list_slice({IDS}, 1, 64) as t from documents)
+    select doc_id, md5(array_to_string(list_concat(t, list_transform(generate_series(1, 64 - len(t)), lambda x: 0)), ',')) as right_pad,
+      md5(array_to_string(list_concat(list_transform(generate_series(1, 64 - len(t)), lambda x: 0), t), ',')) as left_pad from s""",
+)
+def pad(spark, sf):
+    rows = id_docs(spark, sf).select("doc_id", A.first_n("tokens", 64).alias("t"))
+    return rows.select("doc_id", F.md5(F.array_join(A.pad("t", 64, 0).cast("array<string>"), ",")).alias("right_pad"),
+                       F.md5(F.array_join(A.pad("t", 64, 0, "left").cast("array<string>"), ",")).alias("left_pad"))
+
+
+@query(
+    "i11_trim_pad",
+    f"""with s as (select doc_id, doc_id // 16 as batch, least(len({toks('text')}), 64) as n from documents)
+    select doc_id, batch::bigint as batch, max(n) over (partition by batch)::bigint as width from s""",
+)
+def trim(spark, sf):
+    rows = id_docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.fit("tokens", 64, 0).alias("tokens"))
+    out = Q.trim_pad(rows, "batch", 0)
+    return out.select("doc_id", "batch", F.size("tokens").cast("long").alias("width"))
+
+
+@query("i12_bin_demos")
+def bins(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", A.first_n(F.transform(T.regex_tokens("text"), lambda t: F.length(t)), 60).alias("t"))
+    lists = rows.filter("turn < 64").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda s: s["t"]).alias("demos"))
+    out = S.bin_demos(lists, 128)
+    return out.select("conv_id", F.col("bin").cast("long").alias("bin"), F.size("tokens").cast("long").alias("n"), F.md5(joined("tokens")).alias("digest"))
+
+
+@query("i13_pack_pairs")
+def pairs(spark, sf):
+    rows = wide(spark, sf, "documents", "doc_id", "text", "source")
+    src = F.substring_index("text", "\n", 1)
+    rows = rows.select(F.col("doc_id").alias("id"), src.alias("src"), F.col("source").alias("tgt"))
+    rows = rows.withColumn("src_tokens", T.n_tokens("src")).withColumn("tgt_tokens", T.n_tokens("tgt"))
+    out = Q.pack_pairs(rows, 128, unit=1000)
+    return out.select("id", F.md5("src").alias("src"), F.md5("tgt").alias("tgt"), "src_tokens", "tgt_tokens")
+
+
+@query(
+    "i14_align_labels",
+    f"""with w as (select doc_id, list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 1, 40) as w from documents),
+    l as (select doc_id, list_concat([-100], list_concat(list_slice(flatten(list_transform(w, lambda x: case when len({toks('x')}) > 0 then list_concat([length(x)], list_transform(generate_series(2, len({toks('x')})), lambda y: -100)) else [] end)), 1, 62), [-100])) as a from w)
+    select doc_id, md5(array_to_string(list_concat(a, list_transform(generate_series(1, 64 - len(a)), lambda x: -100)), ',')) as digest from l""",
+)
+def align(spark, sf):
+    rows = wide(spark, sf, "documents", "doc_id", "text")
+    words = F.slice(F.filter(F.split("text", " ", -1), lambda x: x != ""), 1, 40)
+    rows = rows.select("doc_id", words.alias("w"))
+    n = F.transform("w", lambda x: T.n_tokens(x))
+    lab = F.transform("w", lambda x: F.length(x))
+    return rows.select("doc_id", F.md5(F.array_join(A.align_labels(n, lab, 64).cast("array<string>"), ",")).alias("digest"))
+
+
+@query("i15_split_long_sentences")
+def split_long(spark, sf):
+    rows = wide(spark, sf, "documents", "doc_id", "text")
+    n = F.transform(F.split("text", " ", -1), lambda x: T.n_tokens(x))
+    out = S.split_long_sentences(rows.select("doc_id", n.alias("pieces")), 128)
+    return out.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n_words"), F.min("word").alias("first_word"))
+
+
+FLAGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(
+    "i16_multi_hot",
+    "select o_custkey, array_to_string([" + ", ".join(f"max((o_orderpriority = '{p}')::int)" for p in FLAGS) + "], '') as vector from orders group by o_custkey",
+)
+def multi_hot(spark, sf):
+    # at most as many distinct labels as there are classes meet in a group
+    sets = table(spark, sf, "orders", "o_custkey", "o_orderpriority").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("labels"))
+    return sets.select("o_custkey", F.array_join(A.multi_hot("labels", FLAGS).cast("array<string>"), "").alias("vector"))
+
+
+@query("i17_dense_ids", "select p_partkey * 3 as oid, (row_number() over (order by p_partkey) - 1)::bigint as nid from part where p_size % 2 = 0")
+def dense(spark, sf):
+    rows = table(spark, sf, "part", "p_partkey", "p_size").filter("p_size % 2 = 0").select((F.col("p_partkey") * 3).alias("oid"))
+    return dense_ids(rows, "oid")
+
+
+@query("i18_learn_bpe")
+def bpe(spark, sf):
+    merges = Q.learn_merges(wide(spark, sf, "documents", "text"), "text", 12)
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(T.regex_tokens("text")).alias("w"))
+    words = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("n", Q.as_symbols("w").alias("s"))
+    for left, right in merges:
+        words = words.withColumn("s", Q.merge_pair("s", left, right))
+    return words.groupBy(F.size(Q.symbol_list("s")).alias("n_symbols")).agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_uses"))
+
+
+@query("i19_save_lengths", f"select conv_id, turn, greatest(len({toks('text')}), len({toks('role')}))::bigint as length from conversations")
+def lengths(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", T.regex_tokens("text").alias("a"), T.regex_tokens("role").alias("b"))
+    return Q.save_lengths(rows, "a", "b").select("conv_id", "turn", F.col("length").cast("long").alias("length"))
+
+
+@query(
+    "i20_segment_ids",
+    f"""with s as (select doc_id, list_slice({toks('text')}, 1, 64) as t from documents)
+    select doc_id, array_to_string(list_transform(t, lambda x, i: abs(len(list_filter(list_slice(t, 1, i), lambda y: y = '.')) - 1) % 2), '') as segments from s""",
+)
+def segments(spark, sf):
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", A.first_n(T.regex_tokens("text"), 64).alias("t"))
+    return rows.select("doc_id", F.array_join(A.segment_ids("t", F.lit(".")).cast("array<string>"), "").alias("segments"))

@@ -237,13 +237,13 @@ PUNCT = r"[!-/:-@\[-`{-~]"
 EDGE = r"[^\p{L}\p{N}_]"
 # twice, because neighbouring articles share their border
 ARTICLES = (
-    rf"regexp_replace(regexp_replace({{}}, '(^|{EDGE})(a|an|the)({EDGE}|$)', '\1 \3', 'g'), '(^|{EDGE})(a|an|the)({EDGE}|$)', '\1 \3', 'g')"
+    rf"regexp_replace(regexp_replace(@, '(^|{EDGE})(a|an|the)({EDGE}|$)', '\1 \3', 'g'), '(^|{EDGE})(a|an|the)({EDGE}|$)', '\1 \3', 'g')"
 )
 
 
 def normal_sql(expr: str, articles: bool = False) -> str:
     bare = f"regexp_replace(lower({expr}), '{PUNCT}', '', 'g')"
-    bare = ARTICLES.format(bare) if articles else bare
+    bare = ARTICLES.replace("@", bare) if articles else bare
     return strip(rf"regexp_replace({bare}, '\s+', ' ', 'g')")
 
 

@@ -43,15 +43,9 @@ def pad_mask(arr: str | Column, value: int) -> Column:
 def segment_ids(arr: str | Column, separator: Column | int) -> Column:
     """0/1 per token, flipping at every separator: (separators so far - 1) mod 2."""
     sep = F.lit(separator) if isinstance(separator, int) else separator
-    counted = F.aggregate(
-        _c(arr),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["n"] + (x == sep).cast("int")).alias("n"),
-            F.concat(acc["out"], F.array(F.pmod(acc["n"] + (x == sep).cast("int") - 1, F.lit(2)))).alias("out"),
-        ),
-    )
-    return counted["out"]
+    # only separator positions are scanned per token, not all tokens before it
+    places = F.filter(F.transform(_c(arr), lambda x, i: F.when(x == sep, i)), lambda i: i.isNotNull())
+    return F.transform(_c(arr), lambda x, i: F.pmod(F.size(F.filter(places, lambda p: p <= i)) - 1, F.lit(2)))
 
 
 def truncate_left(source: str | Column, target: str | Column, budget: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
-from corpusloom.ids import running_total, seeded_key
+from corpusloom.ids import running_total, seeded_key, top_per_group
 from corpusloom.session import materialize
 
 MAX_BROADCAST_VOCAB = 2_000_000
@@ -88,9 +88,11 @@ def assemble_demos(
 
     ``pieces`` has (query_id, rank, tokens); rank 0 is the query itself. Neighbours are dropped from
     the end while the whole is at least ``max_length``; then the first ``shot`` are kept, in a
-    reproducible random order when a seed is given. A query has at most k + 1 rows.
+    reproducible random order when a seed is given. What is kept is a prefix of at most ``shot``
+    neighbours, so only the first ``shot + 1`` rows of a query are ever grouped.
     """
-    cut = pieces.withColumn("_t", F.concat(A.first_n(tokens, per_piece - 1), F.array(delimiter)))
+    first = top_per_group(pieces, ["query_id"], [F.col("rank")], shot + 1)
+    cut = first.withColumn("_t", F.concat(A.first_n(tokens, per_piece - 1), F.array(delimiter)))
     lists = cut.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_t"))).alias("_l"))
     query = F.filter("_l", lambda s: s["rank"] == 0)
     demos = F.filter("_l", lambda s: s["rank"] > 0)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
-from corpusloom.ids import seeded_key
 from corpusloom.operators import contrastive as K
 from corpusloom.operators import prompts as P
+from corpusloom.operators.corpus import most_frequent_value
 from corpusloom.plans.registry import hashed, query, strip, table, toks, wide
 
 SIZE = {
@@ -98,14 +98,14 @@ def allowed(spark, sf):
 
 @query(
     "c05_most_frequent",
-    f"""with t as (select doc_id, generate_subscripts(t, 1) as i, unnest(t) as w from (select doc_id, list_slice({toks('text')}, 1, 60) as t from documents)),
-    c as (select doc_id, w, count(*) as n, min(i) as first from t group by 1, 2),
+    f"""with t as (select doc_id, unnest({toks('text')}) as word from documents),
+    c as (select doc_id, word, count(*)::bigint as n from t group by 1, 2),
     m as (select *, max(n) over (partition by doc_id) as top from c)
-    select doc_id, string_agg(w, ' ' order by first) as words from m where n = top group by doc_id""",
+    select doc_id, word, n from m where n = top""",
 )
 def most_frequent(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", A.first_n(T.regex_tokens("text"), 60).alias("t"))
-    return rows.filter(F.size("t") > 0).select("doc_id", F.array_join(A.most_frequent("t"), " ").alias("words"))
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(T.regex_tokens("text")).alias("word"))
+    return most_frequent_value(rows, ["doc_id"], "word")
 
 
 def template_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +307,7 @@ def convertible(spark, sf):
 @query("g08_easy_negatives")
 def easy(spark, sf):
     pool = K.rendered_pool(datasets(spark, sf))
-    out = K.easy_negatives(pool.filter("dataset <> 'orders'"), pool, 4, 42)
+    out = K.easy_negatives(pool, pool, 4, 42)
     return out.groupBy("dataset", "prompt", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_distinct"), F.max(F.startswith("label", F.concat("dataset", F.lit("-"))).cast("int")).alias("own"))
 
 
@@ -315,7 +315,7 @@ def easy(spark, sf):
 def hard(spark, sf):
     sets = datasets(spark, sf)
     pool = K.rendered_pool(sets)
-    out = K.hard_negatives(pool.filter("dataset <> 'orders'"), sets, 3, 42)
+    out = K.hard_negatives(pool, sets, 3, 42)
     return out.groupBy("dataset", "prompt", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_distinct"))
 
 
@@ -361,5 +361,3 @@ def shuffled(spark, sf):
     rows = table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("digest"))
     return shuffled_ids(rows, 4, "item_id", "place").withColumn("place", F.col("place") + 1)
 
-
-__all__ = ["datasets", "seeded_key"]

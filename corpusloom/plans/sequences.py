@@ -172,7 +172,7 @@ for _mode in ("all_target", "test_target", "zero_shot"):
 
 @query(
     "i10_option_rows",
-    f"""with s as (select doc_id, list_slice({IDS}, 1, 32) as p from documents where len({toks('text')}) > 0),
+    f"""with s as (select doc_id, {IDS} as p from documents where len({toks('text')}) > 0),
     o as (select doc_id, p, [[1, 2, 3], [4, 5], [6]] as opts from s),
     e as (select doc_id, p, unnest([0, 1, 2]) as option, unnest(opts) as o from o)
     select doc_id, option::bigint as option, md5(array_to_string(list_slice(p, 1, len(p) - 1), ',')) as prefix_ids,
@@ -181,7 +181,7 @@ for _mode in ("all_target", "test_target", "zero_shot"):
 )
 def options(spark, sf):
     rows = id_docs(spark, sf).filter(F.size("tokens") > 0).select(
-        "doc_id", A.first_n("tokens", 32).alias("prefix"),
+        "doc_id", F.col("tokens").alias("prefix"),
         F.array(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(4), F.lit(5)), F.array(F.lit(6))).alias("options"),
     )
     out = Q.option_rows(rows, "doc_id")
@@ -214,10 +214,10 @@ def trim(spark, sf):
 
 @query("i12_bin_demos")
 def bins(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", A.first_n(F.transform(T.regex_tokens("text"), lambda t: F.length(t)), 60).alias("t"))
-    lists = rows.filter("turn < 64").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda s: s["t"]).alias("demos"))
-    out = S.bin_demos(lists, 128)
-    return out.select("conv_id", F.col("bin").cast("long").alias("bin"), F.size("tokens").cast("long").alias("n"), F.md5(joined("tokens")).alias("digest"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.transform(T.regex_tokens(x), lambda t: F.length(t)))
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.filter(lines, lambda x: F.size(x) > 0).alias("demos"))
+    out = S.bin_demos(rows, 1024)
+    return out.select("doc_id", F.col("bin").cast("long").alias("bin"), F.size("tokens").cast("long").alias("n"), F.md5(joined("tokens")).alias("digest"))
 
 
 @query("i13_pack_pairs")
@@ -232,13 +232,13 @@ def pairs(spark, sf):
 
 @query(
     "i14_align_labels",
-    f"""with w as (select doc_id, list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 1, 40) as w from documents),
+    f"""with w as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as w from documents),
     l as (select doc_id, list_concat([-100], list_concat(list_slice(flatten(list_transform(w, lambda x: case when len({toks('x')}) > 0 then list_concat([length(x)], list_transform(generate_series(2, len({toks('x')})), lambda y: -100)) else [] end)), 1, 62), [-100])) as a from w)
     select doc_id, md5(array_to_string(list_concat(a, list_transform(generate_series(1, 64 - len(a)), lambda x: -100)), ',')) as digest from l""",
 )
 def align(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text")
-    words = F.slice(F.filter(F.split("text", " ", -1), lambda x: x != ""), 1, 40)
+    words = F.filter(F.split("text", " ", -1), lambda x: x != "")
     rows = rows.select("doc_id", words.alias("w"))
     n = F.transform("w", lambda x: T.n_tokens(x))
     lab = F.transform("w", lambda x: F.length(x))
@@ -266,9 +266,9 @@ def multi_hot(spark, sf):
     return sets.select("o_custkey", F.array_join(A.multi_hot("labels", FLAGS).cast("array<string>"), "").alias("vector"))
 
 
-@query("i17_dense_ids", "select p_partkey * 3 as oid, (row_number() over (order by p_partkey) - 1)::bigint as nid from part where p_size % 2 = 0")
+@query("i17_dense_ids", "select p_partkey * 3 as oid, (row_number() over (order by p_partkey) - 1)::bigint as nid from part")
 def dense(spark, sf):
-    rows = table(spark, sf, "part", "p_partkey", "p_size").filter("p_size % 2 = 0").select((F.col("p_partkey") * 3).alias("oid"))
+    rows = table(spark, sf, "part", "p_partkey").select((F.col("p_partkey") * 3).alias("oid"))
     return dense_ids(rows, "oid")
 
 
@@ -290,9 +290,10 @@ def lengths(spark, sf):
 
 @query(
     "i20_segment_ids",
-    f"""with s as (select doc_id, list_slice({toks('text')}, 1, 64) as t from documents)
-    select doc_id, array_to_string(list_transform(t, lambda x, i: abs(len(list_filter(list_slice(t, 1, i), lambda y: y = '.')) - 1) % 2), '') as segments from s""",
+    f"""with w as (select doc_id, generate_subscripts(t, 1) as i, unnest(t) as w from (select doc_id, {toks('text')} as t from documents)),
+    n as (select doc_id, i, sum((w = '.')::int) over (partition by doc_id order by i) as seen from w)
+    select doc_id, md5(string_agg((abs(seen - 1) % 2)::varchar, '' order by i)) as segments from n group by doc_id""",
 )
 def segments(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", A.first_n(T.regex_tokens("text"), 64).alias("t"))
-    return rows.select("doc_id", F.array_join(A.segment_ids("t", F.lit(".")).cast("array<string>"), "").alias("segments"))
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.regex_tokens("text").alias("t")).filter(F.size("t") > 0)
+    return rows.select("doc_id", F.md5(F.array_join(A.segment_ids("t", F.lit(".")).cast("array<string>"), "")).alias("segments"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.vectors import let
+
 IGNORE_LABEL = -100
 
 
@@ -43,9 +45,14 @@ def pad_mask(arr: str | Column, value: int) -> Column:
 def segment_ids(arr: str | Column, separator: Column | int) -> Column:
     """0/1 per token, flipping at every separator: (separators so far - 1) mod 2."""
     sep = F.lit(separator) if isinstance(separator, int) else separator
-    # only separator positions are scanned per token, not all tokens before it
-    places = F.filter(F.transform(_c(arr), lambda x, i: F.when(x == sep, i)), lambda i: i.isNotNull())
-    return F.transform(_c(arr), lambda x, i: F.pmod(F.size(F.filter(places, lambda p: p <= i)) - 1, F.lit(2)))
+    empty = F.array().cast("array<int>")
+
+    def step(acc: Column, x: Column) -> Column:
+        flip = F.when(x == sep, 1 - acc["bit"]).otherwise(acc["bit"])
+        return F.struct(flip.alias("bit"), F.concat(acc["out"], F.array(flip)).alias("out"))
+
+    # before the first separator the count is zero, which counts as odd
+    return F.aggregate(_c(arr), F.struct(F.lit(1).alias("bit"), empty.alias("out")), step)["out"]
 
 
 def truncate_left(source: str | Column, target: str | Column, budget: int) -> Column:
@@ -65,8 +72,12 @@ def most_frequent(arr: str | Column) -> Column:
         items,
         lambda x: F.struct(x.alias("item"), F.size(F.filter(_c(arr), lambda y: y == x)).alias("n")),
     )
-    top = F.array_max(F.transform(counted, lambda s: s["n"]))
-    return F.transform(F.filter(counted, lambda s: s["n"] == top), lambda s: s["item"])
+
+    def winners(c: Column) -> Column:
+        top = F.array_max(F.transform(c, lambda s: s["n"]))
+        return let(top, lambda t: F.transform(F.filter(c, lambda s: s["n"] == t), lambda s: s["item"]))
+
+    return let(counted, winners)
 
 
 def choice(arr: str | Column, key: Column) -> Column:

@@ -177,3 +177,19 @@ def ngram_overlap(pred: str | Column, refs: str | Column, order: int = 4) -> Col
         return pd.DataFrame(rows, columns=names)
 
     return count(pred, refs)
+
+
+def multiset_f1(words: str | Column, refs: str | Column) -> Column:
+    """Best F1 of token multisets over the reference token lists."""
+
+    @F.pandas_udf("double")
+    def score(pred: pd.Series, targets: pd.Series) -> pd.Series:
+        out = []
+        for own, lists in zip(pred, targets):
+            have, best = Counter(own), 0.0
+            for other in lists:
+                best = max(best, _f(sum((have & Counter(other)).values()), len(other), len(own))[2])
+            out.append(best)
+        return pd.Series(out)
+
+    return score(words, refs)

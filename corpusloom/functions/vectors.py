@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression captured by a lambda is computed again for every element; binding it to the
+    variable of a one-element array avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(arr: str | Column) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -30,9 +41,10 @@ def squared_norm(a: str | Column) -> Column:
 
 
 def softmax(arr: str | Column) -> Column:
-    top = F.array_max(_c(arr)).cast("double")
-    exps = F.transform(_c(arr), lambda x: F.exp(x.cast("double") - top))
-    return F.transform(exps, lambda e: e / total(exps))
+    exps = let(
+        F.array_max(_c(arr)).cast("double"), lambda top: F.transform(_c(arr), lambda x: F.exp(x.cast("double") - top))
+    )
+    return let(exps, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def sigmoid(arr: str | Column) -> Column:

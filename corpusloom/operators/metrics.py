@@ -54,28 +54,20 @@ def join_predictions(refs: DataFrame, preds: DataFrame, key: str = "id") -> Data
 
 
 def exact_match(pred: str | Column, refs: str | Column, articles: bool = False) -> Column:
-    want = T.normalize_answer(pred, articles)
     refs = F.col(refs) if isinstance(refs, str) else refs
-    return F.exists(refs, lambda r: T.normalize_answer(r, articles) == want).cast("int")
+    return V.let(
+        T.normalize_answer(pred, articles), lambda want: F.exists(refs, lambda r: T.normalize_answer(r, articles) == want)
+    ).cast("int")
 
 
 def answer_f1(pred: str | Column, refs: str | Column, articles: bool = True) -> Column:
-    """Token-multiset F1, best reference."""
-    words = F.split(T.normalize_answer(pred, articles), " ", -1)
+    """Token-multiset F1 after normalisation, best reference; no common token scores zero."""
     refs = F.col(refs) if isinstance(refs, str) else refs
 
-    def one(ref: Column) -> Column:
-        other = F.split(T.normalize_answer(ref, articles), " ", -1)
-        same = F.aggregate(
-            F.filter(F.array_distinct(words), lambda w: w != ""),
-            F.lit(0),
-            lambda a, w: a
-            + F.least(F.size(F.filter(words, lambda x: x == w)), F.size(F.filter(other, lambda x: x == w))),
-        )
-        p, r = same / F.size(words), same / F.size(other)
-        return F.when(same == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    def words(c: str | Column) -> Column:
+        return F.filter(F.split(T.normalize_answer(c, articles), " ", -1), lambda w: w != "")
 
-    return F.array_max(F.transform(refs, one))
+    return X.multiset_f1(words(pred), F.transform(refs, words))
 
 
 def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -279,26 +271,42 @@ def table_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
     Rules: nothing found -> ``none`` (count: 0). Count -> a number. One row found, or max / min -> the
     number in the cell, or its text. None over several rows -> the texts. Sum and average need numbers.
     """
-    joined = rows.join(queries, "table_id")
+    numbers = rows.withColumn("nums", F.transform("cells", T.parse_number))
+    asked = queries.withColumn(
+        "conds",
+        F.transform(
+            "conds",
+            lambda c: F.struct(
+                c["col"].alias("col"),
+                c["op"].alias("op"),
+                T.parse_number(c["value"]).alias("num"),
+                T.match_tokens(c["value"]).alias("words"),
+            ),
+        ),
+    )
+    joined = numbers.join(asked, "table_id")
+
+    def compare(op: Column, left: Column, right: Column) -> Column:
+        return F.when(op == 0, left == right).when(op == 1, left > right).otherwise(left < right)
 
     def holds(c: Column) -> Column:
-        cell, kind = F.get("cells", c["col"]), F.get("types", c["col"])
-        num_a, num_b = T.parse_number(cell), T.parse_number(c["value"])
-        txt_a, txt_b = T.match_tokens(cell), T.match_tokens(c["value"])
-        number = F.when(c["op"] == 0, num_a == num_b).when(c["op"] == 1, num_a > num_b).otherwise(num_a < num_b)
-        word = F.when(c["op"] == 0, txt_a == txt_b).when(c["op"] == 1, txt_a > txt_b).otherwise(txt_a < txt_b)
-        return F.coalesce(F.when(kind == "real", number).otherwise(word), F.lit(False))
+        number = compare(c["op"], F.get("nums", c["col"]), c["num"])
+        word = compare(c["op"], T.match_tokens(F.get("cells", c["col"])), c["words"])
+        return F.coalesce(F.when(F.get("types", c["col"]) == "real", number).otherwise(word), F.lit(False))
 
     hits = joined.filter(F.forall("conds", holds)).select(
         "query_id",
         "agg",
         "row",
         F.get("cells", F.col("sel")).alias("text"),
-        T.parse_number(F.get("cells", F.col("sel"))).alias("number"),
+        F.get("nums", F.col("sel")).alias("number"),
         F.get("types", F.col("sel")).alias("kind"),
     )
-    order = F.when(F.col("kind") == "real", F.struct(F.col("number"), F.lit(""), F.col("row"))).otherwise(
-        F.struct(F.lit(0.0), F.col("text"), F.col("row"))
+    is_real = F.col("kind") == "real"
+    order = F.struct(
+        F.when(is_real, F.col("number")).otherwise(0.0).alias("a"),
+        F.when(is_real, "").otherwise(F.col("text")).alias("b"),
+        F.col("row").alias("c"),
     )
     picked = F.struct("text", "number", "row")
     summed = hits.groupBy("query_id", "agg").agg(

@@ -65,7 +65,9 @@ def qa_candidates(
         good = good & (p["e"] >= p["s"]) & (p["e"] - p["s"] + 1 <= max_answer)
         return good & _flag(F.col(max_context), p["s"]) if max_context else good
 
-    pairs = _pairs(top_positions("start_logits", n_best), top_positions("end_logits", n_best), n_best, ok)
+    pairs = V.let(
+        top_positions("end_logits", n_best), lambda ends: _pairs(top_positions("start_logits", n_best), ends, n_best, ok)
+    )
     return _placed(features.select("example_id", "feature_id", "offsets", F.explode(pairs).alias("p")))
 
 
@@ -247,7 +249,9 @@ def best_valid_span(df: DataFrame, k: int, max_width: int, start: str = "start",
         bad = (p["e"] < p["s"]) | (p["e"] - p["s"] > max_width)
         return F.when(bad, F.lit(1e8)).otherwise(F.lit(0.0))
 
-    every = _pairs(top_positions(start, k), top_positions(end, k), k * k, lambda p: F.lit(True))
+    every = V.let(
+        top_positions(end, k), lambda ends: _pairs(top_positions(start, k), ends, k * k, lambda p: F.lit(True))
+    )
     scored = F.transform(every, lambda p: F.struct((p["neg"] + penalty(p)).alias("neg"), p["e"].alias("e"), p["s"].alias("s")))
     best = F.array_min(scored)
     keep = [c for c in df.columns if c not in (start, end)]

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -214,7 +214,7 @@ def lexical_search(
     passage_id: str = "passage_id",
     k1: float = 1.2,
     b: float = 0.75,
-    terms: Column | None = None,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """Term match with per-field boosts (BM25, best field wins), top k per query.
 
@@ -252,7 +252,7 @@ def lexical_search(
     merged = scored[0]
     for other in scored[1:]:
         merged = merged.unionByName(other)
-    best = merged.groupBy("query_id", "passage_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
+    best = merged.groupBy("query_id", "passage_id").agg(F.round(F.max("score"), digits).alias("score"))
     return top_per_group(best, ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from corpusloom.functions import vectors as V
 from corpusloom.ids import top_per_group
 
 
+DIGITS = 12
+
+
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -224,7 +228,9 @@ def span_decode(
         ends = F.sequence(i, F.least(i + max_answer - 1, F.size("e") - 1))
         return F.transform(
             F.filter(ends, lambda j: F.get("mask", j) == 1),
-            lambda j: F.struct((-(F.get("s", i) * F.get("e", j))).alias("neg"), i.alias("s"), j.alias("e")),
+            lambda j: F.struct(
+                (-F.round(F.get("s", i) * F.get("e", j), DIGITS)).alias("neg"), i.alias("s"), j.alias("e")
+            ),
         )
 
     starts = F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("mask", i) == 1)
@@ -234,7 +240,7 @@ def span_decode(
         key, "window", F.col("p.s").alias("start"), F.col("p.e").alias("end"), (-F.col("p.neg")).alias("score")
     )
     if impossible:
-        empty = probs.groupBy(key).agg(F.min(F.get("s", F.lit(0)) * F.get("e", F.lit(0))).alias("score"))
+        empty = probs.groupBy(key).agg(F.round(F.min(F.get("s", F.lit(0)) * F.get("e", F.lit(0))), DIGITS).alias("score"))
         spans = spans.unionByName(
             empty.select(key, F.lit(-1).alias("window"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score")
         )
@@ -253,9 +259,10 @@ def best_valid_span(df: DataFrame, k: int, max_width: int, start: str = "start",
         top_positions(end, k), lambda ends: _pairs(top_positions(start, k), ends, k * k, lambda p: F.lit(True))
     )
     scored = F.transform(every, lambda p: F.struct((p["neg"] + penalty(p)).alias("neg"), p["e"].alias("e"), p["s"].alias("s")))
-    best = F.array_min(scored)
     keep = [c for c in df.columns if c not in (start, end)]
-    return df.select(*keep, best["s"].alias("start"), best["e"].alias("end"), (-best["neg"]).alias("score"))
+    found = df.select(*keep, F.array_min(scored).alias("_b"))
+    best = F.col("_b")
+    return found.select(*keep, best["s"].alias("start"), best["e"].alias("end"), (-best["neg"]).alias("score"))
 
 
 def entity_pairs(df: DataFrame, threshold: float = 0.7, start: str = "p_start", end: str = "p_end") -> DataFrame:
@@ -430,11 +437,10 @@ def merge_overlaps(chunks: DataFrame, key: str, order: str = "ord", tokens: str
     """
     drop = set(special or [])
 
-    def best(left: list[int], right: list[int]) -> int:
+    def best(left: np.ndarray, right: np.ndarray) -> int:
         at, top = 0, 0.0
-        for n in range(1, len(right) + 1):
-            tail = left[-n:]
-            same = sum(a == b for a, b in zip(tail, right[:n])) if len(tail) == n else 0
+        for n in range(1, min(len(left), len(right)) + 1):
+            same = int(np.count_nonzero(left[len(left) - n :] == right[:n]))
             value = same / n + n / 10000.0
             if same > 1 and value > top:
                 at, top = n, value
@@ -443,8 +449,9 @@ def merge_overlaps(chunks: DataFrame, key: str, order: str = "ord", tokens: str
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         merged: list[int] = []
         for i, toks in enumerate(pdf.sort_values(order)[tokens]):
-            clean = [t for t in toks if t not in drop]
-            merged += clean if i == 0 else clean[best(merged, clean) :]
+            clean = np.asarray([t for t in toks if t not in drop] if drop else toks)
+            start = best(np.asarray(merged[-len(clean) :]), clean) if i and len(clean) else 0
+            merged.extend(clean[start:].tolist())
         return pd.DataFrame({key: [pdf[key].iloc[0]], tokens: [merged]})
 
     kind = chunks.schema[key].dataType.simpleString()

@@ -8,7 +8,6 @@ final merge ranks a bounded number of rows per query.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -276,17 +275,6 @@ def rank_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFram
     )
 
 
-def embed(df: DataFrame, fn, text: str, id_col: str, out: str = "embedding") -> DataFrame:
-    """Apply a batch model ``fn(list of texts) -> 2-d array``; ``fn`` is loaded once per task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vecs = np.asarray(fn(list(pdf[text])), dtype=np.float32)
-            yield pd.DataFrame({id_col: pdf[id_col], out: list(vecs)})
-
-    return df.select(id_col, text).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {out} array<float>")
-
-
 def sample_queries(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
     """``n`` reproducible random rows (a global top-n, one bounded heap per task)."""
     return df.orderBy(seeded_key(seed, id_col), id_col).limit(n)

@@ -6,8 +6,6 @@ never explodes into all of its position pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -488,29 +486,3 @@ def evidence_table(positions: DataFrame, key: str = "question_id") -> DataFrame:
     longest = per.groupBy(key).agg(F.max(F.size("_s")).alias("_n"))
     fill = lambda c: F.concat(F.array_sort(c), F.array_repeat(F.lit(-1), F.col("_n") - F.size(c)))
     return per.join(longest, key).select(key, "block_id", "has", fill(F.col("_s")).alias("starts"), fill(F.col("_e")).alias("ends"))
-
-
-def predict(df: DataFrame, cols: list[str], fn, schema: str, batch: int = 256) -> DataFrame:
-    """Batch inference: ``fn(DataFrame of cols) -> DataFrame of the new columns``, ``batch`` rows a call."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch].reset_index(drop=True)
-                yield pd.concat([part, fn(part[cols])], axis=1)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kept}, {schema}")
-
-
-def chunk_then_pack(df: DataFrame, key: str, chunks: Column, fn, schema: str, value: str, batch: int = 256) -> DataFrame:
-    """Explode items to chunks, run ``fn`` over chunk batches, put results back in chunk order.
-
-    An item's results are collected together; an item is one input row, so the group is as large as
-    that row's chunk list.
-    """
-    rows = df.select(key, F.posexplode(chunks).alias("pos", "chunk"))
-    done = predict(rows, ["chunk"], fn, schema, batch)
-    return done.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(value)
-    )

@@ -41,7 +41,7 @@ def _rows(content: bytes) -> list[dict]:
     return sorted(out, key=lambda r: r["name"] or "")
 
 
-def load_templates(spark: SparkSession, root: str) -> DataFrame:
+def load_templates(spark: SparkSession, root: str, pattern: str = "*.yaml") -> DataFrame:
     """(dataset, subset, + template columns); dataset and subset come from the folder names."""
 
     @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in TEMPLATE.split(', '))}>>")
@@ -49,9 +49,9 @@ def load_templates(spark: SparkSession, root: str) -> DataFrame:
         return pd.Series([_rows(bytes(c)) for c in content])
 
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     )
-    base = F.lit(root.rstrip("/") + "/")
+    base = root.rstrip("/") + "/"
     inner = F.split(F.substring_index(F.col("path"), base, -1), "/", -1)
     rows = files.select(
         F.get(inner, F.lit(0)).alias("dataset"),

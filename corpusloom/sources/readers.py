@@ -5,7 +5,7 @@ Schemas are always given or fixed; nothing is inferred by reading the data twice
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -74,50 +74,53 @@ def merge_sequences(first: DataFrame, second: DataFrame, id_col: str = "seq_id")
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): line numbers inside each file.
+    """(file, line, value): 0-based line numbers inside each file, for files of any size.
 
-    A file is one unit of order, so it is read whole and split into lines in the task that reads it.
+    Lines get a position inside their file split (their row order there), splits get the number of
+    lines before them in their file; no task sees a whole file.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1).alias("_l"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_row"),
+        "value",
     )
-    return whole.select("file", F.posexplode("_l").alias("line", "value"))
+    placed = running_total(raw, "_in", ["_row"], keys=["file", "block"], total="_n")
+    blocks = placed.groupBy("file", "block").agg(F.max("_n").alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    joined = placed.drop("_n").join(offsets, ["file", "block"])
+    return joined.select("file", (F.col("_in") + F.col("_off")).alias("line"), "value")
 
 
 def head_per_file(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first ``n`` lines of every file."""
-    whole = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.slice(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1), 1, n).alias("_l"),
-    )
-    return whole.select("file", F.posexplode("_l").alias("line", "value"))
+    return with_line_numbers(spark, path).filter(F.col("line") < n)
 
 
-def pair_lines(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """(line, src, tgt) from two numbered line tables (line, value); an empty or lone line is an error."""
-    left = src.select("line", F.col("value").alias("src"))
-    right = tgt.select("line", F.col("value").alias("tgt"))
-    both = left.join(right, "line", "full_outer")
+def pair_lines(src: DataFrame, tgt: DataFrame, on: list[str]) -> DataFrame:
+    """Two numbered line tables (``on`` + value) as (``on``, src, tgt); an empty or lone line is an error."""
+    left = src.select(*on, F.col("value").alias("src"))
+    right = tgt.select(*on, F.col("value").alias("tgt"))
+    both = left.join(right, on, "full_outer")
     sound = (F.length(F.coalesce("src", F.lit(""))) > 0) & (F.length(F.coalesce("tgt", F.lit(""))) > 0)
     checked = F.when(sound, F.col("src")).otherwise(
-        F.raise_error(F.concat(F.lit("empty or missing text at line "), F.col("line").cast("string")))
+        F.raise_error(F.concat(F.lit("empty or missing text at "), F.concat_ws(":", *on)))
     )
-    return both.select("line", checked.cast("string").alias("src"), "tgt")
+    return both.select(*on, checked.cast("string").alias("src"), "tgt")
 
 
 def read_parallel(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:
-    """Two line-aligned files as pairs.
-
-    Line numbers come from ``zipWithIndex``, which counts lines per split first and so never needs
-    one task to see the whole file.
-    """
+    """(file_no, line, src, tgt): line-aligned files as pairs; several files pair in name order."""
 
     def numbered(path: str) -> DataFrame:
-        rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0].rstrip()))
-        return spark.createDataFrame(rows, "line long, value string")
+        lines = with_line_numbers(spark, path).withColumn("value", F.rtrim("value"))
+        # one row per file
+        files = lines.select("file").distinct()
+        order = Window.partitionBy(F.lit(0)).orderBy("file")
+        return lines.join(files.withColumn("file_no", F.row_number().over(order) - 1), "file")
 
-    return pair_lines(numbered(src_path), numbered(tgt_path))
+    return pair_lines(numbered(src_path), numbered(tgt_path), ["file_no", "line"])
 
 
 def read_conll(spark: SparkSession, path: str, label_idx: int = -1) -> DataFrame:
@@ -230,5 +233,5 @@ def parse_stories(raw: DataFrame, text: str = "value") -> DataFrame:
 
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
     """One file per story; files with ``summary`` in their name are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return parse_stories(raw.filter(~F.contains("file", F.lit("summary")))).drop("value")

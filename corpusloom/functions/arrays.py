@@ -45,14 +45,15 @@ def pad_mask(arr: str | Column, value: int) -> Column:
 def segment_ids(arr: str | Column, separator: Column | int) -> Column:
     """0/1 per token, flipping at every separator: (separators so far - 1) mod 2."""
     sep = F.lit(separator) if isinstance(separator, int) else separator
-    empty = F.array().cast("array<int>")
+    places = F.filter(F.transform(_c(arr), lambda x, i: F.when(x == sep, i)), lambda i: i.isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        flip = F.when(x == sep, 1 - acc["bit"]).otherwise(acc["bit"])
-        return F.struct(flip.alias("bit"), F.concat(acc["out"], F.array(flip)).alias("out"))
+    def runs(p: Column) -> Column:
+        begins, ends = F.concat(F.array(F.lit(0)), p), F.concat(p, F.array(F.size(_c(arr))))
+        # run k lies between separators k and k + 1; the one before the first separator counts as odd
+        sized = F.zip_with(begins, ends, lambda b, e: e - b)
+        return F.flatten(F.transform(sized, lambda n, k: F.array_repeat(F.pmod(k - 1, F.lit(2)), n)))
 
-    # before the first separator the count is zero, which counts as odd
-    return F.aggregate(_c(arr), F.struct(F.lit(1).alias("bit"), empty.alias("out")), step)["out"]
+    return let(places, runs)
 
 
 def truncate_left(source: str | Column, target: str | Column, budget: int) -> Column:

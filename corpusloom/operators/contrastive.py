@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import prompt_columns as P
 from corpusloom.functions import text as T
-from corpusloom.ids import seeded_key, shuffled_ids
+from corpusloom.ids import draw_key, seeded_key, shuffled_ids
 from corpusloom.operators import prompts as R
 from corpusloom.session import materialize
 
@@ -83,7 +83,7 @@ def _positions(pool: DataFrame, seed: int) -> DataFrame:
 
 
 def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare: int = 2) -> DataFrame:
-    """(dataset, prompt, id, try, text, label): ``n`` distinct texts of other datasets per query row.
+    """(dataset, prompt, id, negatives): up to ``n`` distinct (text, label) of other datasets per query row.
 
     A draw picks another dataset, one of its prompts and a record position, each uniformly. Two draws
     of a row in the same group differ in position by their draw numbers, and the pool holds each text
@@ -100,18 +100,19 @@ def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare
     if len(order) < 2:
         raise ValueError("easy negatives need at least two datasets")
     listed = F.array(*[F.lit(x) for x in order])
-    counts = F.create_map(*[x for c in catalog for x in (F.lit(c["dataset"]), F.lit(c["n_prompts"]))])
+    counts = F.array(*[F.lit(c["n_prompts"]) for c in catalog])
     draws = queries.select(*GROUP, "id", F.explode(F.sequence(F.lit(0), F.lit(n + spare - 1))).alias("try"))
     own = F.array_position(listed, F.col("dataset")) - 1
-    key = lambda what: seeded_key(seed, F.lit(what), *GROUP, "id", "try")
+    key = lambda what: draw_key(seed, F.lit(what), *GROUP, "id", "try")
     shift = F.pmod(key("d"), F.lit(len(order) - 1))
     other = F.when(own < 0, F.pmod(key("d"), F.lit(len(order)))).when(shift >= own, shift + 1).otherwise(shift)
-    draws = draws.withColumn("d_name", F.element_at(listed, (other + 1).cast("int")))
-    draws = draws.withColumn("p_at", F.pmod(key("p"), F.element_at(counts, F.col("d_name"))).cast("int"))
+    draws = draws.withColumn("d_at", other.cast("int"))
+    draws = draws.withColumn("p_at", F.pmod(key("p"), F.element_at(counts, F.col("d_at") + 1)).cast("int"))
+    draws = draws.withColumn("d_name", F.element_at(listed, F.col("d_at") + 1)).drop("d_at")
     look_up = prompts.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "p_at", "n_rows")
     draws = draws.join(F.broadcast(look_up), ["d_name", "p_at"])
-    base = seeded_key(seed, F.lit("r"), *GROUP, "id", "d_name", "d_prompt")
-    draws = draws.withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows")))
+    base = draw_key(seed, F.lit("r"), *GROUP, "id", "d_name", "d_prompt")
+    draws = draws.withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows"))).drop("p_at", "n_rows")
     found = draws.join(
         placed.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "pos", "text"),
         ["d_name", "d_prompt", "pos"],
@@ -120,11 +121,13 @@ def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare
 
 
 def _first_distinct(found: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` distinct texts per row; a row has only its own few draws."""
-    row = [*GROUP, "id"]
-    once = found.groupBy(*row, "text").agg(F.min(F.struct("try", "label")).alias("_t"))
-    ranked = once.withColumn("_r", F.row_number().over(Window.partitionBy(*row).orderBy("_t.try")))
-    return ranked.filter(F.col("_r") <= n).select(*row, F.col("_t.try").alias("try"), "text", F.col("_t.label").alias("label"))
+    """The first ``n`` distinct texts per row, in draw order; a row has only its own few draws."""
+    lists = found.groupBy(*GROUP, "id").agg(F.array_sort(F.collect_list(F.struct("try", "text", "label"))).alias("_l"))
+    fresh = F.filter(
+        "_l", lambda x, i: ~F.exists(F.slice("_l", F.lit(1), i), lambda y: y["text"] == x["text"])
+    )
+    picked = F.transform(F.slice(fresh, 1, n), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label")))
+    return lists.select(*GROUP, "id", picked.alias("negatives"))
 
 
 def convertible_sources(target: Dataset, datasets: list[Dataset]) -> list[Dataset]:
@@ -162,7 +165,7 @@ def converted_pool(target: Dataset, datasets: list[Dataset], words: int, seed: i
 
 
 def hard_negatives(queries: DataFrame, datasets: list[Dataset], n: int, seed: int, words: int = 256) -> DataFrame:
-    """(dataset, prompt, id, try, text, label): records of convertible datasets in the query's prompt.
+    """(dataset, prompt, id, negatives): ``n`` (text, label) of convertible datasets in the query's prompt.
 
     2n + 1 numbered draws per row: source uniform, record uniform. Over-long and repeated texts use
     up a draw. Rows left with fewer than ``n`` are not in the result; the caller gives them easy
@@ -181,27 +184,28 @@ def hard_negatives(queries: DataFrame, datasets: list[Dataset], n: int, seed: in
         sizes = sizes.withColumn("n_sources", F.count(F.lit(1)).over(Window.partitionBy("prompt")))
         rows = queries.filter(F.col("dataset") == target.name).select(*GROUP, "id")
         draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-        pick = seeded_key(seed, F.lit("s"), *GROUP, "id", "try")
-        base = seeded_key(seed, F.lit("h"), *GROUP, "id", "source")
+        pick = draw_key(seed, F.lit("s"), *GROUP, "id", "try")
+        base = draw_key(seed, F.lit("h"), *GROUP, "id", "source")
         draws = (
             draws.join(F.broadcast(sizes), "prompt")
             .filter(F.pmod(pick, F.col("n_sources")) == F.col("s_at"))
             .withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows")))
+            .select(*GROUP, "id", "try", "source", "pos")
         )
         found = draws.join(pool.select("prompt", "source", "pos", "text", "fits"), ["prompt", "source", "pos"]).filter("fits")
         parts.append(_first_distinct(found.withColumn("label", F.concat_ws("-", "source", "prompt")), n))
     if not parts:
-        return queries.select(*GROUP, "id", F.lit(0).alias("try"), F.lit("").alias("text"), F.lit("").alias("label")).limit(0)
-    out = reduce(DataFrame.unionByName, parts)
-    full = out.groupBy(*GROUP, "id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n)
-    return out.join(full.drop("_n"), [*GROUP, "id"], "left_semi")
+        none = F.array().cast("array<struct<text:string,label:string>>")
+        return queries.select(*GROUP, "id", none.alias("negatives")).limit(0)
+    return reduce(DataFrame.unionByName, parts).filter(F.size("negatives") == n)
 
 
 def _lists(rows: DataFrame, prefix: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("try", "text", "label")))
-    return rows.groupBy(*GROUP, "id").agg(
-        F.transform(ordered, lambda s: T.collapse_newlines(s["text"])).alias(f"{prefix}_neg_contexts"),
-        F.transform(ordered, lambda s: s["label"]).alias(f"{prefix}_neg_labels"),
+    return rows.select(
+        *GROUP,
+        "id",
+        F.transform("negatives", lambda s: T.collapse_newlines(s["text"])).alias(f"{prefix}_neg_contexts"),
+        F.transform("negatives", lambda s: s["label"]).alias(f"{prefix}_neg_labels"),
     )
 
 
@@ -213,9 +217,11 @@ def contrastive_examples(
     pairs = cap_per_prompt(pair_positive(pool, seed), train, valid, seed)
     pairs = materialize(pairs)
     easy = _lists(easy_negatives(pairs, pool, n_easy, seed), "easy")
-    # the fallback list is a second, independent draw of easy negatives
-    backup = _lists(easy_negatives(pairs, pool, n_hard, seed + 1), "backup")
-    hard = _lists(hard_negatives(pairs, datasets, n_hard, seed, words), "hard")
+    hard_rows = materialize(hard_negatives(pairs, datasets, n_hard, seed, words))
+    hard = _lists(hard_rows, "hard")
+    # rows without enough hard negatives get a second, independent draw of easy ones
+    short = pairs.join(hard_rows, [*GROUP, "id"], "left_anti")
+    backup = _lists(easy_negatives(short, pool, n_hard, seed + 1), "backup")
     key = [*GROUP, "id"]
     out = pairs.join(easy, key, "left").join(hard, key, "left").join(backup, key, "left")
 

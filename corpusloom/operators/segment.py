@@ -232,8 +232,13 @@ def split_long_sentences(sents: DataFrame, limit: int, pieces: str = "pieces") -
     keep = [c for c in sents.columns if c != pieces]
     counts = sents.withColumn("_n", F.transform(pieces, lambda n: n.cast("int")))
     folded = counts.withColumn("_starts", F.aggregate("_n", state, step)["starts"])
-    words = folded.select(*keep, "_starts", F.posexplode("_n").alias("word", "_k")).filter(F.col("_k") > 0)
-    return words.select(*keep, "word", F.size(F.filter("_starts", lambda s: s <= F.col("word"))).alias("part"))
+    begins = F.concat(F.array(F.lit(0)), F.col("_starts"))
+    ends = F.concat(F.col("_starts"), F.array(F.size("_n")))
+    sized = F.zip_with(begins, ends, lambda b, e: e - b)
+    parts = F.flatten(F.transform(sized, lambda n, k: F.array_repeat(k, n)))
+    pairs = folded.select(*keep, F.arrays_zip(F.col("_n").alias("n"), parts.alias("part")).alias("_z"))
+    words = pairs.select(*keep, F.posexplode("_z").alias("word", "_k")).filter(F.col("_k.n") > 0)
+    return words.select(*keep, "word", F.col("_k.part").alias("part"))
 
 
 def bin_demos(df: DataFrame, length: int, demos: str = "demos") -> DataFrame:

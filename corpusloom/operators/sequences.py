@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +35,17 @@ def encode(df: DataFrame, vocab: DataFrame, seq_id: str, unknown: int, tokens: s
     A larger one is joined on exploded tokens and the sequences are put back in order.
     """
     if vocab.limit(MAX_BROADCAST_VOCAB + 1).count() <= MAX_BROADCAST_VOCAB:
-        table = {r["token"]: r["id"] for r in vocab.select("token", "id").toLocalIterator()}
+        table = vocab.select(F.col("token").cast("string").alias("token"), F.col("id").cast("int").alias("id")).toArrow()
         shared = df.sparkSession.sparkContext.broadcast(table)
 
-        @F.pandas_udf("array<int>")
-        def look_up(col: pd.Series) -> pd.Series:
-            get = shared.value.get
-            return pd.Series([[get(t, unknown) for t in toks] for toks in col])
+        @F.arrow_udf("array<int>")
+        def look_up(col: pa.Array) -> pa.Array:
+            words, ids = shared.value.column("token").combine_chunks(), shared.value.column("id").combine_chunks()
+            at = pc.index_in(col.flatten(), value_set=words)
+            found = pc.fill_null(pc.take(ids, at), unknown)
+            sizes = pc.fill_null(pc.list_value_length(col), 0)
+            ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), found)
 
         return df.withColumn("ids", look_up(F.col(tokens)))
     long = df.select(seq_id, F.posexplode(tokens).alias("pos", "token"))

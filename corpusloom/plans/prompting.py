@@ -11,6 +11,7 @@ from corpusloom.operators import contrastive as K
 from corpusloom.operators import prompts as P
 from corpusloom.operators.corpus import most_frequent_value
 from corpusloom.plans.registry import hashed, query, strip, table, toks, wide
+from corpusloom.session import materialize
 
 SIZE = {
     "name": "size_class",
@@ -304,19 +305,24 @@ def convertible(spark, sf):
     return P.convertible(targets, sources)
 
 
+def _drawn(out):
+    size = F.size("negatives").alias("n")
+    distinct = F.size(F.array_distinct(F.transform("negatives", lambda x: x["text"]))).alias("n_distinct")
+    own = F.exists("negatives", lambda x: F.startswith(x["label"], F.concat("dataset", F.lit("-")))).cast("int").alias("own")
+    return out.select("dataset", "prompt", "id", size, distinct, own)
+
+
 @query("g08_easy_negatives")
 def easy(spark, sf):
-    pool = K.rendered_pool(datasets(spark, sf))
-    out = K.easy_negatives(pool, pool, 4, 42)
-    return out.groupBy("dataset", "prompt", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_distinct"), F.max(F.startswith("label", F.concat("dataset", F.lit("-"))).cast("int")).alias("own"))
+    pool = materialize(K.rendered_pool(datasets(spark, sf)))
+    return _drawn(K.easy_negatives(pool, pool, 4, 42))
 
 
 @query("g09_hard_negatives")
 def hard(spark, sf):
     sets = datasets(spark, sf)
-    pool = K.rendered_pool(sets)
-    out = K.hard_negatives(pool, sets, 3, 42)
-    return out.groupBy("dataset", "prompt", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_distinct"))
+    pool = materialize(K.rendered_pool(sets))
+    return _drawn(K.hard_negatives(pool, sets, 3, 42))
 
 
 @query("g10_contrastive_examples")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import let
@@ -14,6 +14,18 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def fan_out(df: DataFrame, keep: list[str | Column], arr: str | Column, value: str, pos: str | None = None) -> DataFrame:
+    """One row per array item with its position; rows without items disappear.
+
+    Same result as ``posexplode``. The optimizer infers ``size(arr) > 0`` from a plain explode and
+    pushes it below, which evaluates an expensive array expression a second time; from the outer
+    form, with empty rows dropped afterwards, it infers nothing.
+    """
+    name = pos or "_pos"
+    out = df.select(*keep, F.posexplode_outer(_c(arr)).alias(name, value)).filter(F.col(name).isNotNull())
+    return out if pos else out.drop(name)
+
+
 def last_n(arr: str | Column, n: Column | int) -> Column:
     """The last ``n`` items (all of them when there are fewer)."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import text as T
 from corpusloom.ids import running_total, seeded_unit
 
@@ -114,7 +115,7 @@ def drop_unknown(df: DataFrame, unknown: int, tokens: str = "tokens", share: flo
 
 def token_counts(df: DataFrame, vocab_size: int, tokens: str = "tokens") -> DataFrame:
     """Occurrences per token id, zero for ids that do not occur."""
-    seen = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = fan_out(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ids = df.sparkSession.range(vocab_size).select(F.col("id").cast("long").alias("token"))
     seen = seen.select(F.col("token").cast("long").alias("token"), "n")
     return ids.join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))

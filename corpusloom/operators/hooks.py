@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from corpusloom.functions.arrays import fan_out
 def embed(df: DataFrame, fn, text: str, id_col: str, out: str = "embedding") -> DataFrame:
     """Apply a batch model ``fn(list of texts) -> 2-d array``; ``fn`` is loaded once per task."""
 
@@ -53,7 +54,7 @@ def chunk_then_pack(df: DataFrame, key: str, chunks: Column, fn, schema: str, va
     An item's results are collected together; an item is one input row, so the group is as large as
     that row's chunk list.
     """
-    rows = df.select(key, F.posexplode(chunks).alias("pos", "chunk"))
+    rows = fan_out(df, [key], chunks, "chunk", "pos")
     done = predict(rows, ["chunk"], fn, schema, batch)
     return done.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(value)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.ids import seeded_key, top_per_group
@@ -230,7 +231,7 @@ def lexical_search(
         toks = passages.select(F.col(passage_id).alias("passage_id"), T.match_tokens(field).alias("_t"))
         sizes = toks.agg(F.count(F.lit(1)).alias("_N"), F.avg(F.size("_t")).alias("_avg"))
         posts = (
-            toks.select("passage_id", F.size("_t").alias("_len"), F.explode("_t").alias("term"))
+            fan_out(toks, ["passage_id", F.size("_t").alias("_len")], "_t", "term")
             .join(vocabulary, "term", "left_semi")
             .groupBy("term", "passage_id", "_len")
             .agg(F.count(F.lit(1)).alias("tf"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from corpusloom.functions.arrays import fan_out
 from pyspark.sql import types as S
 
 from corpusloom.functions import arrays as A
@@ -58,7 +59,7 @@ def render_all(
                 options.alias("options"),
             )
         )
-    out = df.select(key, *(keep or []), F.explode(F.array(*rendered)).alias("_r"))
+    out = fan_out(df, [key, *(keep or [])], F.array(*rendered), "_r")
     valid = F.col("_r.n_parts") == 2
     return out.filter(valid).select(key, *(keep or []), "_r.prompt", "_r.context", "_r.target", "_r.options")
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import text as T
 
 TokenCount = Callable[[Column], Column]
@@ -77,14 +78,14 @@ def segment_paragraphs(
         ),
     )
     keep = [c for c in docs.columns if c != text]
-    return folded.select(*keep, F.posexplode(units).alias("ord", "text"))
+    return fan_out(folded, keep, units, "text", "ord")
 
 
 def segment_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every line is its own unit, stripped; empty lines are kept."""
     keep = [c for c in docs.columns if c != text]
     lines = F.transform(F.split(F.col(text), "\n", -1), T.strip)
-    return docs.select(*keep, F.posexplode(lines).alias("ord", "text"))
+    return fan_out(docs, keep, lines, "text", "ord")
 
 
 def passages(docs: DataFrame, words: int = 100, text: str = "text", delimiter: str = " ") -> DataFrame:
@@ -95,7 +96,7 @@ def passages(docs: DataFrame, words: int = 100, text: str = "text", delimiter: s
         F.sequence(F.lit(1), F.size("_w"), F.lit(words)),
         lambda i: T.strip(F.array_join(F.slice("_w", i, words), delimiter)),
     )
-    return parts.select(*keep, F.posexplode(cut).alias("ord", "text"))
+    return fan_out(parts, keep, cut, "text", "ord")
 
 
 def chunk_long(seqs: DataFrame, length: int, tokens: str = "tokens") -> DataFrame:
@@ -117,7 +118,7 @@ def chunk_long(seqs: DataFrame, length: int, tokens: str = "tokens") -> DataFram
 
     pieces = F.when(size > length, F.transform(starts, piece)).otherwise(F.array(arr))
     keep = [c for c in seqs.columns if c != tokens]
-    return seqs.select(*keep, F.posexplode(pieces).alias("ord", tokens))
+    return fan_out(seqs, keep, pieces, tokens, "ord")
 
 
 def windows(
@@ -169,7 +170,7 @@ def windows(
     else:
         spans = F.transform(begin, lambda b: place(s0, e0, b))
     keep = [c for c in seqs.columns if c not in (tokens, question, start, end)]
-    return seqs.select(*keep, question, tokens, F.posexplode(spans).alias("ord", "_w")).select(
+    return fan_out(seqs, [*keep, question, tokens], spans, "_w", "ord").select(
         *keep,
         "ord",
         F.concat(
@@ -186,7 +187,7 @@ def chunk_stride(seqs: DataFrame, chunk: int, left: int, right: int, tokens: str
     size = F.size(tokens)
     keep = [c for c in seqs.columns if c != tokens]
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    out = seqs.select(*keep, tokens, F.posexplode(starts).alias("ord", "_s"))
+    out = fan_out(seqs, [*keep, tokens], starts, "_s", "ord")
     body = F.slice(F.col(tokens), F.col("_s") + 1, F.lit(chunk))
     last = F.col("_s") + step + left >= F.size(tokens)
     own_left = F.when(F.col("_s") == 0, 0).otherwise(left)
@@ -237,7 +238,7 @@ def split_long_sentences(sents: DataFrame, limit: int, pieces: str = "pieces") -
     sized = F.zip_with(begins, ends, lambda b, e: e - b)
     parts = F.flatten(F.transform(sized, lambda n, k: F.array_repeat(k, n)))
     pairs = folded.select(*keep, F.arrays_zip(F.col("_n").alias("n"), parts.alias("part")).alias("_z"))
-    words = pairs.select(*keep, F.posexplode("_z").alias("word", "_k")).filter(F.col("_k.n") > 0)
+    words = fan_out(pairs, keep, "_z", "_k", "word").filter(F.col("_k.n") > 0)
     return words.select(*keep, "word", F.col("_k.part").alias("part"))
 
 
@@ -264,7 +265,7 @@ def bin_demos(df: DataFrame, length: int, demos: str = "demos") -> DataFrame:
     )
     bins = F.when(F.size(bins) > 1, F.slice(bins, F.lit(1), F.size(bins) - 1)).otherwise(bins)
     keep = [c for c in df.columns if c != demos]
-    return folded.select(*keep, F.posexplode(bins).alias("bin", "tokens"))
+    return fan_out(folded, keep, bins, "tokens", "bin")
 
 
 def drop_flagged_tokens(df: DataFrame, tokens: str = "tokens", flags: str = "is_html", start: str = "start") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
 from corpusloom.ids import running_total, seeded_key, top_per_group
@@ -48,7 +49,7 @@ def encode(df: DataFrame, vocab: DataFrame, seq_id: str, unknown: int, tokens: s
             return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), found)
 
         return df.withColumn("ids", look_up(F.col(tokens)))
-    long = df.select(seq_id, F.posexplode(tokens).alias("pos", "token"))
+    long = fan_out(df, [seq_id], tokens, "token", "pos")
     found = long.join(vocab, "token", "left").select(seq_id, "pos", F.coalesce("id", F.lit(unknown)).alias("id"))
     lists = found.groupBy(seq_id).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")
@@ -178,7 +179,7 @@ def training_rows(df: DataFrame, length: int, pad_id: int, mode: str = "all_targ
 
 def option_rows(df: DataFrame, sample_id: str, prefix: str = "prefix", options: str = "options") -> DataFrame:
     """One row per answer option: the last prefix token leads the option and leaves the prefix."""
-    out = df.select(sample_id, prefix, F.posexplode(options).alias("option", "_o"))
+    out = fan_out(df, [sample_id, prefix], options, "_o", "option")
     size = F.size(prefix) - 1
     return out.select(
         sample_id,
@@ -261,7 +262,7 @@ def learn_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str]]
     is written again every few merges so that its lineage stays short.
     """
     words = (
-        df.select(F.explode(T.regex_tokens(text)).alias("w"))
+        fan_out(df, [], T.regex_tokens(text), "w")
         .groupBy("w")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("n", as_symbols("w").alias("s"))
@@ -275,7 +276,7 @@ def learn_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str]]
             F.slice("a", F.lit(2), F.size("a") - 1),
             lambda x, y: F.struct(x.alias("a"), y.alias("b")),
         )
-        pairs = listed.select("n", F.explode(neighbours).alias("p"))
+        pairs = fan_out(listed, ["n"], neighbours, "p")
         top = pairs.groupBy("p").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "p").limit(1).first()
         if top is None:
             break

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import vectors as V
 from corpusloom.ids import top_per_group
 
@@ -70,7 +71,7 @@ def qa_candidates(
     pairs = V.let(
         top_positions("end_logits", n_best), lambda ends: _pairs(top_positions("start_logits", n_best), ends, n_best, ok)
     )
-    return _placed(features.select("example_id", "feature_id", "offsets", F.explode(pairs).alias("p")))
+    return _placed(fan_out(features, ["example_id", "feature_id", "offsets"], pairs, "p"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def qa_nbest_beam(features: DataFrame, examples: DataFrame, n_best: int = 20, ma
         return good & (p["e"] >= p["s"]) & (p["e"] - p["s"] + 1 <= max_answer)
 
     best = F.slice(F.array_sort(F.filter(every, ok)), 1, n_best)
-    cand = _placed(features.select("example_id", "feature_id", "offsets", F.explode(best).alias("p")))
+    cand = _placed(fan_out(features, ["example_id", "feature_id", "offsets"], best, "p"))
     order = [F.desc("score"), F.col("feature_id"), F.col("from"), F.col("to")]
     kept = top_per_group(cand, ["example_id"], order, n_best, out="rank")
     joined = examples.select("example_id", "context").join(kept, "example_id", "left")
@@ -234,7 +235,7 @@ def span_decode(
     starts = F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("mask", i) == 1)
     best = F.slice(F.array_sort(F.flatten(F.transform(starts, from_start))), 1, k)
     usable = probs.filter(F.size("s") > 1)
-    spans = usable.select(key, "window", F.explode(best).alias("p")).select(
+    spans = fan_out(usable, [key, "window"], best, "p").select(
         key, "window", F.col("p.s").alias("start"), F.col("p.e").alias("end"), (-F.col("p.neg")).alias("score")
     )
     if impossible:
@@ -283,7 +284,7 @@ def entity_pairs(df: DataFrame, threshold: float = 0.7, start: str = "p_start",
         )
     )
     keep = [c for c in df.columns if c not in (start, end)]
-    out = df.withColumn("_ends", alone(end)).select(*keep, F.explode(every).alias("p"))
+    out = fan_out(df.withColumn("_ends", alone(end)), keep, every, "p")
     return out.select(*keep, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.col("p.score").alias("score"))
 
 
@@ -368,7 +369,7 @@ def label_scores(df: DataFrame, labels: list[str], fn: str = "softmax", k: int |
     ranked = F.array_sort(F.transform(scored, lambda x, i: F.struct((-x).alias("neg"), i.alias("i"))))
     ranked = F.slice(ranked, 1, k) if k else ranked
     keep = [c for c in df.columns if c != logits]
-    out = df.select(*keep, F.posexplode(ranked).alias("rank", "_s"))
+    out = fan_out(df, keep, ranked, "_s", "rank")
     return out.select(*keep, (F.col("rank") + 1).alias("rank"), F.element_at(names, F.col("_s.i") + 1).alias("label"), (-F.col("_s.neg")).alias("score"))
 
 

@@ -182,7 +182,7 @@ def id_difference(spark, sf):
 )
 def multiset(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text").join(table(spark, sf, "labels", "doc_id", "quality"), "doc_id")
-    words = rows.select("quality", F.explode(T.regex_tokens("text")).alias("w"))
+    words = A.fan_out(rows, ["quality"], T.regex_tokens("text"), "w")
     # the merge key is a constant, so counts meet per word and only their sums per key
     one = words.withColumn("k", F.lit(0))
     return M.multiset_overlap(one.filter("quality = 1"), one.filter("quality = 0"), ["k"], "w").select("n")

@@ -105,7 +105,7 @@ def allowed(spark, sf):
     select doc_id, word, n from m where n = top""",
 )
 def most_frequent(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(T.regex_tokens("text")).alias("word"))
+    rows = A.fan_out(wide(spark, sf, "documents", "doc_id", "text"), ["doc_id"], T.regex_tokens("text"), "word")
     return most_frequent_value(rows, ["doc_id"], "word")
 
 

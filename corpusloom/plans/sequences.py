@@ -46,7 +46,7 @@ VOCAB_SQL = f"""with t as (select doc_id, unnest({toks('text')}) as token from d
 )
 def encode(spark, sf):
     docs = token_docs(spark, sf).filter("n_tokens > 0")
-    counts = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    counts = A.fan_out(docs, [], "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
     # ids by (count desc, token): the table of frequent words is small, so one sort task is enough
     from pyspark.sql import Window
 
@@ -275,7 +275,7 @@ def dense(spark, sf):
 @query("i18_learn_bpe")
 def bpe(spark, sf):
     merges = Q.learn_merges(wide(spark, sf, "documents", "text"), "text", 12)
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(T.regex_tokens("text")).alias("w"))
+    rows = A.fan_out(wide(spark, sf, "documents", "doc_id", "text"), ["doc_id"], T.regex_tokens("text"), "w")
     words = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("n", Q.as_symbols("w").alias("s"))
     for left, right in merges:
         words = words.withColumn("s", Q.merge_pair("s", left, right))

@@ -30,9 +30,9 @@ def joined(col: str):
     return F.array_join(F.col(col).cast("array<string>"), ",")
 
 
-@query("i01_tokenize", f"select doc_id, md5(array_to_string(list_slice({toks('text')}, 1, 256), chr(31))) as digest, len(list_slice({toks('text')}, 1, 256))::bigint as n_tokens from documents")
+@query("i01_tokenize", f"select doc_id, md5(array_to_string({toks('text')}, chr(31))) as digest, len({toks('text')})::bigint as n_tokens from documents")
 def tokenize(spark, sf):
-    rows = Q.tokenize(wide(spark, sf, "documents", "doc_id", "text"), max_len=256)
+    rows = Q.tokenize(wide(spark, sf, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.md5(F.array_join("tokens", "\x1f")).alias("digest"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
@@ -191,23 +191,23 @@ def options(spark, sf):
 
 @query(
     "i11_pad",
-    f"""with s as (select doc_id, list_slice({IDS}, 1, 64) as t from documents)
-    select doc_id, md5(array_to_string(list_concat(t, list_transform(generate_series(1, 64 - len(t)), lambda x: 0)), ',')) as right_pad,
-      md5(array_to_string(list_concat(list_transform(generate_series(1, 64 - len(t)), lambda x: 0), t), ',')) as left_pad from s""",
+    f"""with s as (select doc_id, {IDS} as t from documents)
+    select doc_id, md5(array_to_string(list_concat(t, list_transform(generate_series(1, 512 - len(t)), lambda x: 0)), ',')) as right_pad,
+      md5(array_to_string(list_concat(list_transform(generate_series(1, 512 - len(t)), lambda x: 0), t), ',')) as left_pad from s""",
 )
 def pad(spark, sf):
-    rows = id_docs(spark, sf).select("doc_id", A.first_n("tokens", 64).alias("t"))
-    return rows.select("doc_id", F.md5(F.array_join(A.pad("t", 64, 0).cast("array<string>"), ",")).alias("right_pad"),
-                       F.md5(F.array_join(A.pad("t", 64, 0, "left").cast("array<string>"), ",")).alias("left_pad"))
+    rows = id_docs(spark, sf).select("doc_id", F.col("tokens").alias("t"))
+    return rows.select("doc_id", F.md5(F.array_join(A.pad("t", 512, 0).cast("array<string>"), ",")).alias("right_pad"),
+                       F.md5(F.array_join(A.pad("t", 512, 0, "left").cast("array<string>"), ",")).alias("left_pad"))
 
 
 @query(
     "i11_trim_pad",
-    f"""with s as (select doc_id, doc_id // 16 as batch, least(len({toks('text')}), 64) as n from documents)
+    f"""with s as (select doc_id, doc_id // 16 as batch, len({toks('text')}) as n from documents)
     select doc_id, batch::bigint as batch, max(n) over (partition by batch)::bigint as width from s""",
 )
 def trim(spark, sf):
-    rows = id_docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.fit("tokens", 64, 0).alias("tokens"))
+    rows = id_docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.pad("tokens", 512, 0).alias("tokens"))
     out = Q.trim_pad(rows, "batch", 0)
     return out.select("doc_id", "batch", F.size("tokens").cast("long").alias("width"))
 
@@ -223,10 +223,9 @@ def bins(spark, sf):
 @query("i13_pack_pairs")
 def pairs(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text", "source")
-    src = F.substring_index("text", "\n", 1)
-    rows = rows.select(F.col("doc_id").alias("id"), src.alias("src"), F.col("source").alias("tgt"))
+    rows = rows.select(F.col("doc_id").alias("id"), T.flatten_whitespace("text").alias("src"), F.col("source").alias("tgt"))
     rows = rows.withColumn("src_tokens", T.n_tokens("src")).withColumn("tgt_tokens", T.n_tokens("tgt"))
-    out = Q.pack_pairs(rows, 128, unit=1000)
+    out = Q.pack_pairs(rows, 1024, unit=1000)
     return out.select("id", F.md5("src").alias("src"), F.md5("tgt").alias("tgt"), "src_tokens", "tgt_tokens")
 
 

@@ -207,8 +207,11 @@ def pad(spark, sf):
     select doc_id, batch::bigint as batch, max(n) over (partition by batch)::bigint as width from s""",
 )
 def trim(spark, sf):
-    rows = id_docs(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.pad("tokens", 512, 0).alias("tokens"))
-    out = Q.trim_pad(rows, "batch", 0)
+    # rows arrive padded to the longest of 64 documents and are trimmed in batches of 16
+    docs = id_docs(spark, sf).withColumn("big", F.floor(F.col("doc_id") / 64))
+    widest = docs.groupBy("big").agg(F.max(F.size("tokens")).alias("w"))
+    padded = docs.join(widest, "big").select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.pad("tokens", F.col("w"), 0).alias("tokens"))
+    out = Q.trim_pad(padded, "batch", 0)
     return out.select("doc_id", "batch", F.size("tokens").cast("long").alias("width"))
 
 

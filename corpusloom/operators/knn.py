@@ -18,6 +18,7 @@ from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.ids import seeded_key, top_per_group
+from corpusloom.session import materialize
 
 DIGITS = 6
 
@@ -229,8 +230,10 @@ def lexical_search(
     scored = []
     for field, boost in fields.items():
         toks = passages.select(F.col(passage_id).alias("passage_id"), T.match_tokens(field).alias("_t"))
-        sizes = toks.agg(F.count(F.lit(1)).alias("_N"), F.avg(F.size("_t")).alias("_avg"))
-        posts = (
+        counted = passages.select(T.n_tokens(F.lower(field)).alias("_n"))
+        sizes = counted.agg(F.count(F.lit(1)).alias("_N"), F.avg("_n").alias("_avg"))
+        # read twice, for document frequencies and for scores
+        posts = materialize(
             fan_out(toks, ["passage_id", F.size("_t").alias("_len")], "_t", "term")
             .join(vocabulary, "term", "left_semi")
             .groupBy("term", "passage_id", "_len")

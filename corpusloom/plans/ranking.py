@@ -72,7 +72,8 @@ def retrieve(spark, sf):
 
 @query(
     "f04_retrieve_filtered",
-    f"""with {IP_SQL.format('a.vec_id <> b.vec_id')}, t as (select query_id, neighbor_id, score from n join documents on doc_id = neighbor_id where rank <= 20 and len(string_split(text, ' ')) > 60),
+    f"""with {IP_SQL.format('a.vec_id <> b.vec_id').replace('join v b', 'join (select v.* from v join documents on doc_id = vec_id) b')},
+    t as (select query_id, neighbor_id, score from n join documents on doc_id = neighbor_id where rank <= 20 and len(string_split(text, ' ')) > 60),
     r as (select *, row_number() over (partition by query_id order by score desc, neighbor_id) as rank from t) select query_id, rank::bigint as rank, neighbor_id, score from r where rank <= 10""",
 )
 def retrieve_filtered(spark, sf):

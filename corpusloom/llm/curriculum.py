@@ -96,15 +96,23 @@ def inverse_schedule(share: Column, schedule: tuple[float, ...]) -> Column:
     return at
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position), sorted by position over the whole result.
+def placed(
+    docs: DataFrame,
+    mix: Mix = Mix(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    row_col: str | None = None,
+) -> DataFrame:
+    """(row, doc_id, size, source_size, target, taken, position) of every document, in no order.
 
     ``taken`` counts the words read from the document, repeats included; at the end of a source's
     demand a document may be read in part. ``position`` is the progress at which the document is
-    first read, null if it never is.
+    first read, null if it never is. ``row`` is ``row_col``, null without one.
     """
     sized = materialize(
         docs.select(
+            (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             words(F.col(text_col)).alias("size"),
@@ -117,7 +125,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     per_slab = sized.groupBy("source", "slab").agg(F.sum("size").alias("slab_size"))
     targets = source_targets(per_slab.groupBy("source").agg(F.sum("slab_size").alias("source_size")), mix)
     before = Window.partitionBy("source").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    offsets = (
         per_slab.withColumn("offset", F.coalesce(F.sum("slab_size").over(before), F.lit(0)))
         .withColumnRenamed("source", "name")
         .join(targets, F.col("name").eqNullSafe(F.col("source")))
@@ -128,7 +136,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
         Window.partitionBy("source", "slab").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        placed, F.col("source").eqNullSafe(F.col("name")) & (F.col("slab") == F.col("part"))
+        offsets, F.col("source").eqNullSafe(F.col("name")) & (F.col("slab") == F.col("part"))
     )
     at = F.col("offset") + F.col("inside")
     size, whole = F.col("size"), F.col("source_size")
@@ -140,6 +148,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     position = F.element_at(F.array(*shapes), F.col("turn") % len(shapes) + 1)
     return (
         rows.select(
+            "row",
             "doc_id",
             "size",
             "source_size",
@@ -149,5 +158,9 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
         )
         .withColumn("position", F.when(F.col("taken") > 0, F.col("first_at")))
         .drop("first_at")
-        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position), sorted by position over the whole result."""
+    return placed(docs, mix, id_col, text_col, source_col).drop("row").orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bitplane, curriculum, prefix_bpe, secrets
+from corpusloom.llm import (
+    arc_convert,
+    bitplane,
+    curriculum,
+    html_suffix,
+    jaccard_voronoi,
+    one_bit_ann,
+    prefix_bpe,
+    secrets,
+    voronoi_knn,
+    weak_toxicity,
+)
+from corpusloom.llm.vectors import finite
 from corpusloom.llm.files import shared_folder
 from corpusloom.session import load
 
@@ -60,6 +72,58 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+@query("op2_one_bit_codes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_ann.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP3_SQL = r"""
+with bits as (
+  select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes,
+         list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c:
+           substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1)::int + 1, 4)), 'string_agg', '') b
+  from pages),
+digests as (
+  select page_id, payload_bytes, list_aggregate(list_transform(generate_series(0, 31), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(generate_series(1, 5), lambda k:
+      substr(b, (5 * i + k)::int, 1)::int * (1 << (5 - k))))::int + 1, 1)), 'string_agg', '') payload_digest
+  from bits),
+first as (select *, max(page_id) over (partition by payload_digest) m from digests)
+select page_id, payload_bytes, payload_digest, case when page_id = m then 'response' else 'revisit' end record_type,
+       case when page_id <> m then m end refers_to
+from first
+"""
+
+
+@query("op3_arc_to_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = arc_convert.write_arcs(load(spark, sf_dir, "pages"))
+    return arc_convert.read_warcs(arc_convert.convert_arcs(arcs, least_bytes=0))
+
+
+OP4_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id query_id, s.vec_id,
+                 list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * s.e[i]))::bigint score
+          from v q join v s on q.vec_id % 50 = 0 and q.vec_id <> s.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from pairs)
+select query_id, r::int rank, vec_id, score from ranked where r <= 5
+"""
+
+
+@query("op4_voronoi_knn", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").filter(finite(F.col("embedding")))
+    whole = vectors.select("vec_id", voronoi_knn.integers(F.col("embedding")).alias("vec"))
+    return voronoi_knn.join(whole, F.col("vec_id") % 50 == 0)
+
+
+@query("op5_host_suffixes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix.extract(load(spark, sf_dir, "pages"))
+
+
 OP6_SQL = r"""
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
@@ -107,6 +171,44 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_shards(bitplane.write_shards(documents, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) end s from words),
+firsts as (select min(doc_id) d, s from (select doc_id, list_sort(s) s from sets) group by s),
+each as (select d, len(s) n, unnest(s) g from firsts),
+shared as (select a.d x, b.d y, any_value(a.n) nx, any_value(b.n) ny, count(*) i from each a join each b on a.g = b.g and a.d < b.d group by 1, 2),
+links as (select x, y from shared where 100 * i >= 85 * (nx + ny - i)),
+both_ways as (select x, y from links union select y, x from links),
+reach(a, b) as (select d, d from firsts union select r.a, l.y from reach r join both_ways l on r.b = l.x),
+comp as (select a d, min(b) c from reach group by a)
+select s.doc_id, len(s.s)::bigint n_shingles,
+       case when len(s.s) = 0 then s.doc_id else c.c end component_id
+from (select doc_id, list_sort(s) s from sets) s left join firsts f on f.s = s.s left join comp c on c.d = f.d
+"""
+
+
+@query("op8_jaccard_voronoi", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_voronoi.components(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op9_prefix_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_weak_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, settings = load(spark, sf_dir, "documents"), weak_toxicity.Settings()
+    model = weak_toxicity.fit(documents, load(spark, sf_dir, "labels"), settings)
+    return weak_toxicity.score(documents, model).select(
+        "doc_id",
+        weak_toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= settings.threshold).cast("int").alias("predicted"),
+    )

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import curriculum, jaccard_voronoi, prefix_bpe, secrets, weak_toxicity
 from corpusloom.llm.files import shared_folder
-from corpusloom.session import load
+from corpusloom.session import load, materialize
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number per row, written once so that every later reading finds the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     groups = jaccard_voronoi.components(rows, row_col="_row")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
     return rows.join(first, "_row", "left_semi").select(*docs.columns)
@@ -33,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that the ledger's rules find replaced by a mask."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     found = secrets.scan(rows, shared_folder(spark, "secret-ledger"), keep=("_row",))
     hit = found.filter(F.col("found").isNotNull()).select("_row", F.lit(True).alias("_hit"))
     marked = rows.join(hit, "_row", "left")
@@ -45,7 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, to the nearest whole time, in order of first reading."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     plan = curriculum.placed(rows, row_col="_row")
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     plan = plan.select(F.col("row").alias("_row"), "position", times.alias("_times")).filter("_times > 0")

@@ -362,10 +362,12 @@ def components(
 ) -> DataFrame:
     """(row, doc_id, n_shingles, component, component_id) of every document.
 
-    ``component`` is a row number, ``component_id`` the smallest id of the component.
+    ``component`` is a row number, ``component_id`` the smallest id of the component. ``row_col`` names
+    numbers that stay the same whenever ``docs`` is read; without it rows are numbered and written once.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs if row_col else materialize(docs)
     base = read_sets(docs, j)
     first = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("set_row"))
     surveyed = survey(docs, common_keys(base, j), j)

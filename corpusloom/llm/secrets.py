@@ -95,7 +95,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule
         )
         due = {
             r.kind: ~F.coalesce(
-                F.exists("seen", lambda p, r=r: (p["rule"] == r.kind) & (p["version"] == r.version)), F.lit(False)
+                F.array_contains("seen", F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))),
+                F.lit(False),
             )
             for r in rules
         }
@@ -192,23 +193,16 @@ def count_of(found: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the findings of ``rules`` in ``text_col`` replaced, rule after rule."""
-    for r in rules:
-        hits = _matches(F.col(text_col), r)
-        docs = docs.withColumn(
-            text_col,
-            F.when(
-                F.col(text_col).isNotNull(),
-                F.array_join(
-                    F.zip_with(
-                        F.split(text_col, SCAN.get(r.kind, r.pattern), -1),
-                        hits,
-                        lambda gap, hit, r=r: F.concat(
-                            gap, F.when(hit.isNull(), "").when(_long_enough(hit, r), mask).otherwise(hit)
-                        ),
-                    ),
-                    "",
-                ),
-            ),
-        )
+    """``docs`` with the findings of ``rules`` in ``text_col`` replaced, rule after rule; null stays null."""
+    for rule in rules:
+        docs = docs.withColumn(text_col, _masked(F.col(text_col), mask, rule))
     return docs
+
+
+def _masked(text: Column, mask: str, rule: Rule) -> Column:
+    pieces = F.zip_with(
+        F.split(text, SCAN.get(rule.kind, rule.pattern), -1),
+        _matches(text, rule),
+        lambda gap, hit: F.concat(gap, F.when(hit.isNull(), "").when(_long_enough(hit, rule), mask).otherwise(hit)),
+    )
+    return F.when(text.isNotNull(), F.array_join(pieces, ""))

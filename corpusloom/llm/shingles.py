@@ -66,7 +66,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sets_of(texts: list[str], n: int = 4) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of every text; fewer words than ``n`` are one n-gram."""
-    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     bounds = np.cumsum([0] + [len(p) + 1 for p in parts])
     starts, words = word_hashes(np.frombuffer(b" ".join(parts) + b" ", np.uint8))
     at = np.searchsorted(starts, bounds)

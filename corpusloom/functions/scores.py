@@ -113,19 +113,26 @@ def rouge_l_sum(target: list[Words], pred: list[Words]) -> tuple[float, float, f
 
 
 def rouge_l_max(pred: str | Column, refs: str | Column, stem: Callable[[str], str] | None = None) -> Column:
-    """Best F-measure over the references."""
+    """Best F-measure over the references; null for null."""
 
     @F.pandas_udf("double")
     def score(p: pd.Series, r: pd.Series) -> pd.Series:
         out = []
         for text, targets in zip(p, r):
+            if text is None or targets is None:
+                out.append(None)
+                continue
             words = rouge_words(text, stem)
-            out.append(max((rouge_l(rouge_words(t, stem), words)[2] for t in targets), default=0.0))
-        return pd.Series(out)
+            out.append(max((rouge_l(rouge_words(t, stem), words)[2] for t in targets if t is not None), default=0.0))
+        return pd.Series(out, dtype="Float64")
 
     return score(pred, refs)
 
 
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 ROUGE_KEYS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 
 
@@ -144,7 +151,8 @@ def rouge_scores(pred: str | Column, target: str | Column, stem: Callable[[str],
             )
         return pd.DataFrame(rows, columns=ROUGE_KEYS)
 
-    return score(pred, target)
+    both = F.coalesce(pred, F.lit("")), F.coalesce(target, F.lit(""))
+    return F.when(_col(pred).isNotNull() & _col(target).isNotNull(), score(*both))
 
 
 def word_edits(pred: str | Column, ref: str | Column) -> Column:
@@ -152,7 +160,8 @@ def word_edits(pred: str | Column, ref: str | Column) -> Column:
     def distance(p: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([edit_distance(b.split(), a.split()) for a, b in zip(p, r)])
 
-    return distance(pred, ref)
+    both = F.coalesce(pred, F.lit("")), F.coalesce(ref, F.lit(""))
+    return F.when(_col(pred).isNotNull() & _col(ref).isNotNull(), distance(*both))
 
 
 def ngram_overlap(pred: str | Column, refs: str | Column, order: int = 4) -> Column:
@@ -163,8 +172,8 @@ def ngram_overlap(pred: str | Column, refs: str | Column, order: int = 4) -> Col
     def count(p: pd.Series, r: pd.Series) -> pd.DataFrame:
         rows = []
         for words, targets in zip(p, r):
-            words = list(words)
-            targets = [list(t) for t in targets]
+            words = [] if words is None else list(words)
+            targets = [[] if t is None else list(t) for t in ([] if targets is None else targets)] or [[]]
             row = []
             for n in range(1, order + 1):
                 have, best = _grams(words, n), Counter()

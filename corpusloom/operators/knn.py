@@ -23,24 +23,24 @@ from corpusloom.session import materialize
 DIGITS = 6
 
 
-def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """Smaller is better for both metrics."""
-    prod = q @ c.T
-    if metric == "IP":
-        return np.round(-prod, DIGITS)
-    sq = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * prod
-    return np.round(np.maximum(sq, 0.0), DIGITS)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise best ``k`` by (score, id); ids are ascending, so a stable sort settles ties."""
-    n = scores.shape[1]
-    if n > k:
-        # all entries up to the k-th score are candidates, so ties at the border are not lost
-        border = np.partition(scores, k - 1, axis=1)[:, k - 1 : k]
-        scores = np.where(scores <= border, scores, np.inf)
-    order = np.argsort(scores, axis=1, kind="stable")[:, : min(k, n)]
-    return ids[order], np.take_along_axis(scores, order, axis=1)
+def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the best ``k`` rows of ``c`` per row of ``q``, by (score, id); smaller is better.
+
+    One matrix product finds all rows that can be among them, with room for its rounding; these are
+    scored again from the components, and only that score ranks.
+    """
+    product = q @ c.T
+    q2, c2 = (q * q).sum(1), (c * c).sum(1)
+    near = -product if metric == "IP" else q2[:, None] + c2[None, :] - 2.0 * product
+    room = 1e-12 * (q2 + c2.max())
+    border = np.partition(near, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1] + room
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(near[i] <= border[i])
+        exact = -(c[at] @ q[i]) if metric == "IP" else ((c[at] - q[i]) ** 2).sum(1)
+        order = np.lexsort((ids[at], exact))[:k]
+        out.append((ids[at[order]], exact[order]))
+    return out
 
 
 def knn(
@@ -57,7 +57,7 @@ def knn(
 ) -> DataFrame:
     """The ``k`` nearest corpus vectors of each query by squared L2 or inner product.
 
-    Scores are computed in double precision and rounded to six decimals; ties go to the smaller id.
+    Scores are computed in double precision and rank as they are; ties go to the smaller id.
     Returns (query_id, rank, neighbor_id, score); rank starts at 1.
 
     ``block_rows`` bounds what one task holds of each side. With Q query blocks and C corpus blocks
@@ -76,12 +76,12 @@ def knn(
 
     qs = queries.select(
         F.col(query_id).cast("long").alias("id"),
-        F.col(vector).cast("array<double>").alias("v"),
+        F.col(vector).alias("v"),
         F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int").alias("qb"),
     ).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     cs = corpus.select(
         F.col(corpus_id).cast("long").alias("id"),
-        F.col(vector).cast("array<double>").alias("v"),
+        F.col(vector).alias("v"),
         F.pmod(F.xxhash64(corpus_id), F.lit(c_blocks)).cast("int").alias("cb"),
     ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
@@ -91,17 +91,17 @@ def knn(
             return empty
         right = right.sort_values("id")
         cids = right["id"].to_numpy()
-        cmat = np.stack(right["v"].to_numpy())
+        cmat = np.stack(right["v"].to_numpy()).astype(float)
         outs = []
         for i in range(0, len(left), query_rows):
             part = left.iloc[i : i + query_rows]
-            ids, sc = _best(_scores(np.stack(part["v"].to_numpy()), cmat, metric), cids, want)
+            best = _nearest(np.stack(part["v"].to_numpy()).astype(float), cmat, cids, want, metric)
             outs.append(
                 pd.DataFrame(
                     {
-                        "query_id": np.repeat(part["id"].to_numpy(), ids.shape[1]),
-                        "neighbor_id": ids.ravel(),
-                        "score": sc.ravel(),
+                        "query_id": np.repeat(part["id"].to_numpy(), [len(ids) for ids, _ in best]),
+                        "neighbor_id": np.concatenate([ids for ids, _ in best]),
+                        "score": np.concatenate([scores for _, scores in best]),
                     }
                 )
             )
@@ -140,7 +140,7 @@ def knn_approximate(
 
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"), F.explode(buckets(vector)).alias("b"))
     c = corpus.select(F.col(corpus_id).alias("neighbor_id"), F.col(vector).alias("cv"), F.explode(buckets(vector)).alias("b"))
-    scored = q.join(c, "b").select("query_id", "neighbor_id", F.round(V.squared_l2("qv", "cv"), DIGITS).alias("score"))
+    scored = q.join(c, "b").select("query_id", "neighbor_id", V.squared_l2("qv", "cv").alias("score"))
     scored = scored.filter(F.col("query_id") != F.col("neighbor_id")).dropDuplicates(["query_id", "neighbor_id"])
     return top_per_group(scored, ["query_id"], [F.col("score"), F.col("neighbor_id")], k, out="rank")
 

@@ -15,7 +15,6 @@ from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
 from corpusloom.ids import running_total, seeded_key, top_per_group
-from corpusloom.session import materialize
 
 MAX_BROADCAST_VOCAB = 2_000_000
 
@@ -233,56 +232,3 @@ def pack_pairs(pairs: DataFrame, limit: int, order: str = "id", unit: int = 10_0
 
 def save_lengths(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.withColumn("length", F.greatest(F.size(source), F.size(target)))
-
-
-_OPEN, _CLOSE = "\u0001", "\u0002"
-
-
-def as_symbols(word: str | Column) -> Column:
-    """A word as one string of wrapped single-character symbols."""
-    word = F.col(word) if isinstance(word, str) else word
-    return F.regexp_replace(word, r"(?s)(.)", f"{_OPEN}$1{_CLOSE}")
-
-
-def symbol_list(symbols: str | Column) -> Column:
-    return F.regexp_extract_all(F.col(symbols) if isinstance(symbols, str) else symbols, F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
-
-
-def merge_pair(symbols: str | Column, left: str, right: str) -> Column:
-    """Replace every (left, right) by one symbol, from left to right without overlap."""
-    both = f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"
-    return F.replace(F.col(symbols) if isinstance(symbols, str) else symbols, F.lit(both), F.lit(f"{_OPEN}{left}{right}{_CLOSE}"))
-
-
-def learn_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str]]:
-    """Sub-word merges learned from word counts, most frequent pair first (ties: smaller pair).
-
-    Texts are reduced to a (word, count) table with one aggregation. Every merge then counts
-    adjacent symbol pairs over that table in Spark and returns one row to the driver. The word table
-    is written again every few merges so that its lineage stays short.
-    """
-    words = (
-        fan_out(df, [], T.regex_tokens(text), "w")
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("n", as_symbols("w").alias("s"))
-    )
-    words = materialize(words)
-    learned: list[tuple[str, str]] = []
-    for i in range(merges):
-        listed = words.select("n", symbol_list("s").alias("a")).filter(F.size("a") > 1)
-        neighbours = F.zip_with(
-            F.slice("a", F.lit(1), F.size("a") - 1),
-            F.slice("a", F.lit(2), F.size("a") - 1),
-            lambda x, y: F.struct(x.alias("a"), y.alias("b")),
-        )
-        pairs = fan_out(listed, ["n"], neighbours, "p")
-        top = pairs.groupBy("p").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "p").limit(1).first()
-        if top is None:
-            break
-        left, right = top["p"]["a"], top["p"]["b"]
-        learned.append((left, right))
-        words = words.withColumn("s", merge_pair("s", left, right))
-        if i % 8 == 7:
-            words = materialize(words)
-    return learned

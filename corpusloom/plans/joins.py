@@ -16,7 +16,7 @@ from corpusloom.plans.registry import query, table, toks, wide
 
 KNN_SQL = """v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
   d as (select a.vec_id as query_id, b.vec_id as neighbor_id,
-     round(greatest(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e), 0), 6) as score
+     list_sum(list_transform(generate_series(1, len(a.e)), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) as score
      from v a join v b on a.vec_id <> b.vec_id),
   n as (select *, row_number() over (partition by query_id order by score, neighbor_id) as rank from d)"""
 
@@ -43,10 +43,10 @@ def remap(spark, sf):
     return lines.join(ids, "o_orderkey").groupBy("nid").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").cast("long").alias("last_line"))
 
 
-@query("d04_exclude_self", f"with {KNN_SQL} select query_id, rank::bigint as rank, neighbor_id, score from n where rank <= 5")
+@query("d04_exclude_self", f"with {KNN_SQL} select query_id, rank::bigint as rank, neighbor_id, round(score, 6) as score from n where rank <= 5")
 def exclude_self(spark, sf):
     hits = K.exclude_self(neighbors(spark, sf, 6, exclude=False), 5)
-    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", "score")
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", F.round("score", 6).alias("score"))
 
 
 PRED_SQL = "refs as (select doc_id as id, lang as task_id, source as task_category, [text] as refs, quality, d.text from documents d join labels using (doc_id)), preds as (select doc_id as id, text as prediction from documents where n_chars > 500)"

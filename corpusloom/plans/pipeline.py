@@ -53,10 +53,10 @@ def _sql() -> str:
     sizes as (select doc_id, count(*)::bigint as n_paragraphs, sum(len({toks('text')}))::bigint as n_tokens from kept group by doc_id),
     v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
     d as (select a.vec_id as query_id, b.vec_id as neighbor_id,
-            round(greatest(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e), 0), 6) as score
+            list_sum(list_transform(generate_series(1, len(a.e)), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) as score
           from v a join v b on a.vec_id <> b.vec_id),
     r as (select *, row_number() over (partition by query_id order by score, neighbor_id) as rank from d)
-    select query_id, rank::bigint as rank, neighbor_id, score, coalesce(n_paragraphs, 0)::bigint as n_paragraphs, coalesce(n_tokens, 0)::bigint as n_tokens
+    select query_id, rank::bigint as rank, neighbor_id, round(score, 6) as score, coalesce(n_paragraphs, 0)::bigint as n_paragraphs, coalesce(n_tokens, 0)::bigint as n_tokens
     from r left join sizes on sizes.doc_id = r.neighbor_id where rank <= 20"""
     )
 

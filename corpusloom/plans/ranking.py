@@ -25,17 +25,17 @@ def _hits(df):
     return df.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", F.round("score", 6).alias("score"))
 
 
-@query("f01_knn_l2", f"with {KNN_SQL} select query_id, rank::bigint as rank, neighbor_id, score from n where rank <= 20")
+@query("f01_knn_l2", f"with {KNN_SQL} select query_id, rank::bigint as rank, neighbor_id, round(score, 6) as score from n where rank <= 20")
 def knn_l2(spark, sf):
     return _hits(neighbors(spark, sf, 20))
 
 
 IP_SQL = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
-  d as (select a.vec_id as query_id, b.vec_id as neighbor_id, round(list_dot_product(a.e, b.e), 6) as score from v a join v b on {0}),
+  d as (select a.vec_id as query_id, b.vec_id as neighbor_id, list_dot_product(a.e, b.e) as score from v a join v b on {0}),
   n as (select *, row_number() over (partition by query_id order by score desc, neighbor_id) as rank from d)"""
 
 
-@query("f01_knn_ip", f"with {IP_SQL.format('a.vec_id <> b.vec_id')} select query_id, rank::bigint as rank, neighbor_id, score from n where rank <= 20")
+@query("f01_knn_ip", f"with {IP_SQL.format('a.vec_id <> b.vec_id')} select query_id, rank::bigint as rank, neighbor_id, round(score, 6) as score from n where rank <= 20")
 def knn_ip(spark, sf):
     return _hits(neighbors(spark, sf, 20, "IP"))
 
@@ -62,7 +62,7 @@ def as_l2(spark, sf):
 
 @query(
     "f03_retrieve",
-    f"with {IP_SQL.format('true')} select query_id, rank::bigint as rank, neighbor_id, score, round(v.e[1], 6) as first from n join v on v.vec_id = neighbor_id where rank <= 5",
+    f"with {IP_SQL.format('true')} select query_id, rank::bigint as rank, neighbor_id, round(score, 6) as score, round(v.e[1], 6) as first from n join v on v.vec_id = neighbor_id where rank <= 5",
 )
 def retrieve(spark, sf):
     v = vectors(spark, sf)

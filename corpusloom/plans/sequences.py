@@ -274,16 +274,6 @@ def dense(spark, sf):
     return dense_ids(rows, "oid")
 
 
-@query("i18_learn_bpe")
-def bpe(spark, sf):
-    merges = Q.learn_merges(wide(spark, sf, "documents", "text"), "text", 12)
-    rows = A.fan_out(wide(spark, sf, "documents", "doc_id", "text"), ["doc_id"], T.regex_tokens("text"), "w")
-    words = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("n", Q.as_symbols("w").alias("s"))
-    for left, right in merges:
-        words = words.withColumn("s", Q.merge_pair("s", left, right))
-    return words.groupBy(F.size(Q.symbol_list("s")).alias("n_symbols")).agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_uses"))
-
-
 @query("i19_save_lengths", f"select conv_id, turn, greatest(len({toks('text')}), len({toks('role')}))::bigint as length from conversations")
 def lengths(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", T.regex_tokens("text").alias("a"), T.regex_tokens("role").alias("b"))

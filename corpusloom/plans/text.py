@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.normalizers import basic_text_normalize, english_text_normalize
+from corpusloom.functions.normalizers import basic_text_normalize
 from corpusloom.operators import corpus as C
 from corpusloom.operators import segment as S
 from corpusloom.plans.registry import query, strip, table, toks, wide
@@ -270,12 +270,6 @@ def basic_normalize(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(basic_text_normalize("text", diacritics=True)).alias("digest"))
 
 
-@query("b23_english_text_normalize")
-def english_normalize(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text", "lang").filter("lang = 'en'")
-    return rows.select("doc_id", F.md5(english_text_normalize("text", {"colour": "color"})).alias("digest"))
-
-
 @query(
     "b24_parse_number",
     r"""with forms as (

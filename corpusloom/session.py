@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, app: str = "corpusloom") -> SparkSession:
@@ -32,12 +33,20 @@ def local_session(cores: int = 8, app: str = "corpusloom") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh temporary one only when none is named."""
+    """The shared folder named by the session.
+
+    A session in one JVM that names none gets a folder of its own, once; a cluster must name one, as a
+    folder of the driver's machine is out of its executors' sight.
+    """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    if master not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[master] = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
+    return _LOCAL_ROOTS[master]
 
 
 def materialize(df: DataFrame) -> DataFrame:

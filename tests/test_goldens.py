@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import arrays as A
 from corpusloom.functions import scores as X
 from corpusloom.functions import text as T
-from corpusloom.functions.normalizers import normalize_numbers
+from corpusloom.functions.normalizers import basic_text_normalize
 from corpusloom.functions.vectors import half_precision
 from corpusloom.operators import knn as K
 from corpusloom.operators import neardup as N
@@ -230,14 +230,30 @@ def test_word_scores():
         assert X.edit_distance(a, b) == edit[-1, -1]
 
 
-def test_number_words():
-    cases = {
-        "twenty one": "21", "two hundred and five": "205", "twenty million dollars": "$20000000", "one oh one": "101",
-        "double seven": "77", "three point five percent": "3.5%", "nineteen sixties": "1960s", "minus four": "-4",
-        "two and a half": "2.5", "twenty first": "21st", "the one": "the one", "$2 and 7 cents": "$2.07",
-    }
-    for text, want in cases.items():
-        assert normalize_numbers(text) == want, text
+def test_basic_normalizer(spark):
+    rows = [("Naïve  [x] CAFÉ, œuvre (y)!", "naive cafe oeuvre "), ("a<b>c", "ac"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    for r in df.select("want", basic_text_normalize("t", diacritics=True).alias("got")).collect():
+        assert r["got"] == r["want"]
+    split = spark.createDataFrame([("Ab é", ), (None,)], "t string").select(basic_text_normalize("t", split_letters=True).alias("t"))
+    assert [r["t"] for r in split.collect()] == ["a b é", None]
+
+
+def test_nearest_of_small_vectors(spark):
+    """Differences far below any rounding still rank."""
+    points = spark.createDataFrame([(i, [i * 1e-4, 0.0]) for i in (3, 2, 1)] + [(9, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = points.filter("vec_id = 9").withColumnRenamed("vec_id", "query_id")
+    assert [r["neighbor_id"] for r in K.knn(queries, points, 3).orderBy("rank").collect()] == [1, 2, 3]
+    near = K.knn(queries, points, 3).orderBy("rank").first()
+    assert abs(near["score"] - 1e-8) < 1e-20
+
+
+def test_scores_of_null_texts(spark):
+    df = spark.createDataFrame([(None, ["a"], "a"), ("a", None, None), ("a b", ["a b"], "a b")], "p string, r array<string>, t string")
+    got = df.select(X.rouge_l_max("p", "r").alias("l"), X.rouge_scores("p", "t").alias("s"), X.word_edits("p", "t").alias("e")).collect()
+    assert [r["l"] for r in got] == [None, None, 1.0]
+    assert [r["s"] and r["s"]["rouge1"] for r in got] == [None, None, 1.0]
+    assert [r["e"] for r in got] == [None, None, 0]
 
 
 def test_half_precision(spark):

@@ -141,7 +141,7 @@ def rouge_corpus(
         for pdf in batches:
             values = pdf[X.ROUGE_KEYS].to_numpy()
             for ident, row in zip(pdf[id_col], values):
-                w = np.random.default_rng([seed, int(ident) & 0xFFFFFFFF]).poisson(1.0, bootstrap)
+                w = np.random.default_rng([seed, int(ident) & 0xFFFFFFFF, int(ident) >> 32 & 0xFFFFFFFF]).poisson(1.0, bootstrap)
                 weight += w
                 sums += w[:, None] * row
         out = pd.DataFrame(sums, columns=X.ROUGE_KEYS)

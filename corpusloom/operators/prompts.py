@@ -34,13 +34,20 @@ def render(df: DataFrame, template: str, choices: str | None = None, key: str |
 
 
 def render_all(
-    df: DataFrame, templates: list[dict], key: str, keep: list[str] | None = None, seed: int = 0, hooks: dict[str, Hook] | None = None
+    df: DataFrame,
+    templates: list[dict],
+    key: str,
+    keep: list[str] | None = None,
+    seed: int = 0,
+    hooks: dict[str, Hook] | None = None,
+    rejects: bool = False,
 ) -> DataFrame:
     """Every record with every template in one pass over the records.
 
     The templates become an array of structs that is exploded, so the input is scanned once no
     matter how many templates there are. ``templates`` holds dicts with name, jinja and
-    answer_choices; ``hooks`` may rewrite (context, target, options) of a prompt.
+    answer_choices; ``hooks`` may rewrite (context, target, options) of a prompt. A record whose text
+    has not exactly two parts gives no prompt; ``rejects`` returns those instead, with their n_parts.
     """
     rendered = []
     for t in templates:
@@ -61,6 +68,8 @@ def render_all(
         )
     out = fan_out(df, [key, *(keep or [])], F.array(*rendered), "_r")
     valid = F.col("_r.n_parts") == 2
+    if rejects:
+        return out.filter(~valid).select(key, *(keep or []), "_r.prompt", "_r.n_parts")
     return out.filter(valid).select(key, *(keep or []), "_r.prompt", "_r.context", "_r.target", "_r.options")
 
 
@@ -201,10 +210,10 @@ def _one_line(c: Column) -> Column:
 
 
 def few_shot_prompt(
-    definition: Column, examples: Column, source: Column, target: Column
+    definition: Column, examples: Column, source: Column, target: Column, most: int | None = 3
 ) -> tuple[Column, Column]:
-    """Definition, two or three worked examples (structs with input and output), then the instance."""
-    shown = F.slice(examples, F.lit(1), F.lit(3))
+    """Definition, the first ``most`` worked examples (structs with input and output; None: all), then the instance."""
+    shown = examples if most is None else F.slice(examples, F.lit(1), F.lit(most))
     lines = F.transform(
         shown,
         lambda e, i: F.concat(

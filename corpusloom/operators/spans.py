@@ -16,8 +16,6 @@ from corpusloom.functions import vectors as V
 from corpusloom.ids import top_per_group
 
 
-DIGITS = 12
-
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -208,7 +206,7 @@ def qa_nbest_beam(features: DataFrame, examples: DataFrame, n_best: int = 20, ma
 
 
 def span_decode(
-    windows: DataFrame, k: int = 1, max_answer: int = 15, impossible: bool = False, key: str = "example_id"
+    windows: DataFrame, k: int = 1, max_answer: int = 15, impossible: bool = False, key: str = "example_id", digits: int | None = None
 ) -> DataFrame:
     """Masked softmax, product score, top-k spans over the windows of an example.
 
@@ -221,6 +219,7 @@ def span_decode(
         masked = F.zip_with(F.col(col), F.col("mask"), lambda x, m: F.when(m == 1, x.cast("double")).otherwise(F.lit(-10000.0)))
         return V.softmax(masked)
 
+    graded = lambda p: p if digits is None else F.round(p, digits)
     probs = windows.select(key, "window", "mask", probabilities("start").alias("s"), probabilities("end").alias("e"))
 
     def from_start(i: Column) -> Column:
@@ -228,7 +227,7 @@ def span_decode(
         return F.transform(
             F.filter(ends, lambda j: F.get("mask", j) == 1),
             lambda j: F.struct(
-                (-F.round(F.get("s", i) * F.get("e", j), DIGITS)).alias("neg"), i.alias("s"), j.alias("e")
+                (-graded(F.get("s", i) * F.get("e", j))).alias("neg"), i.alias("s"), j.alias("e")
             ),
         )
 
@@ -239,7 +238,7 @@ def span_decode(
         key, "window", F.col("p.s").alias("start"), F.col("p.e").alias("end"), (-F.col("p.neg")).alias("score")
     )
     if impossible:
-        empty = probs.groupBy(key).agg(F.round(F.min(F.get("s", F.lit(0)) * F.get("e", F.lit(0))), DIGITS).alias("score"))
+        empty = probs.groupBy(key).agg(graded(F.min(F.get("s", F.lit(0)) * F.get("e", F.lit(0)))).alias("score"))
         spans = spans.unionByName(
             empty.select(key, F.lit(-1).alias("window"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score")
         )

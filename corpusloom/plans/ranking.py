@@ -204,7 +204,8 @@ def span_decode(spark, sf):
     v = vectors(spark, sf)
     mask = F.transform("embedding", lambda x, i: F.when((i >= 4) | (i == 0), 1).otherwise(0))
     rows = v.select(F.floor(F.col("vec_id") / 2).alias("example_id"), F.col("vec_id").alias("window"), F.col("embedding").alias("start"), F.reverse("embedding").alias("end"), mask.alias("mask"))
-    out = X.span_decode(rows, 5, 15, impossible=True)
+    # ends mirror starts here, so every product comes twice: twelve digits make these ties exact
+    out = X.span_decode(rows, 5, 15, impossible=True, digits=12)
     long = lambda c: F.col(c).cast("long").alias(c)
     return out.select("example_id", long("rank"), long("window"), long("start"), long("end"), F.round("score", 9).alias("score"))
 

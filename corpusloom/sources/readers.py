@@ -50,7 +50,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 def read_shards(spark: SparkSession, paths: list[str], id_col: str = "seq_id") -> DataFrame:
     """Consecutive shards as one table with ids that run on: local id plus the rows of earlier shards.
 
-    Row counts come from Parquet footers; there is one number per shard.
+    Rows are counted by one aggregate; one number per shard reaches the driver.
     """
     frames = [spark.read.parquet(p).withColumn("shard", F.lit(i)) for i, p in enumerate(paths)]
     out = frames[0]
@@ -158,8 +158,11 @@ def conllu_sentences(lines: DataFrame, form: int = 1, tag: int = 3) -> DataFrame
     return conll_sentences(plain.withColumn("value", short))
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """(task, definition, positives, pos, id, input, outputs): the first 100 instances of each task file."""
+def read_tasks(spark: SparkSession, path: str, limit: int | None = MAX_INSTANCES) -> DataFrame:
+    """(task, definition, positives, pos, id, input, outputs): the first ``limit`` instances of each task file.
+
+    ``None`` reads all instances.
+    """
     schema = (
         "`Definition` array<string>, `Positive Examples` array<struct<input:string,output:string>>, "
         "`Instances` array<struct<id:string,input:string,output:array<string>>>"
@@ -169,7 +172,7 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("task"),
         F.get("Definition", F.lit(0)).alias("definition"),
         F.col("`Positive Examples`").alias("positives"),
-        F.slice("Instances", 1, MAX_INSTANCES).alias("_i"),
+        (F.col("Instances") if limit is None else F.slice("Instances", 1, limit)).alias("_i"),
     )
     return tasks.select("task", "definition", "positives", F.posexplode("_i").alias("pos", "_x")).select(
         "task", "definition", "positives", "pos", "_x.id", "_x.input", F.col("_x.output").alias("outputs")
@@ -183,7 +186,7 @@ def multi_questions(articles: DataFrame) -> DataFrame:
     return rows.select(
         "id", "pos", "article",
         F.col("q.questions").alias("question"),
-        F.slice("q.options", 1, 4).alias("options"),
+        F.col("q.options").alias("options"),
         (F.ascii("q.answers") - 65).alias("label"),
     )
 

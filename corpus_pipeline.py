@@ -42,7 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.scan(rows, shared_folder(spark, "secret-ledger"), keep=("_row",))
     hit = found.filter(F.col("found").isNotNull()).select("_row", F.lit(True).alias("_hit"))
     marked = rows.join(hit, "_row", "left")
-    masked = secrets.redact(marked.withColumn("_text", F.when("_hit", F.col("text"))), "_text")
+    masked = secrets.redact(marked.withColumn("_text", F.when(F.col("_hit"), F.col("text"))), "_text")
     text = F.when(F.col("_hit"), F.col("_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.when(F.col("_hit"), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
     return masked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -15,6 +15,7 @@ from __future__ import annotations
 import ast
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ class Value:
     dtype: S.DataType | None
     items: list[Value] | None = None
     optional: bool = False
+    shown: Column | None = None  # how a condition over values of several types prints
+    printed: bool = False  # a text that stands for values of several types: it can only be printed
 
     @property
     def is_text(self) -> bool:
@@ -85,6 +88,8 @@ def _text(v: Value) -> Column:
     """How a value prints."""
     if v.dtype is None:
         return F.lit("")
+    if v.shown is not None:
+        return v.shown
     missing = F.lit("") if v.optional else F.lit("None")
     if isinstance(v.dtype, S.BooleanType):
         return F.when(v.col.isNull(), missing).when(v.col, "True").otherwise("False")
@@ -92,14 +97,61 @@ def _text(v: Value) -> Column:
         if isinstance(v.dtype.elementType, S.StringType):
             inner = F.transform(v.col, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
         else:
-            inner = F.transform(v.col, lambda x: x.cast("string"))
+            real = isinstance(v.dtype.elementType, S.FractionalType)
+            inner = F.transform(v.col, lambda x: _plain_double(x) if real else x.cast("string"))
         return F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]"))
     if isinstance(v.dtype, (S.StructType, S.MapType)):
         raise UnsupportedTemplate("a nested record cannot be printed")
+    if isinstance(v.dtype, (S.DoubleType, S.FloatType)):
+        return F.coalesce(_plain_double(v.col), missing)
     return F.coalesce(v.col.cast("string"), missing)
 
 
+def _chosen(test: Column, yes: Value, no: Value) -> Value:
+    """The value of one of two branches, in their own type where they have one type."""
+    if yes.dtype is None and no.dtype is None:
+        return yes
+    if yes.dtype is None or no.dtype is None:  # an undefined name prints nothing and is false
+        some, when = (no, ~test) if yes.dtype is None else (yes, test)
+        return Value(F.when(when, some.col), some.dtype, optional=True, printed=some.printed)
+    optional, whole = yes.optional or no.optional, (S.IntegralType,) * 2
+    if yes.dtype == no.dtype and not (yes.printed or no.printed):
+        return Value(F.when(test, yes.col).otherwise(no.col), yes.dtype, optional=optional)
+    if all(isinstance(v.dtype, kind) for v, kind in zip((yes, no), whole)):
+        return Value(F.when(test, yes.col.cast("long")).otherwise(no.col.cast("long")), S.LongType(), optional=optional)
+    return Value(F.when(test, _text(yes)).otherwise(_text(no)), _STR, printed=True)
+
+
+def _plain_double(col: Column) -> Column:
+    """A double in digits, with an exponent only from 1e16 on and below 1e-4."""
+    col = col.cast("double")
+    shown = F.abs(col).cast("string")
+    digits = F.regexp_replace(F.regexp_extract(shown, r"^([0-9.]+)", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(shown, r"E(-?[0-9]+)$", 1).try_cast("int")
+    moved = F.when(
+        power >= 0,
+        F.concat(
+            F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")),
+            F.lit("."),
+            F.coalesce(F.nullif(F.substring(digits, power + 2, F.length(digits)), F.lit("")), F.lit("0")),
+        ),
+    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""))
+    far = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    size = F.abs(col)
+    text = (
+        F.when(F.isnan(col), "nan")
+        .when(size == float("inf"), "inf")
+        .when(power.isNull(), shown)
+        .when((size >= 1e16) | (size < 1e-4), far)
+        .otherwise(moved)
+    )
+    return F.when(col.isNotNull(), F.concat(F.when(col < 0, "-").otherwise(""), text))
+
+
 def _truth(v: Value) -> Column:
+    if v.printed:
+        raise UnsupportedTemplate("a value of several types as a condition")
     if v.dtype is None:
         return F.lit(False)
     if isinstance(v.dtype, S.BooleanType):
@@ -233,15 +285,18 @@ class _Compiler:
         raise UnsupportedTemplate("slice")
 
     def on_ifexp(self, node: ast.IfExp) -> Value:
-        yes, no = self.visit(node.body), self.visit(node.orelse)
-        return Value(F.when(_truth(self.visit(node.test)), _text(yes)).otherwise(_text(no)), _STR)
+        return _chosen(_truth(self.visit(node.test)), self.visit(node.body), self.visit(node.orelse))
 
     def on_boolop(self, node: ast.BoolOp) -> Value:
-        out = _truth(self.visit(node.values[0]))
-        for other in node.values[1:]:
-            right = _truth(self.visit(other))
-            out = out & right if isinstance(node.op, ast.And) else out | right
-        return Value(out, _BOOL)
+        """The operand that decides; where operands have several types, only its truth or its text."""
+        values = [self.visit(v) for v in node.values]
+        out, both = values[-1], isinstance(node.op, ast.And)
+        for v in reversed(values[:-1]):
+            out = _chosen(_truth(v), out, v) if both else _chosen(_truth(v), v, out)
+        if not out.printed:
+            return out
+        truths = [_truth(v) for v in values]
+        return Value(reduce(lambda a, b: a & b if both else a | b, truths), _BOOL, shown=out.col)
 
     def on_unaryop(self, node: ast.UnaryOp) -> Value:
         v = self.visit(node.operand)
@@ -260,6 +315,8 @@ class _Compiler:
             out = self.test(left, right_node)
             return Value(~out if isinstance(op, ast.IsNot) else out, _BOOL)
         right = self.visit(right_node)
+        if left.printed or right.printed:
+            raise UnsupportedTemplate("comparison of a value of several types")
         if isinstance(op, (ast.In, ast.NotIn)):
             if right.is_list and right.items is not None:
                 out = F.lit(False)
@@ -309,6 +366,8 @@ class _Compiler:
         left, right = self.visit(node.left), self.visit(node.right)
         if left.dtype is None or right.dtype is None:
             raise UnsupportedTemplate("arithmetic on an undefined name")
+        if any(v.printed or v.shown is not None for v in (left, right)):
+            raise UnsupportedTemplate("arithmetic on a value of several types")
         if isinstance(node.op, ast.Add) and (left.is_text or right.is_text):
             return Value(F.concat(_text(left), _text(right)), _STR)
         if isinstance(node.op, ast.Add) and left.is_list and right.is_list:
@@ -440,9 +499,11 @@ class _Compiler:
     def branches(self, test: str, parts: list[str], limit: int | None) -> tuple[Column, list[str]]:
         outer = self.scope
         chain: list[tuple[Column | None, Column]] = []
+        ends: list[tuple[Column | None, Scope]] = []
         condition: Column | None = _truth(self.expression(test))
         while True:
             body, parts = self.block(parts, ("elif", "else", "endif"), limit)
+            ends.append((condition, self.scope))
             self.scope = outer
             chain.append((condition, body))
             if not parts:
@@ -452,6 +513,7 @@ class _Compiler:
             if head.startswith("endif"):
                 break
             condition = _truth(self.expression(head[4:])) if head.startswith("elif") else None
+        self.scope = self.after_branches(outer, ends)
         out = None
         for condition, body in chain:
             if condition is None:
@@ -460,6 +522,18 @@ class _Compiler:
             out = F.when(condition, body) if out is None else out.when(condition, body)
         return out.otherwise(F.lit("")), parts
 
+    def after_branches(self, outer: Scope, ends: list[tuple[Column | None, Scope]]) -> Scope:
+        """An ``if`` opens no scope: names that a branch sets keep the value of the branch taken."""
+        changed = {n for _, s in ends for n, v in s.names.items() if outer.names.get(n) is not v}
+        names = {}
+        for n in sorted(changed):
+            value = outer.look_up(n)
+            for condition, scope in reversed(ends):
+                taken = scope.look_up(n)
+                value = taken if condition is None else _chosen(condition, taken, value)
+            names[n] = value
+        return outer.child(**names)
+
     def loop(self, head: str, parts: list[str], limit: int | None) -> tuple[Column, list[str]]:
         target, _, source = head.partition(" in ")
         target = target.strip()
@@ -545,7 +619,7 @@ FILTERS = {
         Value(F.filter(F.split(v.col, ""), lambda x: x != ""), S.ArrayType(_STR)) if v.is_text else v
     ),
     "round": lambda c, v, a: Value(
-        F.round(v.col.cast("double"), 0 if not a else int(_constant(a[0]))), _DBL
+        F.bround(v.col.cast("double"), 0 if not a else int(_constant(a[0]))), _DBL
     ),
     "abs": lambda c, v, a: Value(F.abs(v.col), v.dtype),
     "capitalize": lambda c, v, a: Value(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
+from corpusloom.functions import prompt_columns
 from corpusloom.functions import scores as X
 from corpusloom.functions import text as T
 from corpusloom.functions.normalizers import basic_text_normalize
@@ -256,6 +258,34 @@ def test_scores_of_null_texts(spark):
     assert [r["e"] for r in got] == [None, None, 0]
 
 
+def test_template_values(spark):
+    """Operands, branches, names set in branches, rounding and floats print as the template language prints them."""
+    df = spark.createDataFrame([(1, "", "b", 0, 2.5, 1e8, True, 1e-5)], "id long, a string, b string, n long, d double, big double, t boolean, tiny double")
+    cases = {
+        "{{ a or b }}": "b",
+        "{{ b and a }}|": "|",
+        "{{ b or a }}": "b",
+        "{{ a or n }}": "0",
+        "{% if a or n %}yes{% else %}no{% endif %}": "no",
+        "{{ (1 if t else 2) + 3 }}": "4",
+        "{% if t %}{% set x = 'one' %}{% endif %}{{ x }}": "one",
+        "{% set x = 'zero' %}{% if a %}{% set x = 'one' %}{% else %}{% set x = 'two' %}{% endif %}{{ x }}": "two",
+        "{% set x = 'zero' %}{% if a %}{% set x = 'one' %}{% endif %}{{ x }}": "zero",
+        "{{ d | round }}": "2.0",
+        "{{ big }}": "100000000.0",
+        "{{ big * 1.25 + 0.5 }}": "125000000.5",
+        "{{ big * big * 10 }}": "1e+17",
+        "{{ tiny }}": "1e-05",
+        "{{ tiny * 25 }}": "0.00025",
+        "{{ 0 - big }}": "-100000000.0",
+    }
+    got = df.select(*[prompt_columns.render_text(c, df.schema).alias(f"c{i}") for i, c in enumerate(cases)]).first()
+    assert dict(zip(cases, got)) == cases
+    for refused in ("{{ (1 if t else 'x') + 3 }}", "{% if (1 if t else 'x') %}y{% endif %}", "{{ (a or n) + 1 }}"):
+        with pytest.raises(prompt_columns.UnsupportedTemplate):
+            prompt_columns.render_text(refused, df.schema)
+
+
 def test_half_precision(spark):
     values = [0.1, 1.0, 2049.0, 0.33333, 0.0, 7.77, 1e-3]
     got = spark.createDataFrame([(values,)], "v array<double>").select(half_precision("v")).first()[0]

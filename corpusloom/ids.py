@@ -87,14 +87,14 @@ def running_total(
     """Add ``out`` = sum of ``weight`` over the rows before this one in its group (0 for the first).
 
     ``order`` must be unique inside a group. ``total`` names an extra column with the group's sum.
-    With the default weight of one, ``out`` is the 0-based row position.
+    With the default weight of one, ``out`` is the 0-based row position. Weights may be whole or real.
     """
     keys = list(keys or [])
     weight = F.lit(1).cast("long") if weight is None else weight
     names = [f"_slab{i}" for i in range(2)]
     cols = _slab_columns(df, order, spread, slab)
     names = names[: len(cols)]
-    staged = df.select("*", *[c.alias(n) for c, n in zip(cols, names)], weight.cast("long").alias("_w"))
+    staged = df.select("*", *[c.alias(n) for c, n in zip(cols, names)], weight.alias("_w"))
     totals = staged.groupBy(*keys, *names).agg(F.sum("_w").alias("_slab_sum"))
     direction = (lambda c: F.col(c).desc()) if descending else F.col
     group = [F.col(k) for k in keys] or [F.lit(0)]

@@ -249,12 +249,9 @@ def demo_label_balance(demos: DataFrame, keys: list[str], label: str) -> DataFra
 
 def retriever_recall(scores: DataFrame, order: str, score: str) -> DataFrame:
     """Running mean of a per-question score in ``order``; its last row is the final mean."""
-    scaled = F.round(F.col(score) * 1_000_000).cast("long")
-    placed = running_total(scores.select(order, score), "_sum", [order], weight=scaled)
+    placed = running_total(scores.select(order, score), "_sum", [order], weight=F.col(score).cast("double"))
     placed = running_total(placed, "_n", [order])
-    return placed.select(
-        order, ((F.col("_sum") + F.round(F.col(score) * 1_000_000)) / 1_000_000 / (F.col("_n") + 1)).alias("mean")
-    )
+    return placed.select(order, ((F.col("_sum") + F.col(score)) / (F.col("_n") + 1)).alias("mean"))
 
 
 # tables --------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from corpusloom.functions.arrays import fan_out
@@ -108,9 +109,9 @@ def validate_templates(templates: DataFrame, fields: dict[str, set[str]] | None
         .unionByName(where(~F.lower("id").rlike(UUID), "malformed id"))
     )
     if fields:
-        @F.udf("array<string>")
-        def names_read(jinja: str) -> list[str]:
-            return sorted(P.variables(jinja))
+        @F.pandas_udf("array<string>")
+        def names_read(jinja: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else sorted(P.variables(t)) for t in jinja], dtype=object)
 
         known = F.create_map(*[x for d, f in fields.items() for x in (F.lit(d), F.array(*[F.lit(n) for n in sorted(f)]))])
         unknown = F.array_except(names_read("jinja"), F.try_element_at(known, F.col("dataset")))

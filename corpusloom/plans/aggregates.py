@@ -353,7 +353,7 @@ def histogram(spark, sf):
     return out.withColumn("bin", F.col("bin").cast("long"))
 
 
-@query("e26_retriever_recall", "select o_orderkey, round(sum(round(round(o_totalprice % 1, 6) * 1000000)) over w / 1000000 / count(*) over w + 1e-9, 6) as mean from orders window w as (order by o_orderkey)")
+@query("e26_retriever_recall", "select o_orderkey, round(avg(round(o_totalprice % 1, 6)) over w + 1e-9, 6) as mean from orders window w as (order by o_orderkey)")
 def recall(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", F.round(F.col("o_totalprice") % 1, 6).alias("score"))
     return M.retriever_recall(o, "o_orderkey", "score").withColumn("mean", F.round(F.col("mean") + 1e-9, 6))

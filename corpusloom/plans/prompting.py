@@ -228,10 +228,10 @@ def context_prompt(spark, sf):
 
 @query(
     "c14_support_document",
-    "select conv_id as query_id, md5('<P> ' || string_agg(text, ' <P> ' order by turn)) as digest from conversations where turn < 4 group by 1",
+    "select conv_id as query_id, md5('<P> ' || string_agg(text, ' <P> ' order by turn)) as digest from conversations group by 1",
 )
 def support(spark, sf):
-    hits = table(spark, sf, "conversations").filter("turn < 4").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
+    hits = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
     return P.support_document(hits).select("query_id", F.md5("support").alias("digest"))
 
 

@@ -283,9 +283,10 @@ def lengths(spark, sf):
 @query(
     "i20_segment_ids",
     f"""with w as (select doc_id, generate_subscripts(t, 1) as i, unnest(t) as w from (select doc_id, {toks('text')} as t from documents)),
-    n as (select doc_id, i, sum((w = '.')::int) over (partition by doc_id order by i) as seen from w)
-    select doc_id, md5(string_agg((abs(seen - 1) % 2)::varchar, '' order by i)) as segments from n group by doc_id""",
+    n as (select doc_id, i, sum((w = '.')::int) over (partition by doc_id order by i) as seen from w),
+    s as (select doc_id, string_agg((abs(seen - 1) % 2)::varchar, '' order by i) as g from n group by doc_id)
+    select doc_id, md5(coalesce(g, '')) as segments from documents left join s using (doc_id)""",
 )
 def segments(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.regex_tokens("text").alias("t")).filter(F.size("t") > 0)
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.regex_tokens("text").alias("t"))
     return rows.select("doc_id", F.md5(F.array_join(A.segment_ids("t", F.lit(".")).cast("array<string>"), "")).alias("segments"))

@@ -139,10 +139,10 @@ def alnum(spark, sf):
     return docs(spark, sf).select("doc_id", F.round(T.alnum_fraction("text"), 6).alias("fraction"))
 
 
-@query("b13_chars_per_token", f"select doc_id, round(length(text) / len({toks('text')}), 6) as ratio from documents where len({toks('text')}) > 0")
+@query("b13_chars_per_token", f"select doc_id, case when len({toks('text')}) > 0 then round(length(text) / len({toks('text')}), 6) end as ratio from documents")
 def chars_per_token(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.round(T.chars_per_token("text"), 6).alias("ratio"), T.n_tokens("text").alias("n"))
-    return rows.filter("n > 0").drop("n")
+    ratio = F.when(T.n_tokens("text") > 0, T.chars_per_token("text"))
+    return docs(spark, sf).select("doc_id", F.round(ratio, 6).alias("ratio"))
 
 
 HEAD = "lower(array_to_string(list_slice(string_split({}, chr(10)), 1, 5), chr(10)))"
@@ -249,11 +249,10 @@ def normal_sql(expr: str, articles: bool = False) -> str:
 
 @query(
     "b20_normalize_answer",
-    f"select doc_id, md5({normal_sql('text')}) as plain, md5({normal_sql('text', True)}) as no_articles from documents where lang = 'en'",
+    f"select doc_id, md5({normal_sql('text')}) as plain, md5({normal_sql('text', True)}) as no_articles from documents",
 )
 def normalize_answer(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text", "lang").filter("lang = 'en'")
-    return rows.select("doc_id", F.md5(T.normalize_answer("text")).alias("plain"), F.md5(T.normalize_answer("text", True)).alias("no_articles"))
+    return docs(spark, sf).select("doc_id", F.md5(T.normalize_answer("text")).alias("plain"), F.md5(T.normalize_answer("text", True)).alias("no_articles"))
 
 
 @query(
@@ -313,12 +312,12 @@ def nodes(spark, sf):
 @query(
     "b26_drop_html_tokens",
     f"""with d as (select doc_id, {toks('text')} as t from documents),
-    f as (select doc_id, t, list_transform(t, lambda x: regexp_matches(x, '^[^A-Za-z0-9_]')) as h, len(t) // 2 as s from d where len(t) >= 4)
+    f as (select doc_id, t, list_transform(t, lambda x: regexp_matches(x, '^[^A-Za-z0-9_]')) as h, len(t) // 2 as s from d)
     select doc_id, len(list_filter(h, lambda x: not x))::bigint as n_kept,
       (s - len(list_filter(list_slice(h, 1, s), lambda x: x)))::bigint as new_start from f""",
 )
 def drop_html(spark, sf):
-    rows = docs(spark, sf).select("doc_id", T.regex_tokens("text").alias("tokens")).filter(F.size("tokens") >= 4)
+    rows = docs(spark, sf).select("doc_id", T.regex_tokens("text").alias("tokens"))
     flags = F.transform("tokens", lambda x: x.rlike("^[^A-Za-z0-9_]"))
     rows = rows.select("doc_id", "tokens", flags.alias("is_html"), F.floor(F.size("tokens") / 2).cast("int").alias("start"))
     out = S.drop_flagged_tokens(rows)

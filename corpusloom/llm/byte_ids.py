@@ -8,26 +8,36 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 # Control characters that Python counts as white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
+OTHER = re.compile(r"[^\S \n]")
+GAPS = " \n"
+PAIRS = [a + b for a in GAPS for b in GAPS]
 RUNS = re.compile(r"(\s*)(\S*)")
-REMEMBERED = 400_000
+SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+REMEMBERED = 700_000
 _ENCODERS: dict[str, Callable] = {}
 
 
+def _words(text: str) -> list[str] | None:
+    """Words, with the line end in front of a line's first one, as if one stood before the text.
+
+    None unless single spaces and single line ends are all the white space, and only between words.
+    """
+    if not text or text[0] in GAPS or text[-1] in GAPS or any(pair in text for pair in PAIRS) or OTHER.search(text):
+        return None
+    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+
 def _pieces(text: str) -> list[str]:
     """``text`` cut where the tokenizer always cuts: before the last white space of a run.
 
     A single space belongs to the word after it; any other last character of a run stands alone,
     and so does what precedes it.
     """
-    words = text.split(" ")
-    if "" not in words and len(text.split()) == len(words):
-        return words[:1] + [" " + w for w in words[1:]]
     out = []
     for m in RUNS.finditer(text):
         gap, word = m[1], m[2]
@@ -53,25 +63,57 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
 
     def raw(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    line_end = raw(["\n"])[0]
+    known: dict[str, bytes] = {}
+    tails = {"": b""}
+
+    def learn(words: set[str]) -> dict[str, bytes]:
+        """Ids of new words; signs at the end of letters are cut off, as the tokenizer does."""
+        if len(tails) > REMEMBERED:
+            tails.clear()
+            tails[""] = b""
+        cut = {}
+        for w in words:
+            core = w.rstrip(SIGNS)
+            cut[w] = (core, w[len(core) :]) if core[-1:].isalpha() else (w, "")
+        cores = [c for c in {c for c, _ in cut.values()} if c not in known]
+        ends = [e for e in {e for _, e in cut.values()} if e not in tails]
+        ids = raw([w[1:] if w[:1] == "\n" else " " + w for w in cores] + ends)
+        tails.update(zip(ends, ids[len(cores) :]))
+        found = {w: line_end + i if w[:1] == "\n" else i for w, i in zip(cores, ids)}
+        found |= {w: (found.get(c) or known[c]) + tails[e] for w, (c, e) in cut.items() if e}
+        if len(known) < REMEMBERED:
+            known.update(found)
+        return found
 
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for low in range(0, len(texts), 256):
             some = texts[low : low + 256]
-            cut = [None if ODD.search(t) or any(s in t for s in special) else _pieces(t) for t in some]
-            new = set().union(*[c for c in cut if c]) - known.keys()
-            fresh = list(new)
-            ids = dict(zip(fresh, raw(fresh))) if fresh else {}
-            if len(known) < REMEMBERED:
-                known.update(ids)
-            table = known if ids.keys() <= known.keys() else {w: known.get(w) or ids[w] for c in cut if c for w in c}
-            for text, c in zip(some, cut):
-                out.append(raw([text])[0] if c is None else b"".join(map(table.__getitem__, c)))
+            found: list[bytes] = [b""] * len(some)
+            waiting: dict[int, tuple[list[str], list[bytes | None]]] = {}
+            new: set[str] = set()
+            for i, text in enumerate(some):
+                words = None if any(s in text for s in special) else _words(text)
+                if words is not None:
+                    ids = list(map(known.get, words))
+                    if None in ids:
+                        new.update([w for w, v in zip(words, ids) if v is None])
+                        waiting[i] = words, ids
+                    else:
+                        found[i] = b"".join(ids)[len(line_end) :]
+                elif ODD.search(text) or any(s in text for s in special):
+                    found[i] = raw([text])[0]
+                else:
+                    found[i] = b"".join(raw(_pieces(text)))
+            fresh = learn(new)
+            for i, (words, ids) in waiting.items():
+                found[i] = b"".join([fresh[w] if v is None else v for w, v in zip(words, ids)])[len(line_end) :]
+            out += found
         return out
 
     _ENCODERS[path] = encode

@@ -149,7 +149,8 @@ def odd_texts(count, seed):
 
 def test_byte_ids_match_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts, library = odd_texts(1500, 1), Tokenizer.from_file(path)
+    texts = [*odd_texts(1500, 1), "a\t \tb", "a\x1c \x1cb c", "a\xa0 \xa0b", "a \n\tb"]
+    library = Tokenizer.from_file(path)
     for text, ids in zip(texts, byte_ids.encoder(path)(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
+_RECORDERS: list[list[str]] = []
 
 
 def local_session(cores: int = 8, app: str = "corpusloom") -> SparkSession:
@@ -57,10 +60,30 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_root(spark), f"loom-{uuid.uuid4().hex}")
+    for made in _RECORDERS:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded_copies() -> Iterator[list[str]]:
+    """Collect the paths that :func:`materialize` writes meanwhile, for :func:`drop_copies` later."""
+    made: list[str] = []
+    _RECORDERS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDERS.remove(made)
+
+
+def drop_copies(spark: SparkSession, paths: list[str]) -> None:
+    """Delete copies that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when a frame has fewer partitions than the cluster has slots.
 

@@ -1,18 +1,37 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it and reads it again as
-the next stage's ``docs``. All but the last return the columns of ``documents``.
+the next stage's ``docs``. All but the last return the columns of ``documents``. As a stage's input has
+been written, a stage begins by deleting the copies that the stage before it made for itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import curriculum, jaccard_voronoi, prefix_bpe, secrets, weak_toxicity
 from corpusloom.llm.files import shared_folder
-from corpusloom.session import load, materialize
+from corpusloom.session import drop_copies, load, materialize, recorded_copies
+
+_COPIES: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_copies(spark, _COPIES)
+        _COPIES.clear()
+        with recorded_copies() as made:
+            out = work(spark, docs, sf_dir)
+        _COPIES.extend(made)
+        return out
+
+    return run_stage
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -20,6 +39,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; the classifier learns from the labels of ``sf_dir``."""
     settings = weak_toxicity.Settings()
@@ -28,6 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("_toxicity") < settings.threshold).drop("_toxicity")
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     rows = numbered(docs)
@@ -36,33 +57,36 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that the ledger's rules find replaced by a mask."""
-    rows = numbered(docs)
-    found = secrets.scan(rows, shared_folder(spark, "secret-ledger"), keep=("_row",))
-    hit = found.filter(F.col("found").isNotNull()).select("_row", F.lit(True).alias("_hit"))
-    marked = rows.join(hit, "_row", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = secrets.blobs_with_findings(docs, shared_folder(spark, "secret-ledger"))
+    hit = found.select(F.col("blob").alias("_blob"), F.lit(True).alias("_hit"))
+    marked = docs.withColumn("_blob", secrets.blob_of(text)).join(hit, "_blob", "left")
     masked = secrets.redact(marked.withColumn("_text", F.when(F.col("_hit"), F.col("text"))), "_text")
     text = F.when(F.col("_hit"), F.col("_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.when(F.col("_hit"), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
     return masked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, to the nearest whole time, in order of first reading."""
     rows = numbered(docs)
     plan = curriculum.placed(rows, row_col="_row")
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    plan = plan.select(F.col("row").alias("_row"), "position", times.alias("_times")).filter("_times > 0")
+    plan = plan.select(F.col("row").alias("_row"), F.col("position").alias("_position"), times.alias("_times")).filter("_times > 0")
     return (
         rows.join(plan, "_row")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .repartitionByRange("position")
-        .sortWithinPartitions("position")
+        .repartitionByRange("_position")
+        .sortWithinPartitions("_position")
         .select(*docs.columns)
     )
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of what they decode to."""
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -82,8 +106,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, work in STAGES[:-1]:
         path = shared_folder(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        work(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

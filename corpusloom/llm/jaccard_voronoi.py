@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,7 +78,7 @@ def read_sets(docs: DataFrame, j: Join) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for low, high in batches_of(texts, 8 << 20):
+            for low, high in batches_of(texts, 6 << 20):
                 sets = sets_of(texts[low:high], j.n)
                 keys, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = counts >= j.common_count
@@ -154,6 +155,24 @@ def regions(sets: DataFrame) -> DataFrame:
     return each.select("row", "key").join(pivots, "key").select("pivot", "row").distinct()
 
 
+def without_contained(reach: DataFrame) -> DataFrame:
+    """``reach`` without the regions whose sets all lie in one other region: that one sees all their pairs."""
+    sizes = reach.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    one = reach.join(sizes, "pivot")
+    other = one.select("row", F.col("pivot").alias("in"), F.col("size").alias("in_size"))
+    smaller = (F.col("size") < F.col("in_size")) | ((F.col("size") == F.col("in_size")) & (F.col("pivot") > F.col("in")))
+    contained = (
+        one.join(other, "row")
+        .filter(smaller)
+        .groupBy("pivot", "in", "size")
+        .agg(F.count(F.lit(1)).alias("common"))
+        .filter("common = size")
+        .select("pivot")
+        .distinct()
+    )
+    return reach.join(contained, "pivot", "left_anti")
+
+
 def class_counts(s: np.ndarray) -> np.ndarray:
     """Counts of n-grams per hash class, stopped at 255; the number of classes follows the size."""
     bits = min(16, max(4, int(np.ceil(np.log2(len(s) / 3 + 1)))))
@@ -161,13 +180,15 @@ def class_counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
-def whole_sets(docs: DataFrame, rows: DataFrame, j: Join) -> DataFrame:
-    """(row, set) of the documents in ``rows``.
+def whole_sets(docs: DataFrame, near: DataFrame, j: Join) -> DataFrame:
+    """(row, set, pivot, part) of the documents in ``near`` (pivot, part, row).
 
-    The rows are broadcast while they are few, so that texts do not move; else texts are dealt out.
+    These rows are broadcast while they are few, so that texts and sets do not move to meet them; else
+    both sides are dealt out by row.
     """
-    if rows.count() <= j.broadcast_rows:
-        rows = F.broadcast(rows)
+    small = near.count() <= j.broadcast_rows
+    rows = near.select("row").distinct()
+    rows, near = (F.broadcast(rows), F.broadcast(near)) if small else (rows, near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,7 +197,8 @@ def whole_sets(docs: DataFrame, rows: DataFrame, j: Join) -> DataFrame:
                 sets = [s.tobytes() for s in sets_of(texts[low:high], j.n)]
                 yield pd.DataFrame({"row": pdf["row"].iloc[low:high].to_numpy(), "set": sets})
 
-    return docs.join(rows, "row", "left_semi").select("row", "text").mapInPandas(run, "row long, set binary")
+    found = docs.join(rows, "row", "left_semi").select("row", "text").mapInPandas(run, "row long, set binary")
+    return found.join(near, "row")
 
 
 def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,6 +214,10 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def reachable(n: np.ndarray, counts: list[np.ndarray], j: Join, chunk: int = 256) -> np.ndarray:
     """Which documents of a region have another one within reach, judged by their counts."""
     found = np.zeros(len(n), bool)
+    if len(n) == 2:
+        near = max(map(len, counts)) <= 2 * min(map(len, counts))
+        found[:] = near and gaps(counts[0][None], counts[1][None])[0, 0] <= j.apart(n[0], n[1])
+        return found
     width = np.array([len(c) for c in counts])
     stacked = {w: (np.flatnonzero(width == w), np.stack([c for c in counts if len(c) == w])) for w in np.unique(width)}
     for w, (own, mine) in stacked.items():
@@ -214,6 +240,9 @@ def solve(rows: np.ndarray, sets: list[np.ndarray], j: Join) -> list[tuple[int,
     """Links that connect exactly what the links among these documents connect."""
     m = len(sets)
     n = np.array([len(s) for s in sets], np.int64)
+    if m == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(rows[0]), int(rows[1]))] if j.links(shared, n[0], n[1]) else []
     flat = np.concatenate(sets)
     _, codes = np.unique(flat, return_inverse=True)
     ends = np.cumsum(n)
@@ -232,7 +261,9 @@ def solve(rows: np.ndarray, sets: list[np.ndarray], j: Join) -> list[tuple[int,
     def distances(y: int) -> np.ndarray:
         """Exact distances of ``y`` to all, linking what is near enough on the way."""
         own = codes[ends[y] - n[y] : ends[y]]
-        shared = np.bincount(np.concatenate([owner[starts[c] : starts[c + 1]] for c in own]), minlength=m)
+        low, count = starts[own], starts[own + 1] - starts[own]
+        at = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+        shared = np.bincount(owner[at], minlength=m)
         for x in np.flatnonzero(j.links(shared, n[y], n)):
             a, b = root(int(x)), root(y)
             if a != b:
@@ -298,7 +329,7 @@ def sliced(reach: DataFrame, members: DataFrame, j: Join) -> DataFrame:
     )
     placed = materialize(placed)
     cuts = placed.groupBy("pivot").agg(
-        F.percentile_approx("t", F.expr("transform(sequence(1, 63), i -> i / 64D)"), 10_000).alias("cuts")
+        F.percentile_approx("t", [i / 64 for i in range(1, 64)], 10_000).alias("cuts")
     )
     count = F.least(F.lit(64), F.ceil(2 * F.col("docs") / j.region_docs)).cast("int")
     slice_ = F.size(F.filter("cuts", lambda c: c < F.col("t"))) * count / 64
@@ -313,30 +344,57 @@ def sliced(reach: DataFrame, members: DataFrame, j: Join) -> DataFrame:
     name = F.col("a.slice") * 64 + F.col("b.slice") + 1
     ends = F.array_distinct(F.array("a.slice", "b.slice"))
     pairs = pairs.select(F.col("a.pivot").alias("pivot"), F.explode(ends).alias("slice"), name.alias("part"))
-    cut = placed.join(pairs, ["pivot", "slice"]).select("pivot", "row", "n", "outline", "part")
+    cut = placed.join(pairs, ["pivot", "slice"]).select(*members.columns, "part")
     whole = members.join(large.select("pivot"), "pivot", "left_anti").withColumn("part", F.lit(0))
     return whole.unionByName(cut)
 
 
+def by_region(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one region after the other, from rows sorted by (pivot, part)."""
+    held: list[pd.DataFrame] = []
+    key = None
+    for pdf in batches:
+        pivot, part = pdf["pivot"].to_numpy(), pdf["part"].to_numpy()
+        cuts = np.flatnonzero((pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(pdf)]):
+            if held and (pivot[low], part[low]) != key:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            key = pivot[low], part[low]
+            held.append(pdf.iloc[low:high])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def region_rows(members: DataFrame) -> DataFrame:
+    return members.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
+
+
 def near_members(members: DataFrame, j: Join) -> DataFrame:
     """(pivot, part, row) of documents that another one of their region may link with."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = reachable(pdf["n"].to_numpy(np.int64), [np.frombuffer(o, np.uint8) for o in pdf["outline"]], j)
-        return pdf.loc[keep, ["pivot", "part", "row"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_region(batches):
+            keep = reachable(pdf["n"].to_numpy(np.int64), [np.frombuffer(o, np.uint8) for o in pdf["outline"]], j)
+            if keep.any():
+                yield pdf[["pivot", "part", "row"]][keep]
 
-    return members.groupBy("pivot", "part").applyInPandas(run, "pivot long, part int, row long")
+    rows = region_rows(members.select("pivot", "part", "row", "n", "outline"))
+    return rows.mapInPandas(run, "pivot long, part int, row long")
 
 
 def forest(members: DataFrame, j: Join) -> DataFrame:
     """(a, b): links between rows that connect what all links within regions connect."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        edges = solve(pdf["row"].to_numpy(np.int64), [np.frombuffer(o, np.uint64) for o in pdf["set"]], j)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_region(batches):
+            order = np.argsort(pdf["row"].to_numpy(), kind="stable")
+            sets = [np.frombuffer(o, np.uint64) for o in pdf["set"]]
+            edges = solve(pdf["row"].to_numpy(np.int64)[order], [sets[i] for i in order], j)
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
-    return members.groupBy("pivot", "part").applyInPandas(run, "a long, b long")
+    return region_rows(members).mapInPandas(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -372,13 +430,26 @@ def components(
     first = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("set_row"))
     surveyed = survey(docs, common_keys(base, j), j)
     sets = surveyed.join(first.select(F.col("set_row").alias("row")), "row", "left_semi")
-    reach = materialize(regions(sets))
+    reach = materialize(without_contained(materialize(regions(sets))))
     members = reach.join(surveyed.select("row", "rank", "n", "outline"), "row")
     near = materialize(near_members(sliced(reach, members, j), j))
-    edges = forest(near.join(whole_sets(docs, near.select("row").distinct(), j), "row"), j)
+    with small_batches(docs.sparkSession):
+        edges = materialize(forest(whole_sets(docs, near, j), j))
     return placed(base, first, connected(edges))
 
 
+@contextmanager
+def small_batches(spark, rows: int = 500):
+    """Fewer rows per Arrow batch for what is written meanwhile: sets may have many kilobytes each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def placed(base: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document with the component of its set."""
     named = first.join(labels.withColumnRenamed("row", "set_row"), "set_row", "left").select(

@@ -164,17 +164,26 @@ def scan(
     The result has ``found``: an array of (start, kind, rule, end) by start, then by the place of
     the rule in ``rules``; null for rows without findings.
     """
-    spark = docs.sparkSession
     versions = address(docs, text_col, keep)
+    per_blob = _findings_by_blob(versions, ledger_path, rules)
+    return versions.drop("text").join(per_blob, "blob", "left").drop("blob")
+
+
+def blobs_with_findings(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Bring the ledger up to date with ``docs`` and return (blob, found) of the blobs with findings."""
+    return _findings_by_blob(address(docs, text_col, ()), ledger_path, rules)
+
+
+def _findings_by_blob(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]) -> DataFrame:
+    spark = versions.sparkSession
     fresh = scan_unseen(versions.select("blob", "text"), open_ledger(spark, ledger_path), rules)
     fresh.write.mode("append").parquet(ledger_path)
     place = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule"))
-    per_blob = (
+    return (
         findings(open_ledger(spark, ledger_path), rules)
         .groupBy("blob")
         .agg(F.array_sort(F.collect_list(F.struct("start", place.alias("kind"), "rule", "end"))).alias("found"))
     )
-    return versions.drop("text").join(per_blob, "blob", "left").drop("blob")
 
 
 def spans_text(found: Column) -> Column:

@@ -32,7 +32,7 @@ from corpusloom.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = "<"  # marks a voter that is the start of a word
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)

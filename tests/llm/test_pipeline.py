@@ -87,18 +87,20 @@ def test_stages_match_plain_python(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want[r["doc_id"]], "<u4").tobytes()).hexdigest()
 
 
-def test_stages_take_odd_rows_and_extra_columns(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _extra string, score double, component long"
+def test_stages_take_odd_rows_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _extra string, score double, component long, blob string, row long, position double"
     rows = [
-        (1, None, None, None, None, None, None, None),
-        (None, "", "en", "a", 0, "x", 1.0, 2),
-        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2),
-        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2),
+        (1, None, None, None, None, None, None, None, None, None, None),
+        (None, "", "en", "a", 0, "x", 1.0, 2, "b", 3, 0.5),
+        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2, "b", 3, 0.5),
+        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2, "b", 3, 0.5),
     ]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, SF)
+            path = str(tmp_path / f"{len(data)}-{name}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
             assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
         found = docs.filter(F.contains("text", F.lit("[secret]"))).count()
         assert found >= 1 if data else docs.count() == 0

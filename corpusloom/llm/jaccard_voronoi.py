@@ -156,21 +156,23 @@ def regions(sets: DataFrame) -> DataFrame:
 
 
 def without_contained(reach: DataFrame) -> DataFrame:
-    """``reach`` without the regions whose sets all lie in one other region: that one sees all their pairs."""
+    """``reach`` without regions whose sets all lie in one larger region, which sees all their pairs.
+
+    Each region is held against one other: the largest that its first set reaches.
+    """
     sizes = reach.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    one = reach.join(sizes, "pivot")
-    other = one.select("row", F.col("pivot").alias("in"), F.col("size").alias("in_size"))
-    smaller = (F.col("size") < F.col("in_size")) | ((F.col("size") == F.col("in_size")) & (F.col("pivot") > F.col("in")))
+    sized = reach.join(sizes, "pivot")
+    largest = sized.groupBy("row").agg(F.max(F.struct("size", (-F.col("pivot")).alias("order"))).alias("top"))
+    first = reach.groupBy("pivot").agg(F.min("row").alias("row"))
+    host = first.join(largest, "row").select("pivot", (-F.col("top.order")).alias("host")).filter("pivot <> host")
+    inside = sized.join(host, "pivot").select("pivot", "size", "row", "host")
     contained = (
-        one.join(other, "row")
-        .filter(smaller)
-        .groupBy("pivot", "in", "size")
+        inside.join(reach.select(F.col("pivot").alias("host"), "row"), ["host", "row"])
+        .groupBy("pivot", "size")
         .agg(F.count(F.lit(1)).alias("common"))
         .filter("common = size")
-        .select("pivot")
-        .distinct()
     )
-    return reach.join(contained, "pivot", "left_anti")
+    return reach.join(contained.select("pivot"), "pivot", "left_anti")
 
 
 def class_counts(s: np.ndarray) -> np.ndarray:

@@ -104,3 +104,18 @@ def test_stages_take_odd_rows_and_extra_columns(spark, tmp_path):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
         found = docs.filter(F.contains("text", F.lit("[secret]"))).count()
         assert found >= 1 if data else docs.count() == 0
+
+
+def test_near_copies_of_five_words_go(spark):
+    """Similar by five words to between 0.80 and 0.85, by four words to less than 0.85; and pairs just below 0.80."""
+    words = [f"w{i}" for i in range(1000)]
+    edited = list(words)
+    for i in range(20, 1000, 47):
+        edited[i] = f"e{i}"
+    texts = [words, words + [f"x{i}" for i in range(200)], edited, [f"v{i}" for i in range(1000)]]
+    texts.append(texts[3] + [f"y{i}" for i in range(260)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= near(0, 1) < 0.85 and 0.8 <= near(0, 2) < 0.85 and 0.75 < near(3, 4) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 3, 4]

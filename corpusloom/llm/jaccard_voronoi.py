@@ -14,9 +14,10 @@ only sent to regions of pivots that it may reach:
 3. In a region documents are first held as counts of n-grams per hash class. The sum of differences of
    counts never exceeds the symmetric difference, so it too separates documents; a document that no
    other can reach leaves the region before its set is moved. A region of more than ``region_docs``
-   documents is cut into slices along the distance to its pivot; by the triangle inequality slices
-   further apart than the link distance need not meet, and every pair of slices that may is a region
-   of its own.
+   documents is cut into slices of at most half as many along the distance to its pivot, ties by a hash of
+   the row. All distances of a region are taken at its coarsest number of classes, so the triangle
+   inequality holds: slices further apart than the link distance need not meet, and every pair of slices
+   that may is a region of its own.
 4. Regions are solved one by one: central documents become pivots, each with exact distances to all;
    what links to a pivot joins its star. Stars of different groups meet again only in the windows that
    the triangle inequality leaves: documents there become pivots in turn, until no window is left.
@@ -42,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import fan_out
+from corpusloom.ids import running_total
 from corpusloom.llm.shingles import batches_of, mixed, sets_of
 from corpusloom.session import materialize
 
@@ -213,6 +215,11 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def folded(outline: bytes, classes: int) -> np.ndarray:
+    """The counts of ``outline`` at a number of classes that divides its own."""
+    return np.frombuffer(outline, np.uint8).reshape(classes, -1).sum(1, dtype=np.int64)
+
+
 def reachable(n: np.ndarray, counts: list[np.ndarray], j: Join, chunk: int = 256) -> np.ndarray:
     """Which documents of a region have another one within reach, judged by their counts."""
     found = np.zeros(len(n), bool)
@@ -310,44 +317,45 @@ def solve(rows: np.ndarray, sets: list[np.ndarray], j: Join) -> list[tuple[int,
 def sliced(reach: DataFrame, members: DataFrame, j: Join) -> DataFrame:
     """``members`` (pivot, row, rank, n, outline) with ``part``: too large regions cut into pairs of slices.
 
-    Slices follow the difference of counts to the pivot's; pairs of slices that are further apart than
-    any link is long are left out.
+    Slices follow the difference of counts to the pivot's, at one number of classes for the whole region;
+    equal differences are cut by a hash of the row. Pairs of slices that are further apart than any link is
+    long are left out. A part has at most ``region_docs`` documents, whatever the size of the region.
     """
     large = reach.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > j.region_docs)
     large = materialize(large)
     if large.isEmpty():
-        return members.withColumn("part", F.lit(0))
+        return members.withColumn("part", F.lit(0).cast("long"))
+    classes = members.groupBy("pivot").agg(F.min(F.length("outline")).alias("classes"))
     hub = members.filter("pivot = rank").dropDuplicates(["pivot"]).select("pivot", F.col("outline").alias("hub"))
 
-    def to_hub(outline: pd.Series, hub: pd.Series) -> pd.Series:
-        pair = zip(outline, hub)
-        return pd.Series([int(gaps(np.frombuffer(a, np.uint8)[None], np.frombuffer(b, np.uint8)[None])[0, 0]) for a, b in pair])
+    def to_hub(outline: pd.Series, hub: pd.Series, classes: pd.Series) -> pd.Series:
+        return pd.Series([int(np.abs(folded(a, w) - folded(b, w)).sum()) for a, b, w in zip(outline, hub, classes)])
 
     placed = (
         members.join(large, "pivot")
         .join(hub, "pivot")
-        .withColumn("t", F.pandas_udf(to_hub, "long")("outline", "hub"))
-        .drop("hub")
+        .join(classes, "pivot")
+        .withColumn("t", F.pandas_udf(to_hub, "long")("outline", "hub", "classes"))
+        .withColumn("order", F.shiftleft("t", 20) + F.shiftrightunsigned(F.xxhash64("row"), 44))
+        .drop("hub", "classes")
     )
     placed = materialize(placed)
-    cuts = placed.groupBy("pivot").agg(
-        F.percentile_approx("t", [i / 64 for i in range(1, 64)], 10_000).alias("cuts")
-    )
-    count = F.least(F.lit(64), F.ceil(2 * F.col("docs") / j.region_docs)).cast("int")
-    slice_ = F.size(F.filter("cuts", lambda c: c < F.col("t"))) * count / 64
-    placed = placed.join(cuts, "pivot").withColumn("count", count).withColumn("slice", F.floor(slice_).cast("int"))
-    ranges = placed.groupBy("pivot", "slice").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("n").alias("most"))
+    ranked = running_total(placed.select("pivot", "row", "order", "docs"), "place", ["order", "row"], ["pivot"], spread="range")
+    count = F.ceil(2 * F.col("docs") / j.region_docs).cast("long")
+    slice_ = F.floor(F.col("place") * count / F.col("docs")).cast("long")
+    placed = placed.join(ranked.select("pivot", "row", count.alias("count"), slice_.alias("slice")), ["pivot", "row"])
+    ranges = placed.groupBy("pivot", "count", "slice").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("n").alias("most"))
     a, b = ranges.alias("a"), ranges.alias("b")
     most = F.greatest("a.most", "b.most")
     longest = F.lit(2 * (100 - j.percent)) * most / (100 + j.percent)
     pairs = a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.slice") <= F.col("b.slice"))).filter(
         F.col("b.low") - F.col("a.high") <= longest
     )
-    name = F.col("a.slice") * 64 + F.col("b.slice") + 1
+    name = F.col("a.slice") * F.col("a.count") + F.col("b.slice") + 1
     ends = F.array_distinct(F.array("a.slice", "b.slice"))
     pairs = pairs.select(F.col("a.pivot").alias("pivot"), F.explode(ends).alias("slice"), name.alias("part"))
     cut = placed.join(pairs, ["pivot", "slice"]).select(*members.columns, "part")
-    whole = members.join(large.select("pivot"), "pivot", "left_anti").withColumn("part", F.lit(0))
+    whole = members.join(large.select("pivot"), "pivot", "left_anti").withColumn("part", F.lit(0).cast("long"))
     return whole.unionByName(cut)
 
 
@@ -382,7 +390,7 @@ def near_members(members: DataFrame, j: Join) -> DataFrame:
                 yield pdf[["pivot", "part", "row"]][keep]
 
     rows = region_rows(members.select("pivot", "part", "row", "n", "outline"))
-    return rows.mapInPandas(run, "pivot long, part int, row long")
+    return rows.mapInPandas(run, "pivot long, part long, row long")
 
 
 def forest(members: DataFrame, j: Join) -> DataFrame:

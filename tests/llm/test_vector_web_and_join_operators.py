@@ -256,6 +256,28 @@ def test_jaccard_components_are_exact(spark, seed, j):
     assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
 
 
+def test_slices_of_a_large_region_keep_links_across_widths(spark):
+    """Linked sets on both sides of a number of classes (381 n-grams) meet in a part; parts stay small, ties too."""
+    j, rng = jaccard_voronoi.Join(region_docs=24), np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    sets, linked = [draw(407)], []
+    for _ in range(40):
+        large = draw(430)
+        linked.append((len(sets), len(sets) + 1))
+        sets += [large[:370], large]
+    tie = draw(407)
+    ties = range(len(sets), len(sets) + 60)
+    sets += [tie] * 60
+    rows = [(0, i, i, len(s), bytearray(jaccard_voronoi.class_counts(s).tobytes())) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "pivot long, row long, rank long, n long, outline binary")
+    parts, held = {}, {}
+    for r in jaccard_voronoi.sliced(members.select("pivot", "row"), members, j).collect():
+        parts.setdefault(r["part"], set()).add(r["row"])
+        held.setdefault(r["row"], set()).add(r["part"])
+    assert all(len(p) <= 24 for p in parts.values())
+    assert all(held[a] & held[b] for a, b in [*linked, *((a, b) for a in ties for b in ties)])
+
+
 def test_jaccard_edge_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e", "", ""), (None, "a b c d e", "", ""), (4, "a b c d e", "", ""), (4, None, "", "")], DOCS)
     got = [(r["doc_id"], r["component_id"]) for r in jaccard_voronoi.components(docs).collect()]

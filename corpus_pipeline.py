@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fan_out
 from corpusloom.llm import curriculum, jaccard_voronoi, prefix_bpe, secrets, weak_toxicity
 from corpusloom.llm.files import shared_folder
 from corpusloom.session import drop_copies, load, materialize, recorded_copies
@@ -77,16 +78,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them, to the nearest whole time, in order of first reading."""
+    """Documents as often as the mix reads them, to the nearest whole time, each reading at its own position.
+
+    Documents of size 0 have no words to read: the mix reads them no time, so they are not in the result.
+    """
     rows = numbered(docs)
     plan = curriculum.placed(rows, row_col="_row")
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    plan = plan.select(F.col("row").alias("_row"), F.col("position").alias("_position"), times.alias("_times")).filter("_times > 0")
+    readings = fan_out(plan, [F.col("row").alias("_row")], F.slice("positions", F.lit(1), times), "_position")
     return (
-        rows.join(plan, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .repartitionByRange("_position")
-        .sortWithinPartitions("_position")
+        rows.join(readings, "_row")
+        .repartitionByRange("_position", "_row")
+        .sortWithinPartitions("_position", "_row")
         .select(*docs.columns)
     )
 

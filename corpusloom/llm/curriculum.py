@@ -10,7 +10,7 @@ sums, slabs and rows of a slab, so that a source that holds a third of all rows
 The number of slabs follows from the number of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others;
-documents of size 0 are kept with nothing taken; an empty table gives an empty result; repeated ids
+documents of size 0 are kept with nothing taken and no position; an empty table gives an empty result; repeated ids
 are separate documents; other columns of the input are ignored.
 """
 
@@ -104,11 +104,12 @@ def placed(
     source_col: str = "source",
     row_col: str | None = None,
 ) -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken, position) of every document, in no order.
+    """(row, doc_id, size, source_size, target, taken, positions, position) of every document, in no order.
 
     ``taken`` counts the words read from the document, repeats included; at the end of a source's
-    demand a document may be read in part. ``position`` is the progress at which the document is
-    first read, null if it never is. ``row`` is ``row_col``, null without one.
+    demand a document may be read in part. ``positions`` has the progress at each reading, the whole
+    source lying between two readings of one document; ``position`` is the first of them, null if the
+    document is never read. ``row`` is ``row_col``, null without one.
     """
     sized = materialize(
         docs.select(
@@ -143,9 +144,16 @@ def placed(
     goal = F.round(F.col("target")).cast("long")
     rounds = F.when(whole > 0, F.floor(goal / whole)).otherwise(0)
     rest = goal - rounds * whole
-    share = at / F.greatest(F.col("target"), F.lit(1.0))
-    shapes = [inverse_schedule(share, s) for s in mix.schedules]
-    position = F.element_at(F.array(*shapes), F.col("turn") % len(shapes) + 1)
+    part = F.greatest(F.lit(0), F.least(size, rest - at))
+    readings = F.when(size > 0, rounds).otherwise(0) + (part > 0).cast("long")
+
+    def position(reading: Column) -> Column:
+        share = (at + reading * whole) / F.greatest(F.col("target"), F.lit(1.0))
+        shapes = [inverse_schedule(share, s) for s in mix.schedules]
+        return F.round(F.element_at(F.array(*shapes), F.col("turn") % len(shapes) + 1), 9)
+
+    none = F.array().cast("array<double>")
+    positions = F.when(readings > 0, F.transform(F.sequence(F.lit(0).cast("long"), readings - 1), position)).otherwise(none)
     return (
         rows.select(
             "row",
@@ -153,14 +161,13 @@ def placed(
             "size",
             "source_size",
             "target",
-            (size * rounds + F.greatest(F.lit(0), F.least(size, rest - at))).cast("long").alias("taken"),
-            F.round(position, 9).alias("first_at"),
+            (size * rounds + part).cast("long").alias("taken"),
+            positions.alias("positions"),
         )
-        .withColumn("position", F.when(F.col("taken") > 0, F.col("first_at")))
-        .drop("first_at")
+        .withColumn("position", F.get("positions", F.lit(0)))
     )
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position), sorted by position over the whole result."""
+    """(doc_id, size, source_size, target, taken, positions, position), sorted by first position over the whole result."""
     return placed(docs, mix, id_col, text_col, source_col).drop("row").orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -162,7 +162,7 @@ from taken
 
 @query("op6_curriculum_mix", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mixed(load(spark, sf_dir, "documents"))
+    return curriculum.mixed(load(spark, sf_dir, "documents")).drop("positions")
 
 
 @query("op7_bitplane_ids")

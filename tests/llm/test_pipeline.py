@@ -119,3 +119,11 @@ def test_near_copies_of_five_words_go(spark):
     assert 0.8 <= near(0, 1) < 0.85 and 0.8 <= near(0, 2) < 0.85 and 0.75 < near(3, 4) < 0.8
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 3, 4]
+
+
+def test_mix_spreads_the_readings_of_a_source(spark):
+    """A small source read three times is read whole before any of its documents comes again."""
+    rows = [(i, "one two three", "b" if i % 40 == 0 else "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect() if r["source"] == "b"]
+    assert len(small) == 30 and len(set(small[:10])) == 10 and small[:10] == small[10:20] == small[20:]

@@ -108,6 +108,26 @@ def test_curriculum_reaches_targets(spark, slab_rows):
     assert curriculum.mixed(documents(spark, [])).count() == 0
 
 
+def test_every_reading_has_its_position(spark):
+    """Words read up to each reading follow the schedule's integral, also where a source is read three times."""
+    rows = [(i, "w " * (i % 5 + 1), None, "a" if i % 40 else "b", 1, "", "", "") for i in range(1, 800)]
+    rows += [(1000, "", None, "b", 1, "", "", "")]
+    got = curriculum.mixed(spark.createDataFrame(rows, SCHEMA)).collect()
+    by_source = {}
+    for r in got:
+        assert len(r["positions"]) == -(-r["taken"] // r["size"] if r["size"] else 0) and r["position"] == (r["positions"] or [None])[0]
+        by_source.setdefault((r["source_size"], r["target"]), []).append(r)
+    (_, many), (least, few) = sorted(by_source.items(), reverse=True)
+    assert least[1] == 3 * least[0] and max(len(r["positions"]) for r in few) == 3
+    grid = np.linspace(0, 1, 20001)
+    for found, schedule in ((many, (3, 2, 1)), (few, (1, 1, 1))):
+        rate = np.interp(grid, [0, 0.5, 1], schedule)
+        area = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        read = sorted((p, r["size"] if k < r["taken"] // r["size"] else r["taken"] % r["size"]) for r in found for k, p in enumerate(r["positions"]))
+        words = np.cumsum([0] + [n for _, n in read])
+        assert np.allclose(words[:-1] / found[0]["target"], np.interp([p for p, _ in read], grid, area / area[-1]), atol=1e-3)
+
+
 def test_inverse_schedule(spark):
     shares = [i / 20 for i in range(21)]
     for schedule in [(3, 2, 1), (1, 1, 1), (1, 2, 3), (0.5, 4.0)]:

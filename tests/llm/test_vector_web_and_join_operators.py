@@ -190,6 +190,30 @@ def test_page_text(spark):
     assert html_suffix.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,kept",
+    [
+        ('<article style="overflow:hidden">text</article>', True),
+        ("<div style='overflow: hidden'>text</div>", True),
+        ('<div data-note="a hidden b">text</div>', True),
+        ('<div data-widget-id="nav" data-x-class=footer title="id=nav class=ads">text</div>', True),
+        ('<div data-role="dialog" data-hidden aria-hidden="false">text</div>', True),
+        ("<a href=/a?id=nav&hidden>text</a>", True),
+        ("<article><div class='entry-header'><h1>text</h1></div></article>", True),
+        ("<div class='entry-header'><h1>text</h1></div>", False),
+        ("<article><div class='entry-header share'>text</div></article>", False),
+        ("<div hidden>text</div>", False),
+        ("<div HIDDEN=''>text</div>", False),
+        ("<div title='x' aria-hidden = \"true\">text</div>", False),
+        ("<div title=x ID=nav>text</div>", False),
+        ("<div class=\"a nav\" role='main'>text</div>", False),
+        ("<div role=navigation>text</div>", False),
+    ],
+)
+def test_only_real_attributes_decide_the_zone(page, kept):
+    assert [t for z, t in html_suffix.page_blocks(page) if z != html_suffix.DROPPED] == (["text"] if kept else [])
+
+
 def test_page_text_of_hostile_markup():
     for page in ["<" * 5000, "<a " + 'x="' * 3000, "<!--" * 2000, "<div>" * 3000 + "x", "</p>" * 3000, "&#0;&#xffffffff;&bogus;"]:
         html_suffix.page_blocks(page)

@@ -121,7 +121,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_host_suffixes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_suffix.extract(load(spark, sf_dir, "pages"))
+    return html_suffix.extract(load(spark, sf_dir, "pages"), html_suffix.LONG)
 
 
 OP6_SQL = r"""

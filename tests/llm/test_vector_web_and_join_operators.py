@@ -214,6 +214,32 @@ def test_only_real_attributes_decide_the_zone(page, kept):
     assert [t for z, t in html_suffix.page_blocks(page) if z != html_suffix.DROPPED] == (["text"] if kept else [])
 
 
+def test_only_long_repeats_take_whole_blocks(spark):
+    """A host with many pages that share phrases, sentences and a long notice; copies of a page; a page of repeats only."""
+    draw = random.Random(2)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(8)) for i in range(30)]
+    notice = [" ".join(f"n{b}w{k}" for k in range(12)) for b in range(4)]
+    rows, want = [], {}
+    for i in range(300):
+        text = "  ".join(f"u{i}x{k} {draw.choice(phrases)}" for k in range(10))
+        last = f"{notice[0]} own{i}"
+        blocks = [text, *notice, last] if i % 3 else [text, last]
+        rows.append((i, None, "".join(f"<p>{b}</p>" for b in blocks), "", ""))
+        want[i] = [" ".join(text.split()) + "\n" + last]
+    rows += [(i + 1000, None, rows[i][2], "", "") for i in (0, 3, 6) for _ in range(2)]
+    want |= {i + 1000: want[i] * 2 for i in (0, 3, 6)}
+    rows.append((2000, None, "".join(f"<p>{b}</p>" for b in notice), "", ""))
+    want[2000] = ["\n".join(notice)]
+    got = {}
+    for r in html_suffix.extract(spark.createDataFrame(rows, PAGES), html_suffix.LONG).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    assert got == want
+    two = spark.createDataFrame([(i, "http://h.example/", rows[1][2], "", "") for i in (1, 2)], PAGES)
+    whole = "\n".join(html_suffix.page_blocks(rows[1][2])[k][1] for k in range(6))
+    for s in (html_suffix.Suffixes(), html_suffix.LONG):
+        assert [r["text"] for r in html_suffix.extract(two, s).collect()] == [whole] * 2
+
+
 def test_page_text_of_hostile_markup():
     for page in ["<" * 5000, "<a " + 'x="' * 3000, "<!--" * 2000, "<div>" * 3000 + "x", "</p>" * 3000, "&#0;&#xffffffff;&bogus;"]:
         html_suffix.page_blocks(page)

@@ -69,9 +69,10 @@ def voters_of(word: str, stems: tuple[int, ...]) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(text, label) of at most ``sample_rows`` labelled ids that are not held out.
+    """(text, label) of at most ``sample_rows`` labelled ids that are not held out: one row per id.
 
-    The ids are broadcast: their number is bounded by ``sample_rows``.
+    The ids are broadcast: their number is bounded by ``sample_rows``. Of the documents of a repeated id the
+    smallest text counts, chosen within each task before it moves.
     """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -81,7 +82,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
         .limit(s.sample_rows)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return materialize(found.select("text", "label"))
 
 
 def candidate_voters(sample: DataFrame, s: Settings) -> list[str]:

@@ -222,6 +222,19 @@ def test_toxicity_on_held_out_texts(spark):
     assert weak_toxicity.fit(docs, other) == model  # held-out labels play no part
 
 
+def test_toxicity_sample_has_one_row_per_id(spark):
+    """An id that many documents repeat counts once, with its smallest text, so the bound is one of rows."""
+    rows, labels = toxic_corpus(60)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hot = kept[0]
+    docs = spark.createDataFrame(rows + [(hot, f"!copy {k}", "en", "s", 0, "", "", "") for k in range(500)], SCHEMA).repartition(5)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = {i: t for i, t, *_ in rows} | {hot: "!copy 0"}
+    found = weak_toxicity.labelled_sample(docs, marks, weak_toxicity.Settings()).collect()
+    assert sorted((r["text"], r["label"]) for r in found) == sorted((texts[i], int(i % 6 == 0)) for i in kept)
+    assert weak_toxicity.labelled_sample(docs, marks, weak_toxicity.Settings(sample_rows=20)).count() == 20
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = weak_toxicity.fit(documents(spark), none)

@@ -12,11 +12,14 @@ from corpusloom.llm import (
     arc_convert,
     bitplane,
     curriculum,
+    filter_audit,
     html_suffix,
+    infill,
     jaccard_voronoi,
     one_bit_ann,
     prefix_bpe,
     secrets,
+    url_rules,
     voronoi_knn,
     weak_toxicity,
 )
@@ -212,3 +215,103 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= settings.threshold).cast("int").alias("predicted"),
     )
+
+
+OP11_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') units,
+         list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), i, 8) as bigint)) h
+  from documents),
+cuts as (
+  select doc_id, t, units, len(units) n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) a,
+         greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain'
+              when h[4] % 100 < 50 then 'spm' else 'psm' end form
+  from docs),
+parts as (
+  select doc_id, t, n, form, array_to_string(units[1:a], '') p, array_to_string(units[a + 1:b], '') m, array_to_string(units[b + 1:], '') s from cuts)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256,
+       sha256(t) restored_sha256
+from parts
+"""
+
+
+@query("op11_fenwick_infill", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(load(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+with recursive known as (
+  select doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic from labels group by doc_id),
+docs as (
+  select d.doc_id, coalesce(d.source, '') part, coalesce(d.text, '') t,
+         regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') w, coalesce(k.good, false) good, coalesce(k.toxic, false) toxic
+  from documents d left join known k using (doc_id)),
+masks as (
+  select part, good, toxic,
+         (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+         + 16 * coalesce(min(doc_id) over (partition by t) < doc_id, false)::int mask
+  from docs),
+counted as (select part, mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from masks group by 1, 2),
+orders(o) as (
+  select '' union all
+  select o || l from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) x(l) where length(o) < 5 and not contains(o, l)),
+steps as (
+  select o filter_order, s step, 1 << (strpos('ABCDE', o[s:s]) - 1)::int bit,
+         coalesce(list_sum(list_transform(generate_series(1, s - 1), lambda i: 1 << (strpos('ABCDE', o[i:i]) - 1)::int)), 0)::int gone
+  from orders, (select unnest(generate_series(1, 5))::int s) where length(o) = 5)
+select part, filter_order, step,
+       coalesce(sum(n) filter (mask & (bit | gone) = 0), 0)::bigint kept,
+       coalesce(sum(n) filter (mask & bit > 0 and mask & gone = 0), 0)::bigint removed,
+       coalesce(sum(n) filter (mask & bit > 0 and mask & gone > 0), 0)::bigint redundant,
+       coalesce(sum(n) filter (mask = bit), 0)::bigint unique_fails,
+       coalesce(sum(good) filter (mask & bit > 0 and mask & gone = 0), 0)::bigint good_lost,
+       coalesce(sum(toxic) filter (mask & bit > 0 and mask & gone = 0), 0)::bigint toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) filter (mask & bit > 0), 0)::bigint shapley
+from counted, steps group by part, filter_order, step
+"""
+
+
+@query("op12_retraction_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
+
+
+# Host, path and verdict of the rules.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+OP13_SQL = r"""
+with cut as (
+  select page_id, case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') else '' end rest from pages),
+parts as (
+  select page_id, translate(split_part(coalesce(rest, ''), '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+         substr(coalesce(rest, ''), length(split_part(coalesce(rest, ''), '/', 1)) + 1) path from cut),
+rules(h, p, v) as (values """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+judged as (
+  select r, max_by(h || p, length(h || p)) rule, max_by(v, length(h || p)) verdict
+  from (select row_number() over () r, * from parts) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by r)
+select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from (select row_number() over () r, * from parts) left join judged using (r)
+"""
+
+
+@query("op13_sorted_digests", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(load(spark, sf_dir, "pages"), url_rules.build(rules))

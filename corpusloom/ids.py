@@ -4,13 +4,17 @@
 group holds a large share of the table. Every function here works in two levels instead:
 
 1. rows are cut into consecutive *slabs* along the order key, so (group, slab) is bounded;
-2. one small aggregate gives each slab's total, a window over those totals gives its offset, and
-   a window inside each slab gives the local position.
+2. an aggregate gives each slab's total; slabs stand in a tree whose nodes have at most ``FAN``
+   children, windows over the children of a node give their offsets, from the root down, and a window
+   inside each slab gives the local position.
+
+The depth of the tree follows from the span of the slabs, so sparse keys, which may leave one row in a
+slab, still never bring more than ``FAN`` totals of a group into one window.
 
 How slabs are cut is the ``spread`` argument:
 
 * ``dense``  - the key is an integer id or position; a slab is ``slab`` consecutive values;
-* ``hash``   - the key is a 60-bit value of :func:`seeded_key`; a slab is its leading bits;
+* ``hash``   - the key is a 60-bit value of :func:`seeded_key`; a slab is its leading 16 bits;
 * ``range``  - any numeric key; slab bounds are quantiles found by one aggregate, and a value so
   frequent that it fills whole slabs is cut again along the tie-breaking id.
 """
@@ -21,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 60
-SLAB_BITS = 12
+SLAB_BITS = 16
+FAN = 4096
 
 
 def seeded_key(seed: int, *cols: str | Column) -> Column:
@@ -42,6 +47,44 @@ def seeded_unit(seed: int, *cols: str | Column) -> Column:
     return F.pmod(seeded_key(seed, *cols), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
+# Fixed values of the permutation: rounds, and the multiplier, shift and width of its round function.
+ROUNDS, MULTIPLIER, SHIFT, WIDTH = 4, 2654435761, 13, 1 << 30
+WALKS = 24
+
+
+def permutation_keys(seed: int, *cols: str | Column) -> Column:
+    """The key of a permutation per row, for :func:`permuted`."""
+    return F.array(*[F.pmod(seeded_key(seed, F.lit(i), *cols), F.lit(WIDTH)) for i in range(ROUNDS)])
+
+
+def permuted(at: Column, n: Column, keys: Column) -> Column:
+    """Where position ``at`` of 0..n-1 goes under the permutation of 0..n-1 that ``keys`` names.
+
+    The j-th of so many draws without replacement is the image of j: it is computed, nothing is ranked.
+    Positions are pairs (at mod a, at div a) with a * b >= n and both near the root of n; each round adds a hash
+    of one half to the other, which is a permutation of the pairs. Images of n or more are sent on until
+    they fall below; there are fewer than ``a`` such pairs, so a few steps do.
+    """
+    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("long"), F.lit(1))
+    b = F.ceil(n / a).cast("long")
+
+    def mixed(half: Column, key: Column, size: Column) -> Column:
+        return F.pmod(F.shiftright(F.pmod(half + key, F.lit(WIDTH)) * MULTIPLIER, SHIFT), size)
+
+    def once(x: Column) -> Column:
+        numbered = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+        pair = F.struct(F.pmod(x, a).alias("l"), F.floor(x / a).cast("long").alias("r"))
+
+        def step(p: Column, k: Column) -> Column:
+            left = F.struct(F.pmod(p["l"] + mixed(p["r"], k["k"], a), a).alias("l"), p["r"].alias("r"))
+            right = F.struct(p["l"].alias("l"), F.pmod(p["r"] + mixed(p["l"], k["k"], b), b).alias("r"))
+            return F.when(k["i"] % 2 == 0, left).otherwise(right)
+
+        return F.aggregate(numbered, pair, step, lambda p: p["r"] * a + p["l"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(at), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+
+
 def _quantile_bounds(df: DataFrame, key: Column, slabs: int) -> list[float]:
     probabilities = [i / slabs for i in range(1, slabs)]
     row = df.agg(F.percentile_approx(key.cast("double"), probabilities, 10_000).alias("q")).first()
@@ -91,36 +134,55 @@ def running_total(
     """
     keys = list(keys or [])
     weight = F.lit(1).cast("long") if weight is None else weight
-    names = [f"_slab{i}" for i in range(2)]
     cols = _slab_columns(df, order, spread, slab)
-    names = names[: len(cols)]
-    staged = df.select("*", *[c.alias(n) for c, n in zip(cols, names)], weight.alias("_w"))
-    totals = staged.groupBy(*keys, *names).agg(F.sum("_w").alias("_slab_sum"))
+    names = [f"_slab{i}" for i in range(len(cols))]
+    # a struct of the keys compares null as equal and keeps the window's partitioning usable for the join
+    group = F.struct(*keys) if keys else F.lit(0)
+    staged = df.select("*", group.alias("_grp"), *[c.alias(n) for c, n in zip(cols, names)], weight.alias("_w"))
+    levels = 0 if spread == "range" else _levels(df, cols[0], spread)
+    totals = staged.groupBy("_grp", *names).agg(F.sum("_w").alias("_slab_sum"))
+    offsets = _offsets(totals, names, levels, descending)
     direction = (lambda c: F.col(c).desc()) if descending else F.col
-    group = [F.col(k) for k in keys] or [F.lit(0)]
-    before = Window.partitionBy(*group).orderBy(*[direction(n) for n in names])
-    whole = Window.partitionBy(*group)
-    offsets = totals.select(
-        *keys,
-        *names,
-        (F.sum("_slab_sum").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_slab_sum")).alias("_off"),
-        F.sum("_slab_sum").over(whole).alias("_all"),
-    )
-    inside = Window.partitionBy(*keys, *names).orderBy(*[direction(o) for o in order])
+    inside = Window.partitionBy("_grp", *names).orderBy(*[direction(o) for o in order])
     local = staged.withColumn(
         "_loc", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
     )
-    left, right = local.alias("l"), offsets.alias("r")
-    cond = F.lit(True)
-    for name in keys:
-        cond = cond & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    for name in names:
-        cond = cond & (F.col(f"l.{name}") == F.col(f"r.{name}"))
-    picked = [F.col(f"l.`{c}`").alias(c) for c in df.columns]
-    extra = [F.col("r._all").alias(total)] if total else []
-    return left.join(right, cond, "inner").select(
-        *picked, (F.col("l._loc") + F.col("r._off")).alias(out), *extra
-    )
+    found = local.join(offsets, ["_grp", *names])
+    extra = [F.col("_all").alias(total)] if total else []
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_loc") + F.col("_off")).alias(out), *extra)
+
+
+def _levels(df: DataFrame, slab: Column, spread: str) -> int:
+    """How many levels of inner nodes bring the slabs down to ``FAN`` under the root."""
+    if spread == "hash":
+        span = 1 << SLAB_BITS
+    else:
+        low, high = df.agg(F.min(slab), F.max(slab)).first()
+        span = 1 if low is None else high - low + 1
+    levels = 0
+    while span > FAN:
+        span, levels = -(-span // FAN) + 1, levels + 1
+    return levels
+
+
+def _offsets(totals: DataFrame, names: list[str], levels: int, descending: bool) -> DataFrame:
+    """(_grp, slabs, _off, _all) of every slab: what lies before it in its group, and the group's sum."""
+    direction = (lambda c: F.col(c).desc()) if descending else F.col
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    nodes = [totals]
+    for _ in range(levels):
+        parents = nodes[-1].withColumn(names[0], F.floor(F.col(names[0]) / FAN))
+        nodes.append(parents.groupBy("_grp", names[0]).agg(F.sum("_slab_sum").alias("_slab_sum")))
+    top = Window.partitionBy("_grp")
+    before = F.sum("_slab_sum").over(up_to(top.orderBy(*[direction(n) for n in names]))) - F.col("_slab_sum")
+    found = nodes[-1].select("_grp", *names, before.alias("_off"), F.sum("_slab_sum").over(top).alias("_all"))
+    for level in reversed(nodes[:-1]):
+        above = found.select("_grp", F.col(names[0]).alias("_up"), F.col("_off").alias("_base"), "_all")
+        children = level.withColumn("_up", F.floor(F.col(names[0]) / FAN))
+        siblings = up_to(Window.partitionBy("_grp", "_up").orderBy(direction(names[0])))
+        children = children.withColumn("_before", F.sum("_slab_sum").over(siblings) - F.col("_slab_sum"))
+        found = children.join(above, ["_grp", "_up"]).select("_grp", *names, (F.col("_base") + F.col("_before")).alias("_off"), "_all")
+    return found
 
 
 def dense_ids(df: DataFrame, key: str, out: str = "nid", spread: str = "dense", slab: int = 65536) -> DataFrame:

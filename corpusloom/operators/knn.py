@@ -8,6 +8,7 @@ final merge ranks a bounded number of rows per query.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,34 @@ def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str)
     return out
 
 
+def _block_search(want: int, metric: str, query_rows: int):
+    """Best ``want`` rows of the right block for every row of the left one; both have (id, v)."""
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
+        if left.empty or right.empty:
+            return empty
+        right = right.sort_values("id")
+        cids = right["id"].to_numpy()
+        cmat = np.stack(right["v"].to_numpy()).astype(float)
+        outs = []
+        for i in range(0, len(left), query_rows):
+            part = left.iloc[i : i + query_rows]
+            best = _nearest(np.stack(part["v"].to_numpy()).astype(float), cmat, cids, want, metric)
+            outs.append(
+                pd.DataFrame(
+                    {
+                        "query_id": np.repeat(part["id"].to_numpy(), [len(ids) for ids, _ in best]),
+                        "neighbor_id": np.concatenate([ids for ids, _ in best]),
+                        "score": np.concatenate([scores for _, scores in best]),
+                    }
+                )
+            )
+        return pd.concat(outs)
+
+    return block
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -85,33 +114,15 @@ def knn(
         F.pmod(F.xxhash64(corpus_id), F.lit(c_blocks)).cast("int").alias("cb"),
     ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("id")
-        cids = right["id"].to_numpy()
-        cmat = np.stack(right["v"].to_numpy()).astype(float)
-        outs = []
-        for i in range(0, len(left), query_rows):
-            part = left.iloc[i : i + query_rows]
-            best = _nearest(np.stack(part["v"].to_numpy()).astype(float), cmat, cids, want, metric)
-            outs.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(part["id"].to_numpy(), [len(ids) for ids, _ in best]),
-                        "neighbor_id": np.concatenate([ids for ids, _ in best]),
-                        "score": np.concatenate([scores for _, scores in best]),
-                    }
-                )
-            )
-        return pd.concat(outs)
-
     partial = (
         qs.groupBy("qb", "cb")
         .cogroup(cs.groupBy("qb", "cb"))
-        .applyInPandas(block, "query_id long, neighbor_id long, score double")
+        .applyInPandas(_block_search(want, metric, query_rows), "query_id long, neighbor_id long, score double")
     )
+    return _ranked(partial, k, metric, exclude_self)
+
+
+def _ranked(partial: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     if exclude_self:
         partial = partial.filter(F.col("query_id") != F.col("neighbor_id"))
     ranked = top_per_group(partial, ["query_id"], [F.col("score"), F.col("neighbor_id")], k, out="rank")
@@ -119,30 +130,126 @@ def knn(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", score.alias("score"))
 
 
-def knn_approximate(
-    queries: DataFrame, corpus: DataFrame, k: int, dims: int, tables: int = 8, bits: int = 12, seed: int = 7, **cols: str
-) -> DataFrame:
-    """Approximate L2 search: candidates share a random-hyperplane bucket in one of several tables.
+@dataclass(frozen=True)
+class Lists:
+    """A coarse quantizer: ``centres`` and the corpus rows (id, v, list), with the size of every list."""
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    rows: DataFrame
+    metric: str
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """All lists per vector, the most promising first."""
+        near = -(vectors @ self.centres.T)
+        if self.metric == "L2":
+            near = (self.centres**2).sum(1)[None, :] + 2.0 * near
+        return np.argsort(near, axis=1, kind="stable")
+
 
-    Scores of the candidates are exact; neighbours outside every shared bucket are missed.
+def inverted_lists(
+    corpus: DataFrame,
+    metric: str = "L2",
+    corpus_id: str = "vec_id",
+    vector: str = "embedding",
+    most_lists: int = 4096,
+    sample_rows: int = 50_000,
+    rounds: int = 10,
+    seed: int = 7,
+) -> Lists:
+    """Lists around centres fitted to at most ``sample_rows`` rows; every row is in the list of its nearest centre.
+
+    There are about as many lists as rows in a list, up to ``most_lists``, which with ``sample_rows`` bounds
+    what the driver holds.
+    """
+    rows = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).alias("v"))
+    n = rows.count()
+    picked = rows.orderBy(seeded_key(seed, "id"), "id").limit(sample_rows)  # a bounded heap per task
+    sample = np.stack(picked.toPandas()["v"].to_numpy()).astype(float) if n else np.zeros((1, 1))
+    count = max(1, min(math.isqrt(n), most_lists, len(sample)))
+    centres = sample[np.linspace(0, len(sample) - 1, count).astype(int)]
+    for _ in range(rounds):
+        home = np.argmin((centres**2).sum(1)[None, :] - 2.0 * sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, sample)
+        held = np.bincount(home, minlength=count)
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+
+    @F.pandas_udf("int")
+    def home_of(col: pd.Series) -> pd.Series:
+        v = np.stack(col.to_numpy()).astype(float)
+        return pd.Series(np.argmin((centres**2).sum(1)[None, :] - 2.0 * v @ centres.T, axis=1))
+
+    placed = materialize(rows.withColumn("list", home_of("v")))
+    sizes = np.zeros(count, np.int64)
+    for row in placed.groupBy("list").count().collect():  # one row per list
+        sizes[row["list"]] = row["count"]
+    return Lists(centres, sizes, placed, metric)
+
+
+def lists_needed(lists: Lists, queries: DataFrame, k: int, recall: float, exclude_self: bool, sample: int, **cols: str) -> tuple[int, float]:
+    """How many lists to probe for ``recall``, and the recall measured with them.
+
+    ``sample`` queries are answered exactly. A true neighbour is found if its list is among the first
+    ones of its query, so the place of that list says how many lists it needs.
+    """
+    query_id, vector = cols.get("query_id", "query_id"), cols.get("vector", "embedding")
+    some = sample_queries(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v")), sample, "query_id", 11)
+    some = materialize(some)
+    true = knn(some, lists.rows, k, lists.metric, "query_id", "id", "v", exclude_self)
+    found = true.join(lists.rows.select(F.col("id").alias("neighbor_id"), "list"), "neighbor_id").join(some, "query_id")
+    found = found.select("v", "list").toPandas()  # sample * k rows
+    if found.empty:
+        return 1, 1.0
+    order = lists.order(np.stack(found["v"].to_numpy()).astype(float))
+    place = np.sort((order == found["list"].to_numpy()[:, None]).argmax(axis=1))
+    probes = int(place[math.ceil(recall * len(place)) - 1]) + 1
+    return probes, float((place < probes).mean())
+
+
+def knn_approximate(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    metric: str = "L2",
+    recall: float = 0.95,
+    exclude_self: bool = True,
+    sample: int = 200,
+    block_rows: int = 20_000,
+    query_rows: int = 1024,
+    **cols: str,
+) -> tuple[DataFrame, float]:
+    """The nearest neighbours found in the inverted lists that each query probes, and the recall on a sample.
+
+    The number of lists is what brings the recall of ``sample`` exactly answered queries to ``recall``; a
+    query whose lists hold fewer than ``k`` rows probes further ones until they do, so every query gets
+    ``k`` rows if the corpus has them. Candidates are scored exactly in double precision, ties by id.
+    Lists and the queries that probe them are cut into blocks of about ``block_rows``.
     """
-    query_id, corpus_id = cols.get("query_id", "query_id"), cols.get("corpus_id", "vec_id")
-    vector = cols.get("vector", "embedding")
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dims))
-
-    @F.pandas_udf("array<long>")
-    def buckets(col: pd.Series) -> pd.Series:
-        mat = np.stack(col.to_numpy()).astype(float)
-        signs = np.einsum("tbd,nd->ntb", planes, mat) > 0
-        codes = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-        return pd.Series(list(codes * tables + np.arange(tables)))
-
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"), F.explode(buckets(vector)).alias("b"))
-    c = corpus.select(F.col(corpus_id).alias("neighbor_id"), F.col(vector).alias("cv"), F.explode(buckets(vector)).alias("b"))
-    scored = q.join(c, "b").select("query_id", "neighbor_id", V.squared_l2("qv", "cv").alias("score"))
-    scored = scored.filter(F.col("query_id") != F.col("neighbor_id")).dropDuplicates(["query_id", "neighbor_id"])
-    return top_per_group(scored, ["query_id"], [F.col("score"), F.col("neighbor_id")], k, out="rank")
+    query_id, vector = cols.get("query_id", "query_id"), cols.get("vector", "embedding")
+    lists = inverted_lists(corpus, metric, cols.get("corpus_id", "vec_id"), vector)
+    probes, measured = lists_needed(lists, queries, k, recall, exclude_self, sample, query_id=query_id, vector=vector)
+    want = k + 1 if exclude_self else k
+    order, sizes = replace(lists, rows=None).order, lists.sizes
+
+    @F.pandas_udf("array<int>")
+    def probed(col: pd.Series) -> pd.Series:
+        near = order(np.stack(col.to_numpy()).astype(float))
+        enough = (np.cumsum(sizes[near], axis=1) < want).sum(axis=1) + 1
+        return pd.Series([row[: max(probes, n)].astype(np.int32) for row, n in zip(near, enough)])
+
+    q_blocks = queries.count() * probes // (len(sizes) * block_rows) + 1
+    per_list = F.array(*[F.lit(int(-(-n // block_rows)) or 1) for n in sizes])
+    qs = fan_out(queries, [F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v")], probed(vector), "list")
+    qs = qs.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    qs = qs.withColumn("cb", F.explode(F.sequence(F.lit(0), F.get(per_list, F.col("list")) - 1)))
+    cs = lists.rows.withColumn("cb", F.pmod(F.xxhash64("id"), F.get(per_list, F.col("list")).cast("long")).cast("int"))
+    cs = cs.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    key = ["list", "qb", "cb"]
+    partial = qs.groupBy(*key).cogroup(cs.groupBy(*key)).applyInPandas(
+        _block_search(want, metric, query_rows), "query_id long, neighbor_id long, score double"
+    )
+    return _ranked(partial, k, metric, exclude_self), measured
 
 
 def exclude_self(neighbors: DataFrame, k: int) -> DataFrame:

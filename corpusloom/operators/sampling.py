@@ -5,13 +5,12 @@ Randomness is always a hash of (seed, keys): the same rows for any partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.ids import running_total, seeded_key, seeded_unit, shuffled_ids, top_per_group
+from corpusloom.ids import permutation_keys, permuted, running_total, seeded_key, seeded_unit, shuffled_ids, top_per_group
+from corpusloom.operators.folds import greedy_groups
+from corpusloom.session import materialize
 
 
 def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -104,20 +103,37 @@ def demos_shared(
     Every try is its own seeded draw of ``shot`` rows (``ceil(shot / labels)`` per label when
     balanced). The first try within the token budget wins. After ``tries`` failures the shot number
     falls by one per further try, down to one; a group without any fitting set has no rows.
+
+    Draws are positions: the j-th of a try is the image of j under the try's own permutation of the pool, so
+    the pool is numbered and joined once, whatever the number of tries.
     """
+    parts = [*keys, *([label] if label else [])]
     all_tries = tries + max(shot - 1, 0)
-    numbered = pool.select(*keys, *([label] if label else []), "id", "n", F.explode(F.sequence(F.lit(0), F.lit(all_tries - 1))).alias("try"))
+    placed = running_total(pool.select(*parts, "id", "n"), "at", ["id"], keys=parts)
+    sizes = pool.groupBy(*parts).agg(F.count(F.lit(1)).alias("_size"))
     want = F.when(F.col("try") < tries, F.lit(shot)).otherwise(F.lit(shot + tries - 1) - F.col("try"))
-    order = [seeded_key(seed, "try", "id"), F.col("id")]
     if label:
-        n_labels = pool.groupBy(*keys).agg(F.count_distinct(label).alias("_l"))
-        ranked = top_per_group(numbered, [*keys, "try", label], order, shot, out="_r").join(F.broadcast(n_labels), keys)
-        drawn = ranked.filter(F.col("_r") <= F.ceil(want / F.col("_l"))).drop("_l")
-    else:
-        drawn = top_per_group(numbered, [*keys, "try"], order, shot, out="_r").filter(F.col("_r") <= want)
+        labels = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+        sizes = _null_safe(sizes, labels, keys)
+        want = F.ceil(want / F.col("_l"))
+    draws = sizes.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(all_tries - 1))))
+    draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(want, F.col("_size")).cast("int") - 1)))
+    names = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
+    at = permuted(F.col("_j").cast("long"), F.col("_size"), permutation_keys(seed, *names, "try"))
+    draws = draws.select(*parts, "try", at.alias("at"))
+    drawn = _null_safe(draws, placed, [*parts, "at"]).select(*keys, "try", "id", "n")
     fits = drawn.groupBy(*keys, "try").agg(F.sum("n").alias("_s")).filter(F.col("_s") <= budget)
     first = fits.groupBy(*keys).agg(F.min("try").alias("try"))
-    return drawn.join(first, [*keys, "try"], "left_semi").select(*keys, "id", "n", "try")
+    return _null_safe(drawn, first, [*keys, "try"]).select(*keys, "id", "n", "try")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    rest = [F.col(f"r.`{c}`") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), cond).select(*[F.col(f"l.`{c}`") for c in left.columns], *rest)
 
 
 def epoch_index(df: DataFrame, epochs: int, most: int, seed: int, keys: list[str], id_col: str = "id") -> DataFrame:
@@ -230,37 +246,24 @@ def sortish_batches(df: DataFrame, size: int, seed: int, length: str, id_col: st
     return rows.join(placed.select("_raw", "batch"), "_raw").select("id", "len", "batch", F.col("_place").alias("place"))
 
 
-def token_budget_batches(df: DataFrame, budget: int, length: str, id_col: str, multiple: int = 64) -> DataFrame:
-    """(id, len, part, batch): batches of similar lengths whose padded size stays within ``budget``.
+def token_budget_batches(
+    df: DataFrame, budget: int, length: str, id_col: str, multiple: int = 64, unit_rows: int = 50_000
+) -> DataFrame:
+    """(id, len, batch): batches of similar lengths whose padded size stays within ``budget``, numbered from 0.
 
-    Rows are range-partitioned by length, so each task folds a contiguous stretch of the sorted
-    order, longest first; a batch holds a multiple of ``multiple`` rows, or fewer than that.
+    Rows stand longest first, ids breaking ties. A batch's first row is its longest, so it sets the number of
+    rows: as many as fit the budget, brought down to a multiple of ``multiple`` if it is above that. The
+    batches are those of one pass; units are ranges of the order of about ``unit_rows`` rows.
     """
-    cols = df.select(F.col(id_col).cast("long").alias("id"), F.col(length).cast("long").alias("len"))
-    ordered = cols.repartitionByRange(F.desc("len"), F.col("id")).sortWithinPartitions(F.desc("len"), "id")
-    ordered = ordered.withColumn("part", F.spark_partition_id())
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ident, start, longest = 0, 0, 0
-        pending: list[tuple[int, int, int]] = []
-
-        def cut(rows: list[tuple[int, int, int]]) -> int:
-            n = max(1, budget // max(rows[0][1], 1))
-            return n if n < multiple else n - n % multiple
-
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                pending.append((row.id, row.len, row.part))
-                if len(pending) == cut(pending):
-                    out += [(*r, ident) for r in pending]
-                    ident += 1
-                    pending = []
-            yield pd.DataFrame(out, columns=["id", "len", "part", "batch"])
-        if pending:
-            yield pd.DataFrame([(*r, ident) for r in pending], columns=["id", "len", "part", "batch"])
-
-    return ordered.mapInPandas(fold, "id long, len long, part int, batch int")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(length).cast("long").alias("len"))
+    units = rows.count() // unit_rows + 1
+    ranged = rows.repartitionByRange(units, F.desc("len"), F.col("id"))
+    ranged = materialize(ranged.withColumn("unit", F.spark_partition_id()))
+    n = F.greatest(F.floor(F.lit(budget) / F.greatest("len", F.lit(1))), F.lit(1))
+    n = F.when(n < multiple, n).otherwise(n - n % multiple)
+    none = F.lit(0)
+    made = greedy_groups(ranged, (F.lit(1), none), (n - 1, none), F.col("unit"), [-F.col("len"), F.col("id")], F.col("id"))
+    return rows.join(made.select(F.col("place").alias("id"), F.col("grp").alias("batch")), "id")
 
 
 def assign_workers(df: DataFrame, workers: int, key: str) -> DataFrame:

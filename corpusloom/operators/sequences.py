@@ -15,6 +15,7 @@ from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
 from corpusloom.ids import running_total, seeded_key, top_per_group
+from corpusloom.operators.folds import greedy_groups
 
 MAX_BROADCAST_VOCAB = 2_000_000
 
@@ -206,28 +207,20 @@ def trim_pad(df: DataFrame, batch: str, pad_id: int, tokens: str = "tokens") ->
 def pack_pairs(pairs: DataFrame, limit: int, order: str = "id", unit: int = 10_000, joiner: str = " ") -> DataFrame:
     """Join consecutive pairs until either side would exceed ``limit`` tokens.
 
-    The fold is sequential inside a unit of ``unit`` consecutive ids and never crosses units, so
-    units are processed independently. Columns: id, src, tgt, src_tokens, tgt_tokens.
+    The packs are those of one pass over all pairs in order of the unique ``order``; ``unit`` bounds the
+    pairs that one task holds (see :mod:`corpusloom.operators.folds`). Only numbers go through the fold; the
+    texts move once, to their pack. Columns: id, src, tgt, src_tokens, tgt_tokens.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        held = None
-        for row in pdf.sort_values(order).itertuples(index=False):
-            ident, src, tgt = getattr(row, order), row.src, row.tgt
-            a, b = row.src_tokens, row.tgt_tokens
-            if held and held[3] + a <= limit and held[4] + b <= limit:
-                held = [held[0], held[1] + joiner + src, held[2] + joiner + tgt, held[3] + a, held[4] + b]
-            else:
-                if held:
-                    rows.append(held)
-                held = [ident, src, tgt, a, b]
-        if held:
-            rows.append(held)
-        return pd.DataFrame(rows, columns=["id", "src", "tgt", "src_tokens", "tgt_tokens"])
-
-    kept = pairs.select(order, "src", "tgt", "src_tokens", "tgt_tokens", F.floor(F.col(order) / unit).alias("_u"))
-    return kept.groupBy("_u").applyInPandas(fold, "id long, src string, tgt string, src_tokens long, tgt_tokens long")
+    a, b = F.col("src_tokens").cast("long"), F.col("tgt_tokens").cast("long")
+    placed = running_total(pairs.select(order, "src_tokens", "tgt_tokens"), "_at", [order])
+    packs = greedy_groups(placed, (a, b), (limit - a, limit - b), F.floor(F.col("_at") / unit), [F.col("_at")], F.col(order))
+    rows = pairs.join(packs.select(F.col("place").alias(order), "start"), order)
+    one = F.struct(F.col(order).alias("o"), "src", "tgt")
+    lists = rows.groupBy("start").agg(F.array_sort(F.collect_list(one)).alias("_l"), F.sum("src_tokens").alias("a"), F.sum("tgt_tokens").alias("b"))
+    side = lambda name: F.array_join(F.transform("_l", lambda r: r[name]), joiner)
+    return lists.select(
+        F.col("start").alias("id"), side("src").alias("src"), side("tgt").alias("tgt"), F.col("a").alias("src_tokens"), F.col("b").alias("tgt_tokens")
+    )
 
 
 def save_lengths(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -7,13 +7,15 @@ never explodes into all of its position pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import vectors as V
-from corpusloom.ids import top_per_group
+from corpusloom.ids import running_total, top_per_group
+from corpusloom.session import materialize
 
 
 
@@ -427,33 +429,51 @@ def fill_top_k(probs: DataFrame, k: int, targets: DataFrame | None = None, keys:
     return top_per_group(scored, keys, [F.desc("score"), F.col("token")], k, out="rank")
 
 
-def merge_overlaps(chunks: DataFrame, key: str, order: str = "ord", tokens: str = "tokens", special: list[int] | None = None) -> DataFrame:
-    """Stitch the ordered chunks of one item by their best suffix/prefix match.
+def merge_overlaps(
+    chunks: DataFrame, key: str, order: str = "ord", tokens: str = "tokens", special: list[int] | None = None
+) -> DataFrame:
+    """(key, order, offset, tokens): what each chunk adds to its item, and where in the merged item it stands.
+
+    A chunk adds what follows its overlap with its neighbour before it. The overlap is the length, from 1 to
+    the shorter of both, with the largest share of positions where the neighbour's end and the chunk's
+    beginning agree, plus a ten-thousandth per position; at least two must agree, and the shorter wins ties.
 
-    For every overlap length the share of equal positions plus a small bonus for length is compared;
-    at least two equal positions are needed. One item's chunks are one group.
+    All borders are compared at once, each with its own neighbour, and offsets are running totals: no
+    item is ever in one task. :func:`merged_items` puts the pieces of an item together.
     """
-    drop = set(special or [])
-
-    def best(left: np.ndarray, right: np.ndarray) -> int:
-        at, top = 0, 0.0
-        for n in range(1, min(len(left), len(right)) + 1):
-            same = int(np.count_nonzero(left[len(left) - n :] == right[:n]))
-            value = same / n + n / 10000.0
-            if same > 1 and value > top:
-                at, top = n, value
-        return at
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged: list[int] = []
-        for i, toks in enumerate(pdf.sort_values(order)[tokens]):
-            clean = np.asarray([t for t in toks if t not in drop] if drop else toks)
-            start = best(np.asarray(merged[-len(clean) :]), clean) if i and len(clean) else 0
-            merged.extend(clean[start:].tolist())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], tokens: [merged]})
-
-    kind = chunks.schema[key].dataType.simpleString()
-    return chunks.select(key, order, tokens).groupBy(key).applyInPandas(stitch, f"{key} {kind}, {tokens} array<long>")
+    clean = F.filter(tokens, lambda t: ~t.isin(special)) if special else F.col(tokens)
+    rows = chunks.select(key, order, F.coalesce(clean.cast("array<long>"), F.array().cast("array<long>")).alias("_t"))
+    placed = materialize(running_total(rows, "_at", [order], keys=[key]))
+    before = placed.select(key, (F.col("_at") + 1).alias("_at"), F.col("_t").alias("_b"))
+    pairs = placed.join(before, [key, "_at"], "left")
+    own = F.expr("slice(_t, _o + 1, size(_t))")
+    added = pairs.withColumn("_o", F.coalesce(_overlap("_b", "_t"), F.lit(0))).select(key, order, own.alias(tokens))
+    return running_total(materialize(added), "offset", [order], keys=[key], weight=F.size(tokens).cast("long")).select(key, order, "offset", tokens)
+
+
+@F.arrow_udf(T.IntegerType())
+def _overlap(before: pa.Array, after: pa.Array) -> pa.Array:
+    """Length of the best overlap per pair. Equal tokens at places i and j agree in the one overlap of length j + (size - i)."""
+    out = []
+    for left, right in zip(before, after):
+        if not left.is_valid or not len(left.values) or not len(right.values):
+            out.append(0)
+            continue
+        a, b = left.values.to_numpy(zero_copy_only=False), right.values.to_numpy(zero_copy_only=False)
+        most = min(len(a), len(b))
+        at, to = np.nonzero(a[len(a) - most :, None] == b[None, :most])
+        lengths = to + most - at
+        agree = np.bincount(lengths[lengths <= most], minlength=most + 1)[1:]
+        n = np.arange(1, most + 1)
+        value = np.where(agree > 1, agree / n + n / 10000.0, 0.0)
+        out.append(int(np.argmax(value)) + 1 if value.any() else 0)
+    return pa.array(out, pa.int32())
+
+
+def merged_items(pieces: DataFrame, key: str, order: str = "ord", tokens: str = "tokens") -> DataFrame:
+    """(key, tokens): whole items from the pieces of :func:`merge_overlaps`, for items that fit one row."""
+    lists = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, tokens))).alias("_l"))
+    return lists.select(key, F.flatten(F.transform("_l", lambda s: s[tokens])).alias(tokens))
 
 
 def evidence_positions(blocks: DataFrame, answers: DataFrame, key: str = "question_id") -> DataFrame:

@@ -43,7 +43,7 @@ def knn_ip(spark, sf):
 @query("f01_knn_approximate")
 def knn_lsh(spark, sf):
     v = vectors(spark, sf)
-    out = K.knn_approximate(v.withColumnRenamed("vec_id", "query_id"), v, 20, dims=64)
+    out, _ = K.knn_approximate(v.withColumnRenamed("vec_id", "query_id"), v, 20)
     return _hits(out)
 
 
@@ -377,14 +377,25 @@ def confident(spark, sf):
     return G.select_confident(rows, 0.5, 0.3, "o_orderkey", shuffle_seed=1).select("o_orderkey", "label")
 
 
-@query("f18_merge_overlaps")
+@query(
+    "f18_merge_overlaps",
+    f"""with s as (select doc_id, list_transform({toks('text')}, lambda t: length(t)) as t from documents),
+    g as (select *, unnest(generate_series(0, len(t) - 1, 64)) as s from s where len(t) > 0),
+    c as (select doc_id, s // 64 as ord, list_slice(t, s + 1, s + 96) as t from g where len(list_slice(t, s + 1, s + 96)) > case when s = 0 then 0 else 16 end),
+    p as (select doc_id, ord, t, coalesce(lag(t) over (partition by doc_id order by ord), []) as b from c),
+    o as (select *, list_transform(generate_series(1, least(len(t), len(b))), lambda n: len(list_filter(generate_series(1, n), lambda i: b[len(b) - n + i] = t[i]))) as e from p),
+    v as (select *, list_transform(e, lambda x, n: case when x > 1 then x / n + n / 10000.0::double else 0.0::double end) as v from o),
+    k as (select *, case when coalesce(list_max(v), 0) > 0 then list_position(v, list_max(v)) else 0 end as n from v)
+    select doc_id, ord::bigint as ord, (coalesce(sum(len(t) - n) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0))::bigint as "offset",
+      md5(array_to_string(list_slice(t, n + 1, len(t)), ',')) as digest from k""",
+)
 def merge(spark, sf):
     from corpusloom.operators import segment as S
     from corpusloom.plans.sequences import id_docs
 
     chunks = S.chunk_stride(id_docs(spark, sf), 96, 16, 16).select("doc_id", "ord", F.col("chunk").alias("tokens"))
     out = X.merge_overlaps(chunks, "doc_id")
-    return out.select("doc_id", F.size("tokens").cast("long").alias("n"))
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "offset", F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.ids import MULTIPLIER, ROUNDS, SHIFT, WIDTH
 from corpusloom.operators import corpus as C
 from corpusloom.operators import sampling as G
 from corpusloom.operators import segment as S
@@ -64,13 +65,38 @@ def demos_random(spark, sf):
     return out.select("dataset", "id", F.col("place").cast("long").alias("place"), "demo_id", "n")
 
 
+def permuted_sql(source: str, key: list[str]) -> str:
+    """Recursive SQL of ``ids.permuted``: ``walk`` has the rows of ``source`` (with n and j) and x, where j goes; use rows with x < n.
+
+    ``key`` has four SQL expressions over ``s``, a row of the source.
+    """
+
+    def once(rows: str) -> str:
+        rows = f"(select *, x % a as l, x // a as r from {rows})"
+        for i in range(1, ROUNDS + 1):
+            half, size = ("r", "a") if i % 2 else ("l", "b")
+            add = f"((({half} + k[{i}]) % {WIDTH}) * {MULTIPLIER} // {1 << SHIFT}) % {size}"
+            new = f"(l + {add}) % a as l, r" if i % 2 else f"l, (r + {add}) % b as r"
+            rows = f"(select * exclude (l, r), {new} from {rows})"
+        return f"(select * exclude (l, r, x), r * a + l as x from {rows})"
+
+    start = f"(select s.*, [{', '.join(key)}] as k, j::bigint as x, ceil(sqrt(n))::bigint as a, ceil(n / ceil(sqrt(n)))::bigint as b from {source} s)"
+    return f"walk as (select * from {once(start)} union all select * from {once('(select * from walk where x >= n)')})"
+
+
 def _shared_sql(balanced: bool) -> str:
-    part = "dataset, t, label" if balanced else "dataset, t"
-    want = "ceil((case when t < 10 then 8 else 17 - t end) / l)" if balanced else "case when t < 10 then 8 else 17 - t end"
-    return f"""with {LABELLED}, a as (select p.*, t.t from p cross join (select unnest(generate_series(0, 16)) as t) t), nl as (select dataset, count(distinct label) as l from p group by 1),
-    r as (select *, row_number() over (partition by {part} order by {hashed(8, 't', 'id')}, id) as r from a),
-    d as (select * from r join nl using (dataset) where r <= {want}), f as (select dataset, t from d group by 1, 2 having sum(n) <= 1500), m as (select dataset, min(t) as t from f group by 1)
-    select dataset, id, n::bigint as n, t::bigint as try from d join m using (dataset, t)"""
+    part = ["dataset", "label"] if balanced else ["dataset"]
+    want = "ceil((case when t < 10 then 8 else 17 - t end) / labels)" if balanced else "case when t < 10 then 8 else 17 - t end"
+    parts = ", ".join(part)
+    keys = [f"{hashed(8, str(i), *[f'z.{p}' for p in part], 'z.t')} % {WIDTH}".replace("z.", "s.") for i in range(ROUNDS)]
+    same = " and ".join(f"walk.{p} = o.{p}" for p in part)
+    return f"""with recursive {LABELLED}, nl as (select dataset, count(distinct label) as labels from p group by 1),
+    o as (select *, row_number() over (partition by {parts} order by id) - 1 as pos from p),
+    z as (select {parts}, count(*)::bigint as n from p group by {parts}), a as (select z.*, t.t, labels from z join nl using (dataset) cross join (select unnest(generate_series(0, 16)) as t) t),
+    d as (select *, unnest(generate_series(0, least({want}, n)::bigint - 1)) as j from a), {permuted_sql('d', keys)},
+    e as (select walk.dataset, walk.t, o.id, o.n from walk join o on {same} and walk.x = o.pos where walk.x < walk.n),
+    f as (select dataset, t from e group by 1, 2 having sum(n) <= 1500), m as (select dataset, min(t) as t from f group by 1)
+    select dataset, id, n::bigint as n, t::bigint as try from e join m using (dataset, t)"""
 
 
 @query("g07_demos_shared", _shared_sql(False))
@@ -136,11 +162,19 @@ def sortish(spark, sf):
     return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"), F.min("len").alias("shortest"))
 
 
-@query("g15_token_budget_batches")
+@query(
+    "g15_token_budget_batches",
+    f"""with recursive s as (select doc_id as id, len({toks('text')}) as len from documents),
+    n as materialized (select *, row_number() over (order by len desc, id) as r, greatest(1, 65536 // greatest(len, 1)) as m from s),
+    f(r, batch, room) as (select r, 0, case when m < 8 then m else m - m % 8 end - 1 from n where r = 1
+      union all select n.r, case when f.room > 0 then f.batch else f.batch + 1 end, case when f.room > 0 then f.room else case when m < 8 then m else m - m % 8 end end - 1
+      from f join n on n.r = f.r + 1)
+    select batch::bigint as batch, count(*) as n, (count(*) * max(len))::bigint as padded from f join n using (r) group by batch""",
+)
 def budget(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.n_tokens("text").alias("len"))
     out = G.token_budget_batches(rows, 65536, "len", "doc_id", 8)
-    return out.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.max("len")).alias("padded"))
+    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.max("len")).alias("padded"))
 
 
 @query(

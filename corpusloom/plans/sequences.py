@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.ids import dense_ids
 from corpusloom.operators import segment as S
 from corpusloom.operators import sequences as Q
-from corpusloom.plans.registry import query, table, toks, wide
+from corpusloom.plans.registry import query, strip, table, toks, wide
 
 
 def token_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,12 +223,22 @@ def bins(spark, sf):
     return out.select("doc_id", F.col("bin").cast("long").alias("bin"), F.size("tokens").cast("long").alias("n"), F.md5(joined("tokens")).alias("digest"))
 
 
-@query("i13_pack_pairs")
+@query(
+    "i13_pack_pairs",
+    rf"""with recursive p as (select doc_id as id, {strip("replace(text, chr(10), ' ')")} as src, source as tgt from documents),
+    n as materialized (select *, len({toks('src')}) as a, len({toks('tgt')}) as b, row_number() over (order by id) as r from p),
+    f(r, start, a, b) as (select r, id, a, b from n where r = 1
+      union all select n.r, case when f.a + n.a <= 1024 and f.b + n.b <= 1024 then f.start else n.id end,
+        n.a + case when f.a + n.a <= 1024 and f.b + n.b <= 1024 then f.a else 0 end, n.b + case when f.a + n.a <= 1024 and f.b + n.b <= 1024 then f.b else 0 end
+      from f join n on n.r = f.r + 1)
+    select start as id, md5(string_agg(src, ' ' order by n.r)) as src, md5(string_agg(tgt, ' ' order by n.r)) as tgt, sum(n.a)::bigint as src_tokens, sum(n.b)::bigint as tgt_tokens
+    from f join n using (r) group by start""",
+)
 def pairs(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text", "source")
     rows = rows.select(F.col("doc_id").alias("id"), T.flatten_whitespace("text").alias("src"), F.col("source").alias("tgt"))
     rows = rows.withColumn("src_tokens", T.n_tokens("src")).withColumn("tgt_tokens", T.n_tokens("tgt"))
-    out = Q.pack_pairs(rows, 1024, unit=1000)
+    out = Q.pack_pairs(rows, 1024)
     return out.select("id", F.md5("src").alias("src"), F.md5("tgt").alias("tgt"), "src_tokens", "tgt_tokens")
 
 

@@ -14,7 +14,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, rows_of, same  # noqa: E402
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-MAY_BE_EMPTY = {"f01_knn_approximate", "g18_drop_null_windows"}
+MAY_BE_EMPTY = {"g18_drop_null_windows"}
 
 
 @pytest.fixture(scope="module")

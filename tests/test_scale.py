@@ -92,7 +92,7 @@ def test_batches(spark, sf):
     n = docs.count()
     budget = G.token_budget_batches(docs, 4096, "len", "id", 8)
     assert budget.select("id").distinct().count() == budget.count() == n
-    per = budget.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("m"))
+    per = budget.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("m"))
     assert per.filter((F.col("n") > 1) & (F.col("n") * F.col("m") > 4096)).count() == 0
     sortish = G.sortish_batches(docs, 8, 2, "len", "id")
     assert sortish.select("id").distinct().count() == sortish.count() == n

@@ -4,21 +4,23 @@ Every document has a mask with one bit per filter that it fails. All orders of t
 number of documents per part, mask and label, so the audit keeps these counters and nothing else.
 
 All filters but the last depend on one text alone. The last, *identical to the text of a smaller id*, depends on
-the whole table. The files are read as a stream of available-now micro-batches; the state of a text is
-the smallest id seen and the rows with that id. A row is first counted as a repeat. What the state adds:
+the whole table. The files are read as a stream of available-now micro-batches beside a table of state that
+is keyed by text: the smallest id seen, and the rows with that id. Every row is first counted as a repeat. What
+the state adds:
 
 * the smallest id of a text gets its bit taken back;
 * when a smaller id arrives in a later micro-batch, the earlier row's mask without the bit is retracted
   from its part's counters and put back with it.
 
-Each micro-batch writes the changes of counters that it caused, by its number, so a repeated batch
-replaces its own file; the counters are the sum of all changes, whatever order the files came in.
+State is a log: a micro-batch appends the texts whose smallest id is new or fell, under its own number, and
+writes the changes of counters that it caused beside it. As ids only fall, the state before a
+micro-batch is the minimum over the log of the earlier ones, and a micro-batch that runs again replaces what it
+wrote. The counters are the sum of all changes, whatever order the files came in. (Spark's own state
+store would need a Python call per text or bucket, and writes four small files per partition and micro-batch.)
 
-Texts are reduced to a digest and a mask before anything moves. Copies inside a task become one row per
-text, part and label before the shuffle, so a text that a third of all rows share sends a few rows per
-task. State is kept per *bucket* of texts, a range of digests sized from the number of rows, as sorted
-columns: a Python call per text would cost more than all else. A bucket is read and written at most once
-per micro-batch, and the number of micro-batches is fixed, so what state writes follows the input.
+Texts are reduced to a digest and a mask before anything moves. Rows are counted by text and id before they
+are joined, so repeated rows are one; minima of a text are partial aggregates; every join is by text and id or
+has one row per text, so a text that a third of all rows share is in no join more than once per id.
 
 Defined results: a null text is an empty text; a null source is part of the part ''; rows with equal id and
 text don't repeat each other; a row with a null id repeats nothing and is repeated by nothing; a document
@@ -28,18 +30,15 @@ columns are ignored; texts of any length are judged whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import permutations
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.llm.files import shared_folder
-from corpusloom.session import materialize
+from corpusloom.session import drop_copies, materialize, recorded_copies
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -56,14 +55,12 @@ TEXT_FILTERS: dict[str, Callable[[Column, Column, Column], Column]] = {
 class Audit:
     """Filters by letter; ``repeat`` is the letter of the filter on identical texts.
 
-    The files come in about ``batches`` micro-batches of equal size. ``bucket_rows`` is the mean number of
-    rows whose texts share a bucket of state.
+    The files come in about ``batches`` micro-batches of equal size.
     """
 
     filters: dict[str, Callable[[Column, Column, Column], Column]] = field(default_factory=lambda: dict(TEXT_FILTERS))
     repeat: str = "E"
     batches: int = 4
-    bucket_rows: int = 4096
 
     @property
     def letters(self) -> str:
@@ -75,13 +72,8 @@ class Audit:
 
 
 CELL = ["part", "good", "toxic"]
-ROW = ["digest", "id", "mask", *CELL]
-SMALL = "bucket long, digest binary, known boolean, id long, mask int, part string, good boolean, toxic boolean, n long, rows long"
-STATE = "texts binary"
+STATE = "digest binary, id long, mask int, part string, good boolean, toxic boolean, n long, batch int"
 CHANGE = "part string, mask int, good boolean, toxic boolean, n long"
-_HELD = pa.schema(
-    [("digest", pa.binary()), ("id", pa.int64()), ("mask", pa.int32()), ("part", pa.string()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())]
-)
 
 
 def masked(docs: DataFrame, audit: Audit, id_col: str, text_col: str, part_col: str) -> DataFrame:
@@ -96,72 +88,34 @@ def masked(docs: DataFrame, audit: Audit, id_col: str, text_col: str, part_col:
     return rows.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), mask.cast("int").alias("mask"))
 
 
-def _reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a task by text and cell: the smallest id, how often it is there, and all rows."""
-    for rows in frames:
-        keys = ["bucket", "digest", "known", "mask", *CELL]
-        group = rows.groupby(keys, sort=False)["id"]
-        out = group.agg(["min", "size"]).reset_index()
-        least = rows[rows["id"] == group.transform("min")].groupby(keys, sort=False).size().rename("n").reset_index()
-        out = out.merge(least, on=keys).rename(columns={"min": "id", "size": "rows"})
-        yield out[["bucket", "digest", "known", "id", "mask", *CELL, "n", "rows"]]
-
-
-def _unpacked(texts: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(texts).read_all().to_pandas()
-
-
-def _packed(held: pd.DataFrame) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(held[[f.name for f in _HELD]], schema=_HELD, preserve_index=False)
-    with pa.ipc.new_stream(sink, _HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def advance(held: pd.DataFrame | None, arrived: pd.DataFrame, bit: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The state of a bucket after ``arrived`` and the changes of counters."""
-    changes = []
-
-    def change(rows: pd.DataFrame, n: pd.Series, with_bit: bool) -> None:
-        changes.append(rows[["mask", *CELL]].assign(mask=rows["mask"] | (bit if with_bit else 0), n=n))
-
-    nameless, known = arrived[~arrived["known"]], arrived[arrived["known"]]
-    change(nameless, nameless["rows"], False)
-    change(known, known["rows"], True)
-    fresh = known[[*ROW, "n"]].assign(old=False)
-    both = fresh if held is None else pd.concat([held.assign(old=True), fresh], ignore_index=True)
-    least = both["id"] == both.groupby("digest", sort=False)["id"].transform("min")
-    up, down = both[least & ~both["old"]], both[~least & both["old"]]
-    change(up, up["n"], False)
-    change(up, -up["n"], True)
-    change(down, -down["n"], False)
-    change(down, down["n"], True)
-    held = both[least].groupby(ROW, sort=False, as_index=False)["n"].sum()
-    moved = pd.concat(changes).groupby(["part", "mask", "good", "toxic"], sort=False, as_index=False)["n"].sum()
-    return held, moved[moved["n"] != 0]
+def counted_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(digest, known, id, mask, part, good, toxic, n) from :func:`masked`; ``labels`` is (label_id, good, toxic)."""
+    # a null id takes a number of its own, so that null ids don't meet in one task
+    rows = rows.withColumn("known", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", F.xxhash64("digest", "part")))
+    rows = rows.join(labels, (F.col("id") == F.col("label_id")) & F.col("known"), "left")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
+    return rows.select("digest", "known", "id", "mask", "part", *flags).groupBy("digest", "known", "id", "mask", *CELL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_stream(stream: DataFrame, labels: DataFrame, audit: Audit, buckets: int, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """The changes of counters (part, mask, good, toxic, n) that each micro-batch causes; ``labels`` is (label_id, good, toxic)."""
-    bit = audit.repeat_bit
+def advance(rows: DataFrame, state: DataFrame, bit: int) -> tuple[DataFrame, DataFrame]:
+    """(what ``rows`` adds to the state, the changes of counters), from :func:`counted_rows` and the log so far."""
+    known = rows.filter("known")
+    least = known.groupBy("digest").agg(F.min("id").alias("id"))
+    was = state.groupBy("digest").agg(F.min("id").alias("was"))
+    moved = materialize(least.join(was, "digest", "left").filter("was is null or id <= was"))
+    up = materialize(known.join(moved.select("digest", "id"), ["digest", "id"]).drop("known"))
+    fallen = moved.filter("id < was").select("digest", F.col("was").alias("id"))
+    down = state.drop("batch").join(fallen, ["digest", "id"])
+    repeated = F.col("mask").bitwiseOR(bit)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _unpacked(state.get[0]) if state.exists else None
-        held, moved = advance(held, pd.concat(list(frames), ignore_index=True), bit)
-        state.update((_packed(held),))
-        yield moved
+    def change(of: DataFrame, mask: Column, n: Column) -> DataFrame:
+        return of.select("part", mask.alias("mask"), "good", "toxic", n.alias("n"))
 
-    rows = masked(stream, audit, id_col, text_col, part_col)
-    # a null id takes a number of its own, so that null ids don't meet in one task
-    known = F.col("id").isNotNull()
-    rows = rows.withColumn("known", known).withColumn("id", F.coalesce("id", F.xxhash64("digest", "part")))
-    rows = rows.join(labels, (F.col("id") == F.col("label_id")) & F.col("known"), "left")
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
-    small = rows.select(
-        bucket.alias("bucket"), "digest", "known", "id", "mask", "part", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
-    ).mapInPandas(_reduced, SMALL)
-    return small.groupBy("bucket").applyInPandasWithState(step, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+    n, mask = F.col("n"), F.col("mask")
+    changes = change(rows, F.when(F.col("known"), repeated).otherwise(mask), n)
+    for of, sign in ((up, 1), (down, -1)):
+        changes = changes.unionByName(change(of, mask, sign * n)).unionByName(change(of, repeated, -sign * n))
+    return up, changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def counters(
@@ -174,7 +128,6 @@ def counters(
     part_col: str = "source",
 ) -> DataFrame:
     """(part, mask, good, toxic, n) over all Parquet files at ``path``."""
-    whole = spark.read.parquet(path)
     known = labels.filter("(quality = 1 or toxic = 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
     known = materialize(
         known.agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
@@ -184,18 +137,26 @@ def counters(
     size = system.getContentSummary(at).getLength()
     # a stream reads folders or patterns: a single file is given as a pattern that only it matches
     files = path if system.getFileStatus(at).isDirectory() else f"{path[:-1]}[{path[-1]}]"
-    stream = spark.readStream.schema(whole.schema).option("maxBytesPerTrigger", size // audit.batches + 1).parquet(files)
-    changes = count_stream(stream, known, audit, whole.count() // audit.bucket_rows + 1, id_col, text_col, part_col)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", size // audit.batches + 1).parquet(files)
     folder = shared_folder(spark, "filter-audit")
 
     def put(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-        summed.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-
-    run = changes.writeStream.outputMode("update").foreachBatch(put)
-    run = run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    made = spark.read.schema(CHANGE).option("recursiveFileLookup", "true")
+        own = batch.sparkSession
+        with recorded_copies() as made:
+            rows = materialize(counted_rows(batch, known))
+            log = own.read.schema(STATE)
+            earlier = log.parquet(f"{folder}/texts").filter(F.col("batch") < number) if number else own.createDataFrame([], STATE)
+            up, changes = advance(rows, earlier, audit.repeat_bit)
+            changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+            up.write.mode("overwrite").parquet(f"{folder}/texts/batch={number}")
+        drop_copies(own, made)
+
+    run = masked(stream, audit, id_col, text_col, part_col).writeStream.foreachBatch(put)
+    run.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    written = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
+    if not written.getFileSystem(spark._jsc.hadoopConfiguration()).exists(written):  # no file, no micro-batch
+        return spark.createDataFrame([], CHANGE)
+    made = spark.read.schema(CHANGE + ", batch int")
     return made.parquet(f"{folder}/changes").groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n > 0")
 
 

@@ -8,6 +8,7 @@ been written, a stage begins by deleting the copies that the stage before it mad
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 import public_tokenizers
@@ -19,7 +20,8 @@ from corpusloom.llm import curriculum, jaccard_voronoi, prefix_bpe, secrets, wea
 from corpusloom.llm.files import shared_folder
 from corpusloom.session import drop_copies, load, materialize, recorded_copies
 
-_COPIES: list[str] = []
+# copies that the stage before made in this run; runs in other threads have their own
+_COPIES: ContextVar[tuple[str, ...]] = ContextVar("copies", default=())
 
 NEAR = jaccard_voronoi.Join(percent=80, n=5)
 
@@ -27,19 +29,29 @@ NEAR = jaccard_voronoi.Join(percent=80, n=5)
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_copies(spark, _COPIES)
-        _COPIES.clear()
+        drop_copies(spark, list(_COPIES.get()))
         with recorded_copies() as made:
             out = work(spark, docs, sf_dir)
-        _COPIES.extend(made)
+        _COPIES.set(tuple(made))
         return out
 
     return run_stage
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number per row, written once so that every later reading finds the same numbers."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number per row, written once so that every later reading finds the same numbers, and its name."""
+    (row,) = fresh(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 @stage
@@ -47,8 +59,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; the classifier learns from the labels of ``sf_dir``."""
     settings = weak_toxicity.Settings()
     model = weak_toxicity.fit(docs, load(spark, sf_dir, "labels"), settings)
-    scored = weak_toxicity.score(docs, model, tuple(docs.columns), name="_toxicity")
-    return scored.filter(F.col("_toxicity") < settings.threshold).drop("_toxicity")
+    (toxicity,) = fresh(docs, "toxicity")
+    scored = weak_toxicity.score(docs, model, tuple(docs.columns), name=toxicity)
+    return scored.filter(F.col(toxicity) < settings.threshold).drop(toxicity)
 
 
 @stage
@@ -57,23 +70,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Near copies share 80 percent of their sets of five words, whatever op8's own query takes.
     """
-    rows = numbered(docs)
-    groups = jaccard_voronoi.components(rows, NEAR, row_col="_row")
-    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    groups = jaccard_voronoi.components(rows, NEAR, row_col=row)
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 @stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that the ledger's rules find replaced by a mask."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    blob, hit, masked = fresh(docs, "blob", "hit", "masked")
     found = secrets.blobs_with_findings(docs, shared_folder(spark, "secret-ledger"))
-    hit = found.select(F.col("blob").alias("_blob"), F.lit(True).alias("_hit"))
-    marked = docs.withColumn("_blob", secrets.blob_of(text)).join(hit, "_blob", "left")
-    masked = secrets.redact(marked.withColumn("_text", F.when(F.col("_hit"), F.col("text"))), "_text")
-    text = F.when(F.col("_hit"), F.col("_text")).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("_hit"), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return masked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    hits = found.select(F.col("blob").alias(blob), F.lit(True).alias(hit))
+    marked = docs.withColumn(blob, secrets.blob_of(F.coalesce(F.col("text"), F.lit("")))).join(hits, blob, "left")
+    rows = secrets.redact(marked.withColumn(masked, F.when(F.col(hit), F.col("text"))), masked)
+    text = F.when(F.col(hit), F.col(masked)).otherwise(F.col("text"))
+    changed = {"text": text, "n_chars": F.when(F.col(hit), F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 @stage
@@ -82,16 +95,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of size 0 have no words to read: the mix reads them no time, so they are not in the result.
     """
-    rows = numbered(docs)
-    plan = curriculum.placed(rows, row_col="_row")
+    rows, row = numbered(docs)
+    (position,) = fresh(docs, "position")
+    plan = curriculum.placed(rows, row_col=row)
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    readings = fan_out(plan, [F.col("row").alias("_row")], F.slice("positions", F.lit(1), times), "_position")
-    return (
-        rows.join(readings, "_row")
-        .repartitionByRange("_position", "_row")
-        .sortWithinPartitions("_position", "_row")
-        .select(*docs.columns)
-    )
+    readings = fan_out(plan, [F.col("row").alias(row)], F.slice("positions", F.lit(1), times), position)
+    return rows.join(readings, row).repartitionByRange(position, row).sortWithinPartitions(position, row).select(*docs.columns)
 
 
 @stage

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import fan_out
 from corpusloom.ids import running_total
+from corpusloom.llm.memory import lean
 from corpusloom.llm.shingles import batches_of, mixed, sets_of
 from corpusloom.session import materialize
 
@@ -94,7 +95,7 @@ def read_sets(docs: DataFrame, j: Join) -> DataFrame:
                 yield out
 
     schema = "row long, doc_id long, n_shingles long, digest binary, keys array<long>, counts array<long>"
-    return materialize(docs.mapInPandas(run, schema))
+    return materialize(docs.mapInPandas(lean(run), schema))
 
 
 def common_keys(base: DataFrame, j: Join) -> np.ndarray:
@@ -139,7 +140,7 @@ def survey(docs: DataFrame, common: np.ndarray, j: Join) -> DataFrame:
                 yield pd.DataFrame({"row": row, "rank": rank.view(np.int64), "n": n, "keys": keys, "outline": outline})
 
     schema = "row long, rank long, n long, keys array<long>, outline binary"
-    return materialize(docs.select("row", "text").mapInPandas(run, schema))
+    return materialize(docs.select("row", "text").mapInPandas(lean(run), schema))
 
 
 def regions(sets: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def whole_sets(docs: DataFrame, near: DataFrame, j: Join) -> DataFrame:
                 sets = [s.tobytes() for s in sets_of(texts[low:high], j.n)]
                 yield pd.DataFrame({"row": pdf["row"].iloc[low:high].to_numpy(), "set": sets})
 
-    found = docs.join(rows, "row", "left_semi").select("row", "text").mapInPandas(run, "row long, set binary")
+    found = docs.join(rows, "row", "left_semi").select("row", "text").mapInPandas(lean(run), "row long, set binary")
     return found.join(near, "row")
 
 
@@ -252,12 +253,10 @@ def solve(rows: np.ndarray, sets: list[np.ndarray], j: Join) -> list[tuple[int,
     if m == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
         return [(int(rows[0]), int(rows[1]))] if j.links(shared, n[0], n[1]) else []
-    flat = np.concatenate(sets)
-    _, codes = np.unique(flat, return_inverse=True)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     ends = np.cumsum(n)
-    by_code = np.argsort(codes, kind="stable")
-    owner = np.repeat(np.arange(m), n)[by_code]
-    starts = np.searchsorted(codes[by_code], np.arange(codes.max() + 2 if len(codes) else 1))
+    owner = np.repeat(np.arange(m, dtype=np.int32), n)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
     group = list(range(m))
     out: list[tuple[int, int]] = []
 
@@ -390,7 +389,7 @@ def near_members(members: DataFrame, j: Join) -> DataFrame:
                 yield pdf[["pivot", "part", "row"]][keep]
 
     rows = region_rows(members.select("pivot", "part", "row", "n", "outline"))
-    return rows.mapInPandas(run, "pivot long, part long, row long")
+    return rows.mapInPandas(lean(run), "pivot long, part long, row long")
 
 
 def forest(members: DataFrame, j: Join) -> DataFrame:
@@ -404,7 +403,7 @@ def forest(members: DataFrame, j: Join) -> DataFrame:
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
-    return region_rows(members).mapInPandas(run, "a long, b long")
+    return region_rows(members).mapInPandas(lean(run), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -436,9 +435,10 @@ def components(
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     docs = docs if row_col else materialize(docs)
-    base = read_sets(docs, j)
+    with small_batches(docs.sparkSession, 1000):
+        base = read_sets(docs, j)
+        surveyed = survey(docs, common_keys(base, j), j)
     first = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("set_row"))
-    surveyed = survey(docs, common_keys(base, j), j)
     sets = surveyed.join(first.select(F.col("set_row").alias("row")), "row", "left_semi")
     reach = materialize(without_contained(materialize(regions(sets))))
     members = reach.join(surveyed.select("row", "rank", "n", "outline"), "row")

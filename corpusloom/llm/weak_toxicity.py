@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.memory import lean
 from corpusloom.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -108,7 +109,7 @@ def candidate_voters(sample: DataFrame, s: Settings) -> list[str]:
         return []
     odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     counted = (
-        sample.mapInPandas(count, "voter string, toxic long, clean long")
+        sample.mapInPandas(lean(count), "voter string, toxic long, clean long")
         .groupBy("voter")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter((F.col("toxic") >= s.support) & (odds >= s.lift))
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
                 {"label": pdf["label"], "voter": [list(f) for f in found], "times": [list(f.values()) for f in found]}
             )
 
-    rows = sample.mapInPandas(vote, "label int, voter array<int>, times array<int>").collect()
+    rows = sample.mapInPandas(lean(vote), "label int, voter array<int>, times array<int>").collect()
     rows.sort(key=lambda r: (r["label"], r["voter"], r["times"]))
     times = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
@@ -225,5 +226,5 @@ def score(
             )
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))), dtype="float64")
 
-    scored = F.pandas_udf(run, "double")
+    scored = F.pandas_udf(lean(run), "double")
     return docs.select(*keep, scored(F.coalesce(F.col(text_col), F.lit(""))).alias(name))

@@ -87,13 +87,18 @@ def test_stages_match_plain_python(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want[r["doc_id"]], "<u4").tobytes()).hexdigest()
 
 
-def test_stages_take_odd_rows_and_extra_columns(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _extra string, score double, component long, blob string, row long, position double"
+CLASHING = ["_extra", "score", "component", "position"] + [u + n for n in ("row", "blob", "text", "hit", "masked", "toxicity", "position_", "a", "b") for u in ("_", "__")]
+CLASHING += ["row", "blob", "hit", "masked", "toxicity", "size", "taken", "key", "slab", "digest", "found"]
+
+
+def test_stages_take_odd_rows_and_keep_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    extra = [f"own {c}" for c in CLASHING]
     rows = [
-        (1, None, None, None, None, None, None, None, None, None, None),
-        (None, "", "en", "a", 0, "x", 1.0, 2, "b", 3, 0.5),
-        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2, "b", 3, 0.5),
-        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, "x", 1.0, 2, "b", 3, 0.5),
+        (1, None, None, None, None, *[None] * len(extra)),
+        (None, "", "en", "a", 0, *extra),
+        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, *extra),
+        (2, "one two three four five secret=abcdefgh99", "en", "a", 9, *extra),
     ]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
@@ -102,6 +107,7 @@ def test_stages_take_odd_rows_and_extra_columns(spark, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
             assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+            assert all(tuple(r)[5:] in (tuple(extra), (None,) * len(extra)) for r in docs.collect()), name
         found = docs.filter(F.contains("text", F.lit("[secret]"))).count()
         assert found >= 1 if data else docs.count() == 0
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from corpusloom.functions import scores as X
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.ids import running_total
+from corpusloom.operators.skew import skew_join
+from corpusloom.session import materialize
 
 MIN_LOSS = 0.0001
 
@@ -170,20 +173,27 @@ def accuracy(df: DataFrame, pred: str, label: str, keys: list[str] | None = None
     return df.groupBy(*(keys or [])).agg((100 * F.avg((F.col(pred) == F.col(label)).cast("double"))).alias("accuracy"))
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties.
+def spearman(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """Rank correlation with average ranks for ties; null without variation.
 
-    Values are counted first and ranks come from a two-level prefix sum over distinct values, so
-    neither a global sort task nor a group per value is needed.
+    Pairs of values are counted first, and ranks come from running totals over distinct values. What is
+    joined are distinct pairs, salted where a value has many, so no value, however frequent, meets in one task.
     """
+    keys = list(keys or [])
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    pairs = materialize(pairs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.to_json(F.struct(*keys)) if keys else F.lit("{}")))
 
     def ranks(col: str, out: str) -> DataFrame:
-        values = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        placed = running_total(values, "_before", ["_v"], weight=F.col("_c"), spread="range")
-        return placed.select(F.col("_v").alias(col), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
+        values = pairs.groupBy("_k", F.col(col).alias("_v")).agg(F.sum("_n").alias("_c"))
+        placed = running_total(values, "_before", ["_v"], ["_k"], weight=F.col("_c"), spread="range", total="_all")
+        # from the middle of all ranks, so that sums of products lose nothing
+        return placed.select("_k", F.col("_v").alias(col), (F.col("_before") + F.col("_c") / 2.0 - F.col("_all") / 2.0).alias(out))
 
-    ranked = df.select(a, b).join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b)
-    return ranked.agg(F.corr("_ra", "_rb").alias("spearman"))
+    ranked = skew_join(pairs, ranks("_a", "_ra"), ["_k", "_a"], "_b")
+    ranked = skew_join(ranked, ranks("_b", "_rb"), ["_k", "_b"], "_a")
+    square = lambda x: F.sum(F.col("_n") * F.col(x) * F.col(x))
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_ra") * F.col("_rb")).alias("_s"), (F.sqrt(square("_ra")) * F.sqrt(square("_rb"))).alias("_d"))
+    return sums.select(*keys, F.when(F.col("_d") > 0, F.col("_s") / F.col("_d")).alias("spearman"))
 
 
 TASK_METRICS = {
@@ -196,7 +206,7 @@ TASK_METRICS = {
 
 
 def task_metrics(df: DataFrame, names: list[str], pred: str = "prediction", refs: str = "references", keys: list[str] | None = None) -> DataFrame:
-    """Named row-level metrics, averaged (x100) per group; BLEU and Spearman are corpus-level above."""
+    """Named row-level metrics, averaged (x100) per group, one column each."""
     unknown = set(names) - set(TASK_METRICS)
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}")
@@ -204,6 +214,100 @@ def task_metrics(df: DataFrame, names: list[str], pred: str = "prediction", refs
     return rows.groupBy(*(keys or [])).agg(*[F.round(100 * F.avg(n), 4).alias(n) for n in names])
 
 
+# A metric of the registry: rows with (keys, prediction, references, context) to (keys, name, value).
+RegistryMetric = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _stacked(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+    return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.name", "_p.value")
+
+
+def _row_means(**scores: Callable[[Column, Column], Column]) -> RegistryMetric:
+    def metric(rows: DataFrame, keys: list[str]) -> DataFrame:
+        scored = rows.select(*keys, *[f(F.col("prediction"), F.col("references")).alias(n) for n, f in scores.items()])
+        means = scored.groupBy(*keys).agg(*[(100 * F.avg(n)).alias(n) for n in scores])
+        return _stacked(means, keys, list(scores))
+
+    return metric
+
+
+def _first(refs: Column) -> Column:
+    return F.get(refs, F.lit(0))
+
+
+def _corpus_bleu(rows: DataFrame, keys: list[str]) -> DataFrame:
+    tokens = rows.select(*keys, T.regex_tokens("prediction").alias("p"), F.transform("references", T.regex_tokens).alias("r"))
+    return _stacked(bleu(tokens, "p", "r", keys), keys, ["bleu"])
+
+
+def _mean_rouge(rows: DataFrame, keys: list[str]) -> DataFrame:
+    scored = rows.select(*keys, X.rouge_scores(F.col("prediction"), _first(F.col("references"))).alias("s"))
+    names = ["rouge1", "rouge2", "rougeLsum"]
+    return _stacked(scored.groupBy(*keys).agg(*[(100 * F.avg(f"s.{n}")).alias(n) for n in names]), keys, names)
+
+
+def _spearman_metric(rows: DataFrame, keys: list[str]) -> DataFrame:
+    numbers = rows.select(*keys, F.expr("try_cast(prediction as double)").alias("p"), F.expr("try_cast(references[0] as double)").alias("r"))
+    found = spearman(numbers, "p", "r", keys)
+    return found.select(*keys, F.lit("spearman_corrcoef").alias("name"), (100 * F.col("spearman")).alias("value"))
+
+
+def span_text(pred: Column, context: Column) -> Column:
+    """The words of ``context`` that a prediction of the form ``start: i end: j`` names; empty if it names none."""
+
+    def words(c: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(c, r"(?U)\W", " "), r"\s+", -1), lambda w: w != "")
+
+    number = lambda i: F.get(words(pred), F.lit(i)).try_cast("int")
+    start, end = number(1), number(3)
+    span = F.slice(words(context), start + 1, F.greatest(end - start + 1, F.lit(0)))
+    return F.coalesce(F.array_join(F.when(start.isNotNull() & end.isNotNull(), span), " "), F.lit(""))
+
+
+_squad = _row_means(em=TASK_METRICS["Squad EM"], f1=TASK_METRICS["Squad F1"])
+_accuracy = _row_means(accuracy=TASK_METRICS["Accuracy"])
+
+# The names of the registry.
+REGISTRY: dict[str, RegistryMetric] = {
+    "BLEU": _corpus_bleu,
+    "ROUGE": _mean_rouge,
+    "Span Squad": lambda rows, keys: _squad(rows.withColumn("prediction", span_text(F.col("prediction"), F.col("context"))), keys),
+    "Squad": _squad,
+    "Trivia QA": _squad,
+    "Accuracy": _accuracy,
+    "Spearman Correlation": _spearman_metric,
+    "Other": _accuracy,
+}
+
+# Prediction and references to what a metric shall see; the key None holds for every metric.
+Hooks = dict[str | None, Callable[[Column, Column], tuple[Column, Column]]]
+
+
+def registry_metrics(
+    df: DataFrame, names: list[str], keys: list[str] | None = None, hooks: Hooks | None = None, registry: dict[str, RegistryMetric] | None = None
+) -> DataFrame:
+    """(keys, metric, name, value) of the named metrics of the registry per group.
+
+    ``df`` has ``prediction`` and ``references``; ``Span Squad`` also needs ``context``. Values are percentages, as
+    the registry's names have them. A hook changes prediction and references for its metric alone; a
+    hook under None takes the place of all others. ``registry`` adds metrics of the user's own or replaces some.
+    """
+    keys, hooks, known = list(keys or []), hooks or {}, REGISTRY | (registry or {})
+    if unknown := set(names) - set(known):
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    out = []
+    for name in names:
+        hook = hooks.get(None) or hooks.get(name)
+        rows = df
+        if hook:
+            pred, refs = hook(F.col("prediction"), F.col("references"))
+            rows = df.withColumns({"prediction": pred, "references": refs})
+        found = known[name](rows, keys)
+        out.append(found.select(*keys, F.lit(name).alias("metric"), "name", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
 # error logs ----------------------------------------------------------------------------------------
 
 

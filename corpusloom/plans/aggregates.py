@@ -282,6 +282,65 @@ def task_metrics(spark, sf):
     return M.task_metrics(evaluated(spark, sf), ["Accuracy", "Squad EM"], keys=["task_id"])
 
 
+LONG_SQL = "select task_id, metric, name, round(value, 4) as value from m"
+
+
+def long_metrics(out):
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query(
+    "e20_registry",
+    f"""with {EVAL_SQL}, w as (select task_id, pred, ref, list_filter(string_split({normal_sql('pred', True)}, ' '), lambda x: x <> '') as x, list_filter(string_split({normal_sql('ref', True)}, ' '), lambda x: x <> '') as y from s),
+    c as (select *, coalesce(list_sum(list_transform(list_distinct(x), lambda v: least(len(list_filter(x, lambda u: u = v)), len(list_filter(y, lambda u: u = v))))), 0)::double as same from w),
+    q as (select task_id, (pred = ref)::int as acc, (array_to_string(x, ' ') = array_to_string(y, ' '))::int as em,
+      case when same = 0 then 0 else 2 * (same / len(x)) * (same / len(y)) / (same / len(x) + same / len(y)) end as f1, length(pred) as a, length(ref) as b from c),
+    r as (select task_id, rank() over (partition by task_id order by a) + (count(*) over (partition by task_id, a) - 1) / 2.0 as a, rank() over (partition by task_id order by b) + (count(*) over (partition by task_id, b) - 1) / 2.0 as b from q),
+    m as (select task_id, 'Accuracy' as metric, 'accuracy' as name, 100 * avg(acc) as value from q group by 1 union all select task_id, 'Other', 'accuracy', 100 * avg(acc) from q group by 1
+      union all select task_id, 'Squad', 'em', 100 * avg(em) from q group by 1 union all select task_id, 'Squad', 'f1', 100 * avg(f1) from q group by 1
+      union all select task_id, 'Trivia QA', 'em', 100 * avg(em) from q group by 1 union all select task_id, 'Trivia QA', 'f1', 100 * avg(f1) from q group by 1
+      union all select task_id, 'Spearman Correlation', 'spearman_corrcoef', case when stddev_pop(a) * stddev_pop(b) > 0 then 100 * corr(a, b) end from r group by 1) {LONG_SQL}""",
+)
+def registry(spark, sf):
+    lengths = lambda p, r: (F.char_length(p).cast("string"), F.transform(r, lambda x: F.char_length(x).cast("string")))
+    names = ["Accuracy", "Other", "Squad", "Trivia QA", "Spearman Correlation"]
+    return long_metrics(M.registry_metrics(evaluated(spark, sf), names, ["task_id"], {"Spearman Correlation": lengths}))
+
+
+@query(
+    "l02_metric_hooks",
+    f"""with {EVAL_SQL}, q as (select task_id, (pred = ref)::int as plain, (regexp_replace(lower(pred), '[^a-z]', '', 'g') = regexp_replace(lower(ref), '[^a-z]', '', 'g'))::int as hooked from s),
+    m as (select task_id, 'Accuracy' as metric, 'accuracy' as name, 100 * avg(hooked) as value from q group by 1 union all select task_id, 'Other', 'accuracy', 100 * avg(plain) from q group by 1) {LONG_SQL}""",
+)
+def metric_hooks(spark, sf):
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    hook = lambda p, r: (letters(p), F.transform(r, letters))
+    return long_metrics(M.registry_metrics(evaluated(spark, sf), ["Accuracy", "Other"], ["task_id"], {"Accuracy": hook}))
+
+
+@query(
+    "l07_user_metric",
+    f"""with {EVAL_SQL}, g as (select task_id, abs(length(pred) - length(ref)) as gap from s),
+    m as (select task_id, 'length gap' as metric, 'median' as name, median(gap)::double as value from g group by 1 union all select task_id, 'length gap', 'distinct', count(distinct gap)::double from g group by 1) {LONG_SQL}""",
+)
+def user_metric(spark, sf):
+    from collections import Counter
+
+    from corpusloom.operators.aggregates import Metric, user_metrics
+
+    def update(state: Counter, rows) -> Counter:
+        return state + Counter((rows["prediction"].str.len() - rows["reference"].str.len()).abs().tolist())
+
+    def finish(state: Counter) -> dict[str, float]:
+        import statistics
+
+        return {"median": statistics.median(state.elements()), "distinct": len(state)}
+
+    gap = Metric(Counter, update, lambda a, b: a + b, finish)
+    rows = evaluated(spark, sf).select("task_id", "prediction", F.get("references", F.lit(0)).alias("reference"))
+    return long_metrics(user_metrics(rows, {"length gap": gap}, ["prediction", "reference"], ["task_id"]))
+
+
 def logs(spark, sf):
     e = table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     return e.select(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import prompt_columns as P
 from corpusloom.functions import text as T
-from corpusloom.ids import draw_key, seeded_key, shuffled_ids
+from corpusloom.ids import draw_key, running_total, shuffled_ids
 from corpusloom.operators import prompts as R
 from corpusloom.session import materialize
 
@@ -39,7 +39,7 @@ class Dataset:
 
 
 def rendered_pool(datasets: list[Dataset], words: int = 256, seed: int = 0) -> DataFrame:
-    """(dataset, prompt, id, text, fits) of every record with every template of its dataset."""
+    """(dataset, prompt, id, text, hash, fits) of every record with every template of its dataset."""
     frames = []
     for d in datasets:
         out = R.render_all(d.records, d.templates, d.key, seed=seed)
@@ -51,44 +51,52 @@ def rendered_pool(datasets: list[Dataset], words: int = 256, seed: int = 0) -> D
                 "prompt",
                 F.col(d.key).cast("long").alias("id"),
                 text.alias("text"),
+                F.sha2(text, 256).alias("hash"),
                 T.within_words(text, words).alias("fits"),
             )
         )
     return reduce(DataFrame.unionByName, frames)
 
 
-def pair_positive(pool: DataFrame, seed: int) -> DataFrame:
-    """For every record another one of the same dataset and prompt, never itself.
+def positive_ids(pool: DataFrame, seed: int) -> DataFrame:
+    """(dataset, prompt, id, pos_id): for every record another one of the same dataset and prompt, never itself.
 
     Records stand in a reproducible random ring per group and each takes its successor, so the join
-    key (group, position) is unique and balanced. A group of one record yields nothing.
+    key (group, position) is unique and balanced. A group of one record yields nothing. No text moves.
     """
-    ring = shuffled_ids(pool.filter("fits").select(*GROUP, "id", "text"), seed, "id", "pos", keys=GROUP, total="n")
+    ring = shuffled_ids(pool.filter("fits").select(*GROUP, "id"), seed, "id", "pos", keys=GROUP, total="n")
     ring = ring.filter("n > 1")
-    follower = ring.select(
-        *GROUP, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("id").alias("pos_id"), F.col("text").alias("pos_context")
-    )
-    return ring.drop("n").join(follower, [*GROUP, "pos"]).select(*GROUP, "id", F.col("text").alias("query"), "pos_id", "pos_context")
+    follower = ring.select(*GROUP, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("id").alias("pos_id"))
+    return ring.drop("n").join(follower, [*GROUP, "pos"]).drop("pos")
+
+
+def with_texts(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """``pairs`` with the texts of their two records, ``query`` and ``pos_context``."""
+    queries = pool.select(*GROUP, "id", F.col("text").alias("query"))
+    positives = pool.select(*GROUP, F.col("id").alias("pos_id"), F.col("text").alias("pos_context"))
+    return pairs.join(queries, [*GROUP, "id"]).join(positives, [*GROUP, "pos_id"])
+
+
+def pair_positive(pool: DataFrame, seed: int) -> DataFrame:
+    """(dataset, prompt, id, query, pos_id, pos_context) of :func:`positive_ids`."""
+    return with_texts(positive_ids(pool, seed), pool).select(*GROUP, "id", "query", "pos_id", "pos_context")
 
 
 def _positions(pool: DataFrame, seed: int) -> DataFrame:
-    """Distinct fitting texts with their position in (dataset, prompt) and the sizes to draw from."""
-    distinct = (
-        pool.filter("fits").groupBy("dataset", F.sha2("text", 256).alias("_h")).agg(F.min(F.struct("prompt", "id")).alias("_k"))
-    )
-    unique = pool.join(
-        distinct.select("dataset", F.col("_k.prompt").alias("prompt"), F.col("_k.id").alias("id")), [*GROUP, "id"], "left_semi"
-    )
-    return shuffled_ids(unique.select(*GROUP, "id", "text"), seed, "id", "pos", keys=GROUP)
+    """The records of distinct fitting texts with their position in (dataset, prompt); no texts."""
+    first = pool.filter("fits").groupBy("dataset", "hash").agg(F.min(F.struct("prompt", "id")).alias("_k"))
+    unique = first.select("dataset", F.col("_k.prompt").alias("prompt"), F.col("_k.id").alias("id"), "hash")
+    return shuffled_ids(unique, seed, "id", "pos", keys=GROUP)
 
 
 def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare: int = 2) -> DataFrame:
-    """(dataset, prompt, id, negatives): up to ``n`` distinct (text, label) of other datasets per query row.
+    """(dataset, prompt, id, negatives, short): ``n`` distinct (text, label) of other datasets per query row.
 
     A draw picks another dataset, one of its prompts and a record position, each uniformly. Two draws
     of a row in the same group differ in position by their draw numbers, and the pool holds each text
     once per dataset, so ``n + spare`` draws leave ``n`` distinct ones unless the other datasets are
-    smaller than that. The two look-up tables have one row per dataset and per prompt.
+    smaller than that; ``short`` says that a row has fewer. The two look-up tables have one row per dataset
+    and per prompt. Draws are records and digests; texts are fetched for the chosen ones.
     """
     placed = materialize(_positions(pool, seed))
     sizes = placed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -114,20 +122,35 @@ def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare
     base = draw_key(seed, F.lit("r"), *GROUP, "id", "d_name", "d_prompt")
     draws = draws.withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows"))).drop("p_at", "n_rows")
     found = draws.join(
-        placed.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "pos", "text"),
+        placed.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "pos", F.col("id").alias("d_id"), "hash"),
         ["d_name", "d_prompt", "pos"],
     )
-    return _first_distinct(found.withColumn("label", F.concat_ws("-", "d_name", "d_prompt")), n)
+    texts = pool.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), F.col("id").alias("d_id"), "text")
+    label = F.concat_ws("-", "d_name", "d_prompt")
+    lists = _texts_of(_first_distinct(found, n, ["d_name", "d_prompt", "d_id"]), texts, ["d_name", "d_prompt", "d_id"], label)
+    # a row all of whose draws missed is short, too
+    none = F.array().cast("array<struct<text:string,label:string>>")
+    out = queries.select(*GROUP, "id").join(lists, [*GROUP, "id"], "left").withColumn("negatives", F.coalesce("negatives", none))
+    return out.withColumn("short", F.size("negatives") < n)
+
 
+def _first_distinct(found: DataFrame, n: int, source: list[str]) -> DataFrame:
+    """(dataset, prompt, id, try, source columns): the first ``n`` draws of a row with distinct digests.
 
-def _first_distinct(found: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` distinct texts per row, in draw order; a row has only its own few draws."""
-    lists = found.groupBy(*GROUP, "id").agg(F.array_sort(F.collect_list(F.struct("try", "text", "label"))).alias("_l"))
+    A row has only its own few draws.
+    """
+    lists = found.groupBy(*GROUP, "id").agg(F.array_sort(F.collect_list(F.struct("try", "hash", *source))).alias("_l"))
     fresh = F.filter(
-        "_l", lambda x, i: ~F.exists(F.slice("_l", F.lit(1), i), lambda y: y["text"] == x["text"])
+        "_l", lambda x, i: ~F.exists(F.slice("_l", F.lit(1), i), lambda y: y["hash"] == x["hash"])
     )
-    picked = F.transform(F.slice(fresh, 1, n), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label")))
-    return lists.select(*GROUP, "id", picked.alias("negatives"))
+    return lists.select(*GROUP, "id", F.explode(F.slice(fresh, 1, n)).alias("_x")).select(*GROUP, "id", "_x.try", *[f"_x.{c}" for c in source])
+
+
+def _texts_of(chosen: DataFrame, texts: DataFrame, source: list[str], label: Column) -> DataFrame:
+    """(dataset, prompt, id, negatives) from chosen draws and the texts of what they name."""
+    both = chosen.join(texts, source).select(*GROUP, "id", F.struct("try", "text", label.alias("label")).alias("_x"))
+    lists = both.groupBy(*GROUP, "id").agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    return lists.select(*GROUP, "id", F.transform("_l", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("negatives"))
 
 
 def convertible_sources(target: Dataset, datasets: list[Dataset]) -> list[Dataset]:
@@ -142,58 +165,78 @@ def convertible_sources(target: Dataset, datasets: list[Dataset]) -> list[Datase
     ]
 
 
-def converted_pool(target: Dataset, datasets: list[Dataset], words: int, seed: int) -> DataFrame | None:
-    """Records of convertible datasets re-shaped and rendered as the target's: (prompt, source, id, text)."""
-    frames = []
-    for source in convertible_sources(target, datasets):
-        std = source.records.select(F.col(source.key).cast("long").alias("id"), R.to_standard(source.records, source.to_rules).alias("std"))
-        key = F.concat_ws(":", F.lit(source.name), F.col("id"))
-        fields = R.from_standard("std", target.from_rules, key, seed, target.casts)
-        records = std.select("id", fields.alias("_f")).select("id", "_f.*")
-        usable = [t for t in target.templates if P.variables(t["jinja"]) <= set(records.columns)]
-        if not usable:
-            continue
-        out = R.render_all(records, usable, "id", seed=seed)
-        text = F.concat_ws(" ", "context", "target")
-        frames.append(
-            out.filter((F.length("context") > 0) & (F.length("target") > 0)).select(
-                F.lit(target.name).alias("dataset"), "prompt", F.lit(source.name).alias("source"), "id", text.alias("text"),
-                T.within_words(text, words).alias("fits"),
-            )
-        )
-    return reduce(DataFrame.unionByName, frames) if frames else None
+def converted_records(
+    target: Dataset, source: Dataset, drawn: DataFrame, words: int, seed: int
+) -> DataFrame | None:
+    """(prompt, source_id, text, hash, fits) of the ``drawn`` (prompt, source_id) records of ``source``, re-shaped and rendered as the target's.
+
+    Only drawn records are converted and rendered, and only their own prompts' texts go on. Empty renderings
+    do not fit.
+    """
+    records = source.records.join(drawn.select(F.col("source_id").alias(source.key)).distinct(), source.key, "left_semi")
+    std = records.select(F.col(source.key).cast("long").alias("id"), R.to_standard(records, source.to_rules).alias("std"))
+    key = F.concat_ws(":", F.lit(source.name), F.col("id"))
+    fields = R.from_standard("std", target.from_rules, key, seed, target.casts)
+    shaped = std.select("id", fields.alias("_f")).select("id", "_f.*")
+    usable = [t for t in target.templates if P.variables(t["jinja"]) <= set(shaped.columns)]
+    if not usable:
+        return None
+    text = F.concat_ws(" ", "context", "target")
+    fits = (F.length("context") > 0) & (F.length("target") > 0) & T.within_words(text, words)
+    out = R.render_all(shaped, usable, "id", seed=seed).select("prompt", F.col("id").alias("source_id"), text.alias("text"), F.sha2(text, 256).alias("hash"), fits.alias("fits"))
+    return out.join(drawn.select("prompt", "source_id").distinct(), ["prompt", "source_id"], "left_semi")
+
+
+def usable_prompts(target: Dataset, source: Dataset) -> list[str]:
+    """Prompts of the target whose variables the converted records of ``source`` have."""
+    fields = {name.partition(".")[0] for name, _ in target.from_rules or []} | {"id"}
+    return [t["name"] for t in target.templates if P.variables(t["jinja"]) <= fields]
 
 
 def hard_negatives(queries: DataFrame, datasets: list[Dataset], n: int, seed: int, words: int = 256) -> DataFrame:
     """(dataset, prompt, id, negatives): ``n`` (text, label) of convertible datasets in the query's prompt.
 
-    2n + 1 numbered draws per row: source uniform, record uniform. Over-long and repeated texts use
-    up a draw. Rows left with fewer than ``n`` are not in the result; the caller gives them easy
-    negatives instead, all of them.
+    2n + 1 numbered draws per row: source uniform, record uniform among all records of the source. Empty,
+    over-long and repeated texts use up a draw. Rows left with fewer than ``n`` are not in the result; the
+    caller gives them easy negatives instead, all of them.
+
+    Draws are positions of record ids; records are converted and rendered only once they are drawn.
     """
     tries = 2 * n + 1
     parts = []
     for target in datasets:
-        pool = converted_pool(target, datasets, words, seed)
-        if pool is None:
+        sources = convertible_sources(target, datasets)
+        offered = [(p, i) for i, d in enumerate(sources) for p in usable_prompts(target, d)]
+        if not offered:
             continue
-        pool = materialize(shuffled_ids(pool, seed, "id", "pos", keys=["prompt", "source"]))
-        sizes = pool.groupBy("prompt", "source").agg(F.count(F.lit(1)).alias("n_rows"))
-        at = Window.partitionBy("prompt").orderBy("source")
-        sizes = sizes.withColumn("s_at", F.row_number().over(at) - 1)
-        sizes = sizes.withColumn("n_sources", F.count(F.lit(1)).over(Window.partitionBy("prompt")))
-        rows = queries.filter(F.col("dataset") == target.name).select(*GROUP, "id")
-        draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-        pick = draw_key(seed, F.lit("s"), *GROUP, "id", "try")
-        base = draw_key(seed, F.lit("h"), *GROUP, "id", "source")
-        draws = (
-            draws.join(F.broadcast(sizes), "prompt")
-            .filter(F.pmod(pick, F.col("n_sources")) == F.col("s_at"))
-            .withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows")))
-            .select(*GROUP, "id", "try", "source", "pos")
-        )
-        found = draws.join(pool.select("prompt", "source", "pos", "text", "fits"), ["prompt", "source", "pos"]).filter("fits")
-        parts.append(_first_distinct(found.withColumn("label", F.concat_ws("-", "source", "prompt")), n))
+        by_prompt: dict[str, list[int]] = {}
+        for p, i in offered:
+            by_prompt.setdefault(p, []).append(i)
+        choice = F.create_map(*[x for p, at in by_prompt.items() for x in (F.lit(p), F.array(*[F.lit(i) for i in at]))])
+        rows = queries.filter((F.col("dataset") == target.name) & F.col("prompt").isin(list(by_prompt))).select(*GROUP, "id")
+        draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), choice[F.col("prompt")].alias("_at"))
+        pick = F.pmod(draw_key(seed, F.lit("s"), *GROUP, "id", "try"), F.size("_at").cast("long")).cast("int")
+        draws = draws.withColumn("source", F.get("_at", pick)).drop("_at")
+        found = []
+        for i, source in enumerate(sources):
+            own = draws.filter(F.col("source") == i).drop("source")
+            ids = shuffled_ids(source.records.select(F.col(source.key).cast("long").alias("source_id")).distinct(), seed, "source_id", "pos")
+            ids = materialize(ids)
+            size = ids.count()
+            if not size:
+                continue
+            base = draw_key(seed, F.lit("h"), *GROUP, "id", F.lit(source.name))
+            own = materialize(own.withColumn("pos", F.pmod(base + F.col("try"), F.lit(size))).join(ids, "pos").drop("pos"))
+            made = converted_records(target, source, own, words, seed)
+            if made is not None:
+                made = materialize(made.filter("fits").drop("fits"))
+                found.append(own.join(made, ["prompt", "source_id"]).withColumn("source", F.lit(source.name)))
+        if found:
+            drawn = reduce(DataFrame.unionByName, found)
+            key = ["source", "prompt_", "source_id"]
+            texts = drawn.select("source", F.col("prompt").alias("prompt_"), "source_id", "text").distinct()
+            chosen = _first_distinct(drawn.withColumn("prompt_", F.col("prompt")), n, key)
+            parts.append(_texts_of(chosen, texts, key, F.concat_ws("-", "source", "prompt_")))
     if not parts:
         none = F.array().cast("array<struct<text:string,label:string>>")
         return queries.select(*GROUP, "id", none.alias("negatives")).limit(0)
@@ -214,8 +257,7 @@ def contrastive_examples(
 ) -> DataFrame:
     """One row per query with its positive and negatives, labelled train or valid per prompt."""
     pool = materialize(rendered_pool(datasets, words, seed))
-    pairs = cap_per_prompt(pair_positive(pool, seed), train, valid, seed)
-    pairs = materialize(pairs)
+    pairs = materialize(cap_per_prompt(positive_ids(pool, seed), train, valid, seed))
     easy = _lists(easy_negatives(pairs, pool, n_easy, seed), "easy")
     hard_rows = materialize(hard_negatives(pairs, datasets, n_hard, seed, words))
     hard = _lists(hard_rows, "hard")
@@ -223,7 +265,7 @@ def contrastive_examples(
     short = pairs.join(hard_rows, [*GROUP, "id"], "left_anti")
     backup = _lists(easy_negatives(short, pool, n_hard, seed + 1), "backup")
     key = [*GROUP, "id"]
-    out = pairs.join(easy, key, "left").join(hard, key, "left").join(backup, key, "left")
+    out = with_texts(pairs, pool).join(easy, key, "left").join(hard, key, "left").join(backup, key, "left")
 
     def either(name: str) -> Column:
         return F.coalesce(F.col(f"hard_neg_{name}"), F.col(f"backup_neg_{name}")).alias(f"hard_neg_{name}")
@@ -243,8 +285,15 @@ def contrastive_examples(
 
 
 def cap_per_prompt(df: DataFrame, train: int, valid: int, seed: int | None, key: str = "id") -> DataFrame:
-    """First ``train`` rows of each (dataset, prompt) are train, the next ``valid`` are valid."""
-    order = [F.col(key)] if seed is None else [seeded_key(seed, key), F.col(key)]
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
-    kept = ranked.filter(F.col("_r") <= train + valid)
-    return kept.withColumn("split", F.when(F.col("_r") <= train, "train").otherwise("valid")).drop("_r")
+    """First ``train`` rows of each (dataset, prompt) are train, the next ``valid`` are valid; ``key`` is unique there.
+
+    Positions are running totals, so a prompt with any number of rows is cut in many tasks.
+    """
+    ids = df.select(*GROUP, key)
+    if seed is None:
+        placed = running_total(ids, "_r", [key], keys=GROUP)
+    else:
+        placed = shuffled_ids(ids, seed, key, "_r", keys=GROUP)
+    kept = placed.filter(F.col("_r") < train + valid)
+    kept = kept.withColumn("split", F.when(F.col("_r") < train, "train").otherwise("valid")).drop("_r")
+    return df.join(kept, [*GROUP, key])

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import fan_out
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.ids import seeded_key, top_per_group
+from corpusloom.operators.skew import skew_join
 from corpusloom.session import materialize
 
 DIGITS = 6
@@ -312,6 +314,50 @@ def retrieve_filtered(
     return top_per_group(kept, ["query_id"], [F.desc("score"), F.col("neighbor_id")], k, out="rank")
 
 
+@dataclass(frozen=True)
+class Postings:
+    """``rows``: (field, term, passage_id, impact, level); ``blocks``: (field, term, level, n, low, high).
+
+    A block holds the postings of a term whose impacts lie in one of ``levels`` equal steps below the
+    term's largest; ``low`` and ``high`` bound them.
+    """
+
+    rows: DataFrame
+    blocks: DataFrame
+
+
+def impact_postings(
+    passages: DataFrame, vocabulary: DataFrame, fields: dict[str, float], passage_id: str, k1: float, b: float, levels: int = 16
+) -> Postings:
+    """The impact of every term of ``vocabulary`` in every passage, from one pass over each field's tokens.
+
+    The empty term, once in every passage, carries the passage's length to the field's averages.
+    """
+    known = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = []
+    for field in fields:
+        toks = passages.select(F.col(passage_id).alias("passage_id"), F.coalesce(T.match_tokens(field), F.array().cast("array<string>")).alias("_t"))
+        each = fan_out(toks, ["passage_id", F.size("_t").alias("len")], F.concat(F.array(F.lit("")), "_t"), "term")
+        counted.append(
+            each.join(known, "term", "left_semi").groupBy("term", "passage_id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(field))
+        )
+    posts = materialize(reduce(DataFrame.unionByName, counted))
+    sizes = posts.filter("term = ''").groupBy("field").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("mean"))  # one row per field
+    terms = posts.filter("term <> ''").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    boost = F.create_map(*[x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))])
+    terms = materialize(terms.join(F.broadcast(sizes), "field").select("field", "term", "mean", (boost[F.col("field")] * idf).alias("weight")))
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("mean"))
+    impact = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    key = ["field", "term"]
+    scored = skew_join(posts.filter("term <> ''"), terms, key, "passage_id").select(*key, "passage_id", impact.alias("impact"))
+    most = scored.groupBy(*key).agg(F.max("impact").alias("most"))
+    level = F.least(F.floor(F.lit(levels) * F.col("impact") / F.col("most")), F.lit(levels - 1)).cast("int")
+    rows = materialize(skew_join(scored, most, key, "passage_id").select(*key, "passage_id", "impact", level.alias("level")))
+    blocks = rows.groupBy(*key, "level").agg(F.count(F.lit(1)).alias("n"), F.min("impact").alias("low"), F.max("impact").alias("high"))
+    return Postings(rows, materialize(blocks))
+
+
 def lexical_search(
     queries: DataFrame,
     passages: DataFrame,
@@ -322,48 +368,51 @@ def lexical_search(
     passage_id: str = "passage_id",
     k1: float = 1.2,
     b: float = 0.75,
-    digits: int = DIGITS,
 ) -> DataFrame:
-    """Term match with per-field boosts (BM25, best field wins), top k per query.
+    """Term match with per-field boosts (BM25, best field wins), top k per query by unrounded scores.
 
-    The inverted index is a frame (field, term, passage, tf). Only terms that queries use are kept
-    before the join, so a frequent term no query asks for costs nothing, and each pair is summed with
-    partial aggregation before ranking.
+    The answer is that of summing every posting, but most postings of frequent terms are not read:
+
+    * the best blocks of a query's terms give partial sums of at least ``k`` passages; the k-th of these is
+      a score that every answer reaches;
+    * terms whose largest impacts together stay below it can't bring a passage in alone; and of the other
+      terms, blocks that don't reach it even with all other terms at their largest are skipped;
+    * what is left are candidates, whose scores are then summed over all their terms in one order, so equal
+      passages have equal scores. Ties go to the smaller id.
     """
-    wanted = queries.select(
-        F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.match_tokens(query_text))).alias("term")
-    )
-    vocabulary = wanted.select("term").distinct()
-    scored = []
-    for field, boost in fields.items():
-        toks = passages.select(F.col(passage_id).alias("passage_id"), T.match_tokens(field).alias("_t"))
-        counted = passages.select(T.n_tokens(F.lower(field)).alias("_n"))
-        sizes = counted.agg(F.count(F.lit(1)).alias("_N"), F.avg("_n").alias("_avg"))
-        # read twice, for document frequencies and for scores
-        posts = materialize(
-            fan_out(toks, ["passage_id", F.size("_t").alias("_len")], "_t", "term")
-            .join(vocabulary, "term", "left_semi")
-            .groupBy("term", "passage_id", "_len")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
-        df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(F.lit(1.0) + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.col("_avg"))
-        score = F.lit(boost) * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-        one = (
-            posts.join(df, "term")
-            .crossJoin(F.broadcast(sizes))
-            .join(wanted, "term")
-            .select("query_id", "passage_id", score.alias("s"))
-            .groupBy("query_id", "passage_id")
-            .agg(F.sum("s").alias("score"))
-        )
-        scored.append(one)
-    merged = scored[0]
-    for other in scored[1:]:
-        merged = merged.unionByName(other)
-    best = merged.groupBy("query_id", "passage_id").agg(F.round(F.max("score"), digits).alias("score"))
-    return top_per_group(best, ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.match_tokens(query_text))).alias("term"))
+    wanted = materialize(wanted.distinct())
+    index = impact_postings(passages, wanted.select("term").distinct(), fields, passage_id, k1, b)
+    key, pair = ["field", "term"], ["query_id", "field"]
+    # small from here on: queries x terms x levels
+    best = index.blocks.groupBy(*key).agg(F.max("high").alias("most"))
+    asked = materialize(wanted.join(best, "term"))
+    stack = asked.join(index.blocks, key)
+    down = Window.partitionBy("query_id", *key).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    first = stack.withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("above") < k)
+    partial = _sums(index.rows, first.select("query_id", *key, "level"))
+    kth = top_per_group(partial.groupBy("query_id", "passage_id").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
+    floor = kth.filter(F.col("rank") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("floor"))
+    asked = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    rising = Window.partitionBy(*pair).orderBy("most", "term")
+    asked = asked.withColumn("needed", F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("floor"))
+    asked = materialize(asked.withColumn("others", F.sum("most").over(Window.partitionBy(*pair)) - F.col("most")))
+    kept = asked.filter("needed").join(index.blocks.select(*key, "level", "high"), key).filter((F.col("high") + F.col("others")) * (1 + 1e-9) >= F.col("floor"))
+    partial = _sums(index.rows, kept.select("query_id", *key, "level"))
+    # what the terms that were not needed could still add
+    spare = asked.groupBy(*pair).agg(F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).alias("spare"), F.max("floor").alias("floor"))
+    candidates = partial.join(spare, pair).filter((F.col("score") + F.col("spare")) * (1 + 1e-9) >= F.col("floor")).select(*pair, "passage_id")
+    full = candidates.join(asked.select(*pair, "term"), pair).join(index.rows.drop("level"), [*key, "passage_id"])
+    terms = full.groupBy(*pair, "passage_id").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("t"))
+    scored = terms.select("query_id", "passage_id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["impact"]).alias("score"))
+    whole = scored.groupBy("query_id", "passage_id").agg(F.max("score").alias("score"))
+    return top_per_group(whole, ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
+
+
+def _sums(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, field, passage_id, score): impacts in the named blocks (query_id, field, term, level), hot ones salted."""
+    found = skew_join(rows, blocks, ["field", "term", "level"], "passage_id")
+    return found.groupBy("query_id", "field", "passage_id").agg(F.sum("impact").alias("score"))
 
 
 def rank_of_gold(scores: DataFrame, query: str = "query_id", item: str = "item", score: str = "score", gold: str = "gold") -> DataFrame:

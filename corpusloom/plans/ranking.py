@@ -90,11 +90,11 @@ def _bm25_sql() -> str:
             f"""{name}x as (select doc_id, {toks('lower(' + field + ')')} as w from documents), {name}s as (select count(*) as n, avg(len(w)) as av from {name}x),
             {name}p as (select term, doc_id, len, count(*) as tf from (select doc_id, len(w) as len, unnest(w) as term from {name}x) group by 1, 2, 3),
             {name}d as (select term, count(*) as df from {name}p group by 1),
-            {name}r as (select q.item_id as query_id, p.doc_id as passage_id, sum({boost} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) as score
+            {name}r as (select q.item_id as query_id, p.doc_id as passage_id, sum({boost} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) order by term) as score
               from q join {name}p p using (term) join {name}d using (term) cross join {name}s group by 1, 2)"""
         )
     return f"""with q as (select item_id, unnest(list_distinct({toks('lower(text)')})) as term from benchmark), {', '.join(parts)},
-      b as (select query_id, passage_id, round(max(score), 4) as score from (select * from tr union all select * from sr) group by 1, 2),
+      b as (select query_id, passage_id, max(score) as score from (select * from tr union all select * from sr) group by 1, 2),
       k as (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from b)
       select query_id, rank::bigint as rank, passage_id from k where rank <= 10"""
 
@@ -103,7 +103,7 @@ def _bm25_sql() -> str:
 def lexical(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     passages = wide(spark, sf, "documents", "doc_id", "text", "source").withColumnRenamed("doc_id", "passage_id")
-    out = K.lexical_search(queries, passages, 10, {"text": 1.0, "source": 2.0}, digits=4)
+    out = K.lexical_search(queries, passages, 10, {"text": 1.0, "source": 2.0})
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "passage_id")
 
 

@@ -99,8 +99,9 @@ def choice(arr: str | Column, key: Column) -> Column:
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
-    """Jaccard similarity of two token sets (arrays may repeat items)."""
-    return F.size(F.array_intersect(_c(a), _c(b))) / F.size(F.array_union(_c(a), _c(b)))
+    """Jaccard similarity of two token sets (arrays may repeat items); two empty sets are equal."""
+    union = F.size(F.array_union(_c(a), _c(b)))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(_c(a), _c(b))) / F.nullif(union, F.lit(0)))
 
 
 def align_labels(piece_counts: str | Column, labels: str | Column, length: int, lead: int = 1) -> Column:

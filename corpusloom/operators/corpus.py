@@ -109,8 +109,9 @@ def drop_short_sequences(df: DataFrame, tokens: str = "tokens", longer_than: int
 
 
 def drop_unknown(df: DataFrame, unknown: int, tokens: str = "tokens", share: float = 0.5) -> DataFrame:
+    """Rows of which less than ``share`` is unknown; an empty sequence has nothing known and goes."""
     hits = F.size(F.filter(F.col(tokens), lambda x: x == unknown))
-    return df.filter(hits / F.size(tokens) < share)
+    return df.filter(hits < share * F.size(tokens))
 
 
 def token_counts(df: DataFrame, vocab_size: int, tokens: str = "tokens") -> DataFrame:

@@ -49,13 +49,15 @@ def predict(df: DataFrame, cols: list[str], fn, schema: str, batch: int = 256) -
 
 
 def chunk_then_pack(df: DataFrame, key: str, chunks: Column, fn, schema: str, value: str, batch: int = 256) -> DataFrame:
-    """Explode items to chunks, run ``fn`` over chunk batches, put results back in chunk order.
+    """Explode items to chunks, run ``fn`` over chunk batches, put results back in chunk order; an item without chunks gets none.
 
     An item's results are collected together; an item is one input row, so the group is as large as
     that row's chunk list.
     """
     rows = fan_out(df, [key], chunks, "chunk", "pos")
     done = predict(rows, ["chunk"], fn, schema, batch)
-    return done.groupBy(key).agg(
+    lists = done.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(value)
     )
+    none = F.array().cast(lists.schema[value].dataType)
+    return df.select(key).join(lists, key, "left").withColumn(value, F.coalesce(value, none))

@@ -16,8 +16,7 @@ from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
 from corpusloom.ids import running_total, seeded_key, top_per_group
 from corpusloom.operators.folds import greedy_groups
-
-MAX_BROADCAST_VOCAB = 2_000_000
+from corpusloom.operators.skew import skew_join
 
 
 def tokenize(
@@ -29,32 +28,36 @@ def tokenize(
     return df.withColumn("tokens", toks).withColumn("n_tokens", F.size("tokens"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, seq_id: str, unknown: int, tokens: str = "tokens") -> DataFrame:
-    """Token to id by a vocabulary frame (token, id); missing tokens get ``unknown``.
+def encode(df: DataFrame, vocab: DataFrame, seq_id: str, unknown: int, tokens: str = "tokens", hot_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with ``ids``: token to id by a vocabulary frame (token, id) of any size; missing tokens get ``unknown``.
 
-    A vocabulary up to ``MAX_BROADCAST_VOCAB`` rows is counted, then sent once to every executor.
-    A larger one is joined on exploded tokens and the sequences are put back in order.
+    Each sequence asks for its distinct tokens once; these meet the vocabulary by hash, frequent tokens
+    salted, and come back as the sequence's own dictionary, in which its tokens are looked up in place. The
+    vocabulary is never in one task or on the driver. An empty or null sequence has no ids; of a token
+    named twice the smallest id counts. ``seq_id`` is unique.
     """
-    if vocab.limit(MAX_BROADCAST_VOCAB + 1).count() <= MAX_BROADCAST_VOCAB:
-        table = vocab.select(F.col("token").cast("string").alias("token"), F.col("id").cast("int").alias("id")).toArrow()
-        shared = df.sparkSession.sparkContext.broadcast(table)
-
-        @F.arrow_udf("array<int>")
-        def look_up(col: pa.Array) -> pa.Array:
-            words, ids = shared.value.column("token").combine_chunks(), shared.value.column("id").combine_chunks()
-            at = pc.index_in(col.flatten(), value_set=words)
-            found = pc.fill_null(pc.take(ids, at), unknown)
-            sizes = pc.fill_null(pc.list_value_length(col), 0)
-            ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), found)
-
-        return df.withColumn("ids", look_up(F.col(tokens)))
-    long = fan_out(df, [seq_id], tokens, "token", "pos")
-    found = long.join(vocab, "token", "left").select(seq_id, "pos", F.coalesce("id", F.lit(unknown)).alias("id"))
-    lists = found.groupBy(seq_id).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")
-    )
-    return df.join(lists, seq_id, "left")
+    none = F.array().cast("array<string>")
+    asked = fan_out(df, [F.col(seq_id).alias("_s")], F.array_distinct(F.coalesce(F.col(tokens), none)), "token")
+    known = vocab.groupBy(F.col("token").cast("string").alias("token")).agg(F.min(F.col("id").cast("int")).alias("id"))
+    found = skew_join(asked, known, ["token"], "_s", hot_rows=hot_rows)
+    own = found.groupBy("_s").agg(F.collect_list(F.struct("token", "id")).alias("_d"))
+
+    @F.arrow_udf("array<int>")
+    def look_up(col: pa.Array, words: pa.Array, ids: pa.Array) -> pa.Array:
+        out, ends = [], [0]
+        for i in range(len(col)):
+            row = col[i].values if col[i].is_valid else None
+            n = 0 if row is None else len(row)
+            if n and words[i].is_valid:
+                at = pc.index_in(row, value_set=words[i].values)
+                out.append(pc.fill_null(pc.take(ids[i].values, at), unknown).to_numpy(zero_copy_only=False))
+            else:
+                out.append(np.full(n, unknown, np.int32))
+            ends.append(ends[-1] + n)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out or [np.empty(0)]).astype(np.int32)))
+
+    joined = df.join(own, F.col(seq_id) == F.col("_s"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], look_up(F.col(tokens), F.col("_d.token"), F.col("_d.id")).alias("ids"))
 
 
 def pack(

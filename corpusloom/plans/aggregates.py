@@ -192,18 +192,17 @@ def precision(spark, sf):
 
 @query(
     "e16_answer_f1",
-    f"""with n as (select conv_id, turn, string_split({normal_sql('text', True)}, ' ') as w from conversations),
+    f"""with n as (select conv_id, turn, list_filter(string_split({normal_sql('text', True)}, ' '), lambda x: x <> '') as w from conversations),
     p as (select a.conv_id, a.turn, a.w as x, b.w as y from n a join n b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
-    u as (select conv_id, turn, len(x) as nx, len(y) as ny, unnest(list_distinct(list_filter(x, lambda w: w <> ''))) as w, x, y from p),
-    s as (select conv_id, turn, any_value(nx) as nx, any_value(ny) as ny, sum(least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w)))) as same from u group by 1, 2)
+    s as (select conv_id, turn, len(x) as nx, len(y) as ny,
+      coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0)::double as same from p)
     select conv_id, turn, round(case when same = 0 then 0 else 2 * (same / nx) * (same / ny) / (same / nx + same / ny) end, 6) as f1 from s""",
 )
 def answer_f1(spark, sf):
     c = table(spark, sf, "conversations", "conv_id", "turn", "text")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.array("text").alias("refs"))
     pairs = c.join(after, ["conv_id", "turn"])
-    scored = pairs.select("conv_id", "turn", F.round(M.answer_f1("text", "refs"), 6).alias("f1"), T.normalize_answer("text", True).alias("n"))
-    return scored.filter("n <> ''").drop("n")
+    return pairs.select("conv_id", "turn", F.round(M.answer_f1("text", "refs"), 6).alias("f1"))
 
 
 def _grams(n: int) -> str:

@@ -100,15 +100,15 @@ def attach(spark, sf):
 @query(
     "d11_evidence_has_answer",
     f"""with b as (select item_id as q, {toks('text')} as t from benchmark),
-    a as (select item_id as q, list_slice({toks('text')}, 3, 5) as ans from benchmark where len({toks('text')}) >= 5),
+    a as (select item_id as q, list_slice({toks('text')}, 3, 5) as ans from benchmark),
     g as (select b.q, b.t, a.ans, a.q as aq from b join a on a.q // 8 = b.q // 8),
     p as (select q, aq, t, ans, unnest(generate_series(1, len(t) - len(ans) + 1)) as i from g),
-    h as (select q, aq, i from p where list_slice(t, i, i + len(ans) - 1) = ans)
+    h as (select q, aq, i from p where len(ans) > 0 and list_slice(t, i, i + len(ans) - 1) = ans)
     select aq as question_id, q as block_id, count(*)::bigint as n, min(i - 1)::bigint as first_start, max(i + 1)::bigint as last_end from h group by 1, 2""",
 )
 def evidence(spark, sf):
     rows = table(spark, sf, "benchmark").select("item_id", T.regex_tokens("text").alias("tokens"))
-    answers = rows.filter(F.size("tokens") >= 5).select(F.col("item_id").alias("question_id"), F.slice("tokens", 3, 3).alias("answer"))
+    answers = rows.select(F.col("item_id").alias("question_id"), F.slice("tokens", 3, 3).alias("answer"))
     # a question's blocks are the benchmark items of its group of eight
     blocks = rows.select(F.col("item_id").alias("block_id"), "tokens", F.explode(F.sequence(F.floor(F.col("item_id") / 8) * 8, F.floor(F.col("item_id") / 8) * 8 + 7)).alias("question_id"))
     found = X.evidence_positions(blocks, answers).filter("has")
@@ -158,14 +158,13 @@ WORD_SET = r"list_distinct(list_filter(regexp_split_to_array({}, '[^A-Za-z_0-9]+
 @query(
     "h03_jaccard",
     f"""with s as (select doc_id, {WORD_SET.format('text')} as s from documents)
-    select a.doc_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) as jaccard
-    from s a join s b on b.doc_id = a.doc_id + 1 where len(a.s) + len(b.s) > 0""",
+    select a.doc_id, case when len(a.s) + len(b.s) = 0 then 1 else round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) end as jaccard
+    from s a join s b on b.doc_id = a.doc_id + 1""",
 )
 def jaccard(spark, sf):
     s = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_distinct(N.code_tokens("text")).alias("s"))
     after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("b"))
-    both = s.join(after, "doc_id").filter(F.size("s") + F.size("b") > 0)
-    return both.select("doc_id", F.round(A.jaccard("s", "b"), 6).alias("jaccard"))
+    return s.join(after, "doc_id").select("doc_id", F.round(A.jaccard("s", "b"), 6).alias("jaccard"))
 
 
 @query("h04_id_difference", "select doc_id from documents where doc_id not in (select min(doc_id) from documents group by text)")

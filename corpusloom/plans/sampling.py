@@ -200,7 +200,7 @@ def mixture(spark, sf):
 
 @query(
     "g18_drop_null_windows",
-    f"""with s as (select doc_id, {IDS} as t, (doc_id * 37) % (len({toks('text')}) - 3) as st, len({toks('text')}) as n from documents where len({toks('text')}) > 4),
+    f"""with s as (select doc_id, {IDS} as t, (doc_id * 37) % greatest(len({toks('text')}) - 3, 1) as st, len({toks('text')}) as n from documents),
     g as (select *, unnest(generate_series(0, n - 1, 192)) as b from s), k as (select *, b // 192 as ord, (st >= b and st + 2 <= b + 253) as hit from g where b = 0 or b - 192 + 254 < n)
     select doc_id, ord::bigint as ord from k where doc_id % 11 <> 0 and (hit or {hashed(4, "(doc_id || ':' || ord)")} % 1000000 / 1000000.0 >= 0.6)""",
 )

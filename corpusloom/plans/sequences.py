@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
-from corpusloom.ids import dense_ids
+from corpusloom.ids import dense_ids, running_total, seeded_key
 from corpusloom.operators import segment as S
 from corpusloom.operators import sequences as Q
-from corpusloom.plans.registry import query, strip, table, toks, wide
+from corpusloom.plans.registry import hashed, query, strip, table, toks, wide
 
 
 def token_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,21 +37,21 @@ def tokenize(spark, sf):
 
 
 VOCAB_SQL = f"""with t as (select doc_id, unnest({toks('text')}) as token from documents),
- v as (select token, (row_number() over (order by n desc, token))::bigint as id from (select token, count(*) as n from t group by token having count(*) >= 20))"""
+ v as (select token, (row_number() over (order by n desc, {hashed(0, 'token')}, token))::bigint as id from (select token, count(*) as n from t group by token having token not like 'z%'))"""
 
 
+# ids by count, equal counts in hash order; words with z stand for unknown ones
 @query(
     "i02_encode",
-    VOCAB_SQL + """ select doc_id, count(*)::bigint as n, sum(coalesce(id, 0))::bigint as id_sum, count(id)::bigint as n_known from t left join v using (token) group by doc_id""",
+    VOCAB_SQL + f""", e as (select doc_id, count(*)::bigint as n, sum(coalesce(id, 0))::bigint as id_sum, count(id)::bigint as n_known from t left join v using (token) group by doc_id)
+    select doc_id, coalesce(n, 0) as n, coalesce(id_sum, 0) as id_sum, coalesce(n_known, 0) as n_known from documents left join e using (doc_id)""",
 )
 def encode(spark, sf):
-    docs = token_docs(spark, sf).filter("n_tokens > 0")
-    counts = A.fan_out(docs, [], "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
-    # ids by (count desc, token): the table of frequent words is small, so one sort task is enough
-    from pyspark.sql import Window
-
-    ranked = counts.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")))
-    out = Q.encode(docs, ranked.select("token", "id"), "doc_id", 0)
+    docs = token_docs(spark, sf)
+    counts = A.fan_out(docs, [], "tokens", "token").groupBy("token").agg((-F.count(F.lit(1))).alias("n")).filter(~F.col("token").like("z%"))
+    counts = counts.withColumn("key", seeded_key(0, "token"))
+    ranked = running_total(counts, "id", ["n", "key", "token"], spread="range").select("token", F.col("id") + 1).toDF("token", "id")
+    out = Q.encode(docs, ranked, "doc_id", 0)
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     known = F.size(F.filter("ids", lambda x: x > 0)).cast("long")
     return out.select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("id_sum"), known.alias("n_known"))
@@ -97,16 +97,14 @@ def passages(spark, sf):
 
 def _window_input(spark, sf):
     rows = id_docs(spark, sf)
-    n = F.size("tokens")
-    rows = rows.filter(n > 4)
-    start = F.pmod(F.col("doc_id") * 37, F.size("tokens").cast("long") - 3).cast("int")
+    start = F.pmod(F.col("doc_id") * 37, F.greatest(F.size("tokens").cast("long") - 3, F.lit(1))).cast("int")
     return rows.select("doc_id", F.array(F.lit(-7), F.lit(-8)).alias("question"), "tokens", start.alias("start"), (start + 2).alias("end"))
 
 
 @query(
     "i06_windows",
-    f"""with s as (select doc_id, {IDS} as t from documents where len({toks('text')}) > 4),
-    a as (select doc_id, t, (doc_id * 37) % (len(t) - 3) as st, len(t) as n from s),
+    f"""with s as (select doc_id, {IDS} as t from documents),
+    a as (select doc_id, t, (doc_id * 37) % greatest(len(t) - 3, 1) as st, len(t) as n from s),
     g as (select *, unnest(generate_series(0, n - 1, 192)) as b from a),
     k as (select * from g where b = 0 or b - 192 + 254 < n)
     select doc_id, (b // 192)::bigint as ord, md5('-7,-8,' || array_to_string(list_slice(t, b + 1, b + 254), ',')) as digest,

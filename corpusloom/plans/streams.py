@@ -59,12 +59,14 @@ def stream_shuffle(spark, sf):
 
 @query(
     "k03_chunk_then_pack",
-    f"""with c as (select doc_id, {toks('text')} as t from documents), g as (select doc_id, t, unnest(generate_series(1, len(t), 64)) as s from c where len(t) > 0)
-    select doc_id, string_agg(len(list_slice(t, s, s + 63))::varchar, ',' order by s) as sizes from g group by 1""",
+    f"""with c as (select doc_id, {toks('text')} as t from documents), g as (select doc_id, t, unnest(generate_series(1, len(t), 64)) as s from c),
+    z as (select doc_id, string_agg(len(list_slice(t, s, s + 63))::varchar, ',' order by s) as sizes from g group by 1)
+    select doc_id, coalesce(sizes, '') as sizes from documents left join z using (doc_id)""",
 )
 def chunk_then_pack(spark, sf):
-    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.regex_tokens("text").alias("t")).filter(F.size("t") > 0)
-    chunks = F.transform(F.sequence(F.lit(1), F.size("t"), F.lit(64)), lambda s: F.slice("t", s, F.lit(64)))
+    rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", T.regex_tokens("text").alias("t"))
+    starts = F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"), F.lit(64))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(starts, lambda s: F.slice("t", s, F.lit(64)))
 
     def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [len(c) for c in pdf["chunk"]]})

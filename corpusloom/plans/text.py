@@ -223,11 +223,11 @@ def short_sequences(spark, sf):
 @query(
     "b19_drop_unknown",
     f"""select doc_id from (select doc_id, list_transform({toks('text')}, lambda t: case when length(t) > 8 then 0 else length(t) end) as ids from documents)
-    where len(ids) > 0 and len(list_filter(ids, lambda x: x = 0)) / len(ids) < 0.5""",
+    where len(list_filter(ids, lambda x: x = 0)) < 0.5 * len(ids)""",
 )
 def unknown(spark, sf):
     ids = F.transform(T.regex_tokens("text"), lambda t: F.when(F.length(t) > 8, 0).otherwise(F.length(t)))
-    rows = docs(spark, sf).select("doc_id", ids.alias("tokens")).filter(F.size("tokens") > 0)
+    rows = docs(spark, sf).select("doc_id", ids.alias("tokens"))
     return C.drop_unknown(rows, 0).select("doc_id")
 
 

@@ -213,12 +213,12 @@ def span_decode(spark, sf):
 @query(
     "f09_best_valid_span",
     f"""with {QA_SQL}, c as (select s.vec_id, s.i as s, e.i as e, s.v + e.v - case when e.i < s.i or e.i - s.i > 20 then 1e8 else 0 end as score from st s join en e using (vec_id) where s.r <= 4 and e.r <= 4),
-    k as (select *, row_number() over (partition by vec_id order by score desc, e, s) as r from c) select vec_id, s::bigint as "start", e::bigint as "end", (score > -1000)::int as valid from k where r = 1 and score > -1000""",
+    k as (select *, row_number() over (partition by vec_id order by score desc, e, s) as r from c) select vec_id, s::bigint as "start", e::bigint as "end", (score > -1000)::int as valid from k where r = 1""",
 )
 def best_span(spark, sf):
     f = features(spark, sf).select(F.col("feature_id").alias("vec_id"), F.col("start_logits").alias("start"), F.col("end_logits").alias("end"))
-    out = X.best_valid_span(f, 4, 20).filter("score > -1000")
-    return out.select("vec_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(1).alias("valid"))
+    out = X.best_valid_span(f, 4, 20)
+    return out.select("vec_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("score") > -1000).cast("int").alias("valid"))
 
 
 @query(
@@ -310,12 +310,14 @@ def top_labels(spark, sf):
 
 def _pairs(spark, sf):
     v = vectors(spark, sf)
-    one = lambda i, n: F.struct(F.lit(i).alias("label_id"), F.lit(n).alias("label"), F.get("embedding", F.lit(2 * i)).cast("double").alias("entail"), F.get("embedding", F.lit(2 * i + 1)).cast("double").alias("contradict"))
-    rows = v.select(F.col("vec_id").alias("text_id"), F.explode(F.array(*[one(i, n) for i, n in enumerate(["work", "travel", "food"])])).alias("p"))
-    return rows.select("text_id", "p.*")
+    # every pair of components is a label: its entailment and its contradiction
+    at = F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1)
+    value = lambda i: F.get("embedding", i).cast("double")
+    one = lambda i: F.struct(i.alias("label_id"), F.concat(F.lit("label "), i.cast("string")).alias("label"), value(2 * i).alias("entail"), value(2 * i + 1).alias("contradict"))
+    return v.select(F.col("vec_id").alias("text_id"), F.explode(F.transform(at, one)).alias("p")).select("text_id", "p.*")
 
 
-ZERO_SQL = "p as (select vec_id, unnest([0, 1, 2]) as l, unnest(['work', 'travel', 'food']) as label, unnest([embedding[1], embedding[3], embedding[5]])::double as e, unnest([embedding[2], embedding[4], embedding[6]])::double as c from embeddings)"
+ZERO_SQL = "p as (select vec_id, l, 'label ' || l as label, embedding[2 * l + 1]::double as e, embedding[2 * l + 2]::double as c from (select vec_id, embedding, unnest(generate_series(0, len(embedding) // 2 - 1)) as l from embeddings))"
 
 
 @query("f14_zero_shot_single", f"with {ZERO_SQL}, s as (select vec_id, l, label, exp(e) / sum(exp(e)) over (partition by vec_id) as score from p) select vec_id as text_id, label, round(score, 6) as score, (row_number() over (partition by vec_id order by score desc, l))::bigint as rank from s")
@@ -333,16 +335,15 @@ def zero_multi(spark, sf):
 def _options(spark, sf):
     v = vectors(spark, sf, "label")
     rows = v.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
-    losses = rows.select(F.col("vec_id").alias("sample_id"), F.floor(F.col("pos") / 16).cast("int").alias("option"), "pos", F.round(F.abs(F.col("x").cast("double")), 6).alias("loss"))
-    losses = losses.filter(F.pmod("pos", F.lit(16)) < 10 + F.col("option"))
+    losses = rows.select(F.col("vec_id").alias("sample_id"), F.floor(F.sqrt(F.col("pos") / 4)).cast("int").alias("option"), "pos", F.abs(F.col("x").cast("double")).alias("loss"))
     samples = v.select(F.col("vec_id").alias("sample_id"), (F.col("label") % 4).alias("gold"), F.lit(5.0).alias("prefix_loss"), F.lit(20).alias("input_len"))
     return losses, samples
 
 
 def _options_sql(norm: bool) -> str:
     used = "m" if norm else "s"
-    return f"""with x as (select vec_id, label % 4 as gold, generate_subscripts(embedding, 1) - 1 as i, round(abs(unnest(embedding)::double), 6) as l from embeddings),
-    o as (select vec_id, gold, i // 16 as opt, sum(l) as s, count(*) as n, sum(l) / count(*) as m from x where i % 16 < 10 + i // 16 group by 1, 2, 3)
+    return f"""with x as (select vec_id, label % 4 as gold, generate_subscripts(embedding, 1) - 1 as i, abs(unnest(embedding)::double) as l from embeddings),
+    o as (select vec_id, gold, floor(sqrt(i / 4))::int as opt, sum(l) as s, count(*) as n, sum(l) / count(*) as m from x group by 1, 2, 3)
     select vec_id as sample_id, arg_min(opt, (round({used}, 6), opt))::bigint as pred, round(min({used}), 6) as min_loss, round(max(case when opt = gold then m end), 6) as gold_loss,
       round(max(case when opt = gold then (5.0 + {used}) / (20 + n) end), 6) as gold_tot_loss from o group by 1"""
 

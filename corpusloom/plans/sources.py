@@ -144,21 +144,19 @@ def conll(spark, sf):
     return out.select(F.md5(body).alias("digest"), F.size("words").cast("long").alias("n"))
 
 
-@query("a13_read_parallel", "select md5(replace(text, chr(10), ' ')) as src, role as tgt, count(*)::bigint as n from conversations where text <> '' group by 1, 2")
+@query("a13_read_parallel", "select md5(replace(text, chr(10), ' ')) as src, role as tgt, count(*)::bigint as n from conversations group by 1, 2")
 def parallel(spark, sf):
     path = fresh(spark, "parallel")
-    rows = table(spark, sf, "conversations").filter("text <> ''").select("text", "role", F.lit("validation").alias("split"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("k"))
+    rows = table(spark, sf, "conversations").select("text", "role", F.lit("validation").alias("split"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("k"))
     writers.write_parallel(rows, path, "text", "role", "k")
     out = readers.read_parallel(spark, f"{path}/text/split=val", f"{path}/role/split=val")
     return out.groupBy(F.md5("src").alias("src"), "tgt").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a14_read_tasks", "select role as task, count(*)::bigint as n, count(*)::bigint as n_positive from (select role, row_number() over (partition by role order by conv_id, turn) as r from conversations) where r <= 100 group by 1")
+@query("a14_read_tasks", "select role as task, count(*)::bigint as n, count(*)::bigint as n_positive from conversations group by 1")
 def tasks(spark, sf):
-    from corpusloom.ids import top_per_group
-
     path = fresh(spark, "tasks")
-    rows = top_per_group(table(spark, sf, "conversations"), ["role"], [F.col("conv_id"), F.col("turn")], 100)
+    rows = table(spark, sf, "conversations")
     inst = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("input"), F.array("role").alias("output"))
     files = rows.groupBy("role").agg(F.collect_list(inst).alias("Instances"), F.collect_list(F.struct(F.col("text").alias("input"), F.col("role").alias("output"))).alias("Positive Examples"))
     files = files.withColumn("Definition", F.array(F.concat(F.lit("Say something as "), "role")))

@@ -15,7 +15,6 @@ from corpusloom.ids import running_total
 # The files' own conventions.
 HIGHLIGHT = "@highlight"
 SENTENCE_ENDINGS = [".", "!", "?", "...", "'", "`", '"', "’", ")"]
-MAX_INSTANCES = 100
 
 
 def read_blankline_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -158,11 +157,8 @@ def conllu_sentences(lines: DataFrame, form: int = 1, tag: int = 3) -> DataFrame
     return conll_sentences(plain.withColumn("value", short))
 
 
-def read_tasks(spark: SparkSession, path: str, limit: int | None = MAX_INSTANCES) -> DataFrame:
-    """(task, definition, positives, pos, id, input, outputs): the first ``limit`` instances of each task file.
-
-    ``None`` reads all instances.
-    """
+def read_tasks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(task, definition, positives, pos, id, input, outputs): all instances of each task file, or the first ``limit``."""
     schema = (
         "`Definition` array<string>, `Positive Examples` array<struct<input:string,output:string>>, "
         "`Instances` array<struct<id:string,input:string,output:array<string>>>"

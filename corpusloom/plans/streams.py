@@ -31,16 +31,19 @@ def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+SHARDS = 32
+
+
 @query(
     "k01_stream_pack",
-    f"""with s as (select doc_id, doc_id % 8 as shard, list_append({toks('text')}, '<end>') as t from documents),
+    f"""with s as (select doc_id, doc_id % {SHARDS} as shard, list_append({toks('text')}, '<end>') as t from documents),
     o as (select *, sum(len(t)) over (partition by shard order by doc_id) - len(t) as off from s),
     x as (select shard, off + generate_subscripts(t, 1) - 1 as pos, unnest(t) as v from o)
     select shard::bigint as shard, (pos // 512)::bigint as block, md5(string_agg(v, ' ' order by pos)) as digest from x group by 1, 2 having count(*) = 512""",
 )
 def stream_pack(spark, sf):
     docs = source(spark, sf, "documents").select("doc_id", T.regex_tokens("text").alias("tokens"))
-    out = drain(spark, jobs.stream_pack(docs, 512, "<end>", 8, "doc_id"), "pack")
+    out = drain(spark, jobs.stream_pack(docs, 512, "<end>", SHARDS, "doc_id"), "pack")
     return out.select(F.col("shard").cast("long").alias("shard"), "block", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 

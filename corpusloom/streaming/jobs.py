@@ -14,35 +14,41 @@ from corpusloom.ids import seeded_key
 from corpusloom.operators.corpus import QualityLimits, passes_quality
 
 PACKED = "shard int, block long, tokens array<string>"
-CARRY = "held array<string>, done long"
+CARRY = "held array<string>, done long, next long, early array<long>, waiting array<array<string>>"
 
 
 def stream_pack(stream: DataFrame, length: int, end_token: str, shards: int, order: str, tokens: str = "tokens") -> DataFrame:
-    """Arriving token lists to blocks of exactly ``length``, per shard, each list closed by ``end_token``.
-
-    A shard is ``order mod shards``; its state is the unfinished block (fewer than ``length`` tokens)
-    and the number of blocks made. With rows arriving in order, the blocks of a shard equal those of
-    packing the shard in one batch. Use as many shards as the cluster has slots.
+    """Token lists in any order of arrival to blocks of exactly ``length``, per shard, each list closed by ``end_token``.
+
+    ``order`` numbers the lists 0, 1, 2, ... without gaps; a shard is ``order mod shards``. A list that comes before
+    its predecessors waits in the shard's state, and lists are packed strictly by their numbers, so the
+    blocks of a shard equal those of packing it in one batch, however the input is cut into files and
+    micro-batches. A number that comes again raises an error. State holds the unfinished block, the number that
+    is due and the lists that wait for it; a gap keeps later lists waiting. Use more shards than the
+    cluster has slots.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, done = state.get if state.exists else ([], 0)
-        buffer = list(held)
+        held, done, due, early, waiting = state.get if state.exists else ([], 0, int(key[0]), [], [])
+        buffer, ready = list(held), dict(zip(early, waiting))
         rows = []
-        arrived = pd.concat(list(frames)).sort_values("o")
-        for toks in arrived["t"]:
-            buffer.extend(toks)
-            buffer.append(end_token)
-            full = len(buffer) // length * length
-            for i in range(0, full, length):
-                rows.append((int(key[0]), done, buffer[i : i + length]))
-                done += 1
-            buffer = buffer[full:]
-        state.update((buffer, done))
+        for arrived in frames:
+            for o, toks in zip(arrived["o"], arrived["t"]):
+                if o < due or o in ready:
+                    raise ValueError(f"list {o} came twice")
+                ready[int(o)] = toks
+            while due in ready:
+                buffer.extend(ready.pop(due))
+                buffer.append(end_token)
+                due += shards
+                full = len(buffer) // length * length
+                rows += [(int(key[0]), done + i, buffer[i * length : (i + 1) * length]) for i in range(full // length)]
+                done, buffer = done + full // length, buffer[full:]
+        state.update((buffer, done, due, list(ready), [list(t) for t in ready.values()]))
         yield pd.DataFrame(rows, columns=["shard", "block", "tokens"])
 
     rows = stream.select(
-        F.pmod(F.col(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("o"), F.col(tokens).alias("t")
+        F.pmod(F.col(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).cast("long").alias("o"), F.col(tokens).alias("t")
     )
     return rows.groupBy("shard").applyInPandasWithState(step, PACKED, CARRY, "append", GroupStateTimeout.NoTimeout)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.ids import FAN, dense_ids, permutation_keys, permuted, running_total
 from corpusloom.operators import folds, knn, neardup, sampling, sequences, spans
 from corpusloom.session import recorded_copies
+from corpusloom.streaming import jobs
 
 
 def one_pass(weights, rooms):
@@ -217,3 +218,84 @@ def test_pieces_follow_the_best_overlap(spark):
     assert sorted((r.doc, r.ord, r.offset, list(r.tokens)) for r in pieces.collect()) == sorted(want)
     merged = {r.doc: list(r.tokens) for r in spans.merged_items(pieces, "doc").collect()}
     assert merged[99] == [t for _, _, _, p in sorted(w for w in want if w[0] == 99) for t in p]
+
+
+@pytest.mark.parametrize("files, shards", [(1, 1), (6, 4)])
+def test_streamed_blocks_do_not_depend_on_the_order_of_arrival(spark, tmp_path, files, shards):
+    rng = random.Random(8)
+    docs = [(i, [f"w{rng.randrange(9)}" for _ in range(rng.randrange(7))]) for i in range(90)]
+    rng.shuffle(docs)
+    schema = "id long, tokens array<string>"
+    for k in range(files):
+        spark.createDataFrame(docs[k::files], schema).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    packed = jobs.stream_pack(stream, 10, "<end>", shards, "id")
+    run = packed.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for shard in range(shards):
+        flat = [t for i, toks in sorted(docs) if i % shards == shard for t in [*toks, "<end>"]]
+        want += [(shard, b, flat[b * 10 : b * 10 + 10]) for b in range(len(flat) // 10)]
+    assert sorted((r.shard, r.block, list(r.tokens)) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_lexical_search_equals_the_full_sum(spark):
+    rng = random.Random(3)
+    words = ["the", "a", *[f"w{i}" for i in range(40)]]
+    text = lambda n: " ".join(words[min(int(rng.expovariate(0.15)), 41)] for _ in range(n))
+    docs = [(i, text(rng.randrange(30)) if i % 11 else None, text(3)) for i in range(400)] + [(1000 + i, "the w3 w5", "w7") for i in range(20)]
+    queries = [(i, text(6)) for i in range(25)] + [(90, "nothing of it"), (91, None), (92, "the the a")]
+    fields = {"body": 1.0, "head": 2.5}
+    got = knn.lexical_search(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(docs, "passage_id long, body string, head string").repartition(4), 7, fields)
+    got = {(r.query_id, r["rank"]): (r.passage_id, r.score) for r in got.collect()}
+    totals = {}
+    for place, (field, boost) in enumerate(fields.items(), 1):
+        toks = {d[0]: (d[place] or "").split() for d in docs}
+        mean = sum(map(len, toks.values())) / len(toks)
+        for qid, q in queries:
+            sums = {}
+            for term in sorted(set((q or "").split())):
+                holders = [d for d, t in toks.items() if term in t]
+                idf = np.log(1 + (len(toks) - len(holders) + 0.5) / (len(holders) + 0.5))
+                for d in holders:
+                    tf = toks[d].count(term)
+                    sums[d] = sums.get(d, 0.0) + boost * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
+            for d, s in sums.items():
+                totals.setdefault(qid, {})[d] = max(totals.get(qid, {}).get(d, 0.0), s)
+    want = {}
+    for qid, sums in totals.items():
+        for rank, (d, s) in enumerate(sorted(sums.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7], 1):
+            want[qid, rank] = (d, s)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_user_metric_over_one_group_is_merged_from_tasks(spark):
+    from collections import Counter
+
+    from corpusloom.operators.aggregates import Metric, user_metrics
+
+    mode = Metric(Counter, lambda s, rows: s + Counter(rows["v"].tolist()), lambda a, b: a + b, lambda s: {"top": s.most_common(1)[0][1], "n": sum(s.values())})
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 20 > 0, F.lit("cold")).alias("k"), (F.col("id") % 7 + 1).alias("v")).repartition(9)
+    for fan, groups in ((256, 10_000), (2, 1)):
+        got = {(r.k, r.name): r.value for r in user_metrics(df, {"mode": mode}, ["v"], ["k"], groups, fan).collect()}
+        want = {}
+        for k in ("hot", "cold", None):
+            vals = Counter(i % 7 + 1 for i in range(1000) if ("hot" if i % 10 else "cold" if i % 20 else None) == k)
+            want[k, "top"], want[k, "n"] = max(vals.values()), sum(vals.values())
+        assert got == want
+    whole = {r.name: r.value for r in user_metrics(df, {"mode": mode}, ["v"]).collect()}
+    assert whole["n"] == 1000
+
+
+def test_registry_names_and_hooks(spark):
+    from corpusloom.operators import metrics
+
+    rows = [("start: 1 end: 2", ["b c"], "a b, c d", 3.0), ("start: x end: 2", ["q"], "a b", 1.0), ("3", ["3"], "", 2.0)]
+    df = spark.createDataFrame(rows, "prediction string, references array<string>, context string, x double")
+    got = {(r.metric, r.name): r.value for r in metrics.registry_metrics(df, list(metrics.REGISTRY)).collect()}
+    assert {m for m, _ in got} == set(metrics.REGISTRY)
+    assert round(got["Span Squad", "em"], 4) == round(100 / 3, 4) and round(got["Accuracy", "accuracy"], 4) == round(100 / 3, 4)
+    hooked = metrics.registry_metrics(df, ["Accuracy", "Other"], hooks={"Accuracy": lambda p, r: (F.lit("z"), F.array(F.lit("z")))})
+    values = {r.metric: round(r.value, 4) for r in hooked.collect()}
+    assert values == {"Accuracy": 100.0, "Other": round(100 / 3, 4)}

@@ -261,19 +261,21 @@ STORY = f"""l as (select doc_id, list_filter(list_transform(string_split(text ||
 
 @query(
     "a22_read_stories",
-    f"with {STORY} select doc_id, md5(array_to_string(list_slice(l, 1, list_position(l, '@highlight') - 1), chr(10))) as story, array_to_string(list_filter(list_slice(l, list_position(l, '@highlight') + 1, len(l)), lambda x: not starts_with(x, '@highlight')), '|') as summary from f",
+    f"with {STORY} select md5(array_to_string(list_slice(l, 1, list_position(l, '@highlight') - 1), chr(10))) as story, array_to_string(list_filter(list_slice(l, list_position(l, '@highlight') + 1, len(l)), lambda x: not starts_with(x, '@highlight')), '|') as summary from f",
 )
 def stories(spark, sf):
     d = wide(spark, sf, "documents", "doc_id", "text", "lang", "source")
     raw = d.select("doc_id", F.concat("text", F.lit("\n@highlight\n"), "lang", F.lit("\n @highlight\n"), "source").alias("value"))
-    out = readers.parse_stories(raw)
-    return out.select("doc_id", F.md5(F.array_join("story_lines", "\n")).alias("story"), F.array_join("summary_lines", "|").alias("summary"))
+    path = fresh(spark, "stories")
+    raw.write.partitionBy("doc_id").text(path)  # one file per story
+    out = readers.read_stories(spark, path)
+    return out.select(F.md5(F.array_join("story_lines", "\n")).alias("story"), F.array_join("summary_lines", "|").alias("summary"))
 
 
-@query("a23_write_parallel", "select case when o_orderkey % 5 = 0 then 'val' else 'train' end as split, count(*)::bigint as n from orders group by 1")
+@query("a23_write_parallel", "select case when o_orderkey % 5 = 0 then 'val' else 'train' end as split, o_orderpriority as src, o_orderstatus as tgt, count(*)::bigint as n from orders group by all")
 def write_parallel(spark, sf):
     path = fresh(spark, "wmt")
     o = table(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").withColumn("split", F.when(F.col("o_orderkey") % 5 == 0, "validation").otherwise("train"))
     writers.write_parallel(o, path, "o_orderpriority", "o_orderstatus", "o_orderkey")
-    parts = [readers.read_parallel(spark, f"{path}/o_orderpriority/split={s}", f"{path}/o_orderstatus/split={s}").select(F.lit(s).alias("split")) for s in ("train", "val")]
-    return parts[0].unionByName(parts[1]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    parts = [readers.read_parallel(spark, f"{path}/o_orderpriority/split={s}", f"{path}/o_orderstatus/split={s}").select(F.lit(s).alias("split"), "src", "tgt") for s in ("train", "val")]
+    return parts[0].unionByName(parts[1]).groupBy("split", "src", "tgt").agg(F.count(F.lit(1)).alias("n"))

@@ -274,16 +274,10 @@ def _register_words(strategy: str) -> None:
         return out.select("sent_id", long("index"), "word", long("start"), long("end"), "entity", F.round("score", 6).alias("score"))
 
 
-for _s in ("FIRST", "MAX"):
+for _s in ("FIRST", "MAX", "AVERAGE"):
     _register_words(_s)
 
 
-@query("f11_words_average")
-def words_average(spark, sf):
-    out = X.words_from_subwords(pieces(spark, sf), LABELS, "AVERAGE")
-    return out.select("sent_id", "index", "word", "entity", F.round("score", 6).alias("score"))
-
-
 @query(
     "f12_group_entities",
     _words_sql("FIRST") + f""", l as (select q, ix, word, s, e, {NAMES_SQL}[list_position(v, list_max(v))] as en, list_max(v) as sc from g),

@@ -153,11 +153,17 @@ def by_length(spark, sf):
     return out.withColumn("group", F.col("group").cast("long"))
 
 
-@query("g14_sortish_batches")
+@query(
+    "g14_sortish_batches",
+    f"""with o as (select o_orderkey as id, floor(o_totalprice / 1000)::bigint as len from orders), m as (select *, row_number() over (order by {hashed(3, 'id')}, id) - 1 as pos from o),
+    c as (select *, pos // 800 as chunk, row_number() over (partition by pos // 800 order by len desc, pos) - 1 as i from m), r as (select id, len, i, chunk * 50 + i // 16 as raw from c),
+    h as (select raw, len from r where i % 16 = 0), f as (select raw from h order by len desc, raw limit 1),
+    b as (select raw, row_number() over (order by case when raw = (select raw from f) then 0 else {hashed(3, 'raw')} + 1 end, raw) - 1 as batch from h)
+    select batch::bigint as batch, count(*)::bigint as n, max(len) as longest, min(len) as shortest from r join b using (raw) group by batch""",
+)
 def sortish(spark, sf):
-    rows = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
-    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("len"))
-    rows = rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "len")
+    rows = table(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 1000).alias("len"))
     out = G.sortish_batches(rows, 16, 3, "len", "id")
     return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"), F.min("len").alias("shortest"))
 

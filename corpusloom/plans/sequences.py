@@ -213,7 +213,15 @@ def trim(spark, sf):
     return out.select("doc_id", "batch", F.size("tokens").cast("long").alias("width"))
 
 
-@query("i12_bin_demos")
+@query(
+    "i12_bin_demos",
+    f"""with recursive l as materialized (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: list_transform({toks('x')}, lambda t: length(t))), lambda x: len(x) > 0) as d from documents),
+    z as materialized (select doc_id, list_transform(d, lambda x: len(x)) as n from l where len(d) > 0),
+    f(doc_id, i, bin, s) as (select doc_id, 1, 0, n[1] from z
+      union all select f.doc_id, i + 1, case when s + n[i + 1] + 1 <= 1024 then bin else bin + 1 end, case when s + n[i + 1] + 1 <= 1024 then s else 0 end + n[i + 1] from f join z using (doc_id) where i < len(n)),
+    b as (select doc_id, bin, flatten(list(d[i] order by i)) as t from f join l using (doc_id) group by 1, 2), m as (select *, max(bin) over (partition by doc_id) as most from b)
+    select doc_id, bin::bigint as bin, len(t)::bigint as n, md5(array_to_string(t, ',')) as digest from m where most = 0 or bin < most""",
+)
 def bins(spark, sf):
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.transform(T.regex_tokens(x), lambda t: F.length(t)))
     rows = wide(spark, sf, "documents", "doc_id", "text").select("doc_id", F.filter(lines, lambda x: F.size(x) > 0).alias("demos"))
@@ -255,12 +263,19 @@ def align(spark, sf):
     return rows.select("doc_id", F.md5(F.array_join(A.align_labels(n, lab, 64).cast("array<string>"), ",")).alias("digest"))
 
 
-@query("i15_split_long_sentences")
+@query(
+    "i15_split_long_sentences",
+    f"""with recursive w as (select doc_id, string_split(text, ' ') as w from documents), x as (select doc_id, generate_subscripts(w, 1) - 1 as i, unnest(w) as t from w),
+    n as (select doc_id, i, len({toks('t')}) as n from x), u as materialized (select *, sum(n) over (partition by doc_id order by i) as total from n where n > 0),
+    f(doc_id, part, st, base) as (select doc_id, 0, -1, 0::hugeint from documents
+      union all select f.doc_id, any_value(part) + 1, min(i), arg_min(total - n, i)::hugeint from f join u on u.doc_id = f.doc_id and i > f.st and total > base + 128 group by f.doc_id)
+    select u.doc_id, part::bigint as part, count(*)::bigint as n_words, min(i)::bigint as first_word from u asof join f on u.doc_id = f.doc_id and u.i >= f.st group by 1, 2""",
+)
 def split_long(spark, sf):
     rows = wide(spark, sf, "documents", "doc_id", "text")
     n = F.transform(F.split("text", " ", -1), lambda x: T.n_tokens(x))
     out = S.split_long_sentences(rows.select("doc_id", n.alias("pieces")), 128)
-    return out.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n_words"), F.min("word").alias("first_word"))
+    return out.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n_words"), F.min("word").cast("long").alias("first_word")).withColumn("part", F.col("part").cast("long"))
 
 
 FLAGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -24,6 +24,7 @@ from corpusloom.operators.skew import skew_join
 from corpusloom.session import materialize
 
 DIGITS = 6
+HOT_POSTINGS = 1_000_000
 
 
 def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -319,11 +320,12 @@ class Postings:
     """``rows``: (field, term, passage_id, impact, level); ``blocks``: (field, term, level, n, low, high).
 
     A block holds the postings of a term whose impacts lie in one of ``levels`` equal steps below the
-    term's largest; ``low`` and ``high`` bound them.
+    term's largest; ``low`` and ``high`` bound them. ``hot`` says that a term has over ``HOT_POSTINGS`` of them.
     """
 
     rows: DataFrame
     blocks: DataFrame
+    hot: bool
 
 
 def impact_postings(
@@ -346,16 +348,22 @@ def impact_postings(
     terms = posts.filter("term <> ''").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boost = F.create_map(*[x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))])
-    terms = materialize(terms.join(F.broadcast(sizes), "field").select("field", "term", "mean", (boost[F.col("field")] * idf).alias("weight")))
+    terms = materialize(terms.join(F.broadcast(sizes), "field").select("field", "term", "df", "mean", (boost[F.col("field")] * idf).alias("weight")))
+    # document frequencies are known: only an index with a hot term needs salted joins
+    hot = not terms.filter(F.col("df") > HOT_POSTINGS).isEmpty()
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.col("mean"))
     impact = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     key = ["field", "term"]
-    scored = skew_join(posts.filter("term <> ''"), terms, key, "passage_id").select(*key, "passage_id", impact.alias("impact"))
+    scored = _joined(posts.filter("term <> ''"), terms.drop("df"), key, hot).select(*key, "passage_id", impact.alias("impact"))
     most = scored.groupBy(*key).agg(F.max("impact").alias("most"))
     level = F.least(F.floor(F.lit(levels) * F.col("impact") / F.col("most")), F.lit(levels - 1)).cast("int")
-    rows = materialize(skew_join(scored, most, key, "passage_id").select(*key, "passage_id", "impact", level.alias("level")))
+    rows = materialize(_joined(scored, most, key, hot).select(*key, "passage_id", "impact", level.alias("level")))
     blocks = rows.groupBy(*key, "level").agg(F.count(F.lit(1)).alias("n"), F.min("impact").alias("low"), F.max("impact").alias("high"))
-    return Postings(rows, materialize(blocks))
+    return Postings(rows, materialize(blocks), hot)
+
+
+def _joined(postings: DataFrame, small: DataFrame, keys: list[str], hot: bool) -> DataFrame:
+    return skew_join(postings, small, keys, "passage_id", hot_rows=HOT_POSTINGS) if hot else postings.join(small, keys)
 
 
 def lexical_search(
@@ -373,7 +381,7 @@ def lexical_search(
 
     The answer is that of summing every posting, but most postings of frequent terms are not read:
 
-    * the best blocks of a query's terms give partial sums of at least ``k`` passages; the k-th of these is
+    * the best small blocks of a query's terms give partial sums of at least ``k`` passages; the k-th of these is
       a score that every answer reaches;
     * terms whose largest impacts together stay below it can't bring a passage in alone; and of the other
       terms, blocks that don't reach it even with all other terms at their largest are skipped;
@@ -389,19 +397,19 @@ def lexical_search(
     asked = materialize(wanted.join(best, "term"))
     stack = asked.join(index.blocks, key)
     down = Window.partitionBy("query_id", *key).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    first = stack.withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("above") < k)
-    partial = _sums(index.rows, first.select("query_id", *key, "level"))
-    kth = top_per_group(partial.groupBy("query_id", "passage_id").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
-    floor = kth.filter(F.col("rank") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("floor"))
+    first = stack.withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0))).filter((F.col("above") < k) & (F.col("n") <= 64 * k))
+    floor = _kth_score(_sums(index, first.select("query_id", *key, "level")), k)
     asked = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     rising = Window.partitionBy(*pair).orderBy("most", "term")
     asked = asked.withColumn("needed", F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("floor"))
     asked = materialize(asked.withColumn("others", F.sum("most").over(Window.partitionBy(*pair)) - F.col("most")))
     kept = asked.filter("needed").join(index.blocks.select(*key, "level", "high"), key).filter((F.col("high") + F.col("others")) * (1 + 1e-9) >= F.col("floor"))
-    partial = _sums(index.rows, kept.select("query_id", *key, "level"))
-    # what the terms that were not needed could still add
-    spare = asked.groupBy(*pair).agg(F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).alias("spare"), F.max("floor").alias("floor"))
-    candidates = partial.join(spare, pair).filter((F.col("score") + F.col("spare")) * (1 + 1e-9) >= F.col("floor")).select(*pair, "passage_id")
+    partial = materialize(_sums(index, kept.select("query_id", *key, "level")))
+    # what the terms that were not needed could still add, against the k-th of the sums so far
+    spare = asked.groupBy(*pair).agg(F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).alias("spare"))
+    floor = _kth_score(partial, k)
+    candidates = partial.join(spare, pair).join(floor, "query_id", "left")
+    candidates = candidates.filter((F.col("score") + F.col("spare")) * (1 + 1e-9) >= F.coalesce("floor", F.lit(0.0))).select(*pair, "passage_id")
     full = candidates.join(asked.select(*pair, "term"), pair).join(index.rows.drop("level"), [*key, "passage_id"])
     terms = full.groupBy(*pair, "passage_id").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("t"))
     scored = terms.select("query_id", "passage_id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["impact"]).alias("score"))
@@ -409,9 +417,16 @@ def lexical_search(
     return top_per_group(whole, ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank")
 
 
-def _sums(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, field, passage_id, score): impacts in the named blocks (query_id, field, term, level), hot ones salted."""
-    found = skew_join(rows, blocks, ["field", "term", "level"], "passage_id")
+def _kth_score(sums: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): a score that the k best passages of a query reach; no row for a query with fewer."""
+    best = sums.groupBy("query_id", "passage_id").agg(F.max("score").alias("score"))
+    kth = top_per_group(best, ["query_id"], [F.desc("score"), F.col("passage_id")], k, out="rank").filter(F.col("rank") == k)
+    return kth.select("query_id", (F.col("score") * (1 - 1e-9)).alias("floor"))
+
+
+def _sums(index: Postings, blocks: DataFrame) -> DataFrame:
+    """(query_id, field, passage_id, score): impacts in the named blocks (query_id, field, term, level)."""
+    found = _joined(index.rows, blocks, ["field", "term", "level"], index.hot)
     return found.groupBy("query_id", "field", "passage_id").agg(F.sum("impact").alias("score"))
 
 

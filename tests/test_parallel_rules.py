@@ -173,6 +173,33 @@ def test_classes_stand_for_their_copies(spark):
     assert [(r.id, r.base, round(r.jaccard, 6)) for r in pairs.collect()] == [(100, 5, round(20 / 21, 6))]
 
 
+def test_similar_pairs_equal_all_pairs_and_few_are_verified(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for i in range(150):
+        base = sets[rng.integers(len(sets))] if i % 3 else rng.choice(400, rng.integers(10, 60), replace=False)
+        sets.append(np.unique(np.append(base[rng.random(len(base)) > 0.05], rng.choice(400, 2))))
+    rows = [(i, " ".join(f"w{t}" for t in s)) for i, s in enumerate(sets)]
+    classes, pairs = neardup.similar_classes(spark.createDataFrame(rows, "id long, text string"), "text", "id")
+    lead = dict(map(tuple, classes.collect()))
+    words = {i: set(sets[i]) for i in lead if lead[i] == i}
+    same = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in words for b in words if b < a}
+    want = {k: round(j, 6) for k, j in same.items() if j >= 0.85}
+    assert want and {(r.id, r.base): round(r.jaccard, 6) for r in pairs.collect()} == want
+    # 100 tokens each: the place of the first common token says whether enough can follow
+    places = spark.createDataFrame([(0, 0), (8, 8), (9, 0), (12, 12)], "at int, bat int").withColumn("n", F.lit(100)).withColumn("bn", F.lit(100))
+    assert [r[0] for r in places.select(neardup._can_reach(0.85)).collect()] == [True, True, False, False]
+
+
+def test_copies_are_part_of_the_similar_pairs(spark, tmp_path):
+    from corpusloom.plans.duplicates import similar
+
+    text = " ".join(f"t{i}" for i in range(20))
+    rows = [(1, text), (2, text + "!"), (3, text + " one"), (4, " ".join(f"u{i}" for i in range(20))), (5, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, similar(spark, str(tmp_path)).collect())) == [(2, 1, 1.0), (3, 1, round(20 / 21, 6))]
+
+
 @pytest.mark.parametrize("metric", ["L2", "IP"])
 def test_inverted_lists_answer_every_query(spark, metric):
     rng = np.random.default_rng(5)

@@ -25,26 +25,36 @@ from corpusloom.session import materialize
 
 DIGITS = 6
 HOT_POSTINGS = 1_000_000
+# What a task holds at once: entries of a matrix product, and pairs that are scored again.
+PRODUCT, PAIRS = 1 << 21, 1 << 14
 
 
-def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of the best ``k`` rows of ``c`` per row of ``q``, by (score, id); smaller is better.
+def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of the best ``k`` rows of ``c`` per row of ``q``, by (score, id); smaller is better.
 
     One matrix product finds all rows that can be among them, with room for its rounding; these are
     scored again from the components, and only that score ranks.
     """
-    product = q @ c.T
+    near = q @ c.T
     q2, c2 = (q * q).sum(1), (c * c).sum(1)
-    near = -product if metric == "IP" else q2[:, None] + c2[None, :] - 2.0 * product
+    near *= -1.0 if metric == "IP" else -2.0
+    if metric != "IP":
+        near += c2
+        near += q2[:, None]
     room = 1e-12 * (q2 + c2.max())
-    border = np.partition(near, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1] + room
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(near[i] <= border[i])
-        exact = -(c[at] @ q[i]) if metric == "IP" else ((c[at] - q[i]) ** 2).sum(1)
-        order = np.lexsort((ids[at], exact))[:k]
-        out.append((ids[at[order]], exact[order]))
-    return out
+    last = min(k, len(c)) - 1
+    border = np.partition(near, last, axis=1)[:, last] + room
+    row, at = np.nonzero(near <= border[:, None])
+    exact = np.empty(len(row))
+    # as many copies as there are may stand on the border: pairs are scored in slices
+    for i in range(0, len(row), PAIRS):
+        left, right = q[row[i : i + PAIRS]], c[at[i : i + PAIRS]]
+        exact[i : i + PAIRS] = -(right * left).sum(1) if metric == "IP" else ((right - left) ** 2).sum(1)
+    order = np.lexsort((ids[at], exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    return row[kept], ids[at[kept]], exact[kept]
 
 
 def _block_search(want: int, metric: str, query_rows: int):
@@ -57,19 +67,13 @@ def _block_search(want: int, metric: str, query_rows: int):
         right = right.sort_values("id")
         cids = right["id"].to_numpy()
         cmat = np.stack(right["v"].to_numpy()).astype(float)
+        lids = left["id"].to_numpy()
+        rows = min(query_rows, max(1, PRODUCT // len(cmat)))
         outs = []
-        for i in range(0, len(left), query_rows):
-            part = left.iloc[i : i + query_rows]
-            best = _nearest(np.stack(part["v"].to_numpy()).astype(float), cmat, cids, want, metric)
-            outs.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(part["id"].to_numpy(), [len(ids) for ids, _ in best]),
-                        "neighbor_id": np.concatenate([ids for ids, _ in best]),
-                        "score": np.concatenate([scores for _, scores in best]),
-                    }
-                )
-            )
+        for i in range(0, len(left), rows):
+            part = np.stack(left["v"].iloc[i : i + rows].to_numpy()).astype(float)
+            row, near, scores = _nearest(part, cmat, cids, want, metric)
+            outs.append(pd.DataFrame({"query_id": lids[i + row], "neighbor_id": near, "score": scores}))
         return pd.concat(outs)
 
     return block
@@ -92,7 +96,7 @@ def knn(
     Scores are computed in double precision and rank as they are; ties go to the smaller id.
     Returns (query_id, rank, neighbor_id, score); rank starts at 1.
 
-    ``block_rows`` bounds what one task holds of each side. With Q query blocks and C corpus blocks
+    ``block_rows`` bounds what one task holds of each side; products are cut to ``PRODUCT`` entries. With Q query blocks and C corpus blocks
     every query is sent C times and every corpus vector Q times, so larger blocks mean less shuffle;
     choose it as large as task memory allows.
     """

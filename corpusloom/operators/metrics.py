@@ -371,9 +371,15 @@ def table_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
 
     Rules: nothing found -> ``none`` (count: 0). Count -> a number. One row found, or max / min -> the
     number in the cell, or its text. None over several rows -> the texts. Sum and average need numbers.
+
+    A question that many queries ask of a table is answered once; its summary, or its rows where the answer
+    is a list, then go to each of them.
     """
     numbers = rows.withColumn("nums", F.transform("cells", T.parse_number))
-    asked = queries.withColumn(
+    question = F.sha2(F.to_json(F.struct("table_id", "sel", "conds")), 256)
+    askers = queries.select("query_id", "agg", question.alias("question"))
+    distinct = queries.select(question.alias("question"), "table_id", "sel", "conds").dropDuplicates(["question"])
+    asked = distinct.withColumn(
         "conds",
         F.transform(
             "conds",
@@ -396,8 +402,7 @@ def table_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
         return F.coalesce(F.when(F.get("types", c["col"]) == "real", number).otherwise(word), F.lit(False))
 
     hits = joined.filter(F.forall("conds", holds)).select(
-        "query_id",
-        "agg",
+        "question",
         "row",
         F.get("cells", F.col("sel")).alias("text"),
         F.get("nums", F.col("sel")).alias("number"),
@@ -410,13 +415,23 @@ def table_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
         F.col("row").alias("c"),
     )
     picked = F.struct("text", "number", "row")
-    summed = hits.groupBy("query_id", "agg").agg(
+    answers = hits.groupBy("question").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("number").alias("s"),
         F.count(F.when(F.col("kind") == "real", F.col("number"))).alias("nn"),
+        F.max(order).alias("most"),
+        F.min(order).alias("least"),
         F.max_by(picked, order).alias("hi"),
         F.min_by(picked, order).alias("lo"),
     )
+    # an id that comes with several questions has the rows of all of them
+    summed = askers.join(answers, "question").groupBy("query_id", "agg").agg(
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("nn").alias("nn"),
+        F.max_by("hi", "most").alias("hi"),
+        F.min_by("lo", "least").alias("lo"),
+    )
     single = (F.col("n") == 1) & (F.col("agg") != 3)
     best = F.when((F.col("agg") == 1) | single, F.col("hi")).when(F.col("agg") == 2, F.col("lo"))
     number = (
@@ -433,7 +448,8 @@ def table_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
         number.alias("number"),
     )
     many = (
-        hits.join(summed.filter(~scalar).select("query_id"), "query_id", "left_semi")
+        askers.join(summed.filter(~scalar).select("query_id"), "query_id", "left_semi")
+        .join(hits, "question")
         .select("query_id", F.col("row").cast("long").alias("row"), "text", F.lit(None).cast("double").alias("number"))
     )
     nothing = queries.join(summed, "query_id", "left_anti").select(

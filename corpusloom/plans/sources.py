@@ -265,10 +265,9 @@ STORY = f"""l as (select doc_id, list_filter(list_transform(string_split(text ||
 )
 def stories(spark, sf):
     d = wide(spark, sf, "documents", "doc_id", "text", "lang", "source")
-    raw = d.select("doc_id", F.concat("text", F.lit("\n@highlight\n"), "lang", F.lit("\n @highlight\n"), "source").alias("value"))
+    raw = d.select(F.concat("text", F.lit("\n@highlight\n"), "lang", F.lit("\n @highlight\n"), "source").alias("value"))
     path = fresh(spark, "stories")
-    raw.write.partitionBy("doc_id").text(path)  # one file per story
-    out = readers.read_stories(spark, path)
+    out = readers.read_stories(spark, writers.write_stories(raw, path))
     return out.select(F.md5(F.array_join("story_lines", "\n")).alias("story"), F.array_join("summary_lines", "|").alias("summary"))
 
 

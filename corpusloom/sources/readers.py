@@ -230,7 +230,7 @@ def parse_stories(raw: DataFrame, text: str = "value") -> DataFrame:
     return out.withColumn("story_lines", story).withColumn("summary_lines", summary).drop("_l", "_m")
 
 
-def read_stories(spark: SparkSession, path: str) -> DataFrame:
+def read_stories(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One file per story; files with ``summary`` in their name are skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.schema("value string").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return parse_stories(raw.filter(~F.contains("file", F.lit("summary")))).drop("value")

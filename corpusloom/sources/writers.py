@@ -1,7 +1,13 @@
-"""Sinks: every writer is a plain DataFrame write, so each task writes its own files."""
+"""Sinks: each task writes its own files, by a plain DataFrame write or, for a file per row, through Arrow's file systems."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +73,29 @@ def write_report(lines: DataFrame, path: str) -> None:
     """One text directory per dataset from (dataset, part, place, line)."""
     ordered = lines.repartitionByRange("dataset", "part", "place").sortWithinPartitions("dataset", "part", "place")
     ordered.select("dataset", F.col("line").alias("value")).write.partitionBy("dataset").text(path)
+
+
+def write_stories(df: DataFrame, path: str, text: str = "value") -> list[str]:
+    """One file per row under ``path``, written by the tasks; returns the folders that hold them, one per task.
+
+    A task that is tried again writes a folder of its own, and only folders of finished tasks are returned. As
+    in Spark's text files a line break ends the row, and a row without text is that alone.
+    """
+    local = urlsplit(path).scheme in ("", "file")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = (fs.LocalFileSystem(), urlsplit(path).path) if local else fs.FileSystem.from_uri(path)
+        name = f"story-{uuid.uuid4().hex}"
+        made = 0
+        for pdf in batches:
+            for value in pdf[text]:
+                if not made:
+                    files.create_dir(f"{root}/{name}", recursive=True)
+                with files.open_output_stream(f"{root}/{name}/{made}.story") as out:
+                    out.write(f"{value or ''}\n".encode())
+                made += 1
+        if made:
+            yield pd.DataFrame({"name": [name]})
+
+    folders = df.select(text).mapInPandas(run, "name string").collect()
+    return [f"{path}/{r['name']}" for r in folders]

@@ -185,6 +185,53 @@ def test_stories(spark):
     assert out[2].story_lines == [] and out[2].summary_lines == []
 
 
+def test_every_story_is_a_file_of_its_own(spark, tmp_path):
+    from corpusloom.sources import readers as R
+    from corpusloom.sources import writers as W
+
+    rows = [("a b\n\n@highlight\nc",), ("a b\n\n@highlight\nc",), ("",), (None,), ("d",)]
+    folders = W.write_stories(spark.createDataFrame(rows, "value string").repartition(2), str(tmp_path))
+    assert len(folders) <= 2 and len(list(tmp_path.glob("*/*.story"))) == len(rows)
+    got = sorted((r.story_lines, r.summary_lines) for r in R.read_stories(spark, folders).collect())
+    assert got == [([], []), ([], []), (["a b."], ["c."]), (["a b."], ["c."]), (["d."], [])]
+
+
+def test_equal_questions_are_answered_once(spark):
+    from corpusloom.operators import metrics as M
+
+    rows = spark.createDataFrame([(1, i, ["x", str(i)], ["text", "real"]) for i in range(6)], "table_id int, row int, cells array<string>, types array<string>")
+    conds = "array<struct<col:int,op:int,value:string>>"
+    asked = [(i, 1, 1, 4, [(1, 1, "2")]) for i in range(50)] + [(99, 1, 1, 4, [(1, 1, "2")])] * 2 + [(98, 1, 0, 0, [(1, 1, "3")]), (97, 1, 1, 1, [(1, 1, "9")])]
+    queries = spark.createDataFrame(asked, f"query_id int, table_id int, sel int, agg int, conds {conds}")
+    out = M.table_query(rows, queries)
+    got = sorted(map(tuple, out.collect()))
+    want = [(i, -1, None, 12.0) for i in range(50)] + [(97, -1, "none", None), (98, 4, "x", None), (98, 5, "x", None), (99, -1, None, 24.0)]
+    assert got == want
+
+
+def test_nodes_leave_a_few_pages_at_a_time(spark):
+    from corpusloom.sources.html import PAGES, html_nodes
+
+    pages = spark.createDataFrame([(i, f"<p>t{i}<b>u</b></p>") for i in range(2 * PAGES + 3)], "page_id long, html string").coalesce(1)
+    got = sorted((r.page_id, r.ord, r.text, r.xpath) for r in html_nodes(pages).collect())
+    assert got == sorted(x for i in range(2 * PAGES + 3) for x in [(i, 0, f"t{i}", "/p"), (i, 1, "u", "/p/b")])
+
+
+def test_products_are_cut_and_copies_rank_by_id():
+    import numpy as np
+
+    from corpusloom.operators import knn as K
+
+    rng = np.random.default_rng(1)
+    c = np.repeat(rng.standard_normal((5, 4)), 8, axis=0)
+    ids = rng.permutation(40)
+    for metric in ("L2", "IP"):
+        row, near, score = K._nearest(c[:9], c, ids, 7, metric)
+        exact = -(c[:9, None] * c[None]).sum(2) if metric == "IP" else ((c[:9, None] - c[None]) ** 2).sum(2)
+        for i in range(9):
+            assert near[row == i].tolist() == ids[np.lexsort((ids, exact[i]))[:7]].tolist()
+
+
 def test_fit_and_segments(spark):
     df = spark.createDataFrame([([1, 2, 3, 4],), (list(range(1, 14)),)], "t array<int>")
     assert [r[0] for r in df.select(A.fit("t", 10, 0)).collect()] == [[1, 2, 3, 4] + [0] * 6, list(range(1, 11))]

@@ -65,7 +65,7 @@ def positive_ids(pool: DataFrame, seed: int) -> DataFrame:
     key (group, position) is unique and balanced. A group of one record yields nothing. No text moves.
     """
     ring = shuffled_ids(pool.filter("fits").select(*GROUP, "id"), seed, "id", "pos", keys=GROUP, total="n")
-    ring = ring.filter("n > 1")
+    ring = materialize(ring.filter("n > 1"))
     follower = ring.select(*GROUP, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("id").alias("pos_id"))
     return ring.drop("n").join(follower, [*GROUP, "pos"]).drop("pos")
 

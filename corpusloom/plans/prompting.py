@@ -11,7 +11,7 @@ from corpusloom.operators import contrastive as K
 from corpusloom.operators import prompts as P
 from corpusloom.operators.corpus import most_frequent_value
 from corpusloom.plans.registry import hashed, query, strip, table, toks, wide
-from corpusloom.session import materialize
+from corpusloom.session import dealt, materialize
 
 SIZE = {
     "name": "size_class",
@@ -266,16 +266,16 @@ def conversation(spark, sf):
 
 def datasets(spark: SparkSession, sf: str) -> list[K.Dataset]:
     part = K.Dataset(
-        "part", parts(spark, sf), "p_partkey", [SIZE, KIND, PRICE], PART_RULES,
+        "part", dealt(parts(spark, sf), "p_partkey"), "p_partkey", [SIZE, KIND, PRICE], PART_RULES,
         [("p_name", "{{ context[0] }}"), ("p_brand", "{{ answer[0] if answer else 'unknown' }}"), ("p_type", "{{ options[0] if options else 'none' }}"), ("p_size", "{{ range(0, 50) | random }}"), ("p_retailprice", "{{ range(900, 2000) | random }}")],
         {"context": 1, "question": 1, "options": 6}, {"context": 1}, {"p_size": "int", "p_retailprice": "double"},
     )
     customer = K.Dataset(
-        "customer", table(spark, sf, "customer"), "c_custkey", [SEGMENT], [("{{ c_name }}", "context"), ("{{ c_mktsegment }}", "answer")],
+        "customer", dealt(table(spark, sf, "customer"), "c_custkey"), "c_custkey", [SEGMENT], [("{{ c_name }}", "context"), ("{{ c_mktsegment }}", "answer")],
         [("c_name", "{{ context[0] }}"), ("c_mktsegment", "{{ options[0] if options else 'none' }}")],
         {"context": 1, "question": 0, "options": 0}, {"context": 1, "question": 1},
     )
-    orders = K.Dataset("orders", table(spark, sf, "orders"), "o_orderkey", [STATUS, URGENCY])
+    orders = K.Dataset("orders", dealt(table(spark, sf, "orders"), "o_orderkey"), "o_orderkey", [STATUS, URGENCY])
     return [part, customer, orders]
 
 
@@ -288,7 +288,8 @@ RING_SQL = f"""with r as ({RENDER_ALL_SQL}), p as (select 'part' as dataset, pro
     RING_SQL + " select a.dataset, a.prompt, a.id, b.id as pos_id, a.text as query, b.text as pos_context from h a join h b on a.dataset = b.dataset and a.prompt = b.prompt and b.pos = (a.pos + 1) % a.n",
 )
 def pair_positive(spark, sf):
-    pool = K.rendered_pool(datasets(spark, sf)[:1])
+    # the pool is read for its ids and twice for its texts
+    pool = materialize(K.rendered_pool(datasets(spark, sf)[:1]).drop("hash"))
     return K.pair_positive(pool, 11)
 
 

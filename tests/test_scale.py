@@ -12,7 +12,8 @@ from corpusloom.operators import sampling as G
 from corpusloom.operators import sequences as Q
 from corpusloom.operators.skew import skew_join
 from corpusloom.plans.prompting import datasets
-from corpusloom.session import load
+from corpusloom.plans.registry import QUERIES
+from corpusloom.session import dealt, load
 
 
 def rows(df):
@@ -122,3 +123,18 @@ def test_plans(spark, sf):
     packed = plan_of(Q.pack(docs.select("doc_id", T.regex_tokens("text").alias("tokens")), 128, "doc_id"))
     assert "CartesianProduct" not in packed and "BroadcastNestedLoopJoin" not in packed
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in packed
+
+
+def test_tables_of_few_partitions_are_dealt_out(spark, sf):
+    few = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("k"), "id")
+    slots = spark.sparkContext.defaultParallelism
+    assert dealt(few, "k").rdd.getNumPartitions() == slots
+    many = dealt(few, "k", rows=20)
+    assert many.rdd.getNumPartitions() == 50 and rows(many) == rows(few)
+    assert dealt(few.limit(0), "k").count() == 0
+    assert all(d.records.rdd.getNumPartitions() >= slots for d in datasets(spark, sf))
+
+
+@pytest.mark.parametrize("name", ["d03_pair_positive"])
+def test_records_are_rendered_once(spark, sf, name):
+    assert "Generate" not in plan_of(QUERIES[name](spark, sf))

@@ -339,7 +339,7 @@ def contrastive(spark, sf):
     select 'part' as dataset, prompt, id, case when r <= 100 then 'train' else 'valid' end as split from h where r <= 130""",
 )
 def cap(spark, sf):
-    pool = K.rendered_pool(datasets(spark, sf)[:1]).select("dataset", "prompt", "id")
+    pool = materialize(K.rendered_pool(datasets(spark, sf)[:1]).select("dataset", "prompt", "id"))
     return K.cap_per_prompt(pool, 100, 30, 9)
 
 

@@ -135,6 +135,6 @@ def test_tables_of_few_partitions_are_dealt_out(spark, sf):
     assert all(d.records.rdd.getNumPartitions() >= slots for d in datasets(spark, sf))
 
 
-@pytest.mark.parametrize("name", ["d03_pair_positive"])
+@pytest.mark.parametrize("name", ["d03_pair_positive", "g04_cap_per_prompt"])
 def test_records_are_rendered_once(spark, sf, name):
     assert "Generate" not in plan_of(QUERIES[name](spark, sf))

@@ -257,7 +257,7 @@ def contrastive_examples(
 ) -> DataFrame:
     """One row per query with its positive and negatives, labelled train or valid per prompt."""
     pool = materialize(rendered_pool(datasets, words, seed))
-    pairs = materialize(cap_per_prompt(positive_ids(pool, seed), train, valid, seed))
+    pairs = materialize(cap_per_prompt(materialize(positive_ids(pool, seed)), train, valid, seed))
     easy = _lists(easy_negatives(pairs, pool, n_easy, seed), "easy")
     hard_rows = materialize(hard_negatives(pairs, datasets, n_hard, seed, words))
     hard = _lists(hard_rows, "hard")

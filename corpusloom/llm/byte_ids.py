@@ -71,49 +71,44 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     known: dict[str, bytes] = {}
     tails = {"": b""}
 
-    def learn(words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; signs at the end of letters are cut off, as the tokenizer does."""
+    def learn(words: set[str]) -> list[str]:
+        """Note the ids of new words, and name what was noted; signs at the end of letters are cut off, as the tokenizer does."""
         if len(tails) > REMEMBERED:
             tails.clear()
             tails[""] = b""
-        cut = {}
+        cores, cut = set(), {}
         for w in words:
-            core = w.rstrip(SIGNS)
-            cut[w] = (core, w[len(core) :]) if core[-1:].isalpha() else (w, "")
-        cores = [c for c in {c for c, _ in cut.values()} if c not in known]
+            core = w if w[-1:].isalpha() else w.rstrip(SIGNS)
+            if len(core) < len(w) and core[-1:].isalpha():
+                cut[w] = core, w[len(core) :]
+                if core not in known:
+                    cores.add(core)
+            else:
+                cores.add(w)
+        fresh = list(cores)
         ends = [e for e in {e for _, e in cut.values()} if e not in tails]
-        ids = raw([w[1:] if w[:1] == "\n" else " " + w for w in cores] + ends)
-        tails.update(zip(ends, ids[len(cores) :]))
-        found = {w: line_end + i if w[:1] == "\n" else i for w, i in zip(cores, ids)}
-        found |= {w: (found.get(c) or known[c]) + tails[e] for w, (c, e) in cut.items() if e}
-        if len(known) < REMEMBERED:
-            known.update(found)
-        return found
+        ids = raw([w[1:] if w[:1] == "\n" else " " + w for w in fresh] + ends)
+        tails.update(zip(ends, ids[len(fresh) :]))
+        known.update([(w, line_end + i if w[:1] == "\n" else i) for w, i in zip(fresh, ids)])
+        known.update([(w, known[c] + tails[e]) for w, (c, e) in cut.items()])
+        return [*fresh, *cut]
 
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for low in range(0, len(texts), 256):
             some = texts[low : low + 256]
-            found: list[bytes] = [b""] * len(some)
-            waiting: dict[int, tuple[list[str], list[bytes | None]]] = {}
-            new: set[str] = set()
-            for i, text in enumerate(some):
-                words = None if any(s in text for s in special) else _words(text)
+            split = [None if any(s in text for s in special) else _words(text) for text in some]
+            fresh = learn(set().union(*[words for words in split if words]).difference(known))
+            for text, words in zip(some, split):
                 if words is not None:
-                    ids = list(map(known.get, words))
-                    if None in ids:
-                        new.update([w for w, v in zip(words, ids) if v is None])
-                        waiting[i] = words, ids
-                    else:
-                        found[i] = b"".join(ids)[len(line_end) :]
+                    out.append(b"".join(map(known.__getitem__, words))[len(line_end) :])
                 elif ODD.search(text) or any(s in text for s in special):
-                    found[i] = raw([text])[0]
+                    out.append(raw([text])[0])
                 else:
-                    found[i] = b"".join(raw(_pieces(text)))
-            fresh = learn(new)
-            for i, (words, ids) in waiting.items():
-                found[i] = b"".join([fresh[w] if v is None else v for w, v in zip(words, ids)])[len(line_end) :]
-            out += found
+                    out.append(b"".join(raw(_pieces(text))))
+            if len(known) > REMEMBERED:
+                for w in fresh:
+                    del known[w]
         return out
 
     _ENCODERS[path] = encode

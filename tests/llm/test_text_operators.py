@@ -240,3 +240,16 @@ def test_toxicity_without_labels(spark):
     model = weak_toxicity.fit(documents(spark), none)
     assert all(r["score"] < 1e-9 for r in weak_toxicity.score(documents(spark), model).collect())
     assert weak_toxicity.score(documents(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("remembered", [0, 40, 700_000])
+def test_ids_do_not_depend_on_how_many_words_are_remembered(monkeypatch, remembered):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(byte_ids, "REMEMBERED", remembered)
+    monkeypatch.setattr(byte_ids, "_ENCODERS", {})
+    draw = random.Random(5)
+    pieces = ["a", "the ", "foo,", "foo", "\nbar.", " ", "\n", "\t", "1", "!?", "'s", "é", "中", "\x1c", "<|endoftext|>"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(30))) for _ in range(600)] + ["the foo, the foo", "the\nfoo", "foo,"]
+    encode, plain = byte_ids.encoder(path), Tokenizer.from_file(path)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -18,6 +18,9 @@ from corpusloom.ids import running_total, seeded_key, top_per_group
 from corpusloom.operators.folds import greedy_groups
 from corpusloom.operators.skew import skew_join
 
+# One sequence in so many tells which tokens are frequent.
+SHARE = 64
+
 
 def tokenize(
     df: DataFrame, text: str = "text", max_len: int | None = None, tokenizer: Callable[[Column], Column] = T.regex_tokens
@@ -37,9 +40,15 @@ def encode(df: DataFrame, vocab: DataFrame, seq_id: str, unknown: int, tokens: s
     named twice the smallest id counts. ``seq_id`` is unique.
     """
     none = F.array().cast("array<string>")
-    asked = fan_out(df, [F.col(seq_id).alias("_s")], F.array_distinct(F.coalesce(F.col(tokens), none)), "token")
+
+    def distinct_tokens(rows: DataFrame) -> DataFrame:
+        return fan_out(rows, [F.col(seq_id).alias("_s")], F.array_distinct(F.coalesce(F.col(tokens), none)), "token")
+
+    asked = distinct_tokens(df)
+    # which tokens are frequent is seen in some of the sequences, as tokens may be costly to compute
+    some = distinct_tokens(df.filter(F.pmod(F.xxhash64(seq_id), F.lit(SHARE)) == 0))
     known = vocab.groupBy(F.col("token").cast("string").alias("token")).agg(F.min(F.col("id").cast("int")).alias("id"))
-    found = skew_join(asked, known, ["token"], "_s", hot_rows=hot_rows)
+    found = skew_join(asked, known, ["token"], "_s", hot_rows=hot_rows, seen=some, share=SHARE)
     own = found.groupBy("_s").agg(F.collect_list(F.struct("token", "id")).alias("_d"))
 
     @F.arrow_udf("array<int>")

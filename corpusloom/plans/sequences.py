@@ -11,6 +11,7 @@ from corpusloom.ids import dense_ids, running_total, seeded_key
 from corpusloom.operators import segment as S
 from corpusloom.operators import sequences as Q
 from corpusloom.plans.registry import hashed, query, strip, table, toks, wide
+from corpusloom.session import materialize
 
 
 def token_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +50,8 @@ VOCAB_SQL = f"""with t as (select doc_id, unnest({toks('text')}) as token from d
 def encode(spark, sf):
     docs = token_docs(spark, sf)
     counts = A.fan_out(docs, [], "tokens", "token").groupBy("token").agg((-F.count(F.lit(1))).alias("n")).filter(~F.col("token").like("z%"))
-    counts = counts.withColumn("key", seeded_key(0, "token"))
+    # the ranking reads the counts several times: without a copy every reading would split all texts again
+    counts = materialize(counts.withColumn("key", seeded_key(0, "token")))
     ranked = running_total(counts, "id", ["n", "key", "token"], spread="range").select("token", F.col("id") + 1).toDF("token", "id")
     out = Q.encode(docs, ranked, "doc_id", 0)
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -11,6 +11,7 @@ from corpusloom.operators import contrastive as C
 from corpusloom.operators import sampling as G
 from corpusloom.operators import sequences as Q
 from corpusloom.operators.skew import skew_join
+from corpusloom.plans import all_queries
 from corpusloom.plans.prompting import datasets
 from corpusloom.plans.registry import QUERIES
 from corpusloom.session import dealt, load
@@ -138,3 +139,17 @@ def test_tables_of_few_partitions_are_dealt_out(spark, sf):
 @pytest.mark.parametrize("name", ["d03_pair_positive", "g04_cap_per_prompt"])
 def test_records_are_rendered_once(spark, sf, name):
     assert "Generate" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_vocabulary_and_frequent_tokens_do_not_split_all_texts_again(spark, sf):
+    plan = all_queries()["i02_encode"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # the sequences, what they ask for, and a part of them (once per side of the join) for its frequent tokens
+    assert plan.count("regexp_extract_all") <= 4
+
+
+def test_frequent_keys_seen_in_a_part_change_no_row(spark, hot):
+    small = spark.createDataFrame([(0, "zero"), (3, "three")], "k long, name string")
+    part = hot.filter(F.col("id") % 10 == 0)
+    for how in ("inner", "left"):
+        got = skew_join(hot, small, ["k"], "id", how, hot_rows=50, seen=part, share=10).select("k", "id", "name")
+        assert rows(got) == rows(hot.join(small, "k", how).select("k", "id", "name"))

@@ -326,3 +326,13 @@ def test_registry_names_and_hooks(spark):
     hooked = metrics.registry_metrics(df, ["Accuracy", "Other"], hooks={"Accuracy": lambda p, r: (F.lit("z"), F.array(F.lit("z")))})
     values = {r.metric: round(r.value, 4) for r in hooked.collect()}
     assert values == {"Accuracy": 100.0, "Other": round(100 / 3, 4)}
+
+
+def test_code_tokens_are_found_and_not_split_off(spark):
+    texts = ["", "a", " a b ", "x_1+y2;;é z", "äöü", None, "\n\nfoo\tbar\x00baz", "A.B.C", "🙂ok🙂ok"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    split = F.filter(F.split("text", "[^A-Za-z_0-9]+", -1), lambda t: t != "")
+    both = rows.select("id", neardup.code_tokens("text").alias("got"), split.alias("want"))
+    assert all(r.got == r.want for r in both.collect())
+    # splitting with a limit of -1 took five times as long as finding the tokens
+    assert "split(" not in both.select("got")._jdf.queryExecution().optimizedPlan().toString()

@@ -10,7 +10,8 @@ only sent to regions of pivots that it may reach:
 2. Two sets that link share one of the first ``n - ceil(t n) + 1`` n-grams of either. Of all documents
    with such an n-gram the most central one (fewest rare n-grams) is its pivot, and the others belong
    to the pivot's region. Every pair that can link meets in the region of a pivot. Pivots of a family of
-   near copies coincide, so a family is one region and not one per n-gram.
+   near copies coincide, so a family is one region and not one per n-gram. A document leaves a region in
+   which no other one's size allows a link, before anything but its size and row has moved there.
 3. In a region documents are first held as counts of n-grams per hash class. The sum of differences of
    counts never exceeds the symmetric difference, so it too separates documents; a document that no
    other can reach leaves the region before its set is moved. A region of more than ``region_docs``
@@ -33,13 +34,15 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import fan_out
@@ -115,7 +118,8 @@ def common_keys(base: DataFrame, j: Join) -> np.ndarray:
 def survey(docs: DataFrame, common: np.ndarray, j: Join) -> DataFrame:
     """(row, rank, n, keys, outline): the first n-grams of every set and its counts per hash class.
 
-    ``rank`` orders documents by their number of rare n-grams, then by a hash; it also names a pivot.
+    ``rank`` orders documents by their number of rare n-grams, then by a hash of the set; it also names a
+    pivot. Equal sets have equal ranks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -124,7 +128,7 @@ def survey(docs: DataFrame, common: np.ndarray, j: Join) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for low, high in batches_of(texts):
-                keys, rare, outline = [], [], []
+                keys, rare, seal, outline = [], [], [], []
                 sets = sets_of(texts[low:high], j.n)
                 for s in sets:
                     at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
@@ -132,10 +136,11 @@ def survey(docs: DataFrame, common: np.ndarray, j: Join) -> DataFrame:
                     order = np.concatenate([s[~often], s[often]])[: j.first(len(s)) if len(s) else 0]
                     keys.append(order.view(np.int64))
                     rare.append(int(len(s) - often.sum()))
+                    seal.append(np.bitwise_xor.reduce(s))
                     outline.append(class_counts(s).tobytes())
                 row = pdf["row"].iloc[low:high].to_numpy(np.int64)
                 rank = np.minimum(rare, (1 << 20) - 1).astype(np.uint64) << np.uint64(43)
-                rank |= mixed(row.view(np.uint64)) >> np.uint64(21)
+                rank |= mixed(np.array(seal, np.uint64)) >> np.uint64(21)
                 n = [len(s) for s in sets]
                 yield pd.DataFrame({"row": row, "rank": rank.view(np.int64), "n": n, "keys": keys, "outline": outline})
 
@@ -143,19 +148,41 @@ def survey(docs: DataFrame, common: np.ndarray, j: Join) -> DataFrame:
     return materialize(docs.select("row", "text").mapInPandas(lean(run), schema))
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """(pivot, row): the pivots whose regions a set may reach, pivots included.
+def regions(surveyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, row, rank, n): the pivots whose regions one of ``sets`` (row, rank, n) may reach, pivots included.
 
-    Each n-gram is reduced to its most central set before it moves; n-grams of one set go.
+    The n-grams move once, each with nothing but the rank of its set; n-grams of one set go. Where ranks
+    coincide a region is only larger than it must be.
     """
-    each = fan_out(sets, ["row", "rank"], "keys", "key")
-    pivots = (
-        each.groupBy("key")
-        .agg(F.min("rank").alias("pivot"), F.count(F.lit(1)).alias("sets"))
-        .filter("sets > 1")
-        .select("key", "pivot")
+    each = fan_out(surveyed, ["rank"], "keys", "key").repartition("key")
+    along = Window.partitionBy("key").orderBy("rank")
+    first = F.min("rank").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = each.select("rank", first.alias("pivot"), F.lead("rank").over(along).alias("next"))
+    met = met.filter("pivot <> rank or next is not null").select("pivot", "rank").distinct()
+    return met.join(sets, "rank")
+
+
+def of_like_size(reach: DataFrame, j: Join) -> DataFrame:
+    """(pivot, row) of ``reach`` without documents that no other of their region is near enough in size to link with.
+
+    Sizes of one class may always link; of a class of one document the nearest sizes of the classes
+    beside it decide, so a region is seen as a few classes. A region that keeps others keeps its pivot.
+    """
+    size_class = F.floor(F.log("n") / math.log(max(100 / j.percent, 1.05)))
+    classes = reach.groupBy("pivot", size_class.alias("size_class")).agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.min("row").alias("row"),
+        F.max(F.col("rank") == F.col("pivot")).alias("hub"),
     )
-    return each.select("row", "key").join(pivots, "key").select("pivot", "row").distinct()
+    region = Window.partitionBy("pivot")
+    order = region.orderBy("size_class")
+    below, above = F.lag("most").over(order), F.lead("least").over(order)
+    linked = (F.col("docs") > 1) | (100 * below >= j.percent * F.col("least")) | (100 * F.col("most") >= j.percent * above)
+    classes = classes.withColumn("linked", F.coalesce(linked, F.lit(False)))
+    classes = classes.withColumn("kept", F.col("linked") | (F.col("hub") & F.max("linked").over(region)))
+    return reach.select("pivot", "row").join(classes.filter("not kept").select("pivot", "row"), ["pivot", "row"], "left_anti")
 
 
 def without_contained(reach: DataFrame) -> DataFrame:
@@ -185,25 +212,16 @@ def class_counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
-def whole_sets(docs: DataFrame, near: DataFrame, j: Join) -> DataFrame:
-    """(row, set, pivot, part) of the documents in ``near`` (pivot, part, row).
+def whole_texts(docs: DataFrame, near: DataFrame, j: Join) -> DataFrame:
+    """(row, text, pivot, part) of the documents in ``near`` (pivot, part, row).
 
-    These rows are broadcast while they are few, so that texts and sets do not move to meet them; else
-    both sides are dealt out by row.
+    These rows are broadcast while they are few, so that texts do not move to meet them; else both sides
+    are dealt out by row.
     """
     small = near.count() <= j.broadcast_rows
     rows = near.select("row").distinct()
     rows, near = (F.broadcast(rows), F.broadcast(near)) if small else (rows, near)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for low, high in batches_of(texts):
-                sets = [s.tobytes() for s in sets_of(texts[low:high], j.n)]
-                yield pd.DataFrame({"row": pdf["row"].iloc[low:high].to_numpy(), "set": sets})
-
-    found = docs.join(rows, "row", "left_semi").select("row", "text").mapInPandas(lean(run), "row long, set binary")
-    return found.join(near, "row")
+    return docs.join(rows, "row", "left_semi").select("row", "text").join(near, "row")
 
 
 def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -379,31 +397,50 @@ def region_rows(members: DataFrame) -> DataFrame:
     return members.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
 
 
+def packed(data: Column) -> Column:
+    """Compressed bytes, for columns that move to every region of their row."""
+
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: zlib.compress(bytes(d), 1))
+
+    return F.pandas_udf(run, "binary")(data)
+
+
 def near_members(members: DataFrame, j: Join) -> DataFrame:
     """(pivot, part, row) of documents that another one of their region may link with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in by_region(batches):
-            keep = reachable(pdf["n"].to_numpy(np.int64), [np.frombuffer(o, np.uint8) for o in pdf["outline"]], j)
+            outlines = [np.frombuffer(zlib.decompress(o), np.uint8) for o in pdf["outline"]]
+            keep = reachable(pdf["n"].to_numpy(np.int64), outlines, j)
             if keep.any():
                 yield pdf[["pivot", "part", "row"]][keep]
 
-    rows = region_rows(members.select("pivot", "part", "row", "n", "outline"))
+    rows = region_rows(members.select("pivot", "part", "row", "n", packed("outline").alias("outline")))
     return rows.mapInPandas(lean(run), "pivot long, part long, row long")
 
 
 def forest(members: DataFrame, j: Join) -> DataFrame:
-    """(a, b): links between rows that connect what all links within regions connect."""
+    """(a, b): links between rows that connect what all links within regions connect.
+
+    Texts move to their regions, not sets: they are the smaller ones.
+    """
+
+    def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [zlib.decompress(t).decode() for t in pdf["text"]]
+            sets = [s for low, high in batches_of(texts) for s in sets_of(texts[low:high], j.n)]
+            yield pdf[["pivot", "part", "row"]].assign(set=pd.Series(sets, pdf.index, dtype=object))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in by_region(batches):
+        for pdf in by_region(with_sets(batches)):
             order = np.argsort(pdf["row"].to_numpy(), kind="stable")
-            sets = [np.frombuffer(o, np.uint64) for o in pdf["set"]]
+            sets = pdf["set"].tolist()
             edges = solve(pdf["row"].to_numpy(np.int64)[order], [sets[i] for i in order], j)
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
-    return region_rows(members).mapInPandas(lean(run), "a long, b long")
+    return region_rows(members.withColumn("text", packed(F.encode("text", "utf-8")))).mapInPandas(lean(run), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -439,12 +476,13 @@ def components(
         base = read_sets(docs, j)
         surveyed = survey(docs, common_keys(base, j), j)
     first = base.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("set_row"))
-    sets = surveyed.join(first.select(F.col("set_row").alias("row")), "row", "left_semi")
-    reach = materialize(without_contained(materialize(regions(sets))))
+    sets = surveyed.select("row", "rank", "n").join(first.select(F.col("set_row").alias("row")), "row", "left_semi")
+    reach = materialize(of_like_size(materialize(regions(surveyed, sets)), j))
+    reach = materialize(without_contained(reach))
     members = reach.join(surveyed.select("row", "rank", "n", "outline"), "row")
     near = materialize(near_members(sliced(reach, members, j), j))
     with small_batches(docs.sparkSession):
-        edges = materialize(forest(whole_sets(docs, near, j), j))
+        edges = materialize(forest(whole_texts(docs, near, j), j))
     return placed(base, first, connected(edges))
 
 

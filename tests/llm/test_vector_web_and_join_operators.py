@@ -328,6 +328,23 @@ def test_slices_of_a_large_region_keep_links_across_widths(spark):
     assert all(held[a] & held[b] for a, b in [*linked, *((a, b) for a in ties for b in ties)])
 
 
+def test_documents_of_unlike_size_leave_a_region(spark):
+    rows = [(7, 1, 7, 100), (7, 2, 3, 85), (7, 3, 4, 84), (7, 4, 5, 400), (8, 1, 7, 100), (8, 5, 8, 300), (9, 6, 9, 10), (9, 7, 2, 50), (9, 8, 1, 50)]
+    reach = spark.createDataFrame(rows, "pivot long, row long, rank long, n long")
+    got = sorted(tuple(r) for r in jaccard_voronoi.of_like_size(reach, jaccard_voronoi.Join()).collect())
+    # 84 may link with 85, a lone pair of 100 and 300 goes, a region that keeps others keeps its pivot
+    assert got == [(7, 1), (7, 2), (7, 3), (9, 6), (9, 7), (9, 8)]
+
+
+def test_numbers_of_rows_are_unique_and_stay(spark, tmp_path):
+    from corpusloom.session import load_numbered
+
+    spark.range(50).withColumn("text", F.lit("x")).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    one = {r["id"]: r["row"] for r in load_numbered(spark, str(tmp_path), "t").collect()}
+    two = {r["id"]: r["row"] for r in load_numbered(spark, str(tmp_path), "t").select("id", "row").repartition(2).collect()}
+    assert one == two and len(set(one.values())) == 50
+
+
 def test_jaccard_edge_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e", "", ""), (None, "a b c d e", "", ""), (4, "a b c d e", "", ""), (4, None, "", "")], DOCS)
     got = [(r["doc_id"], r["component_id"]) for r in jaccard_voronoi.components(docs).collect()]

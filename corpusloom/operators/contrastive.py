@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import prompt_columns as P
 from corpusloom.functions import text as T
+from corpusloom.functions.arrays import fan_out
 from corpusloom.ids import draw_key, running_total, shuffled_ids
 from corpusloom.operators import prompts as R
 from corpusloom.session import materialize
@@ -82,58 +83,100 @@ def pair_positive(pool: DataFrame, seed: int) -> DataFrame:
     return with_texts(positive_ids(pool, seed), pool).select(*GROUP, "id", "query", "pos_id", "pos_context")
 
 
+def _digest() -> Column:
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
 def _positions(pool: DataFrame, seed: int) -> DataFrame:
     """The records of distinct fitting texts with their position in (dataset, prompt); no texts."""
-    first = pool.filter("fits").groupBy("dataset", "hash").agg(F.min(F.struct("prompt", "id")).alias("_k"))
-    unique = first.select("dataset", F.col("_k.prompt").alias("prompt"), F.col("_k.id").alias("id"), "hash")
+    digests = pool.filter("fits").select(*GROUP, "id", _digest().alias("hash"))
+    first = digests.groupBy("dataset", "hash").agg(F.min(F.struct("prompt", "id")).alias("_k"))
+    unique = first.select("dataset", F.col("_k.prompt").alias("prompt"), F.col("_k.id").alias("id"))
     return shuffled_ids(unique, seed, "id", "pos", keys=GROUP)
 
 
+def _group_number(groups: list[tuple[str, str]]) -> Column:
+    """The number of a row's (dataset, prompt) among ``groups``: one long moves instead of two names."""
+    listed = F.array(*[F.struct(F.lit(d).alias("dataset"), F.lit(p).alias("prompt")) for d, p in groups])
+    return F.array_position(listed, F.struct("dataset", "prompt")) - 1
+
+
+SPOT = 40
+
+
 def easy_negatives(queries: DataFrame, pool: DataFrame, n: int, seed: int, spare: int = 2) -> DataFrame:
     """(dataset, prompt, id, negatives, short): ``n`` distinct (text, label) of other datasets per query row.
 
     A draw picks another dataset, one of its prompts and a record position, each uniformly. Two draws
     of a row in the same group differ in position by their draw numbers, and the pool holds each text
     once per dataset, so ``n + spare`` draws leave ``n`` distinct ones unless the other datasets are
-    smaller than that; ``short`` says that a row has fewer. The two look-up tables have one row per dataset
-    and per prompt. Draws are records and digests; texts are fetched for the chosen ones.
+    smaller than that; ``short`` says that a row has fewer. A row's draws are computed and chosen inside the
+    row: equal texts are one position of a dataset, and only draws of texts that several datasets have
+    are looked up before. Chosen draws move once to meet the texts, as numbers, and once back.
     """
     placed = materialize(_positions(pool, seed))
-    sizes = placed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows"))
-    by_dataset = Window.partitionBy("dataset").orderBy("prompt")
-    prompts = sizes.withColumn("p_at", F.row_number().over(by_dataset) - 1)
-    names = prompts.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_prompts"))
-    catalog = [r.asDict() for r in names.orderBy("dataset").collect()]
-    order = [c["dataset"] for c in catalog]
+    sizes = placed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows")).collect()
+    catalog = sorted((r["dataset"], r["prompt"], r["n_rows"]) for r in sizes)
+    groups = [(d, p) for d, p, _ in catalog]
+    order = sorted({d for d, _ in groups})
     if len(order) < 2:
         raise ValueError("easy negatives need at least two datasets")
-    listed = F.array(*[F.lit(x) for x in order])
-    counts = F.array(*[F.lit(c["n_prompts"]) for c in catalog])
-    draws = queries.select(*GROUP, "id", F.explode(F.sequence(F.lit(0), F.lit(n + spare - 1))).alias("try"))
-    own = F.array_position(listed, F.col("dataset")) - 1
-    key = lambda what: draw_key(seed, F.lit(what), *GROUP, "id", "try")
-    shift = F.pmod(key("d"), F.lit(len(order) - 1))
-    other = F.when(own < 0, F.pmod(key("d"), F.lit(len(order)))).when(shift >= own, shift + 1).otherwise(shift)
-    draws = draws.withColumn("d_at", other.cast("int"))
-    draws = draws.withColumn("p_at", F.pmod(key("p"), F.element_at(counts, F.col("d_at") + 1)).cast("int"))
-    draws = draws.withColumn("d_name", F.element_at(listed, F.col("d_at") + 1)).drop("d_at")
-    look_up = prompts.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "p_at", "n_rows")
-    draws = draws.join(F.broadcast(look_up), ["d_name", "p_at"])
-    base = draw_key(seed, F.lit("r"), *GROUP, "id", "d_name", "d_prompt")
-    draws = draws.withColumn("pos", F.pmod(base + F.col("try"), F.col("n_rows"))).drop("p_at", "n_rows")
-    found = draws.join(
-        placed.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), "pos", F.col("id").alias("d_id"), "hash"),
-        ["d_name", "d_prompt", "pos"],
-    )
-    texts = pool.select(F.col("dataset").alias("d_name"), F.col("prompt").alias("d_prompt"), F.col("id").alias("d_id"), "text")
-    label = F.concat_ws("-", "d_name", "d_prompt")
-    lists = _texts_of(_first_distinct(found, n, ["d_name", "d_prompt", "d_id"]), texts, ["d_name", "d_prompt", "d_id"], label)
+    names, prompts, rows_of = (F.array(*[F.lit(c[i]) for c in catalog]) for i in range(3))
+    listed = F.array(*[F.lit(d) for d in order])
+    counts = F.array(*[F.lit(sum(d == x for x, _ in groups)) for d in order])
+    starts = F.array(*[F.lit([x for x, _ in groups].index(d)) for d in order])
+    asking = sorted((tuple(r) for r in queries.select(*GROUP).distinct().collect()), key=str)
+    asked = queries.select(*GROUP, "id", _group_number(asking).alias("_q"))
+    tries = range(n + spare)
+    key = lambda what, *more: draw_key(seed, F.lit(what), *GROUP, "id", *more)
+    # one step a select, all draws side by side: each value is computed once
+    rows = asked.distinct().withColumn("_own", F.array_position(listed, F.col("dataset")) - 1)
+    rows = rows.select("*", *[key("d", F.lit(t)).alias(f"_k{t}") for t in tries])
+    shift = lambda t: F.pmod(f"_k{t}", F.lit(len(order) - 1))
+    other = lambda t: F.when(F.col("_own") < 0, F.pmod(f"_k{t}", F.lit(len(order)))).otherwise(shift(t) + (shift(t) >= F.col("_own")).cast("int"))
+    rows = rows.select(*GROUP, "id", "_q", *[(other(t) + 1).cast("int").alias(f"_d{t}") for t in tries])
+    at = lambda t: F.element_at(starts, F.col(f"_d{t}")) + F.pmod(key("p", F.lit(t)), F.element_at(counts, F.col(f"_d{t}"))).cast("int")
+    rows = rows.select(*GROUP, "id", "_q", *[(at(t) + 1).alias(f"_g{t}") for t in tries])
+    base = lambda g: key("r", F.element_at(names, g), F.element_at(prompts, g))
+    spot = lambda t, g: F.shiftleft((g - 1).cast("long"), SPOT) + F.pmod(base(g) + t, F.element_at(rows_of, g))
+    rows = rows.select("_q", "id", F.array_distinct(F.array(*[spot(t, F.col(f"_g{t}")) for t in tries])).alias("_l"))
+    located = placed.select((F.shiftleft(_group_number(groups).cast("long"), SPOT) + F.col("pos")).alias("spot"), *GROUP, "id")
+    rows = _without_twins(rows, located, pool)
+    chosen = fan_out(rows, ["_q", "id"], F.slice("_l", 1, n), "spot", "at")
+    chosen = chosen.select("id", (F.col("_q") * (n + spare) + F.col("at")).alias("_qa"), "spot")
+    texts = located.join(pool.select(*GROUP, "id", "text"), [*GROUP, "id"]).select("spot", "text")
+    met = chosen.join(texts, "spot").select("id", "_qa", F.shiftright("spot", SPOT).cast("int").alias("g"), "text")
+    met = met.select("id", F.floor(F.col("_qa") / (n + spare)).alias("_q"), F.struct((F.col("_qa") % (n + spare)).cast("int").alias("at"), "text", "g").alias("_x"))
+    label = lambda g: F.concat_ws("-", F.element_at(names, g + 1), F.element_at(prompts, g + 1))
+    named = F.transform(F.array_sort(F.collect_list("_x")), lambda x: F.struct(x["text"].alias("text"), label(x["g"]).alias("label")))
+    lists = met.groupBy("id", "_q").agg(named.alias("negatives"))
     # a row all of whose draws missed is short, too
     none = F.array().cast("array<struct<text:string,label:string>>")
-    out = queries.select(*GROUP, "id").join(lists, [*GROUP, "id"], "left").withColumn("negatives", F.coalesce("negatives", none))
+    out = asked.join(lists, ["id", "_q"], "left").select(*GROUP, "id", F.coalesce("negatives", none).alias("negatives"))
     return out.withColumn("short", F.size("negatives") < n)
 
 
+def _without_twins(rows: DataFrame, located: DataFrame, pool: DataFrame) -> DataFrame:
+    """``rows`` (_q, id, _l) without draws whose text an earlier draw of the row has from another dataset.
+
+    A position is a text of its dataset, so only texts that several datasets have need a look.
+    """
+    fitting = pool.filter("fits").select(*GROUP, "id", F.xxhash64("text").alias("_h"), "text")
+    several = fitting.groupBy("_h").agg(F.min("dataset").alias("_a"), F.max("dataset").alias("_b")).filter("_a <> _b")
+    several = materialize(several.select("_h"))
+    if several.isEmpty():
+        return rows
+    twins = fitting.join(several, "_h", "left_semi").select(*GROUP, "id", _digest().alias("hash"))
+    twins = located.join(twins, [*GROUP, "id"]).select("spot", "hash").distinct()
+    hits = fan_out(rows, ["_q", "id"], "_l", "spot", "at").join(twins, "spot")
+    hits = hits.groupBy("_q", "id").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "spot"))).alias("_t"))
+    later = F.filter("_t", lambda x, i: F.exists(F.slice("_t", F.lit(1), i), lambda y: y["hash"] == x["hash"]))
+    hits = hits.select("_q", "id", F.transform(later, lambda x: x["spot"]).alias("_gone"))
+    found = rows.alias("r").join(hits.alias("h"), F.col("r._q").eqNullSafe(F.col("h._q")) & F.col("r.id").eqNullSafe(F.col("h.id")), "left")
+    kept = F.array_except("r._l", F.coalesce("h._gone", F.array().cast("array<bigint>")))
+    return found.select("r._q", "r.id", kept.alias("_l"))
+
+
 def _first_distinct(found: DataFrame, n: int, source: list[str]) -> DataFrame:
     """(dataset, prompt, id, try, source columns): the first ``n`` draws of a row with distinct digests.
 

@@ -89,6 +89,20 @@ def test_negatives_hold_their_promises(spark, sf):
     assert pairs.count() == pool.filter("fits").count()
 
 
+def test_easy_negatives_need_no_digests_and_leave_out_twins(spark):
+    # the pool has no hash; a and b share the text of id 0, and so do draws of a c row
+    rows = [(d, "p", i, "same" if i == 0 and d != "c" else f"{d} {i}", True) for d, n in (("a", 2), ("b", 2), ("c", 30)) for i in range(n)]
+    pool = spark.createDataFrame(rows, "dataset string, prompt string, id long, text string, fits boolean")
+    got = C.easy_negatives(pool, pool, 4, 3, 20).collect()
+    assert len(got) == 34
+    for r in got:
+        texts = [x.text for x in r.negatives]
+        assert len(texts) == len(set(texts)) and r.short == (len(texts) < 4)
+        # the other datasets of a c row hold three texts, and 24 draws find them all
+        assert r.dataset != "c" or sorted(t[:2] for t in texts) == ["a ", "b ", "sa"]
+        assert all(x.label in {"a-p", "b-p", "c-p"} - {r.dataset + "-p"} for x in r.negatives)
+
+
 def test_batches(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.n_tokens("text").alias("len"))
     n = docs.count()

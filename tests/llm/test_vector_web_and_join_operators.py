@@ -240,6 +240,20 @@ def test_only_long_repeats_take_whole_blocks(spark):
         assert [r["text"] for r in html_suffix.extract(two, s).collect()] == [whole] * 2
 
 
+def test_repeats_decide_the_blocks_around_an_article(spark):
+    """A page with an article keeps the article whole and, in page order, the other blocks that no repeat covers."""
+    notice = " ".join(f"n{k}" for k in range(40))
+    page = lambda i: f"<div>before {i}</div><p>{notice}</p><nav>menu {i}</nav><article><p>own {i}</p><p>{notice}</p></article><p>after {i}</p>"
+    rows = [(i, "http://h.example/", page(i), "", "") for i in range(3)]
+    rows += [(3, "http://other.example/", page(3), "", ""), (4, "http://h.example/", f"<article>{notice}</article>", "", "")]
+    want = {i: f"before {i}\nown {i}\n{notice}\nafter {i}" for i in range(3)}
+    want |= {3: f"before 3\n{notice}\nown 3\n{notice}\nafter 3", 4: notice}
+    for s in (html_suffix.Suffixes(), html_suffix.LONG):
+        got = html_suffix.extract(spark.createDataFrame(rows, PAGES), s).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+        assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_page_text_of_hostile_markup():
     for page in ["<" * 5000, "<a " + 'x="' * 3000, "<!--" * 2000, "<div>" * 3000 + "x", "</p>" * 3000, "&#0;&#xffffffff;&bogus;"]:
         html_suffix.page_blocks(page)

@@ -79,6 +79,50 @@ def _block_search(want: int, metric: str, query_rows: int):
     return block
 
 
+def _lists_search(k: int, metric: str, exclude_self: bool, query_rows: int):
+    """Best ``k`` rows of the right block for every row of the left one, among the lists that it names.
+
+    The left block has (id, v, lists), the right one (id, v, list).
+    """
+    want = k + 1 if exclude_self else k
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
+        if left.empty or right.empty:
+            return empty
+        right = right.sort_values(["list", "id"])
+        cids, cmat = right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(float)
+        held, starts = np.unique(right["list"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(cids))
+        outs = []
+        for i in range(0, len(left), query_rows):
+            part = left.iloc[i : i + query_rows]
+            lids, qmat = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
+            asked = np.concatenate(part["lists"].to_list())
+            asking = np.repeat(np.arange(len(part)), part["lists"].map(len))
+            by_list = np.argsort(asked, kind="stable")
+            asked, asking = asked[by_list], asking[by_list]
+            found = []
+            for name, a, b in zip(held, starts, ends):
+                who = asking[np.searchsorted(asked, name) : np.searchsorted(asked, name, "right")]
+                rows = max(1, PRODUCT // (b - a))
+                for j in range(0, len(who), rows):
+                    row, near, scores = _nearest(qmat[who[j : j + rows]], cmat[a:b], cids[a:b], want, metric)
+                    found.append((who[j + row], near, scores))
+            if not found:
+                continue
+            row, near, scores = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((near, scores, row))
+            if exclude_self:
+                order = order[near[order] != lids[row[order]]]
+            ranked = row[order]
+            order = order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k]
+            outs.append(pd.DataFrame({"query_id": lids[row[order]], "neighbor_id": near[order], "score": scores[order]}))
+        return pd.concat(outs) if outs else empty
+
+    return block
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -214,6 +258,23 @@ def lists_needed(lists: Lists, queries: DataFrame, k: int, recall: float, exclud
     return probes, float((place < probes).mean())
 
 
+def _blocks_of_lists(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) per list: small lists share a block, a large one has blocks of its own."""
+    parts = np.maximum(1, -(-sizes // block_rows))
+    first = np.zeros(len(sizes), np.int64)
+    block, filled = -1, block_rows
+    for i, n in enumerate(sizes):  # at most as many as there are centres
+        if parts[i] > 1:
+            block, filled = block + 1, block_rows
+            first[i] = block
+            block += int(parts[i]) - 1
+        else:
+            if filled + n > block_rows:
+                block, filled = block + 1, 0
+            first[i], filled = block, filled + n
+    return first, parts
+
+
 def knn_approximate(
     queries: DataFrame,
     corpus: DataFrame,
@@ -231,30 +292,49 @@ def knn_approximate(
     The number of lists is what brings the recall of ``sample`` exactly answered queries to ``recall``; a
     query whose lists hold fewer than ``k`` rows probes further ones until they do, so every query gets
     ``k`` rows if the corpus has them. Candidates are scored exactly in double precision, ties by id.
-    Lists and the queries that probe them are cut into blocks of about ``block_rows``.
+
+    Lists stand together in blocks of about ``block_rows`` rows, and a query goes once to each block that has
+    lists for it, not once to each list; so both sides move as often as the other has blocks.
     """
     query_id, vector = cols.get("query_id", "query_id"), cols.get("vector", "embedding")
     lists = inverted_lists(corpus, metric, cols.get("corpus_id", "vec_id"), vector)
     probes, measured = lists_needed(lists, queries, k, recall, exclude_self, sample, query_id=query_id, vector=vector)
     want = k + 1 if exclude_self else k
     order, sizes = replace(lists, rows=None).order, lists.sizes
+    side = math.ceil(math.sqrt(queries.sparkSession.sparkContext.defaultParallelism))
+    # enough blocks for every slot
+    first, parts = _blocks_of_lists(sizes, min(block_rows, max(64, int(sizes.sum()) // side + 1)))
+    nq = queries.count()
+    q_blocks = max(math.ceil(nq / block_rows), min(side, nq // 64), 1)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<cb:int,lists:array<int>>>")
     def probed(col: pd.Series) -> pd.Series:
         near = order(np.stack(col.to_numpy()).astype(float))
         enough = (np.cumsum(sizes[near], axis=1) < want).sum(axis=1) + 1
-        return pd.Series([row[: max(probes, n)].astype(np.int32) for row, n in zip(near, enough)])
-
-    q_blocks = queries.count() * probes // (len(sizes) * block_rows) + 1
-    per_list = F.array(*[F.lit(int(-(-n // block_rows)) or 1) for n in sizes])
-    qs = fan_out(queries, [F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v")], probed(vector), "list")
-    qs = qs.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-    qs = qs.withColumn("cb", F.explode(F.sequence(F.lit(0), F.get(per_list, F.col("list")) - 1)))
-    cs = lists.rows.withColumn("cb", F.pmod(F.xxhash64("id"), F.get(per_list, F.col("list")).cast("long")).cast("int"))
+        out = []
+        for row, n in zip(near, enough):
+            named = row[: max(probes, n)]
+            # a list of several blocks is asked for in each of them
+            wide = np.repeat(named, parts[named])
+            at = first[wide] + np.arange(len(wide)) - np.repeat(np.cumsum(parts[named]) - parts[named], parts[named])
+            by_block = np.argsort(at, kind="stable")
+            blocks, starts = np.unique(at[by_block], return_index=True)
+            out.append([{"cb": int(b), "lists": x.astype(np.int32)} for b, x in zip(blocks, np.split(wide[by_block], starts[1:]))])
+        return pd.Series(out, dtype=object)
+
+    qs = fan_out(queries, [F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v")], probed(vector), "p")
+    qs = qs.select("id", "v", "p.cb", "p.lists", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"))
+
+    @F.pandas_udf("int")
+    def block_of(names: pd.Series, hashes: pd.Series) -> pd.Series:
+        name = names.to_numpy()
+        return pd.Series((first[name] + hashes.to_numpy() % parts[name]).astype(np.int32))
+
+    cs = lists.rows.withColumn("cb", block_of("list", F.xxhash64("id")))
     cs = cs.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    key = ["list", "qb", "cb"]
+    key = ["qb", "cb"]
     partial = qs.groupBy(*key).cogroup(cs.groupBy(*key)).applyInPandas(
-        _block_search(want, metric, query_rows), "query_id long, neighbor_id long, score double"
+        _lists_search(k, metric, exclude_self, query_rows), "query_id long, neighbor_id long, score double"
     )
     return _ranked(partial, k, metric, exclude_self), measured
 

@@ -214,6 +214,33 @@ def test_inverted_lists_answer_every_query(spark, metric):
     assert measured >= 0.95 and len(exact & set(got)) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("metric", ["L2", "IP"])
+def test_a_query_goes_once_to_a_block_of_lists(spark, metric):
+    """Any size of blocks gives the nearest rows of the probed lists, and queries move once per block, not per list."""
+    rng = np.random.default_rng(6)
+    vectors = [(i // 2 if i > 1400 else i, rng.standard_normal(4).tolist()) for i in range(1500)]
+    corpus = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    queries = corpus.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    lists = knn.inverted_lists(corpus, metric)
+    probes, _ = knn.lists_needed(lists, queries, 5, 0.9, True, 50)
+    rows = [(r.id, np.array(r.v), r.list) for r in lists.rows.collect()]
+    want = {}
+    for q in queries.collect():
+        v = np.array(q.embedding)
+        probed = set(lists.order(v[None, :])[0][:probes].tolist())
+        score = (lambda x: ((x - v) ** 2).sum()) if metric == "L2" else (lambda x: -(x * v).sum())
+        want.setdefault(q.query_id, []).extend((score(x), i) for i, x, name in rows if name in probed and i != q.query_id)
+    want = {q: [i for _, i in sorted(found)[:5]] for q, found in want.items()}
+    for block_rows in (30, 200, 20_000):
+        found, _ = knn.knn_approximate(queries, corpus, 5, metric, recall=0.9, sample=50, block_rows=block_rows, query_rows=16)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.neighbor_id)
+        assert got == want
+    first, parts = knn._blocks_of_lists(np.array([3, 4, 9, 1, 25, 2, 0]), 10)
+    assert first.tolist() == [0, 0, 1, 1, 2, 5, 5] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1]
+
+
 def test_small_lists_are_filled_up(spark):
     corpus = spark.createDataFrame([(i, [float(10**i)]) for i in range(9)], "vec_id long, embedding array<double>")
     found, _ = knn.knn_approximate(corpus.withColumnRenamed("vec_id", "query_id"), corpus, 5, recall=0.1, sample=3)

@@ -5,6 +5,12 @@ Schemas are always given or fixed; nothing is inferred by reading the data twice
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -15,6 +21,9 @@ from corpusloom.ids import running_total
 # The files' own conventions.
 HIGHLIGHT = "@highlight"
 SENTENCE_ENDINGS = [".", "!", "?", "...", "'", "`", '"', "’", ")"]
+# Schemes that tasks can open through Arrow; what a task holds of small files and of names at once.
+ARROW_SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
+FILES_BYTES, FILES_ROWS, NAMES = 1 << 23, 256, 10_000
 
 
 def read_blankline_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -230,7 +239,85 @@ def parse_stories(raw: DataFrame, text: str = "value") -> DataFrame:
     return out.withColumn("story_lines", story).withColumn("summary_lines", summary).drop("_l", "_m")
 
 
+def _entries(folder: str, local: bool) -> Iterator[tuple[str, str, bool, int]]:
+    """(name, path, whether a folder, bytes) of what a folder shows to Spark's readers."""
+    if local:
+        with os.scandir(folder) as found:
+            yield from ((e.name, e.path, e.is_dir(), e.stat().st_size) for e in found if _visible(e.name))
+    else:
+        files, root = fs.FileSystem.from_uri(folder)
+        for e in files.get_file_info(fs.FileSelector(root)):
+            if _visible(e.base_name):
+                yield e.base_name, f"{folder.rstrip('/')}/{quote(e.base_name)}", e.type == fs.FileType.Directory, e.size or 0
+
+
+def _visible(name: str) -> bool:
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _data_files(folder: str, local: bool) -> Iterator[str]:
+    """The files of a folder that aren't empty, or those of its ``key=value`` folders if it has any."""
+    inner = [path for name, path, is_folder, _ in _entries(folder, local) if is_folder and "=" in name]
+    for path in inner:
+        yield from _data_files(path, local)
+    if not inner:
+        yield from (path for _, path, is_folder, size in _entries(folder, local) if size and not is_folder)
+
+
+def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, value): every file of the given folders, files or patterns as one text.
+
+    Tasks list the folders and read the files. Spark's own reader keeps the status of every file and a partition
+    per few files in the driver; it is left to schemes that Arrow does not open.
+    """
+    paths = [path] if isinstance(path, str) else path
+    found = []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        matches = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        if not matches:
+            raise FileNotFoundError(f"no such path: {p}")
+        found += [(m.getPath().toUri(), m.isDirectory()) for m in matches]
+    schemes = {uri.getScheme() for uri, _ in found}
+    if not schemes <= set(ARROW_SCHEMES):
+        return spark.read.schema("value string").text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    local = schemes <= {"file"}
+    places = [(uri.getPath() if local else uri.toString(), is_folder) for uri, is_folder in found]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: list[str] = []
+        for pdf in batches:
+            for place, is_folder in zip(pdf["place"], pdf["folder"]):
+                for name in _data_files(place, local) if is_folder else [place]:
+                    names.append(name)
+                    if len(names) == NAMES:
+                        yield pd.DataFrame({"name": names})
+                        names = []
+        if names:
+            yield pd.DataFrame({"name": names})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for pdf in batches:
+            for name in pdf["name"]:
+                files, at = (fs.LocalFileSystem(), name) if local else fs.FileSystem.from_uri(name)
+                with files.open_input_stream(at) as data:
+                    held.append((at.rpartition("/")[2], data.read()))
+                size += len(held[-1][1])
+                if size >= FILES_BYTES or len(held) == FILES_ROWS:
+                    yield pd.DataFrame(held, columns=["file", "value"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["file", "value"])
+
+    slots = max(len(places), spark.sparkContext.defaultParallelism)
+    folders = spark.createDataFrame(places, "place string, folder boolean").repartition(max(1, len(places)))
+    names = folders.mapInPandas(listed, "name string").repartition(slots)
+    return names.mapInPandas(read, "file string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
 def read_stories(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One file per story; files with ``summary`` in their name are skipped."""
-    raw = spark.read.schema("value string").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = read_whole_files(spark, path)
     return parse_stories(raw.filter(~F.contains("file", F.lit("summary")))).drop("value")

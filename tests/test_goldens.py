@@ -196,6 +196,26 @@ def test_every_story_is_a_file_of_its_own(spark, tmp_path):
     assert got == [([], []), ([], []), (["a b."], ["c."]), (["a b."], ["c."]), (["d."], [])]
 
 
+def test_stories_are_listed_and_read_by_tasks(spark, tmp_path):
+    """As Spark's text reader: folders, files and patterns, hidden and empty files, inner folders; no file in the driver's plan."""
+    from corpusloom.sources import readers as R
+
+    for name in ("a/1.story", "b/1 x%20.story", "a/2.story", "b/summary.story", "b/_hidden", "b/.crc", "a/k=1/3.story", "dd/in/4.story", "dd/8.story", "b/5.story", "c#/6.story"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text {name}\n\n@highlight\nsum")
+    (tmp_path / "b/empty.story").write_text("")
+    (tmp_path / "b/7.story").write_bytes(b"caf\xc3\xa9 \xff")
+    for path in (str(tmp_path / "a"), str(tmp_path / "a/k=1"), [str(tmp_path / "b"), str(tmp_path / "c#")], str(tmp_path / "dd"), str(tmp_path / "[bc]*"), str(tmp_path / "a/2.story")):
+        by_spark = spark.read.schema("value string").text(path, wholetext=True).selectExpr("cast(value as binary) as value")
+        ours = R.read_whole_files(spark, path)
+        assert sorted(bytes(r.value) for r in ours.selectExpr("cast(value as binary) as value").collect()) == sorted(bytes(r.value) for r in by_spark.collect())
+    found = R.read_stories(spark, str(tmp_path / "?"))
+    assert sorted(r.file for r in found.collect()) == ["1 x%20.story", "3.story", "5.story", "7.story"]
+    assert "Scan text" not in found._jdf.queryExecution().toString()
+    with pytest.raises(FileNotFoundError):
+        R.read_stories(spark, str(tmp_path / "none"))
+
+
 def test_equal_questions_are_answered_once(spark):
     from corpusloom.operators import metrics as M
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,9 @@ from corpusloom.ids import seeded_key
 from corpusloom.operators.corpus import QualityLimits, passes_quality
 
 PACKED = "shard int, block long, tokens array<string>"
-CARRY = "held array<string>, done long, next long, early array<long>, waiting array<array<string>>"
+CARRY = "held array<string>, done long, next long, early array<long>, waiting array<string>"
+# Tokens of finished blocks that a task holds before they leave.
+TOKENS_OUT = 1 << 17
 
 
 def stream_pack(stream: DataFrame, length: int, end_token: str, shards: int, order: str, tokens: str = "tokens") -> DataFrame:
@@ -26,29 +29,34 @@ def stream_pack(stream: DataFrame, length: int, end_token: str, shards: int, ord
     micro-batches. A number that comes again raises an error. State holds the unfinished block, the number that
     is due and the lists that wait for it; a gap keeps later lists waiting. Use more shards than the
     cluster has slots.
+
+    A list moves and waits as one JSON text: an array of strings takes several times its bytes.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, done, due, early, waiting = state.get if state.exists else ([], 0, int(key[0]), [], [])
         buffer, ready = list(held), dict(zip(early, waiting))
-        rows = []
+        rows: list[tuple[int, int, list[str]]] = []
         for arrived in frames:
             for o, toks in zip(arrived["o"], arrived["t"]):
                 if o < due or o in ready:
                     raise ValueError(f"list {o} came twice")
                 ready[int(o)] = toks
             while due in ready:
-                buffer.extend(ready.pop(due))
+                buffer.extend(json.loads(ready.pop(due)))
                 buffer.append(end_token)
                 due += shards
                 full = len(buffer) // length * length
                 rows += [(int(key[0]), done + i, buffer[i * length : (i + 1) * length]) for i in range(full // length)]
                 done, buffer = done + full // length, buffer[full:]
-        state.update((buffer, done, due, list(ready), [list(t) for t in ready.values()]))
+                if len(rows) * length >= TOKENS_OUT:
+                    yield pd.DataFrame(rows, columns=["shard", "block", "tokens"])
+                    rows = []
+        state.update((buffer, done, due, list(ready), list(ready.values())))
         yield pd.DataFrame(rows, columns=["shard", "block", "tokens"])
 
     rows = stream.select(
-        F.pmod(F.col(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).cast("long").alias("o"), F.col(tokens).alias("t")
+        F.pmod(F.col(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).cast("long").alias("o"), F.to_json(tokens).alias("t")
     )
     return rows.groupBy("shard").applyInPandasWithState(step, PACKED, CARRY, "append", GroupStateTimeout.NoTimeout)
 

@@ -293,6 +293,20 @@ def test_streamed_blocks_do_not_depend_on_the_order_of_arrival(spark, tmp_path,
     assert sorted((r.shard, r.block, list(r.tokens)) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
 
 
+def test_lists_move_as_one_text_in_a_stream(spark, tmp_path):
+    odd = ['"', "\\", "\n", "\0", "", "é’", "\u2028", "a b", "😀", "[", "null", None]
+    docs = [(0, odd), (1, []), (2, odd[::-1]), (3, ["x"] * 200_000), (4, odd)]
+    schema = "id long, tokens array<string>"
+    spark.createDataFrame(docs[::-1], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    packed = jobs.stream_pack(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 4, "<end>", 1, "id")
+    assert "to_json" in packed._jdf.queryExecution().analyzed().toString()
+    run = packed.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    flat = [t for _, toks in docs for t in [*toks, "<end>"]]
+    got = sorted((r.block, list(r.tokens)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert [t for _, block in got for t in block] == flat[: len(flat) // 4 * 4] and [b for b, _ in got] == list(range(len(flat) // 4))
+
+
 def test_lexical_search_equals_the_full_sum(spark):
     rng = random.Random(3)
     words = ["the", "a", *[f"w{i}" for i in range(40)]]

@@ -191,6 +191,30 @@ def test_similar_pairs_equal_all_pairs_and_few_are_verified(spark):
     assert [r[0] for r in places.select(neardup._can_reach(0.85)).collect()] == [True, True, False, False]
 
 
+def test_sketches_never_part_similar_sets(spark, monkeypatch):
+    """Sketches differ in no more bits than sets in tokens, and pairs do not depend on which tokens tasks know as frequent."""
+    rng = random.Random(12)
+    base = [rng.sample(range(400), rng.choice([12, 40, 200])) for _ in range(20)]
+    tokens = [[t if rng.random() > 0.06 else rng.randrange(400) for t in b] for b in base for _ in range(4)]
+    rows = [(i, " ".join(f"w{t}" for t in toks)) for i, toks in enumerate(tokens)] + [(1000, "short"), (1001, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sets = df.select("id", F.array_distinct(F.transform(neardup.code_tokens("text"), lambda t: F.xxhash64(t))).alias("s"))
+    for words in (neardup.SKETCH, neardup.WIDE_SKETCH):
+        found = [(set(r.s), [x & (2**64 - 1) for x in r.m]) for r in sets.select("s", neardup._sketch(words)("s").alias("m")).collect()]
+        for a, m in found:
+            for b, n in found:
+                assert sum((x ^ y).bit_count() for x, y in zip(m, n, strict=True)) <= len(a ^ b)
+    plain = {frozenset(t.split()): i for i, t in reversed(rows) if len(t.split()) >= 10}
+    plain = {i: a for a, i in plain.items()}  # the smallest id of equal sets
+    want = {(i, j): len(a & b) / len(a | b) for i, a in plain.items() for j, b in plain.items() if j < i and len(a & b) >= 0.7 * len(a | b)}
+    assert len(want) > 20
+    for common in (1, 50, neardup.COMMON):
+        monkeypatch.setattr(neardup, "COMMON", common)
+        _, pairs = neardup.similar_classes(df, "text", "id", 0.7)
+        got = {(r.id, r.base): r.jaccard for r in pairs.collect()}
+        assert got == pytest.approx(want)
+
+
 def test_copies_are_part_of_the_similar_pairs(spark, tmp_path):
     from corpusloom.plans.duplicates import similar
 
